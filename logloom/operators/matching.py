@@ -102,7 +102,7 @@ def match_params(sig_col: str, pattern_col: str):
     n = F.regexp_count(F.col(pattern_col), F.lit(r"\(\(\?:"))
     return F.transform(
         F.sequence(F.lit(1), n),
-        lambda i: F.regexp_replace(F.regexp_extract(F.col(sig_col), F.col(pattern_col), i), SEP, ""))
+        lambda i: F.regexp_replace(F.call_function("regexp_extract", F.col(sig_col), F.col(pattern_col), i), SEP, ""))
 
 
 def match_messages(df: DataFrame, templates: DataFrame, content_col: str = "Content",
