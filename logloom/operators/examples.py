@@ -27,23 +27,48 @@ def _block_keys(col, method: str):
     return F.when(F.size(units) == 0, F.array(F.lit(""))).otherwise(units)
 
 
+def _word_counts(df: DataFrame, key: str, text_col: str) -> DataFrame:
+    """(key, w, c) word multiset; a text without words gets one empty
+    pseudo-word with count 0 so that two empty texts still meet."""
+    ws = df.select(key, F.explode(F.when(F.size(words(F.col(text_col))) == 0, F.array(F.lit("\x00")))
+                                  .otherwise(words(F.col(text_col)))).alias("w"))
+    return ws.groupBy(key, "w").agg(F.sum(F.when(F.col("w") == "\x00", 0).otherwise(1)).alias("c"))
+
+
+def _jaccard_candidates(q: DataFrame, ex: DataFrame, key_col: str, query_col: str) -> DataFrame:
+    """Multiset Jaccard for every (query, example) pair sharing a word, as an
+    equi-join on words plus a sum of ``least(count, count)``."""
+    qw = _word_counts(q, key_col, query_col)
+    ew = _word_counts(ex, "pos", "query").withColumnRenamed("c", "ce")
+    inter = qw.join(ew, "w").groupBy(key_col, "pos").agg(F.sum(F.least("c", "ce")).alias("i"))
+    lq = qw.groupBy(key_col).agg(F.sum("c").alias("lq"))
+    le = ew.groupBy("pos").agg(F.sum("ce").alias("le"))
+    j = inter.join(lq, key_col).join(le, "pos")
+    union = F.col("lq") + F.col("le") - F.col("i")
+    return j.select(key_col, "pos", F.when(union == 0, F.lit(0.0)).otherwise(1.0 - F.col("i") / union).alias("dist"))
+
+
 def nearest_pairs(queries: DataFrame, examples: DataFrame, k: int = 3, method: str = "jaccard",
                   key_col: str = "qid", query_col: str = "query_text") -> DataFrame:
     """C5 + E4 as rows: key, rank, pos, dist (ascending distance, ties by
     example position)."""
     ex = examples.select("pos", "query")
     q = queries.select(key_col, query_col)
-    qk = q.select(key_col, F.explode(_block_keys(F.col(query_col), method)).alias("_u"))
-    ek = ex.select("pos", F.explode(_block_keys(F.col("query"), method)).alias("_u"))
-    cand = qk.join(ek, "_u").select(key_col, "pos").distinct()
+    if method in ("jaccard", "LILAC"):
+        cand = _jaccard_candidates(q, ex, key_col, query_col)
+    else:
+        qk = q.select(key_col, F.explode(_block_keys(F.col(query_col), method)).alias("_u"))
+        ek = ex.select("pos", F.explode(_block_keys(F.col("query"), method)).alias("_u"))
+        pairs = qk.join(ek, "_u").select(key_col, "pos").distinct()
+        cand = (pairs.join(q, key_col).join(ex, "pos")
+                .select(key_col, "pos", distance(method, F.col(query_col), F.col("query")).alias("dist")))
     first = [r["pos"] for r in ex.orderBy("pos").select("pos").limit(2 * k).collect()]
     fill = q.select(key_col, F.explode(F.array(*[F.lit(p) for p in first]) if first
                                         else F.array().cast("array<long>")).alias("pos"))
-    fill = fill.join(cand, [key_col, "pos"], "left_anti")
-    pairs = (cand.unionByName(fill).join(q, key_col).join(ex, "pos")
-             .withColumn("dist", distance(method, F.col(query_col), F.col("query"))))
+    fill = fill.join(cand.select(key_col, "pos"), [key_col, "pos"], "left_anti").withColumn("dist", F.lit(1.0))
+    allp = cand.unionByName(fill)
     w = Window.partitionBy(key_col).orderBy("dist", "pos")
-    return (pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return (allp.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
             .select(key_col, "rank", "pos", "dist"))
 
 

@@ -556,3 +556,243 @@ QUERIES = {
     "summary_average": (summary_average, SQL_SUMMARY_AVERAGE),
     "summary_transposed": (summary_transposed, SQL_SUMMARY_TRANSPOSED),
 }
+
+
+# ---------------------------------------------------------------------------
+# sampling (documents, whole texts; label = source)
+# ---------------------------------------------------------------------------
+
+def _labelled_docs(spark, sf_dir) -> DataFrame:
+    d = table(spark, sf_dir, "documents", ["doc_id", "text", "source"])
+    return d.select((F.col("doc_id") + 1).alias("row_id"), F.col("text").alias("Content"),
+                    F.col("source").alias("EventTemplate"))
+
+
+def _clustered(spark, sf_dir):
+    from logloom.operators import sampling
+    return sampling.clusters(sampling.prepare(_labelled_docs(spark, sf_dir)))
+
+
+def vocab_counts(spark, sf_dir):
+    """D15 + G9 + G28 + B4: vocabulary counts over all documents."""
+    from logloom.operators import sampling
+    return sampling.vocabulary(sampling.prepare(_labelled_docs(spark, sf_dir)))
+
+
+_SQL_STOP = ", ".join("'" + w + "'" for w in T.SAMPLER_STOPWORDS)
+_SQL_DOCS = f"""
+d AS (SELECT doc_id + 1 AS row_id, text, source FROM documents),
+c AS (SELECT row_id, list_filter(regexp_split_to_array(regexp_replace(regexp_replace(text, '[:()=,"{{}}@\\[\\]|;]|\\.?!', ' ', 'g'), '^\\s+|\\s+$', '', 'g'), '\\s+'),
+                                 lambda w: w <> '' AND NOT regexp_matches(w, '[0-9]')) AS ws FROM d),
+k AS (SELECT * FROM c WHERE len(ws) > 1),
+vw AS (SELECT row_id, unnest(ws) AS token FROM k),
+vocab AS (SELECT token, count(*) AS cnt FROM vw WHERE length(token) > 2 AND token NOT IN ({_SQL_STOP}) GROUP BY token)
+"""
+
+SQL_VOCAB_COUNTS = f"WITH {_SQL_DOCS} SELECT token, cnt FROM vocab"
+
+
+def top3_tokens(spark, sf_dir):
+    """Per document the three most frequent words (sorted) = coarse key."""
+    return _clustered(spark, sf_dir).select("row_id", "coarse")
+
+
+_SQL_TOP3 = """
+dt AS (SELECT DISTINCT row_id, token FROM vw WHERE length(token) > 2 AND token IN (SELECT token FROM vocab)),
+rk AS (SELECT dt.row_id, dt.token, row_number() OVER (PARTITION BY dt.row_id ORDER BY v.cnt DESC, dt.token) AS rn
+       FROM dt JOIN vocab v USING (token)),
+top AS (SELECT row_id, array_to_string(list_sort(list(token)), ' ') AS coarse FROM rk WHERE rn <= 3 GROUP BY row_id),
+cl AS (SELECT k.row_id, coalesce(top.coarse, '') AS coarse FROM k LEFT JOIN top USING (row_id))
+"""
+SQL_TOP3_TOKENS = f"WITH {_SQL_DOCS}, {_SQL_TOP3} SELECT row_id, coarse FROM cl"
+
+
+def signature_clusters(spark, sf_dir):
+    """G9 + D16 + D17: rows per (coarse, fine) cluster and per coarse cluster."""
+    from logloom.operators import sampling
+    cl = _clustered(spark, sf_dir)
+    f = sampling.fine_sizes(cl)
+    c = sampling.coarse_sizes(cl).withColumnRenamed("size", "coarse_size")
+    return f.join(c, "coarse").select("coarse", "fine", "size", "coarse_size")
+
+
+_SQL_FINE = """
+fi AS (SELECT d.row_id, array_to_string(list_sort(list_distinct(list_filter(string_split(regexp_replace(text, '[0-9A-Za-z, ]+', '', 'g'), ''), lambda z: z <> ''))), '') AS fine FROM d),
+cf AS (SELECT cl.row_id, cl.coarse, fi.fine FROM cl JOIN fi USING (row_id)),
+fs AS (SELECT coarse, fine, count(*) AS size FROM cf GROUP BY ALL),
+cs AS (SELECT coarse, count(*) AS coarse_size, count(DISTINCT fine) AS n_fine FROM cf GROUP BY coarse)
+"""
+SQL_SIGNATURE_CLUSTERS = f"""WITH {_SQL_DOCS}, {_SQL_TOP3}, {_SQL_FINE}
+SELECT fs.coarse, fs.fine, fs.size, cs.coarse_size FROM fs JOIN cs USING (coarse)"""
+
+
+def cluster_totals(spark, sf_dir):
+    """Number of coarse and fine clusters."""
+    from logloom.operators import sampling
+    return sampling.cluster_totals(_clustered(spark, sf_dir))
+
+
+SQL_CLUSTER_TOTALS = f"""WITH {_SQL_DOCS}, {_SQL_TOP3}, {_SQL_FINE}
+SELECT count(DISTINCT coarse) AS n_coarse, count(*) AS n_fine FROM fs"""
+
+
+def quota_allocation(spark, sf_dir):
+    """E5 + E6 + P9: quotas per shot over coarse (key order) and fine clusters."""
+    from logloom.operators import sampling
+    q = sampling.quotas(_clustered(spark, sf_dir), order="key")
+    return q.select("shot", "coarse", "fine", "c_pos", "f_pos", "c_quota", "quota")
+
+
+SQL_QUOTA_ALLOCATION = f"""WITH {_SQL_DOCS}, {_SQL_TOP3}, {_SQL_FINE},
+nc AS (SELECT count(*) AS c FROM cs),
+cp AS (SELECT coarse, n_fine, row_number() OVER (ORDER BY coarse) - 1 AS c_pos FROM cs),
+sh AS (SELECT unnest([8, 16, 32, 64, 128]) AS shot),
+cq AS (SELECT shot, coarse, n_fine, c_pos, CAST(floor(shot / c) + CASE WHEN c_pos < shot % c THEN 1 ELSE 0 END AS INTEGER) AS c_quota
+       FROM cp, sh, nc),
+fp AS (SELECT coarse, fine, row_number() OVER (PARTITION BY coarse ORDER BY size DESC, fine) - 1 AS f_pos FROM fs),
+j AS (SELECT cq.shot, cq.coarse, fp.fine, cq.c_pos, fp.f_pos, cq.c_quota,
+             CAST(floor(c_quota / n_fine) + CASE WHEN f_pos < c_quota % n_fine THEN 1 ELSE 0 END AS INTEGER) AS quota
+      FROM cq JOIN fp USING (coarse) WHERE cq.c_quota > 0)
+SELECT shot, coarse, fine, CAST(c_pos AS INTEGER) AS c_pos, CAST(f_pos AS INTEGER) AS f_pos, c_quota, quota FROM j WHERE quota > 0
+"""
+
+
+def hierarchical_sample(spark, sf_dir):
+    """E7 + E13 + B13 + G29: hashed draws for every shot (no oracle: the
+    draws use Spark's xxhash64)."""
+    from logloom.operators import sampling
+    s = sampling.hierarchical_sample(_labelled_docs(spark, sf_dir), share=None)
+    return s.select("shot", "sample_pos", "row_id", "answer")
+
+
+def sample_coverage(spark, sf_dir):
+    """D19 + D24 + F5: templates covered per shot."""
+    from logloom.operators import sampling
+    lab = _labelled_docs(spark, sf_dir)
+    return sampling.coverage(sampling.hierarchical_sample(lab, share=None), lab, share=None)
+
+
+def farthest_sample(spark, sf_dir):
+    """E11 + C8 + G10: farthest-point samples of conversation texts."""
+    from logloom.operators import sampling
+    conv = table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
+    lab = conv.select((F.col("conv_id") * 1000 + F.col("turn") + 1).alias("row_id"),
+                      F.col("text").alias("Content"), F.col("role").alias("EventTemplate"))
+    return sampling.farthest_sample(lab, shots=[8, 16, 32], share=None).select("shot", "sample_pos", "row_id")
+
+
+# ---------------------------------------------------------------------------
+# examples and prompts (conversation texts against benchmark items)
+# ---------------------------------------------------------------------------
+
+def _queries_examples(spark, sf_dir):
+    conv = table(spark, sf_dir, "conversations", ["conv_id", "turn", "text"])
+    q = conv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.col("text").alias("query_text"))
+    b = table(spark, sf_dir, "benchmark", ["item_id", "text"])
+    ex = b.select(F.col("item_id").alias("pos"), F.col("text").alias("query"), F.col("text").alias("answer"))
+    return q, ex
+
+
+def nearest_examples(spark, sf_dir):
+    """C5 + E4 + G13: the three nearest benchmark items of every conversation
+    turn by word-multiset Jaccard distance."""
+    from logloom.operators.examples import nearest_pairs
+    q, ex = _queries_examples(spark, sf_dir)
+    r = nearest_pairs(q, ex, k=3)
+    return r.select("qid", F.col("rank").cast("int").alias("rank"), "pos", F.round("dist", 6).alias("dist"))
+
+
+_SQL_QE = """
+q AS (SELECT conv_id * 1000 + turn AS qid, text AS qt FROM conversations),
+ex AS (SELECT item_id AS pos, text AS et FROM benchmark),
+qw AS (SELECT qid, w, count(*) AS c FROM (SELECT qid, unnest(regexp_split_to_array(regexp_replace(qt, '^\\s+|\\s+$', '', 'g'), '\\s+')) AS w FROM q) WHERE w <> '' GROUP BY ALL),
+ew AS (SELECT pos, w, count(*) AS c FROM (SELECT pos, unnest(regexp_split_to_array(regexp_replace(et, '^\\s+|\\s+$', '', 'g'), '\\s+')) AS w FROM ex) WHERE w <> '' GROUP BY ALL),
+ql AS (SELECT q.qid, coalesce(sum(c), 0) AS l FROM q LEFT JOIN qw USING (qid) GROUP BY q.qid),
+el AS (SELECT ex.pos, coalesce(sum(c), 0) AS l FROM ex LEFT JOIN ew USING (pos) GROUP BY ex.pos),
+inter AS (SELECT qw.qid, ew.pos, sum(least(qw.c, ew.c)) AS i FROM qw JOIN ew USING (w) GROUP BY ALL),
+pairs AS (SELECT ql.qid, el.pos, coalesce(i, 0) AS i, ql.l AS lq, el.l AS le FROM ql CROSS JOIN el
+          LEFT JOIN inter ON inter.qid = ql.qid AND inter.pos = el.pos),
+dist AS (SELECT qid, pos, CASE WHEN lq + le - i = 0 THEN 0.0 ELSE 1.0 - i * 1.0 / (lq + le - i) END AS dist FROM pairs),
+rk AS (SELECT qid, pos, dist, row_number() OVER (PARTITION BY qid ORDER BY dist, pos) AS rank FROM dist)
+"""
+SQL_NEAREST_EXAMPLES = f"WITH {_SQL_QE} SELECT qid, CAST(rank AS INTEGER) AS rank, pos, round(dist, 6) AS dist FROM rk WHERE rank <= 3"
+
+
+def example_distances(spark, sf_dir):
+    """Cosine (character count) distance of each turn to its nearest
+    benchmark item.  (Levenshtein, G14, is checked against brute force in
+    tests: DuckDB's levenshtein counts bytes, not characters.)"""
+    from logloom.functions.distance import cosine_distance
+    from logloom.operators.examples import nearest_pairs
+    q, ex = _queries_examples(spark, sf_dir)
+    top = nearest_pairs(q, ex, k=1).join(q, "qid").join(ex, "pos")
+    return top.select("qid", "pos", F.round(cosine_distance("query_text", "query"), 6).alias("cos"))
+
+
+SQL_EXAMPLE_DISTANCES = f"""WITH {_SQL_QE},
+t AS (SELECT rk.qid, rk.pos, q.qt, ex.et FROM rk JOIN q USING (qid) JOIN ex USING (pos) WHERE rank = 1),
+qc AS (SELECT qid, ch, count(*) AS c FROM (SELECT qid, unnest(string_split(qt, '')) AS ch FROM t) WHERE ch <> '' GROUP BY ALL),
+ec AS (SELECT qid, ch, count(*) AS c FROM (SELECT qid, unnest(string_split(et, '')) AS ch FROM t) WHERE ch <> '' GROUP BY ALL),
+ci AS (SELECT qc.qid, sum(least(qc.c, ec.c)) AS i FROM qc JOIN ec USING (qid, ch) GROUP BY qc.qid)
+SELECT t.qid, t.pos,
+  round(CASE WHEN qt = et THEN 0.0 WHEN length(qt) * length(et) = 0 THEN 1.0
+             ELSE 1.0 - coalesce(ci.i, 0) / sqrt(length(qt) * 1.0 * length(et)) END, 6) AS cos
+FROM t LEFT JOIN ci USING (qid)
+"""
+
+
+def random_examples(spark, sf_dir):
+    """Three hashed draws with replacement per turn (no oracle: hash)."""
+    from logloom.operators.examples import random_examples as rnd
+    q, ex = _queries_examples(spark, sf_dir)
+    return rnd(q, ex, k=3).select("qid", "draw", "pos")
+
+
+def build_prompts(spark, sf_dir):
+    """G22 + G23 + G24: chat prompts with the three nearest items as examples."""
+    from logloom.operators.discovery import build_prompt
+    from logloom.operators.examples import nearest_examples as near
+    q, ex = _queries_examples(spark, sf_dir)
+    n = near(q, ex, k=3)
+    p = q.join(n, "qid", "left").withColumn("messages", build_prompt(F.col("query_text"), F.col("examples")))
+    return p.select("qid", F.size("messages").alias("n_messages"),
+                    F.element_at("messages", -1)["content"].alias("question"),
+                    F.element_at("messages", 4)["content"].alias("first_example"))
+
+
+SQL_BUILD_PROMPTS = f"""WITH {_SQL_QE}
+SELECT q.qid, 10 AS n_messages, 'Log message: `' || q.qt || '`' AS question,
+       'Log message: `' || ex.et || '`' AS first_example
+FROM q JOIN rk USING (qid) JOIN ex USING (pos) WHERE rk.rank = 1
+"""
+
+
+def parse_answers(spark, sf_dir):
+    """Template text out of model-style answers built from the truth."""
+    ev = rendered_events(spark, sf_dir)
+    resp = (F.when(F.col("LineId") % 4 == 0, F.concat(F.lit("Sure.\nLog template: `"), F.col("gt"), F.lit("`\nDone")))
+            .when(F.col("LineId") % 4 == 1, F.concat(F.lit("The template is `"), F.col("gt"), F.lit("` here")))
+            .when(F.col("LineId") % 4 == 2, F.concat(F.lit('Log template: "'), F.col("gt"), F.lit('"')))
+            .otherwise(F.concat(F.lit("no template for "), F.col("Content"))))
+    return ev.select("LineId", T.parse_answer(resp).alias("template"))
+
+
+SQL_PARSE_ANSWERS = f"""WITH {R}
+SELECT LineId, CASE WHEN LineId % 4 = 3 THEN NULL ELSE gt END AS template FROM r
+"""
+
+QUERIES.update({
+    "vocab_counts": (vocab_counts, SQL_VOCAB_COUNTS),
+    "top3_tokens": (top3_tokens, SQL_TOP3_TOKENS),
+    "signature_clusters": (signature_clusters, SQL_SIGNATURE_CLUSTERS),
+    "cluster_totals": (cluster_totals, SQL_CLUSTER_TOTALS),
+    "quota_allocation": (quota_allocation, SQL_QUOTA_ALLOCATION),
+    "hierarchical_sample": (hierarchical_sample, None),
+    "sample_coverage": (sample_coverage, None),
+    "farthest_sample": (farthest_sample, None),
+    "nearest_examples": (nearest_examples, SQL_NEAREST_EXAMPLES),
+    "example_distances": (example_distances, SQL_EXAMPLE_DISTANCES),
+    "random_examples": (random_examples, None),
+    "build_prompts": (build_prompts, SQL_BUILD_PROMPTS),
+    "parse_answers": (parse_answers, SQL_PARSE_ANSWERS),
+})
