@@ -796,3 +796,142 @@ QUERIES.update({
     "build_prompts": (build_prompts, SQL_BUILD_PROMPTS),
     "parse_answers": (parse_answers, SQL_PARSE_ANSWERS),
 })
+
+
+# ---------------------------------------------------------------------------
+# correction (G7 D22 C4 D23 E9 P10) on a truth log whose error and view
+# templates are the raw messages
+# ---------------------------------------------------------------------------
+
+def _raw_truth(spark, sf_dir) -> DataFrame:
+    ev = rendered_events(spark, sf_dir)
+    t = F.when(F.col("event_type").isin("error", "view"), F.col("Content")).otherwise(F.col("gt"))
+    s = ev.select("LineId", "Content", t.alias("EventTemplate"))
+    return matching.assign_event_ids(s, "EventTemplate", "LineId")
+
+
+_SQL_RAW_TRUTH = """
+s AS (SELECT LineId, Content, gt AS c, CASE WHEN event_type IN ('error', 'view') THEN Content ELSE gt END AS t FROM r),
+f AS (SELECT t, min(LineId) AS fl FROM s GROUP BY t),
+ids AS (SELECT t, 'E' || cast(row_number() OVER (ORDER BY fl, t) AS varchar) AS EventId FROM f),
+s2 AS (SELECT s.*, ids.EventId FROM s JOIN ids USING (t)),
+m AS (SELECT c, min(EventId) AS new_id FROM s2 GROUP BY c)
+"""
+
+
+def correct_oracle(spark, sf_dir):
+    """P10 + G7 + D22 + C4: corrected ids and templates of every line."""
+    from logloom.operators.correction import correct
+    lines, _, _ = correct(_raw_truth(spark, sf_dir))
+    return lines.select("LineId", "EventId", "EventTemplate")
+
+
+SQL_CORRECT_ORACLE = f"""WITH {R}, {_SQL_RAW_TRUTH}
+SELECT s2.LineId, m.new_id AS EventId, s2.c AS EventTemplate FROM s2 JOIN m USING (c)
+"""
+
+
+def corrected_templates(spark, sf_dir):
+    """E9 + D22: the corrected template table in natural id order."""
+    from logloom.operators.correction import correct
+    _, templates, _ = correct(_raw_truth(spark, sf_dir))
+    return templates.select("EventId", "EventTemplate", F.col("pos").cast("int").alias("pos"))
+
+
+SQL_CORRECTED_TEMPLATES = f"""WITH {R}, {_SQL_RAW_TRUTH}
+SELECT new_id AS EventId, c AS EventTemplate,
+       CAST(row_number() OVER (ORDER BY cast(substr(new_id, 2) AS BIGINT), new_id) AS INTEGER) AS pos FROM m
+"""
+
+
+def correction_counts(spark, sf_dir):
+    """Templates before, after and changed."""
+    from logloom.operators.correction import correction_counts as cc
+    return cc(_raw_truth(spark, sf_dir))
+
+
+SQL_CORRECTION_COUNTS = f"""WITH {R}, {_SQL_RAW_TRUTH}
+SELECT count(*) AS n_original, count(DISTINCT c) AS n_corrected, sum(CASE WHEN t <> c THEN 1 ELSE 0 END)::BIGINT AS n_changed
+FROM (SELECT DISTINCT t, c FROM s)
+"""
+
+
+# ---------------------------------------------------------------------------
+# IO round trips (A5-A10, A13) and ordering
+# ---------------------------------------------------------------------------
+
+def structured_roundtrip(spark, sf_dir):
+    """A9 + A5 + A6: write the structured truth log as CSV, read it back as strings."""
+    from logloom.session import scratch_path
+    from logloom.sources import io
+    s = _raw_truth(spark, sf_dir).select("LineId", "EventId", "Content", "EventTemplate")
+    path = scratch_path(spark, "structured-csv")
+    io.write_structured(s, path, "csv")
+    back = io.read_structured(spark, path, "csv")
+    return back.select(F.col("LineId").cast("long").alias("LineId"), "EventId", "Content", "EventTemplate")
+
+
+SQL_STRUCTURED_ROUNDTRIP = f"""WITH {R}, {_SQL_RAW_TRUTH}
+SELECT LineId, EventId, Content, t AS EventTemplate FROM s2
+"""
+
+
+def examples_roundtrip(spark, sf_dir):
+    """A10 + A8 + G29: every line with its truth template written as
+    ``{query, answer}`` JSON lines and read back."""
+    from logloom.session import scratch_path
+    from logloom.sources import io
+    ev = rendered_events(spark, sf_dir).select("LineId", F.col("Content").alias("query"), F.col("gt").alias("answer"))
+    path = scratch_path(spark, "examples-json")
+    io.write_examples(ev, path)
+    back = io.read_examples(spark, path)
+    return back.select("query", "answer")
+
+
+SQL_EXAMPLES_ROUNDTRIP = f"WITH {R} SELECT Content AS query, replace(gt, '<*>', '{{variables}}') AS answer FROM r"
+
+
+def longest_templates(spark, sf_dir):
+    """Truth and clean-up templates ranked by length, longest first."""
+    from pyspark.sql import Window
+    ev = rendered_events(spark, sf_dir)
+    t = ev.select(F.col("gt").alias("template")).unionByName(ev.select(F.col("expected").alias("template"))).distinct()
+    w = Window.orderBy(F.length("template").desc(), "template")  # one row per template
+    return t.select("template", F.length("template").alias("len"), F.row_number().over(w).cast("int").alias("rank"))
+
+
+SQL_LONGEST_TEMPLATES = f"""WITH {R}, t AS (SELECT DISTINCT template FROM (SELECT gt AS template FROM r UNION ALL SELECT expected FROM r))
+SELECT template, CAST(length(template) AS INTEGER) AS len,
+       CAST(row_number() OVER (ORDER BY length(template) DESC, template) AS INTEGER) AS rank FROM t
+"""
+
+
+# ---------------------------------------------------------------------------
+# streaming
+# ---------------------------------------------------------------------------
+
+def stream_parse(spark, sf_dir):
+    """H1 + H2: the rendered log as Parquet files read by a file stream, one
+    file per micro-batch, template table carried between batches; equals the
+    batch parse."""
+    from logloom.session import scratch_path
+    from logloom.streaming import online
+    ev = rendered_events(spark, sf_dir).select("LineId", "Content")
+    base = scratch_path(spark, "stream")
+    src = base + "/source"
+    ev.repartitionByRange(4, "LineId").write.parquet(src)
+    q = online.start(spark, src, base + "/out", base + "/state", base + "/checkpoint")
+    q.awaitTermination()
+    out = online.read_output(spark, base + "/out")
+    return out.select("LineId", "Content", "EventId", "EventTemplate")
+
+
+QUERIES.update({
+    "correct_oracle": (correct_oracle, SQL_CORRECT_ORACLE),
+    "corrected_templates": (corrected_templates, SQL_CORRECTED_TEMPLATES),
+    "correction_counts": (correction_counts, SQL_CORRECTION_COUNTS),
+    "structured_roundtrip": (structured_roundtrip, SQL_STRUCTURED_ROUNDTRIP),
+    "examples_roundtrip": (examples_roundtrip, SQL_EXAMPLES_ROUNDTRIP),
+    "longest_templates": (longest_templates, SQL_LONGEST_TEMPLATES),
+    "stream_parse": (stream_parse, SQL_EVENT_IDS),
+})
