@@ -136,24 +136,40 @@ def _add_templates(T: DataFrame, new: DataFrame) -> DataFrame:
     return kept.select("template_id", "template").unionByName(new.select("template_id", "template"))
 
 
+WINDOWS = (0.01, 0.1, 1.0)
+
+
 def discover(lines: DataFrame, templates: DataFrame | None = None, proposer: Proposer | None = None,
              examples: DataFrame | None = None, k: int = 3, max_rounds: int = 8,
              content_col: str = "Content", order_col: str = "LineId",
-             stats: list | None = None) -> tuple[DataFrame, DataFrame]:
+             stats: list | None = None, windows=WINDOWS) -> tuple[DataFrame, DataFrame]:
     """Give every distinct signature a template.
 
+    Rounds work through the log in growing windows of first appearance
+    (``windows`` = shares of the line-number range): in a round only the
+    misses whose first line lies inside the window propose templates, while
+    every pending signature is matched against everything found so far.  So
+    templates found early settle the later lines by matching, as in a
+    sequential pass, and the clean-up rules run on few signatures.
+
     Returns ``(assigned, templates)`` where ``assigned`` has ``sig``,
     ``template_id``, ``template`` (NULL when the message only yields a
     too-general template) and ``templates`` is the final template table.
     ``stats`` (a list) receives one dict per round (D26: proposals made).
     """
     spark = lines.sparkSession
-    T = templates.select("template_id", "template") if templates is not None else empty_templates(spark)
-    T = cut_lineage(T, "templates")
-    n_templates = T.count()
+    if templates is not None:
+        T = cut_lineage(templates.select("template_id", "template"), "templates")
+        n_templates = T.count()
+    else:
+        T, n_templates = empty_templates(spark), 0
     pending = cut_lineage(signatures(lines, content_col, order_col), "sigs")
+    span = pending.agg(F.min("first_line").alias("lo"), F.max("first_line").alias("hi")).first()
+    lo, hi = (span["lo"] or 0), (span["hi"] or 0)
     done: list[DataFrame] = []
     for rnd in range(max_rounds):
+        share = windows[min(rnd, len(windows) - 1)]
+        bound = lo + int((hi - lo + 1) * share)
         if n_templates == 0:
             miss = pending
         else:
@@ -163,11 +179,17 @@ def discover(lines: DataFrame, templates: DataFrame | None = None, proposer: Pro
         n_miss = miss.count()
         if n_miss == 0:
             break
-        miss = miss.withColumn("rule_template", propose_template(F.col("rep_content")))
-        done.append(miss.filter(F.col("rule_template").isNull()).select(
-            "sig", F.lit(None).cast("long").alias("template_id"), F.lit(None).cast("string").alias("template")))
-        live = miss.filter(F.col("rule_template").isNotNull()).withColumn("key", signature("rule_template"))
         last = rnd == max_rounds - 1
+        if not last and share < 1.0:
+            later = miss.filter(F.col("first_line") > bound)
+            miss = miss.filter(F.col("first_line") <= bound)
+        else:
+            later = None
+        live = cut_lineage(miss.withColumn("rule_template", propose_template(F.col("rep_content")))
+                           .withColumn("key", signature("rule_template")), "live")
+        done.append(live.filter(F.col("rule_template").isNull()).select(
+            "sig", F.lit(None).cast("long").alias("template_id"), F.lit(None).cast("string").alias("template")))
+        live = live.filter(F.col("rule_template").isNotNull())
         if last:
             reps = live
         else:
@@ -182,11 +204,13 @@ def discover(lines: DataFrame, templates: DataFrame | None = None, proposer: Pro
         done.append(reps.join(F.broadcast(ids) if n_templates <= 1_000_000 else ids, "path", "left")
                     .select("sig", "template_id", F.col("proposal").alias("template")))
         if stats is not None:
-            stats.append({"round": rnd + 1, "misses": n_miss, "proposals": reps.count()})
+            stats.append({"round": rnd + 1, "window": share, "misses": n_miss, "proposals": reps.count()})
         if last:
             break
-        pending = cut_lineage(live.join(reps.select("sig"), "sig", "left_anti")
-                              .select("sig", "first_line", "rep_content", "n_lines"), "pending")
+        rest = live.join(reps.select("sig"), "sig", "left_anti").select("sig", "first_line", "rep_content", "n_lines")
+        if later is not None:
+            rest = rest.unionByName(later.select("sig", "first_line", "rep_content", "n_lines"))
+        pending = cut_lineage(rest, "pending")
     assigned = done[0]
     for d in done[1:]:
         assigned = assigned.unionByName(d)

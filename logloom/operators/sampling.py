@@ -57,20 +57,26 @@ def vocabulary(prepared: DataFrame) -> DataFrame:
 
 def coarse_keys(prepared: DataFrame, vocab: DataFrame) -> DataFrame:
     """The three most frequent (vocabulary count) distinct words of each
-    line, ties by word, returned sorted and joined with a space."""
+    line, ties by word, returned sorted and joined with a space.
+
+    The vocabulary is broadcast when its row count is under the limit; the
+    per-line top three is a sort of that line's own words only."""
     toks = prepared.select("row_id", F.explode(F.array_distinct(vocab_words("clean"))).alias("token"))
     n_vocab = vocab.count()
     side = F.broadcast(vocab) if n_vocab <= BROADCAST_VOCAB_ROWS else vocab
     j = toks.join(side, "token")
-    w = Window.partitionBy("row_id").orderBy(F.col("cnt").desc(), F.col("token"))
-    top = j.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= 3)
-    keys = top.groupBy("row_id").agg(F.array_join(F.array_sort(F.collect_list("token")), " ").alias("coarse"))
+    top = j.groupBy("row_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cnt")).alias("n"),
+                                                                                  F.col("token")))), 1, 3).alias("t"))
+    keys = top.select("row_id", F.array_join(F.array_sort(F.transform("t", lambda e: e["token"])), " ").alias("coarse"))
     return prepared.join(keys, "row_id", "left").withColumn("coarse", F.coalesce("coarse", F.lit("")))
 
 
 def clusters(prepared: DataFrame) -> DataFrame:
-    """Rows with their coarse and fine cluster keys."""
-    return coarse_keys(prepared, vocabulary(prepared))
+    """Rows with their coarse and fine cluster keys (written once: every
+    later step reads this table)."""
+    from logloom.session import cut_lineage
+    vocab = cut_lineage(vocabulary(prepared), "vocab")
+    return cut_lineage(coarse_keys(prepared, vocab).select("row_id", "coarse", "fine"), "clusters")
 
 
 def fine_sizes(clustered: DataFrame) -> DataFrame:
