@@ -13,6 +13,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from logloom.functions.text import WILDCARD, words
 
@@ -94,7 +95,7 @@ def cosine_distance(a, b) -> Column:
             .otherwise(1.0 - inter / denom))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def ratcliff_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     """1 - Ratcliff-Obershelp similarity (no junk heuristic)."""
     out = []
