@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.functions.text import (INSTRUCTION, SYSTEM_PROMPT, ASSISTANT_ACK, DEFAULT_EXAMPLE_ANSWER,
+from logloom.functions.text import (WILDCARD, INSTRUCTION, SYSTEM_PROMPT, ASSISTANT_ACK, DEFAULT_EXAMPLE_ANSWER,
                                     DEFAULT_EXAMPLE_QUERY, clean_template, is_too_general,
                                     match_pattern, parse_answer, propose_template, signature,
                                     sig_tokens, tokens, words)
@@ -231,29 +231,45 @@ def parse(lines: DataFrame, templates: DataFrame | None = None, proposer: Propos
 
 
 def merge_similar(templates: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """P5: merge near-duplicate templates.
-
-    Pairs with the same number of words and the same first word (block) whose
-    word LCS similarity is above ``threshold`` are merged position-wise
-    (differing words -> ``<*>``, G25); each template merges with its most
-    similar older template and keeps the older id.  Returns
-    ``template_id, template, merged_from``."""
-    from logloom.functions.distance import lcs_similarity, merge_equal_length
+    """P5: merge near-duplicate templates (off by default, as in the reference).
+
+    Two templates are near duplicates when they have the same number of
+    words, the same first word, and word-LCS similarity ``2*LCS/(m+n)`` above
+    ``threshold`` (G11).  Candidates come from an exact prefix filter rather
+    than all pairs of a block: LCS >= t implies the two word multisets share
+    at least t elements, so they share one of their first ``n - t + 1``
+    elements in any fixed order (here: word, occurrence number).  Every
+    template joins its most similar older template (ties: older id); an older
+    template absorbs all that join it, position by position (words that
+    differ become ``<*>``, G25), and keeps its id.
+
+    Returns ``template_id, template, merged_from`` (ids absorbed)."""
+    from pyspark.sql import Window
+    from logloom.functions.distance import lcs_similarity
     t = templates.select("template_id", "template").withColumn("w", F.split(F.col("template"), " "))
     t = t.withColumn("nw", F.size("w")).withColumn("w0", F.col("w")[0])
-    a = t.alias("a")
-    b = t.alias("b")
-    pairs = a.join(b, (F.col("a.nw") == F.col("b.nw")) & (F.col("a.w0") == F.col("b.w0"))
-                   & (F.col("a.template_id") < F.col("b.template_id")))
-    pairs = pairs.select(F.col("a.template_id").alias("old_id"), F.col("a.w").alias("old_w"),
-                         F.col("b.template_id").alias("new_id"), F.col("b.w").alias("new_w"))
-    pairs = pairs.withColumn("sim", lcs_similarity("old_w", "new_w")).filter(F.col("sim") > threshold)
-    best = pairs.groupBy("new_id").agg(F.max_by(F.struct("old_id", "old_w", "new_w"),
-                                                F.struct("sim", -F.col("old_id"))).alias("p"))
-    best = best.select("new_id", "p.old_id", merge_equal_length("p.old_w", "p.new_w").alias("merged"))
-    merged_into = best.groupBy("old_id").agg(F.min_by("merged", "new_id").alias("merged"),
+    need = F.floor(F.col("nw") * threshold).cast("int") + 1        # LCS must reach this
+    t = t.withColumn("plen", F.greatest(F.col("nw") - need + 1, F.lit(1)))
+    occ = t.select("template_id", "nw", "w0", "plen", F.posexplode("w").alias("i", "word"))
+    occ = occ.withColumn("k", F.row_number().over(Window.partitionBy("template_id", "word").orderBy("i")))
+    occ = occ.withColumn("elem", F.concat_ws("\x1f", "word", F.col("k").cast("string")))
+    occ = occ.withColumn("r", F.row_number().over(Window.partitionBy("template_id").orderBy("elem")))
+    pref = occ.filter(F.col("r") <= F.col("plen")).select("template_id", "nw", "w0", "elem")
+    a, b = pref.alias("a"), pref.alias("b")
+    cand = (a.join(b, (F.col("a.nw") == F.col("b.nw")) & (F.col("a.w0") == F.col("b.w0"))
+                   & (F.col("a.elem") == F.col("b.elem")) & (F.col("a.template_id") < F.col("b.template_id")))
+            .select(F.col("a.template_id").alias("old_id"), F.col("b.template_id").alias("new_id")).distinct())
+    tw = t.select("template_id", "w")
+    cand = (cand.join(tw.withColumnRenamed("template_id", "old_id").withColumnRenamed("w", "old_w"), "old_id")
+            .join(tw.withColumnRenamed("template_id", "new_id").withColumnRenamed("w", "new_w"), "new_id"))
+    cand = cand.withColumn("sim", lcs_similarity("old_w", "new_w")).filter(F.col("sim") > threshold)
+    best = cand.groupBy("new_id").agg(F.max_by("old_id", F.struct("sim", -F.col("old_id"))).alias("old_id"))
+    members = best.join(tw.withColumnRenamed("template_id", "new_id"), "new_id")
+    absorbed = members.groupBy("old_id").agg(F.collect_list("w").alias("ws"),
                                              F.sort_array(F.collect_list("new_id")).alias("merged_from"))
-    out = (t.join(best.select(F.col("new_id").alias("template_id")), "template_id", "left_anti")
-           .join(merged_into.withColumnRenamed("old_id", "template_id"), "template_id", "left"))
-    return out.select("template_id", F.coalesce("merged", "template").alias("template"),
+    kept = t.join(best.select(F.col("new_id").alias("template_id")), "template_id", "left_anti")
+    out = kept.join(absorbed.withColumnRenamed("old_id", "template_id"), "template_id", "left")
+    merged = F.aggregate(F.coalesce("ws", F.array().cast("array<array<string>>")), F.col("w"),
+                         lambda acc, x: F.zip_with(acc, x, lambda p, q: F.when(p == q, p).otherwise(F.lit(WILDCARD))))
+    return out.select("template_id", F.array_join(merged, " ").alias("template"),
                       F.coalesce("merged_from", F.array().cast("array<long>")).alias("merged_from"))

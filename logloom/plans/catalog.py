@@ -935,3 +935,62 @@ QUERIES.update({
     "longest_templates": (longest_templates, SQL_LONGEST_TEMPLATES),
     "stream_parse": (stream_parse, SQL_EVENT_IDS),
 })
+
+
+# ---------------------------------------------------------------------------
+# raw text logs (A2 B1), non-ASCII clean-up (A3), relevant templates (C10),
+# template merge (P5)
+# ---------------------------------------------------------------------------
+
+def read_raw_log(spark, sf_dir):
+    """A2 + B1: the rendered log written as text files, read back with
+    ``spark.read.text``; line numbers follow file and position."""
+    from logloom.session import scratch_path
+    path = scratch_path(spark, "rawlog")
+    raw = rendered_events(spark, sf_dir).select("LineId", F.col("raw").alias("value"))
+    raw.repartitionByRange(4, "LineId").sortWithinPartitions("LineId").select("value").write.text(path)
+    parsed = formats.read_raw_logs(spark, path, EVENTS_FORMAT)
+    return parsed.select("LineId", "Date", "Time", "Level", "Component", "Content")
+
+
+def nonascii_clean(spark, sf_dir):
+    """A3: document lines, blank ones skipped, non-ASCII runs -> <N/ASCII>."""
+    d = table(spark, sf_dir, "documents", ["doc_id", "text"])
+    lines = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "value"))
+    out = formats.formalize_messages(lines, "<Content>")
+    return out.select("doc_id", F.col("line_no").cast("int").alias("line_no"), "Content")
+
+
+SQL_NONASCII_CLEAN = """
+WITH l AS (SELECT doc_id, unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS line_no,
+                  unnest(string_split(text, chr(10))) AS v FROM documents)
+SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, regexp_replace(regexp_replace(v, '[^\\x00-\\x7F]+', '<N/ASCII>', 'g'), '^\\s+|\\s+$', '', 'g') AS Content
+FROM l WHERE regexp_replace(v, '\\s', '', 'g') <> ''
+"""
+
+
+def relevant_templates(spark, sf_dir):
+    """For lines the purchase/click templates miss, the templates under
+    the longest token prefix they share with any template."""
+    ev = rendered_events(spark, sf_dir)
+    tpl = ev.filter(F.col("event_type").isin("purchase", "click")).select(F.col("expected").alias("template")).distinct()
+    tpl = tpl.withColumn("template_id", F.xxhash64("template"))
+    sigs = ev.select(T.signature("Content").alias("sig")).distinct()
+    r = matching.relevant_templates(sigs, tpl)
+    return r.select("sig", "depth", F.array_join("relevant", " || ").alias("relevant"))
+
+
+def merge_templates(spark, sf_dir):
+    """P5 + G11 + G25: near-duplicate click messages merged by word LCS."""
+    from logloom.operators.discovery import merge_similar
+    ev = rendered_events(spark, sf_dir).filter(F.col("event_type") == "click")
+    tpl = ev.select(F.col("LineId").alias("template_id"), F.col("Content").alias("template"))
+    return merge_similar(tpl).select("template_id", "template", F.size("merged_from").alias("n_merged"))
+
+
+QUERIES.update({
+    "read_raw_log": (read_raw_log, SQL_PARSE_HEADER),
+    "nonascii_clean": (nonascii_clean, SQL_NONASCII_CLEAN),
+    "relevant_templates": (relevant_templates, None),
+    "merge_templates": (merge_templates, None),
+})

@@ -106,43 +106,50 @@ def split_headers(lines: DataFrame, log_format: str, line_col: str = "value",
     return df.filter(F.col("_line").rlike(regex)).select("*", *cols).drop("_line")
 
 
-def consecutive_ids(df: DataFrame, name: str = "LineId") -> DataFrame:
-    """B1: 1..n in partition order without a global window.
-
-    The per-partition counts (one row per input partition) are the only data
-    that reach the driver; each row then gets offset + position.
-    """
-    mono = F.monotonically_increasing_id()
-    tagged = df.withColumn("_mid", mono)
-    tagged = tagged.withColumn("_pid", F.shiftright("_mid", 33)).withColumn(
-        "_pos", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)))
-    counts = sorted((r["_pid"], r["n"]) for r in tagged.groupBy("_pid").agg(F.count("*").alias("n")).collect())
-    offsets, acc = [], 0
-    for pid, n in counts:
-        offsets.append((pid, acc))
-        acc += n
-    spark = df.sparkSession
-    off = spark.createDataFrame(offsets or [(0, 0)], "_pid long, _off long")
-    return (tagged.join(F.broadcast(off), "_pid")
-            .withColumn(name, F.col("_off") + F.col("_pos") + 1)
-            .drop("_mid", "_pid", "_pos", "_off"))
+def consecutive_ids(df: DataFrame, name: str = "LineId", order_cols=None) -> DataFrame:
+    """B1: 1..n in input order without a global window or sort.
+
+    Input order is ``order_cols`` (e.g. file path and split start from the
+    file metadata) and, inside one of those groups, the position in the
+    scan.  Only one row per group (per file split, or per partition when no
+    ``order_cols`` are given) reaches the driver: its row count and first
+    position, from which every row gets offset + position."""
+    from pyspark.sql.types import LongType, StructField, StructType
+    tagged = df.withColumn("_mid", F.monotonically_increasing_id())
+    keys = list(order_cols) if order_cols else ["_pid"]
+    if not order_cols:
+        tagged = tagged.withColumn("_pid", F.shiftright("_mid", 33))
+    groups = tagged.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_mid").alias("_m0")).collect()
+    groups = sorted(groups, key=lambda r: tuple(r[k] for k in keys))
+    rows, acc = [], 0
+    for r in groups:
+        rows.append(tuple(r[k] for k in keys) + (r["_m0"], acc))
+        acc += r["_n"]
+    fields = {f.name: f for f in tagged.schema.fields}
+    schema = StructType([fields[k] for k in keys] + [StructField("_m0", LongType()), StructField("_off", LongType())])
+    off = df.sparkSession.createDataFrame(rows, schema)
+    out = tagged.join(F.broadcast(off), keys).withColumn(name, F.col("_off") + F.col("_mid") - F.col("_m0") + 1)
+    return out.drop("_mid", "_m0", "_off", *(["_pid"] if not order_cols else []))
 
 
 def read_raw_logs(spark: SparkSession, paths, log_format: str, with_line_ids: bool = True) -> DataFrame:
-    """A2 + B1: ``spark.read.text`` -> header columns -> consecutive LineId."""
-    lines = spark.read.text(paths)
+    """A2 + B1: ``spark.read.text`` -> header columns -> consecutive LineId in
+    (file path, split start, position) order."""
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("_file"),
+                                          F.col("_metadata.file_block_start").alias("_block"))
     parsed = split_headers(lines, log_format).drop("value")
-    return consecutive_ids(parsed) if with_line_ids else parsed
+    if not with_line_ids:
+        return parsed.drop("_file", "_block")
+    return consecutive_ids(parsed, order_cols=["_file", "_block"]).drop("_file", "_block")
 
 
-def formalize_messages(lines: DataFrame, log_format: str, line_col: str = "value",
-                       src_line_col: str = "src_line") -> DataFrame:
-    """A3: skip blank lines, replace non-ASCII runs by ``<N/ASCII>``, keep the
-    source line number (given in ``src_line_col``) and split the headers."""
+def formalize_messages(lines: DataFrame, log_format: str, line_col: str = "value") -> DataFrame:
+    """A3: skip blank lines, replace runs of non-ASCII characters by
+    ``<N/ASCII>``, split the headers; other columns (the source line number)
+    are kept, so line numbers keep their gaps."""
     kept = lines.filter(F.regexp_replace(F.col(line_col), r"\s", "") != "")
     cleaned = kept.withColumn(line_col, F.regexp_replace(F.col(line_col), r"[^\x00-\x7F]+", "<N/ASCII>"))
-    return split_headers(cleaned, log_format, line_col).withColumnRenamed(src_line_col, "LineId") \
-        if src_line_col in lines.columns else split_headers(cleaned, log_format, line_col)
+    return split_headers(cleaned, log_format, line_col)
 
 
 def load_report(lines: DataFrame, log_format: str, line_col: str = "value", group_cols=()) -> DataFrame:

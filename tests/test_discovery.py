@@ -58,3 +58,38 @@ def test_stream_equals_batch(spark, sf):
     a = E.queries()["stream_parse"](spark, sf)
     b = E.queries()["event_ids"](spark, sf)
     assert _result(a) == _result(b)
+
+
+def _lcs(x, y):
+    t = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i in range(len(x)):
+        for j in range(len(y)):
+            t[i + 1][j + 1] = t[i][j] + 1 if x[i] == y[j] else max(t[i + 1][j], t[i][j + 1])
+    return t[-1][-1]
+
+
+def test_merge_similar_equals_brute_force(spark, sf):
+    from logloom.operators.discovery import merge_similar
+    from logloom.sources.fixtures import rendered_events
+    ev = rendered_events(spark, sf).filter(F.col("event_type") == "click")
+    rows = sorted({r["Content"] for r in ev.select("Content").collect()})
+    tpl = spark.createDataFrame(list(enumerate(rows)), "template_id long, template string")
+    got = {r["template_id"]: (r["template"], list(r["merged_from"])) for r in merge_similar(tpl).collect()}
+    words = {i: t.split(" ") for i, t in enumerate(rows)}
+    best = {}
+    for b in words:
+        cands = [(2 * _lcs(words[a], words[b]) / (2 * len(words[b])), -a) for a in words
+                 if a < b and len(words[a]) == len(words[b]) and words[a][0] == words[b][0]]
+        cands = [c for c in cands if c[0] > 0.8]
+        if cands:
+            best[b] = -max(cands)[1]
+    exp = {}
+    for a in words:
+        if a in best:
+            continue
+        ms = sorted(b for b, o in best.items() if o == a)
+        w = list(words[a])
+        for b in ms:
+            w = [x if x == y else "<*>" for x, y in zip(w, words[b])]
+        exp[a] = (" ".join(w), ms)
+    assert got == exp

@@ -86,3 +86,27 @@ def test_event_ids_first_appearance(spark):
     df = spark.createDataFrame([(1, "b"), (2, "a"), (3, "b"), (4, None)], "LineId long, EventTemplate string")
     got = {r["LineId"]: r["EventId"] for r in matching.assign_event_ids(df).collect()}
     assert got == {1: "E1", 2: "E2", 3: "E1", 4: None}
+
+
+def test_relevant_templates_brute_force(spark):
+    msgs = ["user bob logged out", "disk sda1 empty", "nothing here", "user", "a x"]
+    df = spark.createDataFrame([(m,) for m in msgs], "Content string").select(T.signature("Content").alias("sig"))
+    tpl = spark.createDataFrame(TEMPLATES, "template_id long, template string")
+    got = {tuple(r["sig"].split("\x1f")[:-1]): (r["depth"], sorted(r["relevant"]))
+           for r in matching.relevant_templates(df, tpl).collect()}
+    exp = {}
+    for m in msgs:
+        mt = T_tokens(m)
+        best, rel = 0, []
+        for _, t in TEMPLATES:
+            tt = T_tokens(t)
+            k = 0
+            while k < min(len(mt), len(tt)) and mt[k] == tt[k]:
+                k += 1
+            if k > best:
+                best, rel = k, [t]
+            elif k == best and k > 0:
+                rel.append(t)
+        if best > 0:
+            exp[tuple(mt)] = (best, sorted(rel))
+    assert got == exp
