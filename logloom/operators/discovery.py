@@ -174,7 +174,8 @@ def discover(lines: DataFrame, templates: DataFrame | None = None, proposer: Pro
             miss = pending
         else:
             m = cut_lineage(best_match(pending, T), "matched")
-            done.append(m.filter(F.col("template_id").isNotNull()).select("sig", "template_id", "template"))
+            done.append(m.filter(F.col("template_id").isNotNull()).select("sig", "template_id", "template",
+                                                                          F.lit("match").alias("source")))
             miss = m.filter(F.col("template_id").isNull()).drop("template_id", "template")
         n_miss = miss.count()
         if n_miss == 0:
@@ -188,7 +189,8 @@ def discover(lines: DataFrame, templates: DataFrame | None = None, proposer: Pro
         live = cut_lineage(miss.withColumn("rule_template", propose_template(F.col("rep_content")))
                            .withColumn("key", signature("rule_template")), "live")
         done.append(live.filter(F.col("rule_template").isNull()).select(
-            "sig", F.lit(None).cast("long").alias("template_id"), F.lit(None).cast("string").alias("template")))
+            "sig", F.lit(None).cast("long").alias("template_id"), F.lit(None).cast("string").alias("template"),
+            F.lit("general").alias("source")))
         live = live.filter(F.col("rule_template").isNotNull())
         if last:
             reps = live
@@ -202,7 +204,7 @@ def discover(lines: DataFrame, templates: DataFrame | None = None, proposer: Pro
         n_templates = T.count()
         ids = T.withColumn("path", signature("template")).select("path", "template_id")
         done.append(reps.join(F.broadcast(ids) if n_templates <= 1_000_000 else ids, "path", "left")
-                    .select("sig", "template_id", F.col("proposal").alias("template")))
+                    .select("sig", "template_id", F.col("proposal").alias("template"), F.lit("proposal").alias("source")))
         if stats is not None:
             stats.append({"round": rnd + 1, "window": share, "misses": n_miss, "proposals": reps.count()})
         if last:
@@ -222,11 +224,27 @@ def parse(lines: DataFrame, templates: DataFrame | None = None, proposer: Propos
           content_col: str = "Content", order_col: str = "LineId") -> tuple[DataFrame, DataFrame]:
     """Structured log: every line with EventTemplate and EventId.
 
+    After discovery every line takes the most specific template of the final
+    table (map-side match, no shuffle of the lines); a representative keeps
+    the template it proposed (a broadcast table with one row per proposal).
+    When the template table is too large for the map-side match, the
+    per-signature assignment is joined back instead.
+
     Returns ``(structured, templates)``."""
-    from logloom.operators.matching import assign_event_ids
+    from logloom.operators.matching import assign_event_ids, match_lines
     assigned, T = discover(lines, templates, proposer, examples, k, max_rounds, content_col, order_col)
-    x = lines.withColumn("sig", signature(content_col))
-    out = x.join(assigned.select("sig", F.col("template").alias("EventTemplate")), "sig", "left").drop("sig")
+    matched = match_lines(lines, T, content_col)
+    if matched is not None:
+        props = assigned.filter(F.col("source") == "proposal").select("sig", F.col("template").alias("_prop"))
+        n_props = props.count()
+        props = F.broadcast(props) if n_props <= 2_000_000 else props
+        out = (matched.join(props, "sig", "left")
+               .withColumn("EventTemplate", F.when(F.col("_prop").isNotNull(), F.col("_prop"))
+                           .otherwise(F.col("template")))
+               .drop("_prop", "template", "template_id", "sig"))
+    else:
+        x = lines.withColumn("sig", signature(content_col))
+        out = x.join(assigned.select("sig", F.col("template").alias("EventTemplate")), "sig", "left").drop("sig")
     return assign_event_ids(out, "EventTemplate", order_col), T
 
 

@@ -105,14 +105,81 @@ def match_params(sig_col: str, pattern_col: str):
         lambda i: F.regexp_replace(F.call_function("regexp_extract", F.col(sig_col), F.col(pattern_col), i), SEP, ""))
 
 
-def match_messages(df: DataFrame, templates: DataFrame, content_col: str = "Content",
-                   with_params: bool = False) -> DataFrame:
-    """C1 for a line table: signature -> distinct -> best match -> join back.
+# Leading-wildcard templates are carried as a literal array in map-side mode.
+MAX_LITERAL_TEMPLATES = 256
+
+
+def _cand_struct():
+    return F.struct((-F.col("n_static")).alias("a"), F.col("n_wild").alias("b"), F.col("wild_flags").alias("c"),
+                    F.col("template_id").alias("d"), F.col("template").alias("template"),
+                    F.col("pattern").alias("pattern"), F.col("n_static").alias("n_static"),
+                    F.col("anchor").alias("anchor"))
+
+
+def match_lines(df: DataFrame, templates: DataFrame, content_col: str = "Content",
+                with_params: bool = False, prepared: bool = False) -> DataFrame | None:
+    """C1 + E2 without any shuffle of the lines (map-side mode).
+
+    The templates are grouped into one row per block key (their candidate
+    lists sorted by the winner rule) and joined to the lines with three
+    broadcast hash joins (prefix depth 1, 2, 3); templates that start with
+    ``<*>`` ride along as a literal array, tested only when their anchor token
+    is in the message.  The winner is ``array_min`` of the candidates whose
+    pattern matches.  Returns None when the template table is too large for
+    this mode (the caller then uses the distinct-signature join)."""
+    tp = templates if prepared else prepare_templates(templates)
+    if not _size_checked(tp):
+        return None
+    lw_rows = tp.filter(F.col("depth") == 0).select(_cand_struct().alias("c")).limit(MAX_LITERAL_TEMPLATES + 1).collect()
+    if len(lw_rows) > MAX_LITERAL_TEMPLATES:
+        return None
+    elem = tp.select(_cand_struct().alias("c")).schema["c"].dataType
+    lw = F.array(*[_lit_struct(r["c"], elem) for r in lw_rows]) if lw_rows \
+        else F.array().cast(f"array<{elem.simpleString()}>")
+    blocks = tp.filter(F.col("depth") > 0).groupBy("depth", "block_key").agg(
+        F.array_sort(F.collect_list(_cand_struct())).alias("cands"))
+    x = df.withColumn("sig", signature(content_col)).withColumn("_tok", sig_tokens("sig"))
+    for d in range(1, BLOCK_DEPTH + 1):
+        bd = blocks.filter(F.col("depth") == d).select(F.col("block_key").alias(f"_k{d}"), F.col("cands").alias(f"_c{d}"))
+        x = x.withColumn(f"_k{d}", F.when(F.size("_tok") >= d, F.array_join(F.slice("_tok", 1, d), SEP)))
+        x = x.join(F.broadcast(bd), f"_k{d}", "left")
+    empty = F.array().cast(f"array<{elem.simpleString()}>")
+    cands = F.concat(*[F.coalesce(F.col(f"_c{d}"), empty) for d in range(1, BLOCK_DEPTH + 1)],
+                     F.filter(lw, lambda c: F.array_contains(F.col("_tok"), c["anchor"])))
+    ok = F.filter(cands, lambda c: (F.size(F.col("_tok")) >= c["n_static"]) & F.rlike(F.col("sig"), c["pattern"]))
+    x = x.withColumn("_w", F.array_min(ok))
+    x = x.withColumn("template_id", F.col("_w.d")).withColumn("template", F.col("_w.template"))
+    if with_params:
+        x = x.withColumn("_p", F.col("_w.pattern")).withColumn(
+            "params", F.when(F.col("_p").isNotNull(), match_params("sig", "_p"))).drop("_p")
+    return x.drop("_tok", "_w", *[f"_k{d}" for d in range(1, BLOCK_DEPTH + 1)],
+                  *[f"_c{d}" for d in range(1, BLOCK_DEPTH + 1)])
+
 
-    Distinct signatures are aggregated with a map-side partial aggregate, so
-    a signature that holds a large share of the rows costs one row per map
-    task; the join back is left to AQE (broadcast when the matched table is
-    small at run time, else a shuffled join with skew splitting)."""
+def _lit_struct(row, elem):
+    vals = []
+    for f in elem.fields:
+        v = row[f.name]
+        if f.name == "c":
+            vals.append(F.array(*[F.lit(b) for b in v]).alias("c"))
+        else:
+            vals.append(F.lit(v).cast(f.dataType).alias(f.name))
+    return F.struct(*vals)
+
+
+def match_messages(df: DataFrame, templates: DataFrame, content_col: str = "Content",
+                   with_params: bool = False, mode: str = "auto") -> DataFrame:
+    """C1 for a line table.
+
+    ``mode="auto"`` uses the map-side matcher when the template table passes
+    the size checks, else ``"distinct"``: signature -> distinct signatures
+    (map-side partial aggregate) -> blocked join -> join back to the lines,
+    left to AQE (broadcast when the matched table is small at run time,
+    else a shuffled join with skew splitting)."""
+    if mode in ("auto", "map"):
+        out = match_lines(df, templates, content_col, with_params)
+        if out is not None:
+            return out
     x = df.withColumn("sig", signature(content_col))
     sigs = x.groupBy("sig").agg(F.count("*").alias("_n")).select("sig")
     best = best_match(sigs, templates, with_params=with_params)

@@ -20,8 +20,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.functions.text import signature
-from logloom.operators.discovery import discover, empty_templates
+from logloom.operators.discovery import empty_templates, parse
 from logloom.operators.matching import assign_event_ids
 
 LINE_SCHEMA = "LineId long, Content string"
@@ -45,10 +44,8 @@ def parse_batch(batch: DataFrame, batch_id: int, out_dir: str, state_dir: str,
                 proposer=None, examples=None) -> None:
     spark = batch.sparkSession
     templates = _latest_state(spark, state_dir, batch_id)
-    assigned, T = discover(batch, templates, proposer, examples)
-    rows = (batch.withColumn("sig", signature("Content"))
-            .join(assigned.select("sig", F.col("template").alias("EventTemplate")), "sig", "left")
-            .drop("sig").withColumn("batch_id", F.lit(batch_id)))
+    structured, T = parse(batch, templates, proposer, examples)
+    rows = structured.drop("EventId").withColumn("batch_id", F.lit(batch_id))
     rows.write.mode("overwrite").parquet(os.path.join(out_dir, f"batch_id={batch_id}"))
     T.write.mode("overwrite").parquet(os.path.join(state_dir, f"batch_id={batch_id}"))
 
