@@ -253,10 +253,15 @@ def sampler_signature(col) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(F.array_remove(F.split(rest, ""), ""))), "")
 
 
+def sampler_words(col) -> Column:
+    """G9 words: specials -> space, split on white space, drop words with a digit."""
+    s = F.regexp_replace(_c(col), r"""[:()=,"{}@\[\]|;]|\.?!""", " ")
+    return F.filter(_words(s), lambda w: ~w.rlike(r"\d"))
+
+
 def sampler_clean(col) -> Column:
-    """G9 text: specials -> space, drop words containing a digit."""
-    s = F.regexp_replace(_c(col), r"""[:()=,"{}@\[\]|;]|\.?!|$""", " ")
-    return F.array_join(F.filter(_words(s), lambda w: ~w.rlike(r"\d")), " ")
+    """G9 text: the cleaned words joined by single spaces."""
+    return F.array_join(sampler_words(col), " ")
 
 
 def words(col) -> Column:

@@ -142,7 +142,7 @@ WINDOWS = (0.01, 0.1, 1.0)
 def discover(lines: DataFrame, templates: DataFrame | None = None, proposer: Proposer | None = None,
              examples: DataFrame | None = None, k: int = 3, max_rounds: int = 8,
              content_col: str = "Content", order_col: str = "LineId",
-             stats: list | None = None, windows=WINDOWS) -> tuple[DataFrame, DataFrame]:
+             stats: list | None = None, windows=WINDOWS, sigs_out: list | None = None) -> tuple[DataFrame, DataFrame]:
     """Give every distinct signature a template.
 
     Rounds work through the log in growing windows of first appearance
@@ -164,6 +164,8 @@ def discover(lines: DataFrame, templates: DataFrame | None = None, proposer: Pro
     else:
         T, n_templates = empty_templates(spark), 0
     pending = cut_lineage(signatures(lines, content_col, order_col), "sigs")
+    if sigs_out is not None:
+        sigs_out.append(pending)
     span = pending.agg(F.min("first_line").alias("lo"), F.max("first_line").alias("hi")).first()
     lo, hi = (span["lo"] or 0), (span["hi"] or 0)
     done: list[DataFrame] = []
@@ -227,25 +229,40 @@ def parse(lines: DataFrame, templates: DataFrame | None = None, proposer: Propos
     After discovery every line takes the most specific template of the final
     table (map-side match, no shuffle of the lines); a representative keeps
     the template it proposed (a broadcast table with one row per proposal).
-    When the template table is too large for the map-side match, the
-    per-signature assignment is joined back instead.
+    Since a line's template depends only on its signature, the E1 ids (order
+    of first appearance) come from the distinct-signature table and reach the
+    lines through a broadcast join on the template.  When the template table
+    is too large for the map-side match, the per-signature assignment is
+    joined back instead.
 
     Returns ``(structured, templates)``."""
+    from pyspark.sql import Window
     from logloom.operators.matching import assign_event_ids, match_lines
-    assigned, T = discover(lines, templates, proposer, examples, k, max_rounds, content_col, order_col)
+    sigs_out: list = []
+    assigned, T = discover(lines, templates, proposer, examples, k, max_rounds, content_col, order_col,
+                           sigs_out=sigs_out)
     matched = match_lines(lines, T, content_col)
-    if matched is not None:
-        props = assigned.filter(F.col("source") == "proposal").select("sig", F.col("template").alias("_prop"))
-        n_props = props.count()
-        props = F.broadcast(props) if n_props <= 2_000_000 else props
-        out = (matched.join(props, "sig", "left")
-               .withColumn("EventTemplate", F.when(F.col("_prop").isNotNull(), F.col("_prop"))
-                           .otherwise(F.col("template")))
-               .drop("_prop", "template", "template_id", "sig"))
-    else:
+    if matched is None:
         x = lines.withColumn("sig", signature(content_col))
         out = x.join(assigned.select("sig", F.col("template").alias("EventTemplate")), "sig", "left").drop("sig")
-    return assign_event_ids(out, "EventTemplate", order_col), T
+        return assign_event_ids(out, "EventTemplate", order_col), T
+    # proposals are rows of the written per-round tables: counting them is a metadata-sized read
+    props = assigned.filter(F.col("source") == "proposal").select("sig", F.col("template").alias("_prop"))
+    props = F.broadcast(props) if props.count() <= 2_000_000 else props
+
+    def final(df):
+        return (df.join(props, "sig", "left")
+                .withColumn("EventTemplate", F.when(F.col("_prop").isNotNull(), F.col("_prop")).otherwise(F.col("template")))
+                .drop("_prop", "template", "template_id"))
+    per_sig = final(match_lines(sigs_out[0].select("sig", "first_line"), T, sig_col="sig"))
+    firsts = per_sig.filter(F.col("EventTemplate").isNotNull()).groupBy("EventTemplate").agg(
+        F.min("first_line").alias("_first"))
+    ids = firsts.withColumn("EventId", F.concat(F.lit("E"), F.row_number().over(
+        Window.orderBy("_first", "EventTemplate")).cast("string"))).drop("_first")  # one row per template
+    n_tpl = T.count()  # ids has at most one row per template of T (plus proposals)
+    ids = F.broadcast(ids) if n_tpl <= 2_000_000 else ids
+    out = final(matched).drop("sig").join(ids, "EventTemplate", "left")
+    return out, T
 
 
 def merge_similar(templates: DataFrame, threshold: float = 0.8) -> DataFrame:

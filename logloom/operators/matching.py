@@ -117,7 +117,7 @@ def _cand_struct():
 
 
 def match_lines(df: DataFrame, templates: DataFrame, content_col: str = "Content",
-                with_params: bool = False, prepared: bool = False) -> DataFrame | None:
+                with_params: bool = False, prepared: bool = False, sig_col: str | None = None) -> DataFrame | None:
     """C1 + E2 without any shuffle of the lines (map-side mode).
 
     The templates are grouped into one row per block key (their candidate
@@ -138,7 +138,7 @@ def match_lines(df: DataFrame, templates: DataFrame, content_col: str = "Content
         else F.array().cast(f"array<{elem.simpleString()}>")
     blocks = tp.filter(F.col("depth") > 0).groupBy("depth", "block_key").agg(
         F.array_sort(F.collect_list(_cand_struct())).alias("cands"))
-    x = df.withColumn("sig", signature(content_col)).withColumn("_tok", sig_tokens("sig"))
+    x = df.withColumn("sig", F.col(sig_col) if sig_col else signature(content_col)).withColumn("_tok", sig_tokens("sig"))
     for d in range(1, BLOCK_DEPTH + 1):
         bd = blocks.filter(F.col("depth") == d).select(F.col("block_key").alias(f"_k{d}"), F.col("cands").alias(f"_c{d}"))
         x = x.withColumn(f"_k{d}", F.when(F.size("_tok") >= d, F.array_join(F.slice("_tok", 1, d), SEP)))
@@ -200,13 +200,16 @@ def assign_event_ids(parsed: DataFrame, template_col: str = "EventTemplate",
                      order_col: str = "LineId", group_cols=()) -> DataFrame:
     """``E1, E2, ...`` per template in order of first appearance.
 
-    The window runs over the template table (one row per template), not over
-    the lines."""
+    The first appearance per template is a partial aggregate written once;
+    the window runs over that table (one row per template), and the ids
+    reach the lines through a broadcast join when the table is small."""
+    from logloom.session import cut_lineage
     g = list(group_cols)
-    firsts = (parsed.filter(F.col(template_col).isNotNull())
-              .groupBy(*g, template_col).agg(F.min(order_col).alias("_first")))
+    firsts = cut_lineage(parsed.filter(F.col(template_col).isNotNull())
+                         .groupBy(*g, template_col).agg(F.min(order_col).alias("_first")), "first-seen")
     w = Window.partitionBy(*g).orderBy("_first", template_col) if g else Window.orderBy("_first", template_col)
     ids = firsts.withColumn("EventId", F.concat(F.lit("E"), F.row_number().over(w).cast("string"))).drop("_first")
+    ids = F.broadcast(ids) if firsts.count() <= 2_000_000 else ids
     return parsed.join(ids, g + [template_col], "left")
 
 

@@ -30,7 +30,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logloom.functions.text import farthest_clean, sampler_clean, sampler_signature, vocab_words, words
+from logloom.functions.text import (SAMPLER_STOPWORDS, farthest_clean, sampler_signature, sampler_words,
+                                    words)
 
 SHOTS = [8, 16, 32, 64, 128]
 BROADCAST_VOCAB_ROWS = 2_000_000
@@ -43,15 +44,21 @@ def first_share(labelled: DataFrame, share: float = 0.2, order_col: str = "row_i
 
 
 def prepare(labelled: DataFrame, content_col: str = "Content", id_col: str = "row_id") -> DataFrame:
-    """G9 + B4: cleaned text and signature; keep lines with > 1 cleaned word."""
+    """G9 + B4: cleaned words and signature; keep lines with > 1 cleaned word.
+
+    ``ws`` holds the cleaned words (split once); ``clean`` is their text."""
     x = labelled.select(F.col(id_col).alias("row_id"), F.col(content_col).alias("_c"))
-    x = x.withColumn("clean", sampler_clean("_c")).withColumn("fine", sampler_signature("_c")).drop("_c")
-    return x.filter(F.size(words("clean")) > 1)
+    x = x.withColumn("ws", sampler_words("_c")).withColumn("fine", sampler_signature("_c")).drop("_c")
+    return x.filter(F.size("ws") > 1).withColumn("clean", F.array_join("ws", " "))
+
+
+def _vocab_filter(ws):
+    return F.filter(ws, lambda w: (F.length(w) > 2) & ~w.isin(*SAMPLER_STOPWORDS))
 
 
 def vocabulary(prepared: DataFrame) -> DataFrame:
     """Counts of words longer than two characters, stopwords removed."""
-    return prepared.select(F.explode(vocab_words("clean")).alias("token")).groupBy("token") \
+    return prepared.select(F.explode(_vocab_filter(F.col("ws"))).alias("token")).groupBy("token") \
         .agg(F.count("*").alias("cnt"))
 
 
@@ -61,7 +68,7 @@ def coarse_keys(prepared: DataFrame, vocab: DataFrame) -> DataFrame:
 
     The vocabulary is broadcast when its row count is under the limit; the
     per-line top three is a sort of that line's own words only."""
-    toks = prepared.select("row_id", F.explode(F.array_distinct(vocab_words("clean"))).alias("token"))
+    toks = prepared.select("row_id", F.explode(F.array_distinct(_vocab_filter(F.col("ws")))).alias("token"))
     n_vocab = vocab.count()
     side = F.broadcast(vocab) if n_vocab <= BROADCAST_VOCAB_ROWS else vocab
     j = toks.join(side, "token")

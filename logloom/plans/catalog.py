@@ -210,14 +210,14 @@ FROM e
 # ---------------------------------------------------------------------------
 
 def _pairs(spark, sf_dir, datasets: bool = False) -> DataFrame:
+    """D2 for the parse of the rendered log.  The parse keeps the input
+    columns, so the truth column travels with each line and no alignment
+    join (C2) is needed; ``metrics.align`` is for truth and parse stored
+    apart."""
     structured, _ = _structured(spark, sf_dir)
-    ev = rendered_events(spark, sf_dir)
     if datasets:
-        ds = F.concat(F.lit("part"), ((F.col("LineId") - 1) % 3).cast("string"))
-        structured = structured.withColumn("dataset", ds)
-        ev = ev.withColumn("dataset", ds)
-    aligned = metrics.align(ev.select("dataset", "LineId", F.col("gt").alias("EventTemplate")),
-                            structured.select("dataset", "LineId", "EventTemplate"))
+        structured = structured.withColumn("dataset", F.concat(F.lit("part"), ((F.col("LineId") - 1) % 3).cast("string")))
+    aligned = structured.select("dataset", "LineId", "gt", F.coalesce("EventTemplate", F.lit("")).alias("parsed"))
     return metrics.pair_counts(aligned)
 
 
