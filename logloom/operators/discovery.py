@@ -35,7 +35,7 @@ from logloom.functions.text import (WILDCARD, INSTRUCTION, SYSTEM_PROMPT, ASSIST
                                     DEFAULT_EXAMPLE_QUERY, clean_template, is_too_general,
                                     match_pattern, parse_answer, propose_template, signature,
                                     sig_tokens, tokens, words)
-from logloom.operators.matching import best_match
+from logloom.operators.matching import best_match, match_lines
 from logloom.session import cut_lineage
 
 TEMPLATE_SCHEMA = "template_id long, template string"
@@ -175,7 +175,8 @@ def discover(lines: DataFrame, templates: DataFrame | None = None, proposer: Pro
         if n_templates == 0:
             miss = pending
         else:
-            m = cut_lineage(best_match(pending, T), "matched")
+            mm = match_lines(pending, T, sig_col="sig")        # map-side: pending is not shuffled
+            m = cut_lineage(mm if mm is not None else best_match(pending, T), "matched")
             done.append(m.filter(F.col("template_id").isNotNull()).select("sig", "template_id", "template",
                                                                           F.lit("match").alias("source")))
             miss = m.filter(F.col("template_id").isNull()).drop("template_id", "template")
