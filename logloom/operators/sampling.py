@@ -58,8 +58,8 @@ def _vocab_filter(ws):
 
 def vocabulary(prepared: DataFrame) -> DataFrame:
     """Counts of words longer than two characters, stopwords removed."""
-    return prepared.select(F.explode(_vocab_filter(F.col("ws"))).alias("token")).groupBy("token") \
-        .agg(F.count("*").alias("cnt"))
+    vw = F.col("vw") if "vw" in prepared.columns else _vocab_filter(F.col("ws"))
+    return prepared.select(F.explode(vw).alias("token")).groupBy("token").agg(F.count("*").alias("cnt"))
 
 
 def coarse_keys(prepared: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -68,7 +68,8 @@ def coarse_keys(prepared: DataFrame, vocab: DataFrame) -> DataFrame:
 
     The vocabulary is broadcast when its row count is under the limit; the
     per-line top three is a sort of that line's own words only."""
-    toks = prepared.select("row_id", F.explode(F.array_distinct(_vocab_filter(F.col("ws")))).alias("token"))
+    vw = F.col("vw") if "vw" in prepared.columns else _vocab_filter(F.col("ws"))
+    toks = prepared.select("row_id", F.explode(F.array_distinct(vw)).alias("token"))
     n_vocab = vocab.count()
     side = F.broadcast(vocab) if n_vocab <= BROADCAST_VOCAB_ROWS else vocab
     j = toks.join(side, "token")
@@ -82,8 +83,10 @@ def clusters(prepared: DataFrame) -> DataFrame:
     """Rows with their coarse and fine cluster keys (written once: every
     later step reads this table)."""
     from logloom.session import cut_lineage
-    vocab = cut_lineage(vocabulary(prepared), "vocab")
-    return cut_lineage(coarse_keys(prepared, vocab).select("row_id", "coarse", "fine"), "clusters")
+    # the text is cleaned once: the vocabulary words of every line are written
+    words_tab = cut_lineage(prepared.select("row_id", "fine", _vocab_filter(F.col("ws")).alias("vw")), "vocab-words")
+    vocab = cut_lineage(vocabulary(words_tab), "vocab")
+    return cut_lineage(coarse_keys(words_tab, vocab).select("row_id", "coarse", "fine"), "clusters")
 
 
 def fine_sizes(clustered: DataFrame) -> DataFrame:
