@@ -99,7 +99,18 @@ def _band_parts(band: DataFrame | None, g, template_col):
 
 
 def _join_g(left: DataFrame, right: DataFrame, g, how="left"):
-    return left.join(right, g, how) if g else left.crossJoin(right)
+    """Combine per-group scalar tables (one row per group) without a join:
+    union them and take the non-null value of every column per group."""
+    return _combine(g, left, right)
+
+
+def _combine(g, *dfs: DataFrame) -> DataFrame:
+    u = dfs[0]
+    for d in dfs[1:]:
+        u = u.unionByName(d, allowMissingColumns=True)
+    cols = [c for c in u.columns if c not in g]
+    aggs = [F.first(c, ignorenulls=True).alias(c) for c in cols]
+    return u.groupBy(*g).agg(*aggs) if g else u.agg(*aggs)
 
 
 def group_table(pairs: DataFrame, group_cols=("dataset",)) -> DataFrame:
@@ -290,14 +301,11 @@ def evaluate(pairs: DataFrame, band: DataFrame | None = None, group_cols=("datas
     ga = grouping_accuracy(pairs, band, g, template_col).select(*g, "GA", "FGA")
     pa = parsing_accuracy(pairs, band, g, relaxed, template_col)
     ta = template_accuracy(pairs, band, g, relaxed, template_col)
-    keys = pairs.select(*g).distinct() if g else None
-    if g:
-        out = keys.join(ga, g, "left").join(pa, g, "left").join(ta, g, "left")
-    else:
-        out = ga.crossJoin(pa).crossJoin(ta)
+    keys = pairs.select(*g).distinct() if g else pairs.limit(0).select()
+    out = _combine(g, keys, ga, pa, ta) if g else _combine(g, ga, pa, ta)
     if band is not None:
         _, band_len = _band_parts(band, g, template_col)
-        out = _join_g(out, band_len, g) if g else out.crossJoin(band_len)
+        out = _combine(g, out, band_len)
         empty = F.coalesce(F.col("band_len"), F.lit(0)) == 0
         out = out.select(*g, *[F.when(~empty, F.col(c)).alias(c) for c in
                                ["tool_templates", "ground_templates"] + METRICS])
@@ -312,7 +320,7 @@ def score(pairs: DataFrame, group_cols=("dataset",)) -> DataFrame:
     rog = recall_only_grouping(pairs, g).select(*g, F.col("ga_parsed_side").alias("GA"), F.col("rga").alias("FGA"))
     pa = parsing_accuracy(q, None, g)
     ta = template_accuracy(pairs, None, g)
-    return rog.join(pa, g, "left").join(ta, g, "left").select(
+    return _combine(g, rog, pa, ta).select(
         *g, "tool_templates", "ground_templates", "GA", "FGA", "PA", "FTA", "PTA", "RTA")
 
 

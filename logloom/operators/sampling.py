@@ -176,9 +176,9 @@ def coverage(samples: DataFrame, labelled: DataFrame, share: float | None = 0.2,
     """D19 + D24 + F5: distinct templates sampled, and that over
     ``min(distinct templates, shot)``."""
     base = first_share(labelled, share) if share else labelled
-    n_t = base.agg(F.countDistinct(template_col).alias("n_templates"))
+    n_t = base.agg(F.countDistinct(template_col).alias("n")).first()["n"]  # one number
     s = samples.groupBy("shot").agg(F.countDistinct("template").alias("covered"))
-    return s.crossJoin(n_t).withColumn(
+    return s.withColumn("n_templates", F.lit(n_t)).withColumn(
         "coverage", F.round(F.col("covered") / F.least(F.col("n_templates"), F.col("shot")), 6))
 
 
