@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 from logloom.functions.distance import distance
 from logloom.functions.text import render_example_answer, render_example_query, words
+from logloom.session import cut_lineage
 
 CHAR_METHODS = {"levenshtein", "cosine", "ratcliff"}
+BROADCAST_WORD_ROWS = 5_000_000
 
 
 def _block_keys(col, method: str):
@@ -39,8 +41,10 @@ def _jaccard_candidates(q: DataFrame, ex: DataFrame, key_col: str, query_col: st
     """Multiset Jaccard for every (query, example) pair sharing a word, as an
     equi-join on words plus a sum of ``least(count, count)``."""
     qw = _word_counts(q, key_col, query_col)
-    ew = _word_counts(ex, "pos", "query").withColumnRenamed("c", "ce")
-    inter = qw.join(ew, "w").groupBy(key_col, "pos").agg(F.sum(F.least("c", "ce")).alias("i"))
+    ew = cut_lineage(_word_counts(ex, "pos", "query").withColumnRenamed("c", "ce"), "example-words")
+    # the example side is small: broadcast it (after counting) so a common word is no hot shuffle key
+    ewb = F.broadcast(ew) if ew.count() <= BROADCAST_WORD_ROWS else ew
+    inter = qw.join(ewb, "w").groupBy(key_col, "pos").agg(F.sum(F.least("c", "ce")).alias("i"))
     lq = qw.groupBy(key_col).agg(F.sum("c").alias("lq"))
     le = ew.groupBy("pos").agg(F.sum("ce").alias("le"))
     j = inter.join(lq, key_col).join(le, "pos")
