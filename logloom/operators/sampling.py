@@ -7,10 +7,11 @@ Hierarchical sampling
     seeded hash order (E6), each coarse quota spread over its fine clusters
     by size (E5) -> draws with replacement inside a fine cluster (E7).
 
-    A draw is the member with the smallest ``xxhash64(seed, cluster, draw,
-    row)``: uniform over the members and independent between draws, computed
-    as a partial aggregate, so no cluster is ever gathered into one task
-    however large it is.  Only the at most ``shot`` coarse clusters with a
+    A draw is a hashed index into the cluster's members (uniform, with
+    replacement); members are spread over hash buckets of about a million
+    rows and only buckets that hold a drawn index are ranked, so no cluster
+    is ever gathered into one task however large it is, and the work stays
+    linear in the members.  Only the at most ``shot`` coarse clusters with a
     quota are ranked (a top-k, not a global sort).
 
 Farthest-point sampling
@@ -137,16 +138,41 @@ def quotas(clustered: DataFrame, shots=SHOTS, seed: int = 0, order: str = "hash"
     return j.filter(F.col("quota") > 0).select("shot", "coarse", "fine", "c_pos", "f_pos", "c_quota", "quota", "size")
 
 
+BUCKET_ROWS = 1_000_000
+
+
 def draw(clustered: DataFrame, quota_table: DataFrame, seed: int = 0) -> DataFrame:
     """``quota`` members of each chosen fine cluster, with replacement.
 
+    Draw j of a cluster of size n takes the member at index
+    ``pmod(xxhash64(seed, shot, cluster, j), n)`` in a fixed member order:
+    members are spread over ``ceil(n / BUCKET_ROWS)`` hash buckets, bucket
+    sizes give each bucket's first index, and only the buckets that hold a
+    drawn index (at most the sum of the shots) are ranked, so no cluster is
+    gathered into one task and the work is linear in the members.
+
     Returns ``shot, c_pos, f_pos, draw, row_id`` (sample order)."""
-    q = quota_table.select("shot", "coarse", "fine", "c_pos", "f_pos", "quota")
-    members = clustered.select("row_id", "coarse", "fine").join(F.broadcast(q), ["coarse", "fine"])
-    members = members.withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("quota"))))
-    h = F.xxhash64(F.lit(seed), F.col("shot"), F.col("coarse"), F.col("fine"), F.col("draw"), F.col("row_id"))
-    return members.withColumn("_h", h).groupBy("shot", "c_pos", "f_pos", "draw") \
-        .agg(F.min_by("row_id", F.struct("_h", "row_id")).alias("row_id"))
+    q = quota_table.select("shot", "coarse", "fine", "c_pos", "f_pos", "quota", "size")
+    sizes = q.select("coarse", "fine", "size").distinct()
+    nb = F.greatest(F.lit(1), F.ceil(F.col("size") / BUCKET_ROWS)).cast("long")
+    members = (clustered.select("row_id", "coarse", "fine").join(F.broadcast(sizes), ["coarse", "fine"])
+               .withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), F.col("row_id")), nb)))
+    counts = members.groupBy("coarse", "fine", "bucket").agg(F.count("*").alias("cnt"))
+    w = Window.partitionBy("coarse", "fine").orderBy("bucket")
+    counts = counts.withColumn("start", F.sum("cnt").over(w) - F.col("cnt"))
+    targets = q.withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("quota"))))
+    targets = targets.withColumn("t", F.pmod(F.xxhash64(F.lit(seed), F.col("shot"), F.col("coarse"), F.col("fine"),
+                                                        F.col("draw")), F.col("size")))
+    located = (targets.join(counts, ["coarse", "fine"])
+               .filter((F.col("t") >= F.col("start")) & (F.col("t") < F.col("start") + F.col("cnt")))
+               .withColumn("idx", F.col("t") - F.col("start")))
+    needed = located.select("coarse", "fine", "bucket").distinct()
+    picked = members.join(F.broadcast(needed), ["coarse", "fine", "bucket"])
+    wm = Window.partitionBy("coarse", "fine", "bucket").orderBy(
+        F.xxhash64(F.lit(seed + 1), F.col("row_id")), F.col("row_id"))
+    picked = picked.withColumn("idx", F.row_number().over(wm) - 1)
+    return located.join(picked.select("coarse", "fine", "bucket", "idx", "row_id"),
+                        ["coarse", "fine", "bucket", "idx"]).select("shot", "c_pos", "f_pos", "draw", "row_id")
 
 
 def hierarchical_sample(labelled: DataFrame, shots=SHOTS, seed: int = 0, order: str = "hash",

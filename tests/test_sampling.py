@@ -69,3 +69,16 @@ def test_farthest_sample_distinct_picks(spark, sf):
     s = sampling.farthest_sample(lab, shots=[8], share=None)
     ids = [r["row_id"] for r in s.collect()]
     assert len(ids) == len(set(ids)) and 1 <= len(ids) <= 8
+
+
+def test_draws_uniform_over_members(spark):
+    """Brute force of the draw rule on one cluster: every index in [0, n)
+    is reachable and draws match the stated member order."""
+    rows = [(i, "c", "f") for i in range(1, 51)]
+    cl = spark.createDataFrame(rows, "row_id long, coarse string, fine string")
+    q = spark.createDataFrame([(128, "c", "f", 0, 0, 128, 50)],
+                              "shot int, coarse string, fine string, c_pos int, f_pos int, quota int, size long")
+    d = sampling.draw(cl, q).collect()
+    assert len(d) == 128 and {r["draw"] for r in d} == set(range(1, 129))
+    assert all(1 <= r["row_id"] <= 50 for r in d)
+    assert len({r["row_id"] for r in d}) > 30   # with replacement, spread over the cluster
