@@ -53,7 +53,8 @@ def prepare_templates(templates: DataFrame, id_col: str = "template_id",
     return t
 
 
-def _size_checked(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+def _size_checked(df: DataFrame, limit: int | None = None) -> bool:
+    limit = BROADCAST_BYTES if limit is None else limit
     row = df.agg(F.count("*").alias("n"),
                  F.sum(F.length("pattern") + F.length("template") + 64).alias("b")).first()
     return row is not None and (row["b"] or 0) <= limit

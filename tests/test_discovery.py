@@ -117,3 +117,15 @@ def test_stream_restart_resumes_without_repeats(spark, sf):
     assert res.select("LineId").distinct().count() == ev.count()
     batch, _ = parse(ev)
     assert _result(res.select("LineId", "EventId", "EventTemplate")) == _result(batch)
+
+
+def test_large_template_table_path_same_result(spark, sf, monkeypatch):
+    """With broadcasting ruled out by the size check, the parse takes the
+    shuffled distinct-signature path and must give the same result."""
+    from logloom.operators import matching
+    ev = rendered_events(spark, sf).select("LineId", "Content")
+    a, _ = parse(ev)
+    expected = _result(a)
+    monkeypatch.setattr(matching, "BROADCAST_BYTES", 0)
+    b, _ = parse(ev)
+    assert _result(b) == expected
