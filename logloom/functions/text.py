@@ -93,6 +93,19 @@ def signature(col) -> Column:
     return F.regexp_replace(no_empty, "(?:" + _WILD_RE + SEP + "){2,}", WILDCARD + SEP)
 
 
+def group_token(col) -> Column:
+    """A single token standing for a dataset (hex of its 64-bit hash)."""
+    return F.concat(F.lit("ds"), F.hex(F.xxhash64(_c(col))))
+
+
+def keyed_signature(col, group_col: str | None = None) -> Column:
+    """Signature with the dataset as a leading static token, so templates of
+    one dataset only ever meet messages of the same dataset."""
+    if not group_col:
+        return signature(col)
+    return F.concat(group_token(group_col), F.lit(SEP), signature(col))
+
+
 def sig_tokens(sig) -> Column:
     """Token array of a signature."""
     return F.array_remove(F.split(_c(sig), SEP), "")

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.functions.text import (WILDCARD, INSTRUCTION, SYSTEM_PROMPT, ASSISTANT_ACK, DEFAULT_EXAMPLE_ANSWER,
+from logloom.functions.text import (WILDCARD, INSTRUCTION, keyed_signature, SYSTEM_PROMPT, ASSISTANT_ACK, DEFAULT_EXAMPLE_ANSWER,
                                     DEFAULT_EXAMPLE_QUERY, clean_template, is_too_general,
                                     match_pattern, parse_answer, propose_template, signature,
                                     sig_tokens, tokens, words)
@@ -43,17 +43,20 @@ TEMPLATE_SCHEMA = "template_id long, template string"
 Proposer = Callable[[pd.DataFrame], pd.Series]
 
 
-def empty_templates(spark) -> DataFrame:
-    return spark.createDataFrame([], TEMPLATE_SCHEMA)
+def empty_templates(spark, group_col: str | None = None) -> DataFrame:
+    schema = TEMPLATE_SCHEMA + (f", {group_col} string" if group_col else "")
+    return spark.createDataFrame([], schema)
 
 
-def signatures(lines: DataFrame, content_col: str = "Content", order_col: str = "LineId") -> DataFrame:
+def signatures(lines: DataFrame, content_col: str = "Content", order_col: str = "LineId",
+               group_col: str | None = None) -> DataFrame:
     """Distinct signatures with their first message (partial aggregation)."""
-    x = lines.select(F.col(order_col).alias("_o"), F.col(content_col).alias("_c"))
-    x = x.withColumn("sig", signature("_c"))
-    return x.groupBy("sig").agg(F.min("_o").alias("first_line"),
-                                F.min_by("_c", "_o").alias("rep_content"),
-                                F.count("*").alias("n_lines"))
+    G = [group_col] if group_col else []
+    x = lines.select(*G, F.col(order_col).alias("_o"), F.col(content_col).alias("_c"))
+    x = x.withColumn("sig", keyed_signature("_c", group_col))
+    return x.groupBy(*G, "sig").agg(F.min("_o").alias("first_line"),
+                                    F.min_by("_c", "_o").alias("rep_content"),
+                                    F.count("*").alias("n_lines"))
 
 
 def build_prompt(query_col, examples_col=None):
@@ -95,7 +98,7 @@ def _run_proposer(reps: DataFrame, proposer: Proposer) -> DataFrame:
 
 
 def propose(reps: DataFrame, proposer: Proposer | None = None, examples: DataFrame | None = None,
-            k: int = 3) -> DataFrame:
+            k: int = 3, group_col: str | None = None) -> DataFrame:
     """P1-P3 for representatives (sig, rep_content, rule_template) -> proposal."""
     if proposer is None:
         return reps.withColumn("proposal", F.col("rule_template"))
@@ -114,26 +117,31 @@ def propose(reps: DataFrame, proposer: Proposer | None = None, examples: DataFra
     answer_tpl = clean_template(parse_answer(F.col("response")))
     out = out.withColumn("_cand", F.when(one_word, clean_template(F.col("rep_content"))).otherwise(answer_tpl))
     ok = (F.col("_cand").isNotNull() & ~is_too_general(F.col("_cand"))
-          & F.rlike(F.col("sig"), match_pattern(tokens(F.col("_cand")))))
+          & F.rlike(F.col("sig"), match_pattern(sig_tokens(keyed_signature(F.col("_cand"), group_col)))))
     return out.withColumn("proposal", F.when(ok, F.col("_cand")).otherwise(F.col("rule_template"))) \
         .drop("_cand", "response")
 
 
-def _add_templates(T: DataFrame, new: DataFrame) -> DataFrame:
+def _add_templates(T: DataFrame, new: DataFrame, group_col: str | None = None) -> DataFrame:
     """Append (template, first_line) rows; the same token path replaces
     the older template.
 
     A new id is ``max(existing id) + first_line``: unique (a line has one
     signature), later than every existing id, and in discovery order within
     the round, without a global window."""
-    new = new.withColumn("path", signature("template"))
-    new = new.groupBy("path").agg(F.min_by("template", "first_line").alias("template"),
-                                  F.min("first_line").alias("first_line"))
+    G = [group_col] if group_col else []
+    new = new.withColumn("path", keyed_signature("template", group_col))
+    new = new.groupBy(*G, "path").agg(F.min_by("template", "first_line").alias("template"),
+                                      F.min("first_line").alias("first_line"))
     top = T.agg(F.max("template_id").alias("m")).first()["m"]
     base = -1 if top is None else int(top)
-    new = new.withColumn("template_id", (F.lit(base) + F.col("first_line")).cast("long"))
-    kept = T.withColumn("path", signature("template")).join(new.select("path"), "path", "left_anti")
-    return kept.select("template_id", "template").unionByName(new.select("template_id", "template"))
+    if G:   # first lines repeat across datasets: spread ids by a per-dataset stride
+        new = new.withColumn("template_id", (F.lit(base) + 1 + F.col("first_line") * 1_000_003
+                                             + F.pmod(F.xxhash64(*G), F.lit(1_000_003))).cast("long"))
+    else:
+        new = new.withColumn("template_id", (F.lit(base) + F.col("first_line")).cast("long"))
+    kept = T.withColumn("path", keyed_signature("template", group_col)).join(new.select("path"), "path", "left_anti")
+    return kept.select("template_id", "template", *G).unionByName(new.select("template_id", "template", *G))
 
 
 WINDOWS = (0.01, 0.1, 1.0)
@@ -142,7 +150,8 @@ WINDOWS = (0.01, 0.1, 1.0)
 def discover(lines: DataFrame, templates: DataFrame | None = None, proposer: Proposer | None = None,
              examples: DataFrame | None = None, k: int = 3, max_rounds: int = 8,
              content_col: str = "Content", order_col: str = "LineId",
-             stats: list | None = None, windows=WINDOWS, sigs_out: list | None = None) -> tuple[DataFrame, DataFrame]:
+             stats: list | None = None, windows=WINDOWS, sigs_out: list | None = None,
+             group_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Give every distinct signature a template.
 
     Rounds work through the log in growing windows of first appearance
@@ -158,12 +167,13 @@ def discover(lines: DataFrame, templates: DataFrame | None = None, proposer: Pro
     ``stats`` (a list) receives one dict per round (D26: proposals made).
     """
     spark = lines.sparkSession
+    G = [group_col] if group_col else []
     if templates is not None:
-        T = cut_lineage(templates.select("template_id", "template"), "templates")
+        T = cut_lineage(templates.select("template_id", "template", *G), "templates")
         n_templates = T.count()
     else:
-        T, n_templates = empty_templates(spark), 0
-    pending = cut_lineage(signatures(lines, content_col, order_col), "sigs")
+        T, n_templates = empty_templates(spark, group_col), 0
+    pending = cut_lineage(signatures(lines, content_col, order_col, group_col), "sigs")
     if sigs_out is not None:
         sigs_out.append(pending)
     span = pending.agg(F.min("first_line").alias("lo"), F.max("first_line").alias("hi")).first()
@@ -175,8 +185,8 @@ def discover(lines: DataFrame, templates: DataFrame | None = None, proposer: Pro
         if n_templates == 0:
             miss = pending
         else:
-            mm = match_lines(pending, T, sig_col="sig")        # map-side: pending is not shuffled
-            m = cut_lineage(mm if mm is not None else best_match(pending, T), "matched")
+            mm = match_lines(pending, T, sig_col="sig", group_col=group_col)   # map-side: pending is not shuffled
+            m = cut_lineage(mm if mm is not None else best_match(pending, T, group_col=group_col), "matched")
             done.append(m.filter(F.col("template_id").isNotNull()).select("sig", "template_id", "template",
                                                                           F.lit("match").alias("source")))
             miss = m.filter(F.col("template_id").isNull()).drop("template_id", "template")
@@ -190,7 +200,7 @@ def discover(lines: DataFrame, templates: DataFrame | None = None, proposer: Pro
         else:
             later = None
         live = cut_lineage(miss.withColumn("rule_template", propose_template(F.col("rep_content")))
-                           .withColumn("key", signature("rule_template")), "live")
+                           .withColumn("key", keyed_signature("rule_template", group_col)), "live")
         done.append(live.filter(F.col("rule_template").isNull()).select(
             "sig", F.lit(None).cast("long").alias("template_id"), F.lit(None).cast("string").alias("template"),
             F.lit("general").alias("source")))
@@ -198,23 +208,24 @@ def discover(lines: DataFrame, templates: DataFrame | None = None, proposer: Pro
         if last:
             reps = live
         else:
-            reps = live.groupBy("key").agg(F.min_by(F.struct("sig", "rep_content", "rule_template", "first_line"),
+            reps = live.groupBy("key").agg(F.min_by(F.struct("sig", *G, "rep_content", "rule_template", "first_line"),
                                                     "first_line").alias("r")).select("r.*")
-        reps = cut_lineage(propose(reps, proposer, examples, k).withColumn("path", signature("proposal")),
-                           "proposals")
-        T = cut_lineage(_add_templates(T, reps.select(F.col("proposal").alias("template"), "first_line")),
+        reps = cut_lineage(propose(reps, proposer, examples, k, group_col)
+                           .withColumn("path", keyed_signature("proposal", group_col)), "proposals")
+        T = cut_lineage(_add_templates(T, reps.select(F.col("proposal").alias("template"), "first_line", *G), group_col),
                         "templates")
         n_templates = T.count()
-        ids = T.withColumn("path", signature("template")).select("path", "template_id")
+        ids = T.withColumn("path", keyed_signature("template", group_col)).select("path", "template_id")
         done.append(reps.join(F.broadcast(ids) if n_templates <= 1_000_000 else ids, "path", "left")
                     .select("sig", "template_id", F.col("proposal").alias("template"), F.lit("proposal").alias("source")))
         if stats is not None:
             stats.append({"round": rnd + 1, "window": share, "misses": n_miss, "proposals": reps.count()})
         if last:
             break
-        rest = live.join(reps.select("sig"), "sig", "left_anti").select("sig", "first_line", "rep_content", "n_lines")
+        keep = ["sig", *G, "first_line", "rep_content", "n_lines"]
+        rest = live.join(reps.select("sig"), "sig", "left_anti").select(*keep)
         if later is not None:
-            rest = rest.unionByName(later.select("sig", "first_line", "rep_content", "n_lines"))
+            rest = rest.unionByName(later.select(*keep))
         pending = cut_lineage(rest, "pending")
     assigned = done[0]
     for d in done[1:]:
@@ -224,9 +235,14 @@ def discover(lines: DataFrame, templates: DataFrame | None = None, proposer: Pro
 
 def parse(lines: DataFrame, templates: DataFrame | None = None, proposer: Proposer | None = None,
           examples: DataFrame | None = None, k: int = 3, max_rounds: int = 8,
-          content_col: str = "Content", order_col: str = "LineId") -> tuple[DataFrame, DataFrame]:
+          content_col: str = "Content", order_col: str = "LineId",
+          group_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Structured log: every line with EventTemplate and EventId.
 
+    ``group_col`` (e.g. ``dataset``) parses many systems in one job: the
+    dataset is a leading token of every signature and template, so templates
+    and ids are per dataset.
+
     After discovery every line takes the most specific template of the final
     table (map-side match, no shuffle of the lines); a representative keeps
     the template it proposed (a broadcast table with one row per proposal).
@@ -240,13 +256,14 @@ def parse(lines: DataFrame, templates: DataFrame | None = None, proposer: Propos
     from pyspark.sql import Window
     from logloom.operators.matching import assign_event_ids, match_lines
     sigs_out: list = []
+    G = [group_col] if group_col else []
     assigned, T = discover(lines, templates, proposer, examples, k, max_rounds, content_col, order_col,
-                           sigs_out=sigs_out)
-    matched = match_lines(lines, T, content_col)
+                           sigs_out=sigs_out, group_col=group_col)
+    matched = match_lines(lines, T, content_col, group_col=group_col)
     if matched is None:
-        x = lines.withColumn("sig", signature(content_col))
+        x = lines.withColumn("sig", keyed_signature(content_col, group_col))
         out = x.join(assigned.select("sig", F.col("template").alias("EventTemplate")), "sig", "left").drop("sig")
-        return assign_event_ids(out, "EventTemplate", order_col), T
+        return assign_event_ids(out, "EventTemplate", order_col, G), T
     # proposals are rows of the written per-round tables: counting them is a metadata-sized read
     props = assigned.filter(F.col("source") == "proposal").select("sig", F.col("template").alias("_prop"))
     props = F.broadcast(props) if props.count() <= 2_000_000 else props
@@ -255,14 +272,15 @@ def parse(lines: DataFrame, templates: DataFrame | None = None, proposer: Propos
         return (df.join(props, "sig", "left")
                 .withColumn("EventTemplate", F.when(F.col("_prop").isNotNull(), F.col("_prop")).otherwise(F.col("template")))
                 .drop("_prop", "template", "template_id"))
-    per_sig = final(match_lines(sigs_out[0].select("sig", "first_line"), T, sig_col="sig"))
-    firsts = per_sig.filter(F.col("EventTemplate").isNotNull()).groupBy("EventTemplate").agg(
+    per_sig = final(match_lines(sigs_out[0].select("sig", *G, "first_line"), T, sig_col="sig", group_col=group_col))
+    firsts = per_sig.filter(F.col("EventTemplate").isNotNull()).groupBy(*G, "EventTemplate").agg(
         F.min("first_line").alias("_first"))
-    ids = firsts.withColumn("EventId", F.concat(F.lit("E"), F.row_number().over(
-        Window.orderBy("_first", "EventTemplate")).cast("string"))).drop("_first")  # one row per template
+    w = (Window.partitionBy(*G) if G else Window.partitionBy()).orderBy("_first", "EventTemplate")
+    ids = firsts.withColumn("EventId", F.concat(F.lit("E"), F.row_number().over(w).cast("string"))) \
+        .drop("_first")  # one row per template
     n_tpl = T.count()  # ids has at most one row per template of T (plus proposals)
     ids = F.broadcast(ids) if n_tpl <= 2_000_000 else ids
-    out = final(matched).drop("sig").join(ids, "EventTemplate", "left")
+    out = final(matched).drop("sig").join(ids, [*G, "EventTemplate"], "left")
     return out, T
 
 

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logloom.functions.text import (SEP, WILDCARD, match_pattern, n_static, n_wild,
+from logloom.functions.text import (SEP, WILDCARD, keyed_signature, match_pattern, n_static, n_wild,
                                     sig_tokens, signature)
 
 BLOCK_DEPTH = 3
@@ -33,14 +33,17 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def prepare_templates(templates: DataFrame, id_col: str = "template_id",
-                      template_col: str = "template") -> DataFrame:
+                      template_col: str = "template", group_col: str | None = None) -> DataFrame:
     """Template table -> tokens, pattern, statistics and block keys.
 
-    Empty templates and the bare ``<*>`` are dropped (B11)."""
-    t = templates.select(F.col(id_col).alias("template_id"), F.col(template_col).alias("template"))
-    t = t.withColumn("t_sig", signature("template"))
+    Empty templates and the bare ``<*>`` are dropped (B11).  With
+    ``group_col`` the dataset is the leading token of every template."""
+    extra = [group_col] if group_col else []
+    t = templates.select(F.col(id_col).alias("template_id"), F.col(template_col).alias("template"), *extra)
+    t = t.withColumn("_base", signature("template"))
+    t = t.filter((F.col("_base") != "") & (F.col("_base") != WILDCARD + SEP))
+    t = t.withColumn("t_sig", keyed_signature("template", group_col) if group_col else F.col("_base")).drop("_base")
     t = t.withColumn("t_tokens", sig_tokens("t_sig"))
-    t = t.filter((F.size("t_tokens") > 0) & (F.col("t_sig") != WILDCARD + SEP))
     first_wild = F.array_position("t_tokens", WILDCARD)
     lead = F.when(first_wild == 0, F.size("t_tokens")).otherwise(first_wild - 1)
     t = (t.withColumn("n_static", n_static("t_tokens"))
@@ -61,14 +64,14 @@ def _size_checked(df: DataFrame, limit: int | None = None) -> bool:
 
 
 def best_match(sigs: DataFrame, templates: DataFrame, prepared: bool = False,
-               broadcast: bool | None = None, with_params: bool = False) -> DataFrame:
+               broadcast: bool | None = None, with_params: bool = False, group_col: str | None = None) -> DataFrame:
     """C1 + E2 on distinct signatures.
 
     ``sigs`` has a ``sig`` column (any other columns are carried).  Returns
     ``sigs`` plus ``template_id``, ``template`` (NULL when nothing matches)
     and, with ``with_params``, ``params`` (G27).
     """
-    tp = templates if prepared else prepare_templates(templates)
+    tp = templates if prepared else prepare_templates(templates, group_col=group_col)
     tp = tp.select("template_id", "template", "t_tokens", "n_static", "n_wild", "wild_flags",
                    "depth", "block_key", "anchor", "pattern")
     if broadcast is None:
@@ -118,7 +121,8 @@ def _cand_struct():
 
 
 def match_lines(df: DataFrame, templates: DataFrame, content_col: str = "Content",
-                with_params: bool = False, prepared: bool = False, sig_col: str | None = None) -> DataFrame | None:
+                with_params: bool = False, prepared: bool = False, sig_col: str | None = None,
+                group_col: str | None = None) -> DataFrame | None:
     """C1 + E2 without any shuffle of the lines (map-side mode).
 
     The templates are grouped into one row per block key (their candidate
@@ -128,7 +132,7 @@ def match_lines(df: DataFrame, templates: DataFrame, content_col: str = "Content
     is in the message.  The winner is ``array_min`` of the candidates whose
     pattern matches.  Returns None when the template table is too large for
     this mode (the caller then uses the distinct-signature join)."""
-    tp = templates if prepared else prepare_templates(templates)
+    tp = templates if prepared else prepare_templates(templates, group_col=group_col)
     if not _size_checked(tp):
         return None
     lw_rows = tp.filter(F.col("depth") == 0).select(_cand_struct().alias("c")).limit(MAX_LITERAL_TEMPLATES + 1).collect()
@@ -139,7 +143,8 @@ def match_lines(df: DataFrame, templates: DataFrame, content_col: str = "Content
         else F.array().cast(f"array<{elem.simpleString()}>")
     blocks = tp.filter(F.col("depth") > 0).groupBy("depth", "block_key").agg(
         F.array_sort(F.collect_list(_cand_struct())).alias("cands"))
-    x = df.withColumn("sig", F.col(sig_col) if sig_col else signature(content_col)).withColumn("_tok", sig_tokens("sig"))
+    x = df.withColumn("sig", F.col(sig_col) if sig_col else keyed_signature(content_col, group_col))
+    x = x.withColumn("_tok", sig_tokens("sig"))
     for d in range(1, BLOCK_DEPTH + 1):
         bd = blocks.filter(F.col("depth") == d).select(F.col("block_key").alias(f"_k{d}"), F.col("cands").alias(f"_c{d}"))
         x = x.withColumn(f"_k{d}", F.when(F.size("_tok") >= d, F.array_join(F.slice("_tok", 1, d), SEP)))
@@ -169,7 +174,7 @@ def _lit_struct(row, elem):
 
 
 def match_messages(df: DataFrame, templates: DataFrame, content_col: str = "Content",
-                   with_params: bool = False, mode: str = "auto") -> DataFrame:
+                   with_params: bool = False, mode: str = "auto", group_col: str | None = None) -> DataFrame:
     """C1 for a line table.
 
     ``mode="auto"`` uses the map-side matcher when the template table passes
@@ -178,12 +183,12 @@ def match_messages(df: DataFrame, templates: DataFrame, content_col: str = "Cont
     left to AQE (broadcast when the matched table is small at run time,
     else a shuffled join with skew splitting)."""
     if mode in ("auto", "map"):
-        out = match_lines(df, templates, content_col, with_params)
+        out = match_lines(df, templates, content_col, with_params, group_col=group_col)
         if out is not None:
             return out
-    x = df.withColumn("sig", signature(content_col))
+    x = df.withColumn("sig", keyed_signature(content_col, group_col))
     sigs = x.groupBy("sig").agg(F.count("*").alias("_n")).select("sig")
-    best = best_match(sigs, templates, with_params=with_params)
+    best = best_match(sigs, templates, with_params=with_params, group_col=group_col)
     return x.join(best, "sig", "left")
 
 

@@ -988,7 +988,24 @@ def merge_templates(spark, sf_dir):
     return merge_similar(tpl).select("template_id", "template", F.size("merged_from").alias("n_merged"))
 
 
+def parse_by_dataset(spark, sf_dir):
+    """P6 + E1 per dataset in one job: the log split into three systems."""
+    ev = rendered_events(spark, sf_dir).select("LineId", "Content")
+    ev = ev.withColumn("dataset", F.concat(F.lit("part"), ((F.col("LineId") - 1) % 3).cast("string")))
+    s, _ = parse(ev, group_col="dataset")
+    return matching.template_table(s, group_cols=["dataset"]).select("dataset", "EventId", "EventTemplate", "Occurrences")
+
+
+SQL_PARSE_BY_DATASET = f"""
+WITH {R}, d AS (SELECT 'part' || cast((LineId - 1) % 3 AS varchar) AS dataset, LineId, expected FROM r),
+t AS (SELECT dataset, expected AS EventTemplate, count(*) AS Occurrences, min(LineId) AS f FROM d GROUP BY ALL)
+SELECT dataset, 'E' || cast(row_number() OVER (PARTITION BY dataset ORDER BY f, EventTemplate) AS varchar) AS EventId,
+       EventTemplate, Occurrences FROM t
+"""
+
+
 QUERIES.update({
+    "parse_by_dataset": (parse_by_dataset, SQL_PARSE_BY_DATASET),
     "read_raw_log": (read_raw_log, SQL_PARSE_HEADER),
     "nonascii_clean": (nonascii_clean, SQL_NONASCII_CLEAN),
     "relevant_templates": (relevant_templates, None),

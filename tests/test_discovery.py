@@ -129,3 +129,17 @@ def test_large_template_table_path_same_result(spark, sf, monkeypatch):
     monkeypatch.setattr(matching, "BROADCAST_BYTES", 0)
     b, _ = parse(ev)
     assert _result(b) == expected
+
+
+def test_many_datasets_in_one_job(spark, sf):
+    ev = rendered_events(spark, sf).select("LineId", "Content")
+    ds = F.concat(F.lit("part"), ((F.col("LineId") - 1) % 2).cast("string"))
+    both = ev.withColumn("dataset", ds)
+    together, T = parse(both, group_col="dataset")
+    got = sorted((r["dataset"], r["LineId"], r["EventId"], r["EventTemplate"]) for r in together.collect())
+    exp = []
+    for name in ("part0", "part1"):
+        alone, _ = parse(both.filter(F.col("dataset") == name).drop("dataset"))
+        exp += [(name, r["LineId"], r["EventId"], r["EventTemplate"]) for r in alone.collect()]
+    assert got == sorted(exp)
+    assert T.select("dataset").distinct().count() == 2
