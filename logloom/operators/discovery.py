@@ -169,7 +169,7 @@ def discover(lines: DataFrame, templates: DataFrame | None = None, proposer: Pro
     spark = lines.sparkSession
     G = [group_col] if group_col else []
     if templates is not None:
-        T = cut_lineage(templates.select("template_id", "template", *G), "templates")
+        T = templates.select("template_id", "template", *G)   # small; read as given
         n_templates = T.count()
     else:
         T, n_templates = empty_templates(spark, group_col), 0
@@ -254,12 +254,13 @@ def parse(lines: DataFrame, templates: DataFrame | None = None, proposer: Propos
 
     Returns ``(structured, templates)``."""
     from pyspark.sql import Window
-    from logloom.operators.matching import assign_event_ids, match_lines
+    from logloom.operators.matching import assign_event_ids, build_matcher
     sigs_out: list = []
     G = [group_col] if group_col else []
     assigned, T = discover(lines, templates, proposer, examples, k, max_rounds, content_col, order_col,
                            sigs_out=sigs_out, group_col=group_col)
-    matched = match_lines(lines, T, content_col, group_col=group_col)
+    matcher = build_matcher(T, group_col=group_col)
+    matched = matcher.apply(lines, content_col) if matcher is not None else None
     if matched is None:
         x = lines.withColumn("sig", keyed_signature(content_col, group_col))
         out = x.join(assigned.select("sig", F.col("template").alias("EventTemplate")), "sig", "left").drop("sig")
@@ -272,14 +273,13 @@ def parse(lines: DataFrame, templates: DataFrame | None = None, proposer: Propos
         return (df.join(props, "sig", "left")
                 .withColumn("EventTemplate", F.when(F.col("_prop").isNotNull(), F.col("_prop")).otherwise(F.col("template")))
                 .drop("_prop", "template", "template_id"))
-    per_sig = final(match_lines(sigs_out[0].select("sig", *G, "first_line"), T, sig_col="sig", group_col=group_col))
+    per_sig = final(matcher.apply(sigs_out[0].select("sig", *G, "first_line"), sig_col="sig"))
     firsts = per_sig.filter(F.col("EventTemplate").isNotNull()).groupBy(*G, "EventTemplate").agg(
         F.min("first_line").alias("_first"))
     w = (Window.partitionBy(*G) if G else Window.partitionBy()).orderBy("_first", "EventTemplate")
     ids = firsts.withColumn("EventId", F.concat(F.lit("E"), F.row_number().over(w).cast("string"))) \
         .drop("_first")  # one row per template
-    n_tpl = T.count()  # ids has at most one row per template of T (plus proposals)
-    ids = F.broadcast(ids) if n_tpl <= 2_000_000 else ids
+    ids = F.broadcast(ids)  # one row per template: the matcher's size check bounds it
     out = final(matched).drop("sig").join(ids, [*G, "EventTemplate"], "left")
     return out, T
 

@@ -120,6 +120,54 @@ def _cand_struct():
                     F.col("anchor").alias("anchor"))
 
 
+class Matcher:
+    """A template table prepared once for map-side matching (see
+    ``match_lines``): block tables, the literal array of leading-wildcard
+    templates and the element type.  Build with ``build_matcher``."""
+
+    def __init__(self, tp: DataFrame, lw, elem, group_col: str | None):
+        self.tp, self.lw, self.elem, self.group_col = tp, lw, elem, group_col
+        self.blocks = tp.filter(F.col("depth") > 0).groupBy("depth", "block_key").agg(
+            F.array_sort(F.collect_list(_cand_struct())).alias("cands"))
+
+    def apply(self, df: DataFrame, content_col: str = "Content", with_params: bool = False,
+              sig_col: str | None = None) -> DataFrame:
+        x = df.withColumn("sig", F.col(sig_col) if sig_col else keyed_signature(content_col, self.group_col))
+        x = x.withColumn("_tok", sig_tokens("sig"))
+        for d in range(1, BLOCK_DEPTH + 1):
+            bd = self.blocks.filter(F.col("depth") == d).select(F.col("block_key").alias(f"_k{d}"),
+                                                                F.col("cands").alias(f"_c{d}"))
+            x = x.withColumn(f"_k{d}", F.when(F.size("_tok") >= d, F.array_join(F.slice("_tok", 1, d), SEP)))
+            x = x.join(F.broadcast(bd), f"_k{d}", "left")
+        empty = F.array().cast(f"array<{self.elem.simpleString()}>")
+        cands = F.concat(*[F.coalesce(F.col(f"_c{d}"), empty) for d in range(1, BLOCK_DEPTH + 1)],
+                         F.filter(self.lw, lambda c: F.array_contains(F.col("_tok"), c["anchor"])))
+        ok = F.filter(cands, lambda c: (F.size(F.col("_tok")) >= c["n_static"]) & F.rlike(F.col("sig"), c["pattern"]))
+        x = x.withColumn("_w", F.array_min(ok))
+        x = x.withColumn("template_id", F.col("_w.d")).withColumn("template", F.col("_w.template"))
+        if with_params:
+            x = x.withColumn("_p", F.col("_w.pattern")).withColumn(
+                "params", F.when(F.col("_p").isNotNull(), match_params("sig", "_p"))).drop("_p")
+        return x.drop("_tok", "_w", *[f"_k{d}" for d in range(1, BLOCK_DEPTH + 1)],
+                      *[f"_c{d}" for d in range(1, BLOCK_DEPTH + 1)])
+
+
+def build_matcher(templates: DataFrame, prepared: bool = False, group_col: str | None = None) -> Matcher | None:
+    """Prepare a template table for map-side matching, or None when it is
+    too large (bytes over the broadcast limit, or too many leading-wildcard
+    templates for the literal array)."""
+    tp = templates if prepared else prepare_templates(templates, group_col=group_col)
+    if not _size_checked(tp):
+        return None
+    lw_rows = tp.filter(F.col("depth") == 0).select(_cand_struct().alias("c")).limit(MAX_LITERAL_TEMPLATES + 1).collect()
+    if len(lw_rows) > MAX_LITERAL_TEMPLATES:
+        return None
+    elem = tp.select(_cand_struct().alias("c")).schema["c"].dataType
+    lw = F.array(*[_lit_struct(r["c"], elem) for r in lw_rows]) if lw_rows \
+        else F.array().cast(f"array<{elem.simpleString()}>")
+    return Matcher(tp, lw, elem, group_col)
+
+
 def match_lines(df: DataFrame, templates: DataFrame, content_col: str = "Content",
                 with_params: bool = False, prepared: bool = False, sig_col: str | None = None,
                 group_col: str | None = None) -> DataFrame | None:
@@ -132,34 +180,8 @@ def match_lines(df: DataFrame, templates: DataFrame, content_col: str = "Content
     is in the message.  The winner is ``array_min`` of the candidates whose
     pattern matches.  Returns None when the template table is too large for
     this mode (the caller then uses the distinct-signature join)."""
-    tp = templates if prepared else prepare_templates(templates, group_col=group_col)
-    if not _size_checked(tp):
-        return None
-    lw_rows = tp.filter(F.col("depth") == 0).select(_cand_struct().alias("c")).limit(MAX_LITERAL_TEMPLATES + 1).collect()
-    if len(lw_rows) > MAX_LITERAL_TEMPLATES:
-        return None
-    elem = tp.select(_cand_struct().alias("c")).schema["c"].dataType
-    lw = F.array(*[_lit_struct(r["c"], elem) for r in lw_rows]) if lw_rows \
-        else F.array().cast(f"array<{elem.simpleString()}>")
-    blocks = tp.filter(F.col("depth") > 0).groupBy("depth", "block_key").agg(
-        F.array_sort(F.collect_list(_cand_struct())).alias("cands"))
-    x = df.withColumn("sig", F.col(sig_col) if sig_col else keyed_signature(content_col, group_col))
-    x = x.withColumn("_tok", sig_tokens("sig"))
-    for d in range(1, BLOCK_DEPTH + 1):
-        bd = blocks.filter(F.col("depth") == d).select(F.col("block_key").alias(f"_k{d}"), F.col("cands").alias(f"_c{d}"))
-        x = x.withColumn(f"_k{d}", F.when(F.size("_tok") >= d, F.array_join(F.slice("_tok", 1, d), SEP)))
-        x = x.join(F.broadcast(bd), f"_k{d}", "left")
-    empty = F.array().cast(f"array<{elem.simpleString()}>")
-    cands = F.concat(*[F.coalesce(F.col(f"_c{d}"), empty) for d in range(1, BLOCK_DEPTH + 1)],
-                     F.filter(lw, lambda c: F.array_contains(F.col("_tok"), c["anchor"])))
-    ok = F.filter(cands, lambda c: (F.size(F.col("_tok")) >= c["n_static"]) & F.rlike(F.col("sig"), c["pattern"]))
-    x = x.withColumn("_w", F.array_min(ok))
-    x = x.withColumn("template_id", F.col("_w.d")).withColumn("template", F.col("_w.template"))
-    if with_params:
-        x = x.withColumn("_p", F.col("_w.pattern")).withColumn(
-            "params", F.when(F.col("_p").isNotNull(), match_params("sig", "_p"))).drop("_p")
-    return x.drop("_tok", "_w", *[f"_k{d}" for d in range(1, BLOCK_DEPTH + 1)],
-                  *[f"_c{d}" for d in range(1, BLOCK_DEPTH + 1)])
+    m = build_matcher(templates, prepared, group_col)
+    return None if m is None else m.apply(df, content_col, with_params, sig_col)
 
 
 def _lit_struct(row, elem):
