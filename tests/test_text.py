@@ -136,3 +136,17 @@ def test_score_tokens(spark, a, b):
     df = spark.createDataFrame([(a, b)], "a string, b string")
     r = df.select(T.score_tokens("a"), T.score_tokens("b"), T.token_similarity(F.col("a"), F.col("b"))).first()
     assert r[2] is not None and 0 <= r[2] <= 1
+
+
+def test_random_strings_match_brute_force(spark):
+    """Property check: random mixes of words, digits, wildcards and
+    delimiters give the same clean-up and tokens as the loop versions."""
+    import random
+    rnd = random.Random(7)
+    atoms = ["a", "user", "12", "0", "<*>", " ", "  ", ".", ":", "#", "/", "@", "-", "=", "(", ")", '"', "'",
+             "x1", "<*>7", "blk_9", "ab", "3.4", "|", ",", "_"]
+    samples = ["".join(rnd.choice(atoms) for _ in range(rnd.randint(1, 14))) for _ in range(400)]
+    got = _one(spark, T.correct_template, samples)
+    assert got == [brute_correct(x) for x in samples]
+    toks = _one(spark, T.tokens, samples)
+    assert [list(t) for t in toks] == [brute_tokens(x) for x in samples]
