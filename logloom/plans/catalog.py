@@ -977,7 +977,21 @@ def relevant_templates(spark, sf_dir):
     tpl = tpl.withColumn("template_id", F.xxhash64("template"))
     sigs = ev.select(T.signature("Content").alias("sig")).distinct()
     r = matching.relevant_templates(sigs, tpl)
-    return r.select("sig", "depth", F.array_join("relevant", " || ").alias("relevant"))
+    return r.select("sig", F.col("depth").cast("int").alias("depth"), F.array_join("relevant", " || ").alias("relevant"))
+
+
+SQL_RELEVANT_TEMPLATES = f"""
+WITH {R},
+m AS (SELECT DISTINCT regexp_extract_all(Content, '{_TOK_RE}') AS mt FROM r),
+t AS (SELECT DISTINCT expected AS template, regexp_extract_all(expected, '{_TOK_RE}') AS tt FROM r
+      WHERE event_type IN ('purchase', 'click')),
+k AS (SELECT mt, template, len(list_filter(range(1, least(len(mt), len(tt)) + 1),
+                                       lambda i: list_slice(mt, 1, i) = list_slice(tt, 1, i))) AS k FROM m, t),
+best AS (SELECT mt, max(k) AS depth FROM k GROUP BY mt HAVING max(k) > 0)
+SELECT array_to_string(best.mt, chr(31)) || chr(31) AS sig, CAST(best.depth AS INTEGER) AS depth,
+       array_to_string(list_sort(list(k.template)), ' || ') AS relevant
+FROM best JOIN k ON k.mt = best.mt AND k.k = best.depth GROUP BY best.mt, best.depth
+"""
 
 
 def merge_templates(spark, sf_dir):
@@ -1008,6 +1022,6 @@ QUERIES.update({
     "parse_by_dataset": (parse_by_dataset, SQL_PARSE_BY_DATASET),
     "read_raw_log": (read_raw_log, SQL_PARSE_HEADER),
     "nonascii_clean": (nonascii_clean, SQL_NONASCII_CLEAN),
-    "relevant_templates": (relevant_templates, None),
+    "relevant_templates": (relevant_templates, SQL_RELEVANT_TEMPLATES),
     "merge_templates": (merge_templates, None),
 })
