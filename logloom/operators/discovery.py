@@ -31,10 +31,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.functions.text import (WILDCARD, INSTRUCTION, keyed_signature, SYSTEM_PROMPT, ASSISTANT_ACK, DEFAULT_EXAMPLE_ANSWER,
-                                    DEFAULT_EXAMPLE_QUERY, clean_template, is_too_general,
-                                    match_pattern, parse_answer, propose_template, signature,
-                                    sig_tokens, tokens, words)
+from logloom.functions.text import (ASSISTANT_ACK, DEFAULT_EXAMPLE_ANSWER, DEFAULT_EXAMPLE_QUERY, INSTRUCTION,
+                                    SYSTEM_PROMPT, WILDCARD, clean_template, is_too_general, keyed_signature,
+                                    match_pattern, parse_answer, propose_template, sig_tokens, words)
 from logloom.operators.matching import best_match, match_lines
 from logloom.session import cut_lineage
 

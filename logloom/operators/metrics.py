@@ -227,7 +227,7 @@ def template_accuracy(pairs: DataFrame, band: DataFrame | None = None, group_col
     a = a.withColumn("PTA", _div(F.col("n_correct"), F.col("t1"))) \
          .withColumn("RTA", _div(F.col("n_correct"), F.col("t2")))
     return a.withColumn("FTA", _f1(F.col("PTA"), F.col("RTA"))) \
-        .select(*g, "tool_templates" if False else F.col("t1").alias("tool_templates"),
+        .select(*g, F.col("t1").alias("tool_templates"),
                 F.col("t2").alias("ground_templates"), "PTA", "RTA", "FTA")
 
 

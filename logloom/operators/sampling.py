@@ -272,7 +272,6 @@ def farthest_sample(labelled: DataFrame, shots=SHOTS, n_candidate: int = 128, se
     n = logs.count()
     first = logs.agg(F.max_by("row_id", F.struct(F.size("words"), F.col("orig_len"), -F.col("row_id"))).alias("r"))
     first_id = first.first()["r"]
-    spark = labelled.sparkSession
     shot_arr = F.array(*[F.lit(s) for s in shots])
     max_shot = max(shots)
     in_round = F.filter(F.sequence(F.lit(1), F.lit(max(max_shot - 1, 1))),
@@ -282,6 +281,5 @@ def farthest_sample(labelled: DataFrame, shots=SHOTS, n_candidate: int = 128, se
     pool = pool.withColumn("shot", F.explode(shot_arr)).filter(F.col("round") < F.col("shot"))
     picks = pool.groupBy("shot").applyInPandas(_greedy, "shot int, sample_pos int, row_id long")
     rows = base.select("row_id", F.col(content_col).alias("query"), F.col(template_col).alias("answer"))
-    del spark
     return picks.join(rows, "row_id").select("shot", "sample_pos", "row_id", "query", "answer",
                                              F.col("answer").alias("template"))

@@ -140,12 +140,9 @@ def _match_table(ev: DataFrame, drop_type: str | None = None) -> DataFrame:
         keep = keep.filter(F.col("event_type") != drop_type)
     t = keep.select(F.col("expected").alias("template")).unionByName(keep.select(F.col("gt").alias("template")))
     t = t.unionByName(ev.limit(1).select(F.lit("<*> session opened").alias("template"))).distinct()
-    return t.select(F.row_number().over(_order_by("template")).cast("long").alias("template_id"), "template")
-
-
-def _order_by(col):
     from pyspark.sql import Window
-    return Window.orderBy(col)
+    w = Window.orderBy("template")  # the template table: a handful of rows
+    return t.select(F.row_number().over(w).cast("long").alias("template_id"), "template")
 
 
 _SQL_MATCH_TABLE = """
