@@ -27,17 +27,20 @@ LINE_SCHEMA = "LineId long, Content string"
 
 
 def _latest_state(spark: SparkSession, state_dir: str, before: int) -> DataFrame:
-    """Template table written by the latest committed batch before ``before``
-    (partition-pruned read of the ``batch_id=N`` folders)."""
+    """Template table written by the latest committed batch before ``before``.
+
+    The batch folders are found from the file listing of the state table (no
+    job); only that folder is read."""
+    import re
     try:
-        all_states = spark.read.parquet(state_dir)
+        files = spark.read.parquet(state_dir).inputFiles()
     except Exception:  # noqa: BLE001 - no state written yet
         return empty_templates(spark)
-    prev = all_states.filter(F.col("batch_id") < before)
-    top = prev.agg(F.max("batch_id").alias("b")).first()["b"]
-    if top is None:
+    ids = {int(m.group(1)) for f in files for m in [re.search(r"batch_id=(\d+)", f)] if m}
+    done = [b for b in ids if b < before]
+    if not done:
         return empty_templates(spark)
-    return prev.filter(F.col("batch_id") == top).select("template_id", "template")
+    return spark.read.parquet(os.path.join(state_dir, f"batch_id={max(done)}")).select("template_id", "template")
 
 
 def parse_batch(batch: DataFrame, batch_id: int, out_dir: str, state_dir: str,
