@@ -26,7 +26,7 @@ from logloom.operators.matching import assign_event_ids
 LINE_SCHEMA = "LineId long, Content string"
 
 
-def _latest_state(spark: SparkSession, state_dir: str, before: int) -> DataFrame:
+def _latest_state(spark: SparkSession, state_dir: str, before: int, group_col: str | None = None) -> DataFrame:
     """Template table written by the latest committed batch before ``before``.
 
     The batch folders are found from the file listing of the state table (no
@@ -35,36 +35,40 @@ def _latest_state(spark: SparkSession, state_dir: str, before: int) -> DataFrame
     try:
         files = spark.read.parquet(state_dir).inputFiles()
     except Exception:  # noqa: BLE001 - no state written yet
-        return empty_templates(spark)
+        return empty_templates(spark, group_col)
     ids = {int(m.group(1)) for f in files for m in [re.search(r"batch_id=(\d+)", f)] if m}
     done = [b for b in ids if b < before]
     if not done:
-        return empty_templates(spark)
-    return spark.read.parquet(os.path.join(state_dir, f"batch_id={max(done)}")).select("template_id", "template")
+        return empty_templates(spark, group_col)
+    cols = ["template_id", "template"] + ([group_col] if group_col else [])
+    return spark.read.parquet(os.path.join(state_dir, f"batch_id={max(done)}")).select(*cols)
 
 
 def parse_batch(batch: DataFrame, batch_id: int, out_dir: str, state_dir: str,
-                proposer=None, examples=None) -> None:
+                proposer=None, examples=None, group_col: str | None = None) -> None:
     spark = batch.sparkSession
-    templates = _latest_state(spark, state_dir, batch_id)
-    structured, T = parse(batch, templates, proposer, examples)
+    templates = _latest_state(spark, state_dir, batch_id, group_col)
+    structured, T = parse(batch, templates, proposer, examples, group_col=group_col)
     rows = structured.drop("EventId").withColumn("batch_id", F.lit(batch_id))
     rows.write.mode("overwrite").parquet(os.path.join(out_dir, f"batch_id={batch_id}"))
     T.write.mode("overwrite").parquet(os.path.join(state_dir, f"batch_id={batch_id}"))
 
 
 def start(spark: SparkSession, source_dir: str, out_dir: str, state_dir: str, checkpoint: str,
-          files_per_trigger: int = 1, available_now: bool = True, proposer=None, examples=None):
-    """Start the online parse over Parquet files of ``LineId, Content``."""
-    stream = (spark.readStream.schema(LINE_SCHEMA).option("maxFilesPerTrigger", files_per_trigger)
+          files_per_trigger: int = 1, available_now: bool = True, proposer=None, examples=None,
+          group_col: str | None = None):
+    """Start the online parse over Parquet files of ``LineId, Content``
+    (plus ``group_col`` when many datasets share the stream)."""
+    schema = LINE_SCHEMA + (f", {group_col} string" if group_col else "")
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
               .parquet(source_dir))
     w = (stream.writeStream.option("checkpointLocation", checkpoint)
-         .foreachBatch(lambda df, bid: parse_batch(df, bid, out_dir, state_dir, proposer, examples)))
+         .foreachBatch(lambda df, bid: parse_batch(df, bid, out_dir, state_dir, proposer, examples, group_col)))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 
 
-def read_output(spark: SparkSession, out_dir: str) -> DataFrame:
+def read_output(spark: SparkSession, out_dir: str, group_col: str | None = None) -> DataFrame:
     """Structured log written by the stream, with E1 ids over all batches."""
     rows = spark.read.parquet(out_dir)
-    return assign_event_ids(rows, "EventTemplate", "LineId")
+    return assign_event_ids(rows, "EventTemplate", "LineId", [group_col] if group_col else [])

@@ -143,3 +143,19 @@ def test_many_datasets_in_one_job(spark, sf):
         exp += [(name, r["LineId"], r["EventId"], r["EventTemplate"]) for r in alone.collect()]
     assert got == sorted(exp)
     assert T.select("dataset").distinct().count() == 2
+
+
+def test_stream_many_datasets(spark, sf):
+    import tempfile
+    from logloom.streaming import online
+    ev = rendered_events(spark, sf).select("LineId", "Content")
+    ev = ev.withColumn("dataset", F.concat(F.lit("part"), ((F.col("LineId") - 1) % 2).cast("string")))
+    base = tempfile.mkdtemp(prefix="logloom-stream2-")
+    ev.repartitionByRange(3, "LineId").write.parquet(base + "/src")
+    q = online.start(spark, base + "/src", base + "/out", base + "/state", base + "/chk", group_col="dataset")
+    q.awaitTermination()
+    got = sorted((r["dataset"], r["LineId"], r["EventId"], r["EventTemplate"])
+                 for r in online.read_output(spark, base + "/out", "dataset").collect())
+    batch, _ = parse(ev, group_col="dataset")
+    exp = sorted((r["dataset"], r["LineId"], r["EventId"], r["EventTemplate"]) for r in batch.collect())
+    assert got == exp
