@@ -38,17 +38,27 @@ SHOTS = [8, 16, 32, 64, 128]
 BROADCAST_VOCAB_ROWS = 2_000_000
 
 
-def first_share(labelled: DataFrame, share: float = 0.2, order_col: str = "row_id") -> DataFrame:
-    """B2: the first ``share`` of the rows (``row_id`` is 1-based)."""
-    n = labelled.count()
-    return labelled.filter(F.col(order_col) <= int(share * n))
+def _gl(group_col):
+    return [group_col] if group_col else []
 
 
-def prepare(labelled: DataFrame, content_col: str = "Content", id_col: str = "row_id") -> DataFrame:
+def first_share(labelled: DataFrame, share: float = 0.2, order_col: str = "row_id",
+                group_col: str | None = None) -> DataFrame:
+    """B2: the first ``share`` of the rows (``row_id`` is 1-based), per dataset."""
+    G = _gl(group_col)
+    if not G:
+        n = labelled.count()
+        return labelled.filter(F.col(order_col) <= int(share * n))
+    counts = labelled.groupBy(*G).agg(F.count("*").alias("_n"))   # one row per dataset
+    return labelled.join(F.broadcast(counts), G).filter(F.col(order_col) <= F.floor(F.col("_n") * share)).drop("_n")
+
+
+def prepare(labelled: DataFrame, content_col: str = "Content", id_col: str = "row_id",
+            group_col: str | None = None) -> DataFrame:
     """G9 + B4: cleaned words and signature; keep lines with > 1 cleaned word.
 
     ``ws`` holds the cleaned words (split once); ``clean`` is their text."""
-    x = labelled.select(F.col(id_col).alias("row_id"), F.col(content_col).alias("_c"))
+    x = labelled.select(*_gl(group_col), F.col(id_col).alias("row_id"), F.col(content_col).alias("_c"))
     x = x.withColumn("ws", sampler_words("_c")).withColumn("fine", sampler_signature("_c")).drop("_c")
     return x.filter(F.size("ws") > 1).withColumn("clean", F.array_join("ws", " "))
 
@@ -57,91 +67,115 @@ def _vocab_filter(ws):
     return F.filter(ws, lambda w: (F.length(w) > 2) & ~w.isin(*SAMPLER_STOPWORDS))
 
 
-def vocabulary(prepared: DataFrame) -> DataFrame:
+def vocabulary(prepared: DataFrame, group_col: str | None = None) -> DataFrame:
     """Counts of words longer than two characters, stopwords removed."""
+    G = _gl(group_col)
     vw = F.col("vw") if "vw" in prepared.columns else _vocab_filter(F.col("ws"))
-    return prepared.select(F.explode(vw).alias("token")).groupBy("token").agg(F.count("*").alias("cnt"))
+    return prepared.select(*G, F.explode(vw).alias("token")).groupBy(*G, "token").agg(F.count("*").alias("cnt"))
 
 
-def coarse_keys(prepared: DataFrame, vocab: DataFrame) -> DataFrame:
+def coarse_keys(prepared: DataFrame, vocab: DataFrame, group_col: str | None = None) -> DataFrame:
     """The three most frequent (vocabulary count) distinct words of each
     line, ties by word, returned sorted and joined with a space.
 
     The vocabulary is broadcast when its row count is under the limit; the
     per-line top three is a sort of that line's own words only."""
+    G = _gl(group_col)
     vw = F.col("vw") if "vw" in prepared.columns else _vocab_filter(F.col("ws"))
-    toks = prepared.select("row_id", F.explode(F.array_distinct(vw)).alias("token"))
+    toks = prepared.select(*G, "row_id", F.explode(F.array_distinct(vw)).alias("token"))
     n_vocab = vocab.count()
     side = F.broadcast(vocab) if n_vocab <= BROADCAST_VOCAB_ROWS else vocab
-    j = toks.join(side, "token")
-    top = j.groupBy("row_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cnt")).alias("n"),
-                                                                                  F.col("token")))), 1, 3).alias("t"))
-    keys = top.select("row_id", F.array_join(F.array_sort(F.transform("t", lambda e: e["token"])), " ").alias("coarse"))
-    return prepared.join(keys, "row_id", "left").withColumn("coarse", F.coalesce("coarse", F.lit("")))
+    j = toks.join(side, G + ["token"])
+    top = j.groupBy(*G, "row_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cnt")).alias("n"),
+                                                                                      F.col("token")))), 1, 3).alias("t"))
+    keys = top.select(*G, "row_id", F.array_join(F.array_sort(F.transform("t", lambda e: e["token"])), " ").alias("coarse"))
+    return prepared.join(keys, G + ["row_id"], "left").withColumn("coarse", F.coalesce("coarse", F.lit("")))
 
 
-def clusters(prepared: DataFrame) -> DataFrame:
+def clusters(prepared: DataFrame, group_col: str | None = None) -> DataFrame:
     """Rows with their coarse and fine cluster keys (written once: every
     later step reads this table)."""
     from logloom.session import cut_lineage
+    G = _gl(group_col)
     # the text is cleaned once: the vocabulary words of every line are written
-    words_tab = cut_lineage(prepared.select("row_id", "fine", _vocab_filter(F.col("ws")).alias("vw")), "vocab-words")
-    vocab = cut_lineage(vocabulary(words_tab), "vocab")
-    return cut_lineage(coarse_keys(words_tab, vocab).select("row_id", "coarse", "fine"), "clusters")
+    words_tab = cut_lineage(prepared.select(*G, "row_id", "fine", _vocab_filter(F.col("ws")).alias("vw")), "vocab-words")
+    vocab = cut_lineage(vocabulary(words_tab, group_col), "vocab")
+    return cut_lineage(coarse_keys(words_tab, vocab, group_col).select(*G, "row_id", "coarse", "fine"), "clusters")
 
 
-def fine_sizes(clustered: DataFrame) -> DataFrame:
+def fine_sizes(clustered: DataFrame, group_col: str | None = None) -> DataFrame:
     """Rows per (coarse, fine)."""
-    return clustered.groupBy("coarse", "fine").agg(F.count("*").alias("size"))
+    return clustered.groupBy(*_gl(group_col), "coarse", "fine").agg(F.count("*").alias("size"))
 
 
-def coarse_sizes(clustered: DataFrame) -> DataFrame:
+def coarse_sizes(clustered: DataFrame, group_col: str | None = None) -> DataFrame:
     """Rows per coarse key."""
-    return clustered.groupBy("coarse").agg(F.count("*").alias("size"))
+    return clustered.groupBy(*_gl(group_col), "coarse").agg(F.count("*").alias("size"))
 
 
-def cluster_totals(clustered: DataFrame) -> DataFrame:
+def cluster_totals(clustered: DataFrame, group_col: str | None = None) -> DataFrame:
     """Number of coarse and fine clusters."""
-    f = fine_sizes(clustered)
-    return f.agg(F.countDistinct("coarse").alias("n_coarse"), F.count("*").alias("n_fine"))
+    G = _gl(group_col)
+    f = fine_sizes(clustered, group_col)
+    aggs = [F.countDistinct("coarse").alias("n_coarse"), F.count("*").alias("n_fine")]
+    return f.groupBy(*G).agg(*aggs) if G else f.agg(*aggs)
 
 
 def _coarse_order(seed: int, order: str):
     return F.col("coarse") if order == "key" else F.xxhash64(F.lit(seed), F.col("coarse"))
 
 
-def quotas(clustered: DataFrame, shots=SHOTS, seed: int = 0, order: str = "hash") -> DataFrame:
+TOPK_SALT = 64
+
+
+def quotas(clustered: DataFrame, shots=SHOTS, seed: int = 0, order: str = "hash",
+           group_col: str | None = None) -> DataFrame:
     """E6 + E5 for every shot (P9): ``shot, coarse, fine, c_pos, f_pos, quota``.
 
     Coarse clusters are ordered by ``xxhash64(seed, coarse)`` (or by key with
     ``order="key"``); quota ``shot // C + (pos < shot % C)``.  Fine clusters
-    by size descending, then key; quota ``cq // F + (pos < cq % F)``."""
+    by size descending, then key; quota ``cq // F + (pos < cq % F)``.  Only the
+    first ``max(shots)`` coarse clusters can get a quota: a top-k (per
+    dataset a salted two-phase top-k, so no dataset's clusters meet in one
+    task)."""
+    G = _gl(group_col)
     shots = list(shots)
     max_shot = max(shots)
-    fs = fine_sizes(clustered)
-    cs = fs.groupBy("coarse").agg(F.sum("size").alias("size"), F.count("*").alias("n_fine"))
-    n_coarse = cs.count()
-    top = cs.withColumn("_o", _coarse_order(seed, order)).orderBy("_o", "coarse").limit(max_shot)
-    top = top.withColumn("c_pos", F.row_number().over(Window.orderBy("_o", "coarse")) - 1)  # <= max_shot rows
-    top = top.withColumn("shot", F.explode(F.array(*[F.lit(s) for s in shots])))
-    c = F.lit(max(n_coarse, 1))
+    fs = fine_sizes(clustered, group_col)
+    cs = fs.groupBy(*G, "coarse").agg(F.sum("size").alias("size"), F.count("*").alias("n_fine"))
+    cs = cs.withColumn("_o", _coarse_order(seed, order))
+    if not G:
+        n_coarse = cs.count()
+        top = cs.orderBy("_o", "coarse").limit(max_shot)
+        top = top.withColumn("c_pos", F.row_number().over(Window.orderBy("_o", "coarse")) - 1)  # <= max_shot rows
+        top = top.withColumn("n_coarse", F.lit(max(n_coarse, 1)))
+    else:
+        nc = cs.groupBy(*G).agg(F.count("*").alias("n_coarse"))            # one row per dataset
+        salted = cs.withColumn("_b", F.pmod(F.xxhash64(F.col("coarse")), F.lit(TOPK_SALT)))
+        w1 = Window.partitionBy(*G, "_b").orderBy("_o", "coarse")
+        pre = salted.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= max_shot)
+        w2 = Window.partitionBy(*G).orderBy("_o", "coarse")                # <= salt * max_shot rows each
+        top = pre.withColumn("c_pos", F.row_number().over(w2) - 1).filter(F.col("c_pos") < max_shot)
+        top = top.join(F.broadcast(nc), G).drop("_b", "_r")
+    top = top.withColumn("shot", F.explode(F.array(*[F.lit(x) for x in shots])))
+    c = F.col("n_coarse")
     top = top.withColumn("c_quota", (F.floor(F.col("shot") / c) + (F.col("c_pos") < F.pmod(F.col("shot"), c)).cast("int"))
                          .cast("int")).filter(F.col("c_quota") > 0)
-    fr = fs.join(F.broadcast(top.select("coarse").distinct()), "coarse")
+    fr = fs.join(F.broadcast(top.select(*G, "coarse").distinct()), G + ["coarse"])
     fr = fr.withColumn("f_pos", F.row_number().over(
-        Window.partitionBy("coarse").orderBy(F.col("size").desc(), F.col("fine"))) - 1)
+        Window.partitionBy(*G, "coarse").orderBy(F.col("size").desc(), F.col("fine"))) - 1)
     fr = fr.filter(F.col("f_pos") < max_shot)
-    j = top.select("shot", "coarse", "c_pos", "c_quota", "n_fine").join(fr, "coarse")
+    j = top.select(*G, "shot", "coarse", "c_pos", "c_quota", "n_fine").join(fr, G + ["coarse"])
     nf = F.col("n_fine")
     j = j.withColumn("quota", (F.floor(F.col("c_quota") / nf) + (F.col("f_pos") < F.pmod(F.col("c_quota"), nf)).cast("int"))
                      .cast("int"))
-    return j.filter(F.col("quota") > 0).select("shot", "coarse", "fine", "c_pos", "f_pos", "c_quota", "quota", "size")
+    return j.filter(F.col("quota") > 0).select(*G, "shot", "coarse", "fine", "c_pos", "f_pos", "c_quota", "quota", "size")
 
 
 BUCKET_ROWS = 1_000_000
 
 
-def draw(clustered: DataFrame, quota_table: DataFrame, seed: int = 0) -> DataFrame:
+def draw(clustered: DataFrame, quota_table: DataFrame, seed: int = 0, group_col: str | None = None) -> DataFrame:
     """``quota`` members of each chosen fine cluster, with replacement.
 
     Draw j of a cluster of size n takes the member at index
@@ -152,60 +186,68 @@ def draw(clustered: DataFrame, quota_table: DataFrame, seed: int = 0) -> DataFra
     gathered into one task and the work is linear in the members.
 
     Returns ``shot, c_pos, f_pos, draw, row_id`` (sample order)."""
-    q = quota_table.select("shot", "coarse", "fine", "c_pos", "f_pos", "quota", "size")
-    sizes = q.select("coarse", "fine", "size").distinct()
+    G = _gl(group_col)
+    K = G + ["coarse", "fine"]
+    q = quota_table.select(*G, "shot", "coarse", "fine", "c_pos", "f_pos", "quota", "size")
+    sizes = q.select(*K, "size").distinct()
     nb = F.greatest(F.lit(1), F.ceil(F.col("size") / BUCKET_ROWS)).cast("long")
-    members = (clustered.select("row_id", "coarse", "fine").join(F.broadcast(sizes), ["coarse", "fine"])
+    members = (clustered.select(*K, "row_id").join(F.broadcast(sizes), K)
                .withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), F.col("row_id")), nb)))
-    counts = members.groupBy("coarse", "fine", "bucket").agg(F.count("*").alias("cnt"))
-    w = Window.partitionBy("coarse", "fine").orderBy("bucket")
+    counts = members.groupBy(*K, "bucket").agg(F.count("*").alias("cnt"))
+    w = Window.partitionBy(*K).orderBy("bucket")
     counts = counts.withColumn("start", F.sum("cnt").over(w) - F.col("cnt"))
     targets = q.withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("quota"))))
     targets = targets.withColumn("t", F.pmod(F.xxhash64(F.lit(seed), F.col("shot"), F.col("coarse"), F.col("fine"),
                                                         F.col("draw")), F.col("size")))
-    located = (targets.join(counts, ["coarse", "fine"])
+    located = (targets.join(counts, K)
                .filter((F.col("t") >= F.col("start")) & (F.col("t") < F.col("start") + F.col("cnt")))
                .withColumn("idx", F.col("t") - F.col("start")))
-    needed = located.select("coarse", "fine", "bucket").distinct()
-    picked = members.join(F.broadcast(needed), ["coarse", "fine", "bucket"])
-    wm = Window.partitionBy("coarse", "fine", "bucket").orderBy(
-        F.xxhash64(F.lit(seed + 1), F.col("row_id")), F.col("row_id"))
+    needed = located.select(*K, "bucket").distinct()
+    picked = members.join(F.broadcast(needed), K + ["bucket"])
+    wm = Window.partitionBy(*K, "bucket").orderBy(F.xxhash64(F.lit(seed + 1), F.col("row_id")), F.col("row_id"))
     picked = picked.withColumn("idx", F.row_number().over(wm) - 1)
-    return located.join(picked.select("coarse", "fine", "bucket", "idx", "row_id"),
-                        ["coarse", "fine", "bucket", "idx"]).select("shot", "c_pos", "f_pos", "draw", "row_id")
+    return located.join(picked.select(*K, "bucket", "idx", "row_id"), K + ["bucket", "idx"]) \
+        .select(*G, "shot", "c_pos", "f_pos", "draw", "row_id")
 
 
 def hierarchical_sample(labelled: DataFrame, shots=SHOTS, seed: int = 0, order: str = "hash",
                         share: float | None = 0.2, content_col: str = "Content",
-                        template_col: str = "EventTemplate") -> DataFrame:
-    """The whole hierarchical sampler for every shot.
+                        template_col: str = "EventTemplate", group_col: str | None = None) -> DataFrame:
+    """The whole hierarchical sampler for every shot (B2, B4, B13, E13), and
+    for every dataset at once with ``group_col`` (P9).
 
-    ``labelled`` has ``row_id`` (1-based order), Content and EventTemplate.
-    Returns ``shot, sample_pos, row_id, query, answer`` (answer with
-    ``{variables}``, G29)."""
+    ``labelled`` has ``row_id`` (1-based order, per dataset), Content and
+    EventTemplate.  Returns ``shot, sample_pos, row_id, query, answer``
+    (answer with ``{variables}``, G29)."""
     from logloom.functions.text import wildcards_to_placeholder
-    base = first_share(labelled, share) if share else labelled
-    prepared = prepare(base, content_col)
-    cl = clusters(prepared)
-    qt = quotas(cl, shots, seed, order)
-    d = draw(cl, qt, seed)
-    w = Window.partitionBy("shot").orderBy("c_pos", "f_pos", "draw")
+    G = _gl(group_col)
+    base = first_share(labelled, share, group_col=group_col) if share else labelled
+    prepared = prepare(base, content_col, group_col=group_col)
+    cl = clusters(prepared, group_col)
+    qt = quotas(cl, shots, seed, order, group_col)
+    d = draw(cl, qt, seed, group_col)
+    w = Window.partitionBy(*G, "shot").orderBy("c_pos", "f_pos", "draw")
     d = d.withColumn("sample_pos", F.row_number().over(w)).filter(F.col("sample_pos") <= F.col("shot"))
-    rows = base.select("row_id", F.col(content_col).alias("query"),
+    rows = base.select(*G, "row_id", F.col(content_col).alias("query"),
                        wildcards_to_placeholder(F.col(template_col)).alias("answer"),
                        F.col(template_col).alias("template"))
-    return d.join(rows, "row_id").select("shot", "sample_pos", "row_id", "query", "answer", "template")
+    return d.join(rows, G + ["row_id"]).select(*G, "shot", "sample_pos", "row_id", "query", "answer", "template")
 
 
 def coverage(samples: DataFrame, labelled: DataFrame, share: float | None = 0.2,
-             template_col: str = "EventTemplate") -> DataFrame:
+             template_col: str = "EventTemplate", group_col: str | None = None) -> DataFrame:
     """D19 + D24 + F5: distinct templates sampled, and that over
     ``min(distinct templates, shot)``."""
-    base = first_share(labelled, share) if share else labelled
-    n_t = base.agg(F.countDistinct(template_col).alias("n")).first()["n"]  # one number
-    s = samples.groupBy("shot").agg(F.countDistinct("template").alias("covered"))
-    return s.withColumn("n_templates", F.lit(n_t)).withColumn(
-        "coverage", F.round(F.col("covered") / F.least(F.col("n_templates"), F.col("shot")), 6))
+    G = _gl(group_col)
+    base = first_share(labelled, share, group_col=group_col) if share else labelled
+    s = samples.groupBy(*G, "shot").agg(F.countDistinct("template").alias("covered"))
+    if G:
+        n_t = base.groupBy(*G).agg(F.countDistinct(template_col).alias("n_templates"))  # one row per dataset
+        s = s.join(F.broadcast(n_t), G)
+    else:
+        n_t = base.agg(F.countDistinct(template_col).alias("n")).first()["n"]  # one number
+        s = s.withColumn("n_templates", F.lit(n_t))
+    return s.withColumn("coverage", F.round(F.col("covered") / F.least(F.col("n_templates"), F.col("shot")), 6))
 
 
 def mean_by_shot(stats: DataFrame) -> DataFrame:

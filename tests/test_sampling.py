@@ -82,3 +82,18 @@ def test_draws_uniform_over_members(spark):
     assert len(d) == 128 and {r["draw"] for r in d} == set(range(1, 129))
     assert all(1 <= r["row_id"] <= 50 for r in d)
     assert len({r["row_id"] for r in d}) > 30   # with replacement, spread over the cluster
+
+
+def test_many_datasets_in_one_job(spark, sf):
+    """Datasets x shots in one job equals one job per dataset."""
+    lab = _docs(spark, sf).withColumn("dataset", F.concat(F.lit("d"), (F.col("row_id") % 2).cast("string")))
+    both = sampling.hierarchical_sample(lab, shots=[8, 16], share=None, group_col="dataset")
+    got = sorted((r["dataset"], r["shot"], r["sample_pos"], r["row_id"]) for r in both.collect())
+    exp = []
+    for name in ("d0", "d1"):
+        one = sampling.hierarchical_sample(lab.filter(F.col("dataset") == name).drop("dataset"),
+                                           shots=[8, 16], share=None)
+        exp += [(name, r["shot"], r["sample_pos"], r["row_id"]) for r in one.collect()]
+    assert got == sorted(exp)
+    cov = sampling.coverage(both, lab, share=None, group_col="dataset")
+    assert cov.count() == 4
