@@ -1022,3 +1022,46 @@ QUERIES.update({
     "relevant_templates": (relevant_templates, SQL_RELEVANT_TEMPLATES),
     "merge_templates": (merge_templates, None),
 })
+
+
+def quota_by_dataset(spark, sf_dir):
+    """P9 + E5 + E6 per dataset in one job: documents grouped by language."""
+    from logloom.operators import sampling
+    d = table(spark, sf_dir, "documents", ["doc_id", "text", "lang"])
+    lab = d.select((F.col("doc_id") + 1).alias("row_id"), F.col("text").alias("Content"), F.col("lang").alias("dataset"))
+    cl = sampling.clusters(sampling.prepare(lab, group_col="dataset"), "dataset")
+    q = sampling.quotas(cl, order="key", group_col="dataset")
+    return q.select("dataset", "shot", "coarse", "fine", "c_pos", "f_pos", "c_quota", "quota")
+
+
+SQL_QUOTA_BY_DATASET = f"""
+WITH d AS (SELECT doc_id + 1 AS row_id, text, lang FROM documents),
+c AS (SELECT row_id, lang, list_filter(regexp_split_to_array(regexp_replace(regexp_replace(text, '[:()=,"{{}}@\\[\\]|;]|\\.?!', ' ', 'g'), '^\\s+|\\s+$', '', 'g'), '\\s+'),
+                                 lambda w: w <> '' AND NOT regexp_matches(w, '[0-9]')) AS ws FROM d),
+k AS (SELECT * FROM c WHERE len(ws) > 1),
+vw AS (SELECT row_id, lang, unnest(ws) AS token FROM k),
+vocab AS (SELECT lang, token, count(*) AS cnt FROM vw WHERE length(token) > 2 AND token NOT IN ({_SQL_STOP}) GROUP BY ALL),
+dt AS (SELECT DISTINCT vw.row_id, vw.lang, vw.token FROM vw JOIN vocab USING (lang, token)),
+rk AS (SELECT dt.row_id, dt.lang, dt.token, row_number() OVER (PARTITION BY dt.row_id ORDER BY v.cnt DESC, dt.token) AS rn
+       FROM dt JOIN vocab v USING (lang, token)),
+top AS (SELECT row_id, array_to_string(list_sort(list(token)), ' ') AS coarse FROM rk WHERE rn <= 3 GROUP BY row_id),
+cl AS (SELECT k.row_id, k.lang, coalesce(top.coarse, '') AS coarse FROM k LEFT JOIN top USING (row_id)),
+fi AS (SELECT d.row_id, array_to_string(list_sort(list_distinct(list_filter(string_split(regexp_replace(text, '[0-9A-Za-z, ]+', '', 'g'), ''), lambda z: z <> ''))), '') AS fine FROM d),
+cf AS (SELECT cl.row_id, cl.lang, cl.coarse, fi.fine FROM cl JOIN fi USING (row_id)),
+fs AS (SELECT lang, coarse, fine, count(*) AS size FROM cf GROUP BY ALL),
+cs AS (SELECT lang, coarse, count(DISTINCT fine) AS n_fine FROM cf GROUP BY ALL),
+nc AS (SELECT lang, count(*) AS c FROM cs GROUP BY lang),
+cp AS (SELECT lang, coarse, n_fine, row_number() OVER (PARTITION BY lang ORDER BY coarse) - 1 AS c_pos FROM cs),
+sh AS (SELECT unnest([8, 16, 32, 64, 128]) AS shot),
+cq AS (SELECT shot, cp.lang, coarse, n_fine, c_pos,
+              CAST(floor(shot / c) + CASE WHEN c_pos < shot % c THEN 1 ELSE 0 END AS INTEGER) AS c_quota
+       FROM cp JOIN nc USING (lang), sh),
+fp AS (SELECT lang, coarse, fine, row_number() OVER (PARTITION BY lang, coarse ORDER BY size DESC, fine) - 1 AS f_pos FROM fs),
+j AS (SELECT cq.lang, cq.shot, cq.coarse, fp.fine, cq.c_pos, fp.f_pos, cq.c_quota,
+             CAST(floor(c_quota / n_fine) + CASE WHEN f_pos < c_quota % n_fine THEN 1 ELSE 0 END AS INTEGER) AS quota
+      FROM cq JOIN fp USING (lang, coarse) WHERE cq.c_quota > 0)
+SELECT lang AS dataset, shot, coarse, fine, CAST(c_pos AS INTEGER) AS c_pos, CAST(f_pos AS INTEGER) AS f_pos, c_quota, quota
+FROM j WHERE quota > 0
+"""
+
+QUERIES["quota_by_dataset"] = (quota_by_dataset, SQL_QUOTA_BY_DATASET)
