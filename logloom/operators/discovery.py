@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from logloom.functions.text import (ASSISTANT_ACK, DEFAULT_EXAMPLE_ANSWER, DEFAULT_EXAMPLE_QUERY, INSTRUCTION,
                                     SYSTEM_PROMPT, WILDCARD, clean_template, is_too_general, keyed_signature,
                                     match_pattern, parse_answer, propose_template, sig_tokens, words)
-from logloom.operators.matching import best_match, match_lines
+from logloom.operators.matching import best_match, build_matcher
 from logloom.session import cut_lineage
 
 TEMPLATE_SCHEMA = "template_id long, template string"
@@ -184,13 +184,16 @@ def discover(lines: DataFrame, templates: DataFrame | None = None, proposer: Pro
         if n_templates == 0:
             miss = pending
         else:
-            mm = match_lines(pending, T, sig_col="sig", group_col=group_col)   # map-side: pending is not shuffled
+            matcher = build_matcher(T, group_col=group_col)
+            mm = matcher.apply(pending, sig_col="sig") if matcher is not None else None  # map-side: pending not shuffled
             m = cut_lineage(mm if mm is not None else best_match(pending, T, group_col=group_col), "matched")
             done.append(m.filter(F.col("template_id").isNotNull()).select("sig", "template_id", "template",
                                                                           F.lit("match").alias("source")))
             miss = m.filter(F.col("template_id").isNull()).drop("template_id", "template")
         n_miss = miss.count()
         if n_miss == 0:
+            if sigs_out is not None and n_templates > 0:
+                sigs_out.append(matcher)   # T unchanged since: the caller may reuse it
             break
         last = rnd == max_rounds - 1
         if not last and share < 1.0:
@@ -258,7 +261,8 @@ def parse(lines: DataFrame, templates: DataFrame | None = None, proposer: Propos
     G = [group_col] if group_col else []
     assigned, T = discover(lines, templates, proposer, examples, k, max_rounds, content_col, order_col,
                            sigs_out=sigs_out, group_col=group_col)
-    matcher = build_matcher(T, group_col=group_col)
+    reused = sigs_out[1] if len(sigs_out) > 1 else None
+    matcher = reused if reused is not None else build_matcher(T, group_col=group_col)
     matched = matcher.apply(lines, content_col) if matcher is not None else None
     if matched is None:
         x = lines.withColumn("sig", keyed_signature(content_col, group_col))
