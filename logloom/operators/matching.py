@@ -104,8 +104,9 @@ def best_match(sigs: DataFrame, templates: DataFrame, prepared: bool = False,
 def match_params(sig_col: str, pattern_col: str):
     """Text eaten by each wildcard, its tokens joined without separator."""
     n = F.regexp_count(F.col(pattern_col), F.lit(r"\(\(\?:"))
+    groups = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))  # no wildcard: no params
     return F.transform(
-        F.sequence(F.lit(1), n),
+        groups,
         lambda i: F.regexp_replace(F.call_function("regexp_extract", F.col(sig_col), F.col(pattern_col), i), SEP, ""))
 
 

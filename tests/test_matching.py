@@ -110,3 +110,22 @@ def test_relevant_templates_brute_force(spark):
         if best > 0:
             exp[tuple(mt)] = (best, sorted(rel))
     assert got == exp
+
+
+def test_parse_plan_does_not_shuffle_lines(spark, sf):
+    from logloom.operators.discovery import parse
+    from logloom.sources.fixtures import rendered_events
+    s, _ = parse(rendered_events(spark, sf).select("LineId", "Content"))
+    plan = s._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "CartesianProduct" not in plan
+    assert plan.count("BroadcastHashJoin") >= 3
+
+
+def test_distinct_mode_params_equal_map_mode(spark):
+    msgs = spark.createDataFrame([(i, m) for i, m in enumerate(MESSAGES)], "LineId long, Content string")
+    tpl = spark.createDataFrame(TEMPLATES, "template_id long, template string")
+    a = {r["LineId"]: (r["template_id"], None if r["params"] is None else list(r["params"]))
+         for r in matching.match_messages(msgs, tpl, with_params=True, mode="map").collect()}
+    b = {r["LineId"]: (r["template_id"], None if r["params"] is None else list(r["params"]))
+         for r in matching.match_messages(msgs, tpl, with_params=True, mode="distinct").collect()}
+    assert a == b
