@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,8 +49,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str | None = None) -> Iterat
         lo, n = 0, batch.num_rows
         lengths = None
         if text is not None and n:
-            column = batch.column(batch.schema.get_field_index(text))
-            lengths = np.nan_to_num(pa.compute.binary_length(column).to_numpy(zero_copy_only=False).astype(float))
+            lengths = np.nan_to_num(pc.binary_length(batch.column(batch.schema.get_field_index(text))).to_numpy(zero_copy_only=False).astype(float))
         while lo < n:
             hi = min(n, lo + ROWS_AT_A_TIME)
             if lengths is not None:
