@@ -14,8 +14,9 @@ the border would merge first.
 
 Characters outside the vocabulary become their UTF-8 byte pieces.  Where no
 piece holds the space mark after another character (checked when the model is
-loaded), a text is cut before each run of space marks, and short units that
-repeat are looked up.
+loaded), a text is cut before each run of space marks; no piece holds a line
+break, and none a letter beside another character, so it is cut there too (each
+checked in the same way).  Short units that repeat are looked up.
 
 Defined cases: a null text counts as empty; an empty text has the end id only.
 Repeated rows give repeated results, an empty table none.  Other columns are
@@ -29,6 +30,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,11 +39,13 @@ from .common import batch_of, column, slices
 
 SPACE = "▁"
 #: Units (in each of two generations) and compatibility answers a worker remembers.
-UNITS_KEPT = 150_000
+UNITS_KEPT = 200_000
 PAIRS_KEPT = 1_000_000
 #: Longer units are encoded anew each time.
 UNIT_CHARS = 48
 
+_LETTERS = re.compile(rf"{SPACE}*[^\W\d_]+|{SPACE}*(?:[\d_]|[^\w{SPACE}])+|{SPACE}+")
+_MIXED = re.compile(rf"[^\W\d_](?:[\d_]|[^\w{SPACE}])|(?:[\d_]|[^\w{SPACE}])[^\W\d_]")
 _RUNS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -60,7 +64,7 @@ class PieceTable:
         if model.trainer_spec.model_type != 2 or not model.trainer_spec.byte_fallback:
             raise ValueError("only BPE models with byte fallback are supported")
         self.dummy = spec.add_dummy_prefix
-        self.bytes, self.pieces, self.skipped = {}, [], set()
+        self.bytes, self.pieces, skipped = {}, [], set()
         self.score, self.id_of = {}, {}
         for i, piece in enumerate(model.pieces):
             self.pieces.append(piece.piece)
@@ -70,10 +74,9 @@ class PieceTable:
             elif piece.type == 6:
                 self.bytes[i] = int(piece.piece[3:5], 16)
             elif piece.type in (2, 3):
-                self.skipped.add(i)
+                skipped.add(i)
             else:
                 raise ValueError(f"piece type {piece.type} is not supported")
-        self.unknown = next((i for i, p in enumerate(model.pieces) if p.type == 2), None)
         self.byte_id = {b: i for i, b in self.bytes.items()}
         self.automaton = ahocorasick.Automaton()
         for piece in self.score:
@@ -81,11 +84,21 @@ class PieceTable:
                 self.automaton.add_word(piece, (len(piece), piece))
         self.automaton.make_automaton()
         self.cuts = not any(SPACE in p.lstrip(SPACE) for p in self.score)
+        self.breaks = not any("\n" in p for p in self.score)
+        self.words = self.cuts and not any(_MIXED.search(p) for p in self.score)
+        self.runs: dict[str, list[int]] = {}
         self.courses: dict[str, tuple] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.units: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
-        self.surface = [p.replace(SPACE, " ") for p in self.pieces]
+        self.young: dict[str, tuple[bytes, str]] = {}
+        self.old: dict[str, tuple[bytes, str]] = {}
+        # what an id adds to a text; a byte below 128 is a character of its own
+        surface = [p.replace(SPACE, " ") for p in self.pieces]
+        self.high = np.zeros(len(surface), dtype=bool)
+        for i, b in self.bytes.items():
+            surface[i], self.high[i] = chr(b), b > 127
+        for i in skipped:
+            surface[i] = ""
+        self.surface = np.array(surface, dtype=object)
 
     def course(self, token: str) -> tuple:
         """How the characters of ``token`` merge alone: per step the score, the
@@ -171,7 +184,8 @@ class PieceTable:
             n -= len(last[n])
         return out[::-1]
 
-    def _ids(self, unit: str) -> tuple[int, ...]:
+    def ids_of(self, unit: str) -> list[int]:
+        """The ids of a unit (spaces already marked)."""
         ids: list[int] = []
         for token in self.tokens(unit):
             i = self.id_of.get(token)
@@ -179,47 +193,74 @@ class PieceTable:
                 ids.extend(self.byte_id[b] for b in token.encode("utf-8"))
             else:
                 ids.append(i)
-        return tuple(ids)
+        return ids
+
+    def _entry(self, unit: str) -> tuple[bytes, str]:
+        if self.words:
+            ids = []
+            for run in _LETTERS.findall(unit):
+                known = self.runs.get(run)
+                if known is None:
+                    known = self.ids_of(run)
+                    if len(run) <= UNIT_CHARS:
+                        self.runs[run] = known
+                ids += known
+            if len(self.runs) > UNITS_KEPT:
+                self.runs = {}
+        else:
+            ids = self.ids_of(unit)
+        return np.array(ids, dtype="<i4").tobytes(), " ".join(map(str, ids))
+
+    def _units(self, units: list[str]) -> list[tuple[bytes, str]]:
+        """The entries (ids as bytes, ids as text) of units, remembered in two generations; a unit
+        is a word that a space precedes, or a line break with what follows it."""
+        young, old = self.young, self.old
+        found = list(map(young.get, units))
+        if None in found:
+            for n, unit in enumerate(units):
+                if found[n] is None:
+                    entry = young.get(unit) or old.get(unit) or self._entry(unit if unit[:1] == "\n" else SPACE + unit)
+                    if len(unit) <= UNIT_CHARS:
+                        young[unit] = entry
+                    found[n] = entry
+            if len(young) > UNITS_KEPT:
+                self.young, self.old = {}, young
+        return found
 
-    def encode(self, text: str) -> list[int]:
-        """The ids of ``text`` (no begin or end id)."""
+    def entries(self, text: str) -> list[tuple[bytes, str]]:
+        """The entries of the units of ``text``, in order."""
         if not text:
             return []
+        if self.cuts and self.breaks and self.dummy and text[0] != " " and "  " not in text and SPACE not in text:
+            # a unit is a word with its space mark, or a line break with what follows it
+            return self._units(text.replace("\n", " \n").split(" "))
         marked = text.replace(" ", SPACE)
         if self.dummy:
             marked = SPACE + marked
         if not self.cuts:
-            return list(self._ids(marked))
-        units, older = self.units, self.older
-        out: list[int] = []
-        for unit in _RUNS.findall(marked):
-            ids = units.get(unit)
-            if ids is None:
-                ids = older.get(unit) or self._ids(unit)
-                if len(unit) <= UNIT_CHARS:
-                    units[unit] = ids
-            out += ids
-        if len(units) > UNITS_KEPT:
-            self.units, self.older = {}, units
-        return out
-
-    def decode(self, ids: list[int]) -> str:
+            return [self._entry(marked)]
+        return [self._entry(unit) for unit in _RUNS.findall(marked)]
+
+    def encode(self, text: str) -> np.ndarray:
+        """The ids of ``text`` (no begin or end id)."""
+        return np.frombuffer(b"".join([e[0] for e in self.entries(text)]), dtype="<i4")
+
+    def decode(self, ids: np.ndarray) -> str:
         """The text of ``ids``: pieces joined, byte runs read as UTF-8, the
         dummy space taken off, control ids left out."""
-        surface = self.surface
-        if not self.bytes.keys() & set(ids):
-            text = "".join([surface[i] for i in ids if i not in self.skipped])
+        ids = np.asarray(ids, dtype=np.int64)
+        if not self.high[ids].any():
+            text = "".join(self.surface[ids].tolist())
         else:
             parts, run = [], bytearray()
-            for i in ids:
+            for i in ids.tolist():
                 if i in self.bytes:
                     run.append(self.bytes[i])
                     continue
                 if run:
                     parts.append(run.decode("utf-8", "replace"))
                     run = bytearray()
-                if i not in self.skipped:
-                    parts.append(surface[i])
+                parts.append(self.surface[i])
             parts.append(run.decode("utf-8", "replace"))
             text = "".join(parts)
         return text[1:] if self.dummy and text.startswith(" ") else text
@@ -238,11 +279,11 @@ def encode_documents(docs: DataFrame, model: str, end_id: int | None = 2, text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = piece_table(model)
+        tail = np.array([] if end_id is None else [end_id], dtype=np.int32)
         for batch in slices(batches, "_text"):
             ids, decoded = [], []
             for t in column(batch, "_text").to_pylist():
-                coded = table.encode(t or "")
-                ids.append(coded + ([] if end_id is None else [end_id]))
+                ids.append(np.concatenate((table.encode(t or ""), tail)))
                 decoded.append(table.decode(ids[-1]))
             columns = [column(batch, f.name) for f in fields]
             yield pa.RecordBatch.from_arrays(
@@ -262,14 +303,14 @@ def digests(docs: DataFrame, model: str, end_id: int | None = 2, text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = piece_table(model)
-        number = [str(i) for i in range(len(table.pieces))]
-        tail = [] if end_id is None else [end_id]
+        tail = [] if end_id is None else [(np.array([end_id], dtype="<i4").tobytes(), str(end_id))]
         for batch in slices(batches, "_text"):
             n, ids_sha, text_sha = [], [], []
             for t in column(batch, "_text").to_pylist():
-                ids = table.encode(t or "") + tail
+                entries = table.entries(t or "") + tail
+                ids = np.frombuffer(b"".join([e[0] for e in entries]), dtype="<i4")
                 n.append(len(ids))
-                ids_sha.append(hashlib.sha256(" ".join([number[i] for i in ids]).encode()).hexdigest())
+                ids_sha.append(hashlib.sha256(" ".join([e[1] for e in entries]).encode()).hexdigest())
                 text_sha.append(hashlib.sha256(table.decode(ids).encode("utf-8")).hexdigest())
             yield batch_of(out, [column(batch, key), n, ids_sha, text_sha])
 

@@ -37,68 +37,115 @@ from pyspark.sql import functions as F
 from .common import batch_of, column, partitions, scratch_path, slices, written
 
 #: Encoded units a worker remembers in each of two generations.
-UNITS_KEPT = 200_000
-#: Longer units are encoded anew each time.
-UNIT_CHARS = 64
+UNITS_KEPT = 300_000
 #: Stands for a null key in a .key file.
 NULL_KEY = np.iinfo(np.int64).min
 
-_PLAIN = "!-~¡-ɏ"
-_SPLIT = re.compile(rf"(?<=[{_PLAIN}])(?= [{_PLAIN}])")
-_ODD = re.compile(rf"  | [^{_PLAIN}]|[^{_PLAIN}] |^ | $|<\|")
+_CUT = re.compile(r"(?<=[!-~])(?= [!-~])")
+_TAILED = re.compile(r"(\n?)([A-Za-zÀ-ÖØ-öø-ƿ]*)([,.;:!?]{1,3})")
 
 
 class UnitEncoder:
     """The ids of a text by the tokenizers library, unit by unit.
 
-    A unit begins at a space between two plain characters.  The byte-level
-    pattern never joins a non-space to a space after it and always joins a
-    space to a plain character after it, so units are encoded independently
-    and repeated units are looked up.  Texts that may hold a special token's
-    string go to the library whole.
+    A unit is a word with the space before it, or a line break with the word after
+    it.  Between two printable characters that are not spaces the byte-level
+    pattern always breaks before a single space and on both sides of a single line
+    break, so units are encoded independently and repeated units are looked up.
+    New words go to the library joined, and the ids are cut apart by the bytes
+    they stand for.  Texts with other white space are cut only where both sides
+    are plain; texts that may hold a special token's string go to the library
+    whole.
     """
 
     def __init__(self, path: str, dtype: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype(dtype)
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _ids(self, units: list[str]) -> list[bytes]:
-        coded = self.tokenizer.encode_batch(units, add_special_tokens=False)
+        vocabulary = self.tokenizer.get_vocab()
+        self.width = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)  # one character a byte
+        for token, i in vocabulary.items():
+            self.width[i] = len(token)
+        self.words = Memory(self.joined)
+        self.units = Memory(self.tailed)
+        self.tails: dict[str, bytes] = {}
+
+    def alone(self, units: list[str]) -> list[bytes]:
+        coded = self.tokenizer.encode_batch_fast(units, add_special_tokens=False)
         return [np.asarray(c.ids, dtype=self.dtype).tobytes() for c in coded]
 
+    def joined(self, words: list[str]) -> list[bytes]:
+        """The ids of words (a space before each), or of line breaks with a word."""
+        size, out = self.dtype.itemsize, []
+        for i in range(0, len(words), 2048):
+            some = [w if w[:1] == "\n" else " " + w for w in words[i:i + 2048]]
+            ids = np.asarray(self.tokenizer.encode("".join(some), add_special_tokens=False).ids, dtype=self.dtype)
+            ends = np.cumsum(self.width[ids])
+            cuts = np.cumsum([len(w.encode()) for w in some])
+            at = np.searchsorted(ends, cuts) + 1
+            if (ends[at - 1] != cuts).any():
+                raise AssertionError("a token across two units")
+            data, lo = ids.tobytes(), 0
+            for hi in at.tolist():
+                out.append(data[lo * size:hi * size])
+                lo = hi
+        return out
+
+    def tailed(self, units: list[str]) -> list[bytes]:
+        """The same; letters and the stops after them, which the pattern always parts, apart."""
+        parts = []
+        for unit in units:
+            m = _TAILED.fullmatch(unit)
+            parts.append((m[1] + m[2], m[3]) if m and m[2] else (unit, ""))
+        for tail in {t for _, t in parts} - self.tails.keys():
+            self.tails[tail] = self.alone([tail])[0]
+        return [w + self.tails[t] for w, (_, t) in zip(self.words.all([p[0] for p in parts]), parts)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut, whole = [], []
+        out: list[bytes] = [b""] * len(texts)
+        firsts, units, spans, odd = [], [], [], []
         for i, text in enumerate(texts):
             if not text:
-                cut.append([])
-            elif not _ODD.search(text):
-                first, *rest = text.split(" ")
-                cut.append([first, *[" " + r for r in rest]])
-            elif "<|" in text:
-                whole.append(i)
-                cut.append([])
-            else:
-                cut.append(_SPLIT.split(text))
-        known, older = self.known, self.older
-        new = set().union(*cut) - known.keys()
-        known.update((u, older[u]) for u in new & older.keys())
-        new = list(new - older.keys())
-        for i in range(0, len(new), 4096):
-            known.update(zip(new[i:i + 4096], self._ids(new[i:i + 4096])))
-        out = [b"".join(map(known.__getitem__, units)) for units in cut]
-        for i in whole:
-            out[i] = self._ids([texts[i]])[0]
-        for u in new:
-            if len(u) > UNIT_CHARS:
-                del known[u]
-        if len(known) > UNITS_KEPT:
-            self.known, self.older = {}, known
+                continue
+            flat = text.replace("\n", " ")
+            if "  " in flat or flat[0] == " " or flat[-1] == " " or "<|" in flat or not flat.isprintable():
+                odd.append(i)
+                continue
+            first, *rest = text.replace("\n", " \n").split(" ")
+            firsts.append(first)
+            spans.append((i, len(units), len(units) + len(rest)))
+            units += rest
+        found = self.units.all(units)
+        for first, (i, lo, hi) in zip(self.alone(firsts), spans):
+            out[i] = first + b"".join(found[lo:hi])
+        for i in odd:
+            out[i] = b"".join(self.alone([texts[i]] if "<|" in texts[i] else _CUT.split(texts[i])))
         return out
 
 
+class Memory:
+    """Encoded units of two generations: when the younger is full it becomes the older."""
+
+    def __init__(self, encode):
+        self.encode, self.young, self.old = encode, {}, {}
+
+    def all(self, units: list[str]) -> list[bytes]:
+        """The ids of every one of ``units``."""
+        if len(self.young) > UNITS_KEPT:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        found = list(map(young.get, units))
+        if None in found:
+            missing = [n for n, f in enumerate(found) if f is None]
+            new = {units[n] for n in missing}
+            young.update([(u, old[u]) for u in new if u in old])
+            new = [u for u in new if u not in old]
+            young.update(zip(new, self.encode(new)))
+            for n in missing:
+                found[n] = young[units[n]]
+        return found
+
+
 @lru_cache(maxsize=2)
 def unit_encoder(path: str, dtype: str) -> UnitEncoder:
     """One encoder for each worker process, so that later tasks find its memory filled."""

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from .op2_toxicity import op2_toxicity
 from .op5_sentencepiece import op5_sentencepiece
+from .op7_quality_rules import op7_quality_rules
 from .op8_token_files import op8_token_files
+from .op9_language import op9_language
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op5_sentencepiece": op5_sentencepiece,
+    "op7_quality_rules": op7_quality_rules,
     "op8_token_files": op8_token_files,
+    "op9_language": op9_language,
 }
 
 ORACLE_SQL: dict[str, str] = {}
