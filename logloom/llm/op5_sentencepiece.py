@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,13 +40,15 @@ from .common import batch_of, column, slices
 
 SPACE = "▁"
 #: Units (in each of two generations) and compatibility answers a worker remembers.
-UNITS_KEPT = 200_000
+UNITS_KEPT = 250_000
 PAIRS_KEPT = 1_000_000
 #: Longer units are encoded anew each time.
 UNIT_CHARS = 48
 
-_LETTERS = re.compile(rf"{SPACE}*[^\W\d_]+|{SPACE}*(?:[\d_]|[^\w{SPACE}])+|{SPACE}+")
-_MIXED = re.compile(rf"[^\W\d_](?:[\d_]|[^\w{SPACE}])|(?:[\d_]|[^\w{SPACE}])[^\W\d_]")
+#: Letters, roughly: ASCII letters and what lies beyond Latin-1's signs, without the blocks of symbols.
+_L = "A-Za-zÀ-ÖØ-öø-\u1fff\u2c00-\u2fff\u3040-\U0010ffff"
+_LETTERS = re.compile(rf"{SPACE}*[{_L}]+|{SPACE}*[^{_L}{SPACE}]+|{SPACE}+")
+_MIXED = re.compile(rf"[{_L}][^{_L}{SPACE}]|[^{_L}{SPACE}][{_L}]")
 _RUNS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -89,6 +92,7 @@ class PieceTable:
         self.runs: dict[str, list[int]] = {}
         self.courses: dict[str, tuple] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.number = [str(i) for i in range(len(self.pieces))]
         self.young: dict[str, tuple[bytes, str]] = {}
         self.old: dict[str, tuple[bytes, str]] = {}
         # what an id adds to a text; a byte below 128 is a character of its own
@@ -144,10 +148,6 @@ class PieceTable:
             else:
                 return True
 
-    def _matches(self, unit: str) -> Iterator[tuple[int, int, str]]:
-        """Pieces of two or more characters by their end in ``unit``, the longest of an end first."""
-        return ((end + 1, size, piece) for end, (size, piece) in self.automaton.iter(unit))
-
     def tokens(self, unit: str) -> list[str]:
         """The tokens of a unit: fill the last-token table, then go backwards.
 
@@ -159,7 +159,8 @@ class PieceTable:
         if len(pairs) > PAIRS_KEPT:
             pairs.clear()
         done = 0  # prefixes up to this length have their last token
-        for end, size, piece in self._matches(unit):
+        for at, (size, piece) in self.automaton.iter(unit):  # by their end, the longest of an end first
+            end = at + 1
             if end <= done:
                 continue  # a longer piece was compatible
             for i in range(done + 1, end):  # only the single character was left there
@@ -170,8 +171,9 @@ class PieceTable:
             else:
                 before = last[end - size]
                 key = (before, piece)
-                fits = pairs.get(key)
-                if fits is None:
+                if key in pairs:
+                    fits = pairs[key]
+                else:
                     fits = pairs[key] = self.compatible(before, piece)
             if fits:
                 last[end] = piece
@@ -186,13 +188,10 @@ class PieceTable:
 
     def ids_of(self, unit: str) -> list[int]:
         """The ids of a unit (spaces already marked)."""
-        ids: list[int] = []
-        for token in self.tokens(unit):
-            i = self.id_of.get(token)
-            if i is None:
-                ids.extend(self.byte_id[b] for b in token.encode("utf-8"))
-            else:
-                ids.append(i)
+        ids = list(map(self.id_of.get, tokens := self.tokens(unit)))
+        if None in ids:
+            parts = [[i] if i is not None else [self.byte_id[b] for b in t.encode()] for i, t in zip(ids, tokens)]
+            ids = [i for part in parts for i in part]
         return ids
 
     def _entry(self, unit: str) -> tuple[bytes, str]:
@@ -209,7 +208,7 @@ class PieceTable:
                 self.runs = {}
         else:
             ids = self.ids_of(unit)
-        return np.array(ids, dtype="<i4").tobytes(), " ".join(map(str, ids))
+        return array("i", ids).tobytes(), " ".join([self.number[i] for i in ids])
 
     def _units(self, units: list[str]) -> list[tuple[bytes, str]]:
         """The entries (ids as bytes, ids as text) of units, remembered in two generations; a unit
@@ -217,12 +216,12 @@ class PieceTable:
         young, old = self.young, self.old
         found = list(map(young.get, units))
         if None in found:
-            for n, unit in enumerate(units):
-                if found[n] is None:
-                    entry = young.get(unit) or old.get(unit) or self._entry(unit if unit[:1] == "\n" else SPACE + unit)
-                    if len(unit) <= UNIT_CHARS:
-                        young[unit] = entry
-                    found[n] = entry
+            for n in [n for n, entry in enumerate(found) if entry is None]:
+                unit = units[n]
+                entry = young.get(unit) or old.get(unit) or self._entry(unit if unit[:1] == "\n" else SPACE + unit)
+                if len(unit) <= UNIT_CHARS:
+                    young[unit] = entry
+                found[n] = entry
             if len(young) > UNITS_KEPT:
                 self.young, self.old = {}, young
         return found
@@ -243,7 +242,7 @@ class PieceTable:
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of ``text`` (no begin or end id)."""
-        return np.frombuffer(b"".join([e[0] for e in self.entries(text)]), dtype="<i4")
+        return np.frombuffer(b"".join([e[0] for e in self.entries(text)]), dtype=np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ``ids``: pieces joined, byte runs read as UTF-8, the
@@ -303,12 +302,12 @@ def digests(docs: DataFrame, model: str, end_id: int | None = 2, text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = piece_table(model)
-        tail = [] if end_id is None else [(np.array([end_id], dtype="<i4").tobytes(), str(end_id))]
+        tail = [] if end_id is None else [(np.array([end_id], dtype=np.int32).tobytes(), str(end_id))]
         for batch in slices(batches, "_text"):
             n, ids_sha, text_sha = [], [], []
             for t in column(batch, "_text").to_pylist():
                 entries = table.entries(t or "") + tail
-                ids = np.frombuffer(b"".join([e[0] for e in entries]), dtype="<i4")
+                ids = np.frombuffer(b"".join([e[0] for e in entries]), dtype=np.int32)
                 n.append(len(ids))
                 ids_sha.append(hashlib.sha256(" ".join([e[1] for e in entries]).encode()).hexdigest())
                 text_sha.append(hashlib.sha256(table.decode(ids).encode("utf-8")).hexdigest())
