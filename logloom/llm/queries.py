@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import op1_licenses, op3_mixing, op6_exact_topk
 from .op2_toxicity import op2_toxicity
 from .op5_sentencepiece import op5_sentencepiece
 from .op7_quality_rules import op7_quality_rules
@@ -9,11 +10,18 @@ from .op8_token_files import op8_token_files
 from .op9_language import op9_language
 
 QUERIES = {
+    "op1_licenses": op1_licenses.op1_licenses,
     "op2_toxicity": op2_toxicity,
+    "op3_mixing": op3_mixing.op3_mixing,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_exact_topk": op6_exact_topk.op6_exact_topk,
     "op7_quality_rules": op7_quality_rules,
     "op8_token_files": op8_token_files,
     "op9_language": op9_language,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_licenses": op1_licenses.oracle_sql(),
+    "op3_mixing": op3_mixing.oracle_sql(),
+    "op6_exact_topk": op6_exact_topk.ORACLE_SQL,
+}
