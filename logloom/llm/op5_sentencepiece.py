@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch_of, column, slices
+from .memory import Memory
 
 SPACE = "▁"
 #: Units (in each of two generations) and compatibility answers a worker remembers.
@@ -93,8 +94,7 @@ class PieceTable:
         self.courses: dict[str, tuple] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.number = [str(i) for i in range(len(self.pieces))]
-        self.young: dict[str, tuple[bytes, str]] = {}
-        self.old: dict[str, tuple[bytes, str]] = {}
+        self.units = Memory(self._entries, UNITS_KEPT, UNIT_CHARS)
         # what an id adds to a text; a byte below 128 is a character of its own
         surface = [p.replace(SPACE, " ") for p in self.pieces]
         self.high = np.zeros(len(surface), dtype=bool)
@@ -210,21 +210,10 @@ class PieceTable:
             ids = self.ids_of(unit)
         return array("i", ids).tobytes(), " ".join([self.number[i] for i in ids])
 
-    def _units(self, units: list[str]) -> list[tuple[bytes, str]]:
-        """The entries (ids as bytes, ids as text) of units, remembered in two generations; a unit
-        is a word that a space precedes, or a line break with what follows it."""
-        young, old = self.young, self.old
-        found = list(map(young.get, units))
-        if None in found:
-            for n in [n for n, entry in enumerate(found) if entry is None]:
-                unit = units[n]
-                entry = young.get(unit) or old.get(unit) or self._entry(unit if unit[:1] == "\n" else SPACE + unit)
-                if len(unit) <= UNIT_CHARS:
-                    young[unit] = entry
-                found[n] = entry
-            if len(young) > UNITS_KEPT:
-                self.young, self.old = {}, young
-        return found
+    def _entries(self, units: list[str]) -> list[tuple[bytes, str]]:
+        """The entries (ids as bytes, ids as text) of units: words that a space precedes, or line
+        breaks with what follows them."""
+        return [self._entry(unit if unit[:1] == "\n" else SPACE + unit) for unit in units]
 
     def entries(self, text: str) -> list[tuple[bytes, str]]:
         """The entries of the units of ``text``, in order."""
@@ -232,7 +221,7 @@ class PieceTable:
             return []
         if self.cuts and self.breaks and self.dummy and text[0] != " " and "  " not in text and SPACE not in text:
             # a unit is a word with its space mark, or a line break with what follows it
-            return self._units(text.replace("\n", " \n").split(" "))
+            return self.units.all(text.replace("\n", " \n").split(" "))
         marked = text.replace(" ", SPACE)
         if self.dummy:
             marked = SPACE + marked

@@ -21,6 +21,7 @@ null; an empty table gives no files and no rows.  Other columns are ignored.
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 import zlib
@@ -35,6 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batch_of, column, partitions, scratch_path, slices, written
+from .memory import Memory
 
 #: Encoded units a worker remembers in each of two generations.
 UNITS_KEPT = 300_000
@@ -59,6 +61,7 @@ class UnitEncoder:
     """
 
     def __init__(self, path: str, dtype: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a worker on each core
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype(dtype)
@@ -66,8 +69,8 @@ class UnitEncoder:
         self.width = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)  # one character a byte
         for token, i in vocabulary.items():
             self.width[i] = len(token)
-        self.words = Memory(self.joined)
-        self.units = Memory(self.tailed)
+        self.words = Memory(self.joined, UNITS_KEPT)
+        self.units = Memory(self.tailed, UNITS_KEPT)
         self.tails: dict[str, bytes] = {}
 
     def alone(self, units: list[str]) -> list[bytes]:
@@ -103,7 +106,7 @@ class UnitEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
-        firsts, units, spans, odd = [], [], [], []
+        firsts, at, odd = [], [], []
         for i, text in enumerate(texts):
             if not text:
                 continue
@@ -113,39 +116,15 @@ class UnitEncoder:
                 continue
             first, *rest = text.replace("\n", " \n").split(" ")
             firsts.append(first)
-            spans.append((i, len(units), len(units) + len(rest)))
-            units += rest
-        found = self.units.all(units)
-        for first, (i, lo, hi) in zip(self.alone(firsts), spans):
-            out[i] = first + b"".join(found[lo:hi])
+            at.append(i)
+            out[i] = b"".join(self.units.all(rest))  # text by text: what was looked up is still in the CPU's caches
+        for i, first in zip(at, self.alone(firsts)):
+            out[i] = first + out[i]
         for i in odd:
             out[i] = b"".join(self.alone([texts[i]] if "<|" in texts[i] else _CUT.split(texts[i])))
         return out
 
 
-class Memory:
-    """Encoded units of two generations: when the younger is full it becomes the older."""
-
-    def __init__(self, encode):
-        self.encode, self.young, self.old = encode, {}, {}
-
-    def all(self, units: list[str]) -> list[bytes]:
-        """The ids of every one of ``units``."""
-        if len(self.young) > UNITS_KEPT:
-            self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        found = list(map(young.get, units))
-        if None in found:
-            missing = [n for n, f in enumerate(found) if f is None]
-            new = {units[n] for n in missing}
-            young.update([(u, old[u]) for u in new if u in old])
-            new = [u for u in new if u not in old]
-            young.update(zip(new, self.encode(new)))
-            for n in missing:
-                found[n] = young[units[n]]
-        return found
-
-
 @lru_cache(maxsize=2)
 def unit_encoder(path: str, dtype: str) -> UnitEncoder:
     """One encoder for each worker process, so that later tasks find its memory filled."""
