@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_licenses, op3_mixing, op6_exact_topk
+from . import op1_licenses, op3_mixing, op4_line_dedup, op6_exact_topk
 from .op2_toxicity import op2_toxicity
 from .op5_sentencepiece import op5_sentencepiece
 from .op7_quality_rules import op7_quality_rules
@@ -13,6 +13,7 @@ QUERIES = {
     "op1_licenses": op1_licenses.op1_licenses,
     "op2_toxicity": op2_toxicity,
     "op3_mixing": op3_mixing.op3_mixing,
+    "op4_line_dedup": op4_line_dedup.op4_line_dedup,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_exact_topk": op6_exact_topk.op6_exact_topk,
     "op7_quality_rules": op7_quality_rules,
