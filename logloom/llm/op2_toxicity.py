@@ -2,7 +2,7 @@
 
 Examples are at most ``EXAMPLES`` labelled rows of the learning fold, chosen
 by hash of the key.  Terms are lower-cased words and their first
-four and five letters; the vocabulary holds the terms whose presence in an example
+four letters; the vocabulary holds the terms whose presence in an example
 depends most on its label (chi-square, at most ``VOCABULARY`` terms).  Inverse
 document frequencies are counted over all documents.  A text's neighbours are
 its ``NEIGHBOURS`` examples with the largest cosine of TF-IDF vectors over the
@@ -11,7 +11,7 @@ index: examples lie in blocks, each term knows its largest weight in each
 block, and blocks are opened in order of their upper bound until no bound
 reaches the last neighbour.
 
-Neighbours vote with weight 1 / (distance + 0.05).  A logistic curve fitted to
+Neighbours vote with weight (1 - distance)^2 / (distance + 0.05).  A logistic curve fitted to
 the leave-one-out votes of the examples turns a vote into a probability; a
 text that shares no term with any example gets the share of toxic examples
 among the examples of that kind.  The nearest examples are the evidence.
@@ -46,8 +46,12 @@ LEAST_CHI2 = 20.0
 LEAST_EXAMPLES = 5
 NEIGHBOURS = 15
 BLOCK = 128
+FIRST_BLOCKS = 4
+FAR_WEIGHT = 0.1
+#: Answers a worker remembers for vectors that repeat.
+ANSWERS_KEPT = 20_000
 #: Lengths of the word beginnings that are terms.
-STEMS = (4, 5)
+STEMS = (4,)
 #: Documents with a score from here on are predicted toxic.
 THRESHOLD = 0.3
 
@@ -90,6 +94,7 @@ class Index:
         self.most = np.zeros(len(vocabulary) * self.blocks)
         np.maximum.at(self.most, slot, self.weight)
         self.most = self.most.reshape(len(vocabulary), self.blocks)
+        self.answers: dict[bytes, tuple] = {}
         self.curve = (0.0, 0.0)
         self.alone = 0.0
 
@@ -98,50 +103,67 @@ class Index:
         if not text:
             return np.empty(0, int), np.empty(0)
         place, stems = self.place, self.stems
-        found: dict[int, int] = {}
-        for word, n in Counter(_WORD.findall(text.lower())).items():
-            i = place.get(word)
-            if i is not None:
-                found[i] = found.get(i, 0) + n
-            for k in STEMS:
-                if len(word) > k:
-                    i = stems.get(word[:k])
-                    if i is not None:
-                        found[i] = found.get(i, 0) + n
+        words = _WORD.findall(text.lower())
+        different = set(words)
+        begun = [{w[:k] for w in different if len(w) > k} & stems.keys() for k in STEMS]
+        hits = different & place.keys()
+        if not hits and not any(begun):
+            return np.empty(0, int), np.empty(0)
+        counts = Counter(words)
+        found = {place[word]: counts[word] for word in hits}
+        for k, some in zip(STEMS, begun):
+            for word, n in counts.items():
+                if len(word) > k and word[:k] in some:
+                    found[stems[word[:k]]] = found.get(stems[word[:k]], 0) + n
         return weigh(found, self.idf)
 
+    def answer(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest examples of a text and their cosines; equal vectors are answered once."""
+        at, w = self.vector(text)
+        name = at.tobytes() + w.tobytes()
+        found = self.answers.get(name)
+        if found is None:
+            if len(self.answers) >= ANSWERS_KEPT:
+                self.answers.clear()
+            found = self.answers[name] = self.nearest(at, w)
+        return found
+
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The k examples (numbers) with the largest cosine above 0, ties to the smaller key, and their cosines."""
         bounds = w @ self.most[at] if len(at) else np.zeros(self.blocks)
         order = np.argsort(-bounds, kind="stable")
         order = order[bounds[order] > 0]
         rows, cosines = np.empty(0, int), np.empty(0)
-        at_a_time, i = 2, 0
-        while i < len(order):
-            if len(rows) >= k and bounds[order[i]] < cosines[k - 1] - 1e-9:
-                break
-            opened = order[i:i + at_a_time]
-            i += at_a_time
-            at_a_time *= 2
-            sums = np.zeros((len(opened), BLOCK))
-            for n, b in enumerate(opened):
-                for t, x in zip(at * self.blocks + b, w):
-                    lo, hi = self.ptr[t], self.ptr[t + 1]
-                    if hi > lo:
-                        sums[n, self.row[lo:hi] - b * BLOCK] += x * self.weight[lo:hi]
-            n, j = np.nonzero(sums)
-            new = opened[n] * BLOCK + j
-            rows = np.concatenate((rows, new))
-            cosines = np.concatenate((cosines, np.round(sums[n, j], 12)))
+        while len(order):
+            # first the few best blocks, then every block that can still reach the last neighbour
+            least = cosines[k - 1] - 1e-9 if len(rows) >= k else -np.inf
+            if not len(rows):
+                opened, order = order[:FIRST_BLOCKS], order[FIRST_BLOCKS:]
+            else:
+                opened, order = order[bounds[order] >= least], order[:0]
+            new, cos = self._open(at, w, opened)
             if without is not None:
-                rows, cosines = rows[self.keys[rows] != without], cosines[self.keys[rows] != without]
+                cos, new = cos[self.keys[new] != without], new[self.keys[new] != without]
+            rows, cosines = np.concatenate((rows, new)), np.concatenate((cosines, cos))
             best = np.lexsort((self.keys[rows], -cosines))[:k]
             rows, cosines = rows[best], cosines[best]
         return rows, cosines
 
+    def _open(self, at: np.ndarray, w: np.ndarray, opened: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The examples in the opened blocks that share a term, and their cosines."""
+        slots = (at[:, None] * self.blocks + opened).ravel()
+        lo = self.ptr[slots]
+        n = self.ptr[slots + 1] - lo
+        postings = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        sums = np.bincount(self.row[postings], np.repeat(np.repeat(w, len(opened)), n) * self.weight[postings], minlength=len(self.keys))
+        rows = np.flatnonzero(sums)
+        return rows, np.round(sums[rows], 12)
+
     def vote(self, rows: np.ndarray, cosines: np.ndarray) -> float:
-        weight = 1 / (np.maximum(0.0, 1 - cosines) + 0.05)
-        return float(weight @ self.labels[rows] / weight.sum())
+        """The weighted share of toxic neighbours; a little weight goes to the share of all examples, so
+        that far neighbours alone decide nothing."""
+        weight = cosines ** 2 / (np.maximum(0.0, 1 - cosines) + 0.05)
+        return float((weight @ self.labels[rows] + FAR_WEIGHT * self.labels.mean()) / (weight.sum() + FAR_WEIGHT))
 
     def score(self, rows: np.ndarray, cosines: np.ndarray) -> float:
         if not len(rows):
@@ -227,6 +249,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     known = known.select("k", F.col("y").cast("int").alias("y")).orderBy(F.xxhash64("k"), "k").limit(EXAMPLES)
     rows = docs.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
     examples = rows.join(F.broadcast(known), "k")  # at most EXAMPLES rows
+    examples = examples.groupBy("t").agg(F.min(F.struct("k", "y")).alias("e")).select("e.k", "e.y", "t")  # copies would outvote others
     examples = examples.groupBy("k", "y").agg(F.min("t").alias("t"))  # repeated keys
     counts = {r.y: r.n for r in examples.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not counts.get(0) or not counts.get(1):
@@ -266,7 +289,7 @@ def score(docs: DataFrame, index: Index | None, key: str = "doc_id", text: str =
         for batch in slices(batches, "_text"):
             scores, evidence = [], []
             for t in column(batch, "_text").to_pylist():
-                rows, cosines = m.nearest(*m.vector(t)) if m is not None else ((), ())
+                rows, cosines = m.answer(t) if m is not None else ((), ())
                 scores.append(m.score(rows, cosines) if m is not None else 0.0)
                 evidence.append([f"{m.keys[r]}:{m.labels[r]}:{c:.4f}" for r, c in zip(rows[:3], cosines[:3])])
             yield pa.RecordBatch.from_arrays(

@@ -13,10 +13,12 @@ component only the first line (smallest document key, then line number) stays.
 
 Only DataFrame functions run, and no Python.  Equal lines are one line from
 the first aggregation on (partial, so a line in a third of all rows is one row
-for each task).  In a band, every line is first compared with the band's
-smallest line; what these links join needs no further comparison, and only
-lines of different components that still share a band are compared in a second
-step, where the comparison of signatures is part of the join.  Links and
+for each task).  Every line is first compared with
+the one it seems most like among the smallest lines of its bands, then, in the
+bands that hold lines of different components, with another line of each; what
+these links join needs no further comparison.  Only lines of different
+components that still share a band are compared all with all, where the
+comparison of signatures is part of the join.  Links and
 components stay distributed tables.
 
 Defined cases: lines without a character besides white space are no lines and
@@ -41,7 +43,7 @@ from .components import components
 SHINGLE = 8
 SIMILARITY = 0.8
 VALUES = 16
-LEAST_AGREEMENT = 8
+LEAST_AGREEMENT = 9
 #: Rows of a lookup (about 50 bytes each) up to which it is broadcast; beyond, it is joined by a shuffle.
 BROADCAST_ROWS = 500_000
 _random = random.Random(1)
@@ -55,7 +57,7 @@ BANDS = [[4 * x + y for y in range(4)] for x in range(4)] + [
 def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(doc, place, line): the lines that count."""
     cut = docs.select(F.col(key).cast("long").alias("doc"), F.posexplode(F.split(F.col(text).cast("string"), "\n")).alias("place", "line"))
-    return cut.where(F.trim(F.translate("line", "\t\r\f\u000b", "    ")) != "")
+    return cut.where(F.btrim("line", F.lit(" \t\r\f\u000b")) != "")
 
 
 def _place() -> Column:
@@ -69,24 +71,26 @@ def _hashes() -> tuple[Column, Column]:
     return F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2")
 
 
-def _shingled(rows: DataFrame, *keep: str) -> DataFrame:
-    """A row for each shingle of ``line``: ``keep``, ``i`` (its number), ``x`` (its hash).  Four bytes
-    a character make a shingle a slice."""
-    rows = rows.withColumn("_b", F.encode("line", "UTF-32")).withColumn("_n", F.greatest(F.lit(0), F.char_length("line") - SHINGLE))
-    rows = rows.select(*keep, "_b", F.explode(F.sequence(F.lit(0), "_n")).alias("i"))
-    return rows.select(*keep, "i", F.xxhash64(F.expr(f"substring(_b, 4 * i + 1, {4 * SHINGLE})")).alias("x"))
+def _shingle(binary: str, number: str) -> Column:
+    """The hash of a shingle; four bytes a character make it a slice."""
+    return F.xxhash64(F.expr(f"substring({binary}, 4 * ({number}) + 1, {4 * SHINGLE})"))
 
 
-def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each different line: id, h1, h2, first (place), n (occurrences), m0 .. m15."""
-    rows = lines(docs, key, text).select(*_hashes(), _place().alias("p"), "line")
-    rows = _shingled(rows, "h1", "h2", "p").withColumn("y", F.shiftrightunsigned("x", 32).cast("long").bitwiseAND(0xFFFFFFFF))
-    rows = rows.withColumn("y", (F.col("y") - (1 << 31)).cast("int"))
-    first = F.col("i") == 0
-    found = rows.groupBy("h1", "h2").agg(
-        F.min(F.when(first, F.col("p"))).alias("first"), F.sum(F.when(first, F.lit(1))).alias("n"),
-        *[F.min(F.col("y").bitwiseXOR(F.lit(c))).alias(f"m{i}") for i, c in enumerate(POINTS)])
-    return written(found.withColumn("id", F.monotonically_increasing_id()), "op4-signatures")
+def different_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row for each different line: id, h1, h2, first (place), n (occurrences)."""
+    found = lines(docs, key, text).select(*_hashes(), _place().alias("p"))
+    found = found.groupBy("h1", "h2").agg(F.min("p").alias("first"), F.count("*").alias("n"))
+    return written(found.withColumn("id", F.monotonically_increasing_id()), "op4-lines")
+
+
+def signatures(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """id, m0 .. m15 of each different line."""
+    rows = lines(docs, key, text)
+    rows = rows.select(*_hashes(), F.encode("line", "UTF-32").alias("b"), F.greatest(F.lit(0), F.char_length("line") - SHINGLE).alias("last"))
+    rows = rows.select("h1", "h2", "b", F.explode(F.sequence(F.lit(0), "last")).alias("i")).select(
+        "h1", "h2", F.shiftright(_shingle("b", "i"), 32).cast("int").alias("y"))
+    found = rows.groupBy("h1", "h2").agg(*[F.min(F.col("y").bitwiseXOR(F.lit(c))).alias(f"m{i}") for i, c in enumerate(POINTS)])
+    return written(found.join(known.select("h1", "h2", "id"), ["h1", "h2"]).drop("h1", "h2"), "op4-signatures")
 
 
 def _agreement(a: str, b: str) -> Column:
@@ -96,59 +100,78 @@ def _agreement(a: str, b: str) -> Column:
     return total
 
 
-def _verified(pairs: DataFrame, sig: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have the wanted similarity."""
+def _verified(pairs: DataFrame, known: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """The pairs (a, b) whose whole shingle sets have the wanted similarity."""
     needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    needed = written(sig.join(needed, "id", "left_semi").select("id", "h1", "h2", "first"), "op4-needed")
+    needed = written(known.join(needed, "id", "left_semi").select("id", "h1", "h2", "first"), "op4-needed")
     wanted = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
-    rows = lines(docs, key, text).select(*_hashes(), _place().alias("p"), "line").join(wanted, ["h1", "h2"]).where("p = first")
-    sets = _shingled(rows, "id").groupBy("id").agg(F.collect_set("x").alias("s"))  # the shingles of one line
-    sets = written(sets, "op4-sets")
-    found = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(
-        sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    # sizes first: they bound the similarity
-    found = found.where((F.size("sa") >= SIMILARITY * F.size("sb")) & (F.size("sb") >= SIMILARITY * F.size("sa")))
-    found = found.withColumn("_i", F.size(F.array_intersect("sa", "sb")))
-    return found.where(F.col("_i") >= SIMILARITY * (F.size("sa") + F.size("sb") - F.col("_i"))).select("a", "b")
-
-
-def line_components(docs: DataFrame, sig: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    texts = lines(docs, key, text).select(*_hashes(), _place().alias("p"), "line").join(wanted, ["h1", "h2"]).where("p = first")
+    texts = written(texts.select("id", "line").dropDuplicates(["id"]), "op4-texts")
+    both = pairs.select("a", "b").join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(
+        texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
+    both = both.repartition("a", "b")  # texts move, their shingles don't
+    size = lambda c: F.greatest(F.lit(1), F.char_length(c) - (SHINGLE - 1))
+    both = both.select("a", "b", F.encode("la", "UTF-32").alias("ba"), F.encode("lb", "UTF-32").alias("bb"), size("la").alias("na"), size("lb").alias("nb"))
+    rows = both.select("a", "b", "ba", "bb", "na", F.explode(F.sequence(F.lit(0), F.col("na") + F.col("nb") - 1)).alias("i"))
+    rows = rows.select("a", "b", F.when(F.col("i") < F.col("na"), _shingle("ba", "i")).otherwise(_shingle("bb", "i - na")).alias("x"),
+                       F.when(F.col("i") < F.col("na"), 1).otherwise(2).alias("side"))
+    sets = rows.groupBy("a", "b", "x").agg(F.bit_or("side").alias("sides"))
+    found = sets.groupBy("a", "b").agg(F.count("*").alias("n"), F.sum((F.col("sides") == 3).cast("long")).alias("shared"))
+    return found.where(F.col("shared") >= SIMILARITY * F.col("n")).select("a", "b")
+
+
+def line_components(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, root) of the lines that are linked to another line."""
     ms = [f"m{i}" for i in range(VALUES)]
+    sig = signatures(docs, known, key, text)
     keys = F.array(*[F.xxhash64(F.lit(n), *[f"m{i}" for i in band]) for n, band in enumerate(BANDS)])
-    banded = sig.select("id", F.explode(keys).alias("band"))
     band = Window.partitionBy("band")
-    shared = banded.withColumn("c", F.min("id").over(band)).withColumn("z", F.max("id").over(band)).where("c <> z")
+    shared = sig.select("id", F.explode(keys).alias("band"))
+    shared = shared.withColumn("c", F.min("id").over(band)).withColumn("z", F.max("id").over(band)).where("c <> z")
     shared = written(shared.select("band", "id", "c"), "op4-shared")
 
-    def alike(pairs: DataFrame) -> DataFrame:
-        looked = pairs.alias("p").join(sig.select("id", *ms).alias("x"), F.col("p.a") == F.col("x.id")).join(
-            sig.select("id", *ms).alias("y"), F.col("p.b") == F.col("y.id"))
-        return looked.where(_agreement("x", "y") >= LEAST_AGREEMENT).select("p.a", "p.b")
+    def likest(pairs: DataFrame) -> DataFrame:
+        """Each id of (id, c) with the c whose signature agrees most: (a, b)."""
+        looked = pairs.join(sig.alias("x"), "id").join(sig.select(F.col("id").alias("c"), *ms).alias("y"), "c")
+        looked = looked.select("id", "c", _agreement("x", "y").alias("n")).where(F.col("n") >= LEAST_AGREEMENT)
+        return looked.groupBy(F.col("id").alias("a")).agg(F.max_by("c", F.struct("n", -F.col("c"))).alias("b"))
+
+    def mixed(found: DataFrame) -> DataFrame:
+        """(band, id, root) of the bands that lines of different components share."""
+        labelled = shared.join(found, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
+        several = labelled.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
+        return labelled.join(several, "band", "left_semi")
+
+    stars = written(likest(shared.where("id <> c").select("id", "c").distinct()), "op4-pairs")
+    links = written(_verified(stars, known, docs, key, text), "op4-links")
+    found = written(components(links, "op4-stars"), "op4-components")
 
-    stars = written(alike(shared.where("id <> c").select(F.col("id").alias("a"), F.col("c").alias("b")).distinct()), "op4-pairs")
-    links = written(_verified(stars, sig, docs, key, text), "op4-links")
+    # once more, with another line of each band that is still mixed
+    rows = written(mixed(found), "op4-mixed")
+    other = rows.groupBy("band").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id", "root")).alias("o")).select("band", F.col("o.id").alias("c"), F.col("o.root").alias("r"))
+    again = rows.join(other, "band").where("root <> r").select("id", "c").distinct()
+    tested = written(likest(again).join(stars, ["a", "b"], "left_anti"), "op4-pairs")
+    links = written(links.union(_verified(tested, known, docs, key, text)), "op4-links")
     found = written(components(links, "op4-stars"), "op4-components")
 
-    # lines of different components that share a band
-    labelled = shared.join(found, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
-    mixed = labelled.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2")
-    mixed = written(labelled.join(mixed.select("band"), "band", "left_semi").join(sig.select("id", *ms), "id"), "op4-mixed")
-    rest = mixed.alias("x").join(mixed.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.id") > F.col("y.id"))
-                                 & (F.col("x.root") != F.col("y.root")) & (_agreement("x", "y") >= LEAST_AGREEMENT))
+    # what lines of different components still share a band
+    rows = written(mixed(found).join(sig, "id"), "op4-mixed")
+    rest = rows.alias("x").join(rows.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.id") > F.col("y.id"))
+                                & (F.col("x.root") != F.col("y.root")) & (_agreement("x", "y") >= LEAST_AGREEMENT))
     rest = rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    rest = written(rest.join(stars, ["a", "b"], "left_anti"), "op4-rest")
-    if rest.isEmpty():
-        return found
-    more = written(_verified(rest, sig, docs, key, text), "op4-more-links")
-    return written(components(links.union(more), "op4-stars"), "op4-components")
+    for done in (stars, tested):
+        done = done.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        rest = rest.join(done, ["a", "b"], "left_anti")
+    rest = written(rest, "op4-rest")
+    more = written(links.union(_verified(rest, known, docs, key, text)), "op4-links")
+    return written(components(more, "op4-stars"), "op4-components")
 
 
 def dropped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, places): for each document key that loses lines, their numbers."""
-    sig = signatures(docs, key, text)
-    roots = line_components(docs, sig, key, text)
-    joined = sig.select("id", "h1", "h2", "first", "n").join(roots, "id", "left")
+    known = different_lines(docs, key, text)
+    roots = line_components(docs, known, key, text)
+    joined = known.join(roots, "id", "left")
     keeps = joined.where("root is not null").groupBy("root").agg(F.min("first").alias("keep"))
     doubled = joined.where("root is not null or n > 1").join(keeps, "root", "left")
     doubled = written(doubled.select("h1", "h2", F.coalesce("keep", "first").alias("keep")), "op4-doubled")

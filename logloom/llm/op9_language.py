@@ -4,7 +4,7 @@ A text becomes a vector of hashed character n-grams (one to three letters,
 word borders included), weighted by damped term frequency and inverse
 document frequency and scaled to length one.  Document frequencies are
 counted over every learning document.  For each language, spherical k-means
-makes several centroids from at most ``PER_LANGUAGE`` documents chosen by hash
+makes several centroids from about ``PER_LANGUAGE`` documents chosen by hash
 of the key.  A text gets the language of the centroid with the largest
 cosine; it is marked as rejected when it is farther away than nearly all
 learning documents of that language are from theirs.
@@ -22,13 +22,13 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch_of, column, held_out, slices
 
 DIMENSIONS = 1 << 13
-#: Documents of each language that centroids are made from, at most.
+#: Documents of each language that centroids are made from (expected; twice as many at most).
 PER_LANGUAGE = 1000
 CENTROIDS, ROUNDS = 4, 12
 #: Share of learning documents that the rejection distance leaves outside.
@@ -123,8 +123,10 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     rows = rows.select(F.col(key).cast("long").alias("k"), F.col(lang).cast("string").alias("l"), F.col(text).cast("string").alias("t"))
     df, n = document_frequencies(rows)
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
-    order = Window.partitionBy("l").orderBy(F.xxhash64("k"), "k")
-    chosen = rows.select("k", "l").withColumn("r", F.row_number().over(order)).where(F.col("r") <= PER_LANGUAGE).select("k", "l")
+    # a hash of the key below PER_LANGUAGE / documents of the language; no group of a language is ever sorted
+    sizes = rows.groupBy("l").agg(F.count("*").alias("n"))
+    share = F.pmod(F.xxhash64("k"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    chosen = rows.select("k", "l").join(sizes, "l").where(share * F.col("n") < PER_LANGUAGE).select("k", "l").distinct()
     out = pa.schema([("l", pa.string()), ("k", pa.int64()), ("at", pa.list_(pa.int32())), ("w", pa.list_(pa.float32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +138,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
                 yield batch_of(out, [[s[0] for s in some], [s[1] for s in some], at, [s[2][a] for s, a in zip(some, at)]])
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("k", kind="stable").head(PER_LANGUAGE)
+        pdf = pdf.sort_values("k", kind="stable").head(2 * PER_LANGUAGE)
         x = np.zeros((len(pdf), DIMENSIONS), dtype=np.float32)
         for i, (at, w) in enumerate(zip(pdf["at"], pdf["w"])):
             x[i, at] = w
@@ -144,7 +146,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
         least = float(np.quantile(np.max(x @ c.T, axis=1), OUTSIDE))
         return pd.DataFrame({"l": pdf["l"].iloc[0], "j": range(len(c)), "c": [list(map(float, v)) for v in c], "least": least})
 
-    rows = rows.join(F.broadcast(chosen), ["k", "l"], "left_semi")  # at most PER_LANGUAGE rows a language
+    rows = rows.join(F.broadcast(chosen), ["k", "l"], "left_semi")  # about PER_LANGUAGE rows a language
     picked = rows.mapInArrow(run, "l string, k long, at array<int>, w array<float>")
     picked = picked.groupBy("l", "k").agg(F.min(F.struct("at", "w")).alias("v")).select("l", "k", "v.at", "v.w")  # repeated keys
     found = picked.groupBy("l").applyInPandas(fit, "l string, j int, c array<float>, least double").collect()
