@@ -284,26 +284,31 @@ def encode_documents(docs: DataFrame, model: str, end_id: int | None = 2, text:
     return rows.mapInArrow(run, schema)
 
 
-def digests(docs: DataFrame, model: str, end_id: int | None = 2, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, n_tokens, ids_sha256, decoded_sha256: the digests of ``encode_documents``, made in
-    the same task so that neither ids nor decoded texts leave Python."""
-    out = pa.schema([(key, pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+def digests(docs: DataFrame, model: str, end_id: int | None = 2, text: str = "text", key: str = "doc_id",
+            with_ids: bool = False) -> DataFrame:
+    """key, n_tokens, ids_sha256, decoded_sha256 (and ids, an array): the digests of
+    ``encode_documents``, made in the same task so that decoded texts don't leave Python."""
+    out = pa.schema([(key, pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()),
+                     *([("ids", pa.list_(pa.int32()))] if with_ids else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = piece_table(model)
         tail = [] if end_id is None else [(np.array([end_id], dtype=np.int32).tobytes(), str(end_id))]
         for batch in slices(batches, "_text"):
-            n, ids_sha, text_sha = [], [], []
+            n, ids_sha, text_sha, every = [], [], [], []
             for t in column(batch, "_text").to_pylist():
                 entries = table.entries(t or "") + tail
                 ids = np.frombuffer(b"".join([e[0] for e in entries]), dtype=np.int32)
                 n.append(len(ids))
+                if with_ids:
+                    every.append(ids)
                 ids_sha.append(hashlib.sha256(" ".join([e[1] for e in entries]).encode()).hexdigest())
                 text_sha.append(hashlib.sha256(table.decode(ids).encode("utf-8")).hexdigest())
-            yield batch_of(out, [column(batch, key), n, ids_sha, text_sha])
+            yield batch_of(out, [column(batch, key), n, ids_sha, text_sha, *([every] if with_ids else [])])
 
     rows = docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias("_text"))
-    return rows.mapInArrow(run, f"`{key}` long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(run, f"`{key}` long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+                            + (", ids array<int>" if with_ids else ""))
 
 
 def op5_sentencepiece(spark, sf_dir: str) -> DataFrame:
@@ -312,3 +317,9 @@ def op5_sentencepiece(spark, sf_dir: str) -> DataFrame:
 
     from .common import table
     return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def sentencepiece_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: doc_id, n_tokens, the digests and the ids of every document."""
+    import public_tokenizers
+    return digests(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=True)

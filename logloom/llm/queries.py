@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import op1_licenses, op3_mixing, op4_line_dedup, op6_exact_topk
+from .op10_ngram_join import op10_ngram_join
 from .op2_toxicity import op2_toxicity
 from .op5_sentencepiece import op5_sentencepiece
 from .op7_quality_rules import op7_quality_rules
@@ -19,6 +20,7 @@ QUERIES = {
     "op7_quality_rules": op7_quality_rules,
     "op8_token_files": op8_token_files,
     "op9_language": op9_language,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
