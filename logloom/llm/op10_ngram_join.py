@@ -125,8 +125,12 @@ def plan(band: int, classes: int) -> tuple[int, bool]:
     size = (lo + hi) / 2
     single = need + ceil(SPARE * need) + 2
     empty = exp(-size / single)
-    unavoidable = max(0.0, 1 - (single - need) / max(single * empty, 1e-9))
-    single_cost = single + CANDIDATE_COST * classes * single * empty * empty * unavoidable
+    # a class has more empty segments than it can leave out: a Poisson tail
+    mean, term, within = single * empty, exp(-single * empty), 0.0
+    for i in range(single - need + 1):
+        within += term
+        term *= mean / (i + 1)
+    single_cost = single + CANDIDATE_COST * classes * single * empty * empty * max(0.0, 1 - within)
     double = ceil(need / 2)
     c = size / double
     near_empty = exp(-c) * (1 + c)

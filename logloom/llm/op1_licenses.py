@@ -119,7 +119,7 @@ def sentences(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row for each sentence that has an identifier, with all columns of ``docs`` but the text:
     ``_place``, ``_sentence`` (as written), ``_identifier``."""
     speaks = F.translate(F.col(text).cast("string"), _UPPER + "\n\t\r", _LOWER + "   ").rlike(_MAY)
-    cut = F.split(F.regexp_replace(F.col(text).cast("string"), "([.;:!?])[ \\t\\r\\n]+", "$1\n"), "\n")
+    cut = F.split(F.regexp_replace(F.col(text).cast("string"), "([.;!?])[ \\t\\r\\n]+", "$1\n"), "\n")
     rows = docs.where(speaks).select(*[c for c in docs.columns if c != text], F.posexplode(cut).alias("_place", "_sentence"))
     return rows.withColumn("_identifier", identifier(normalised(F.col("_sentence")))).where(F.col("_identifier").isNotNull())
 
@@ -168,8 +168,8 @@ def oracle_sql() -> str:
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, text FROM documents WHERE text IS NOT NULL
 ), c AS (
-  SELECT r, doc_id, unnest(string_split(regexp_replace(text, '([.;:!?])[ \\t\\r\\n]+', '\\1' || chr(10), 'g'), chr(10))) AS raw,
-         generate_subscripts(string_split(regexp_replace(text, '([.;:!?])[ \\t\\r\\n]+', '\\1' || chr(10), 'g'), chr(10)), 1) AS place
+  SELECT r, doc_id, unnest(string_split(regexp_replace(text, '([.;!?])[ \\t\\r\\n]+', '\\1' || chr(10), 'g'), chr(10))) AS raw,
+         generate_subscripts(string_split(regexp_replace(text, '([.;!?])[ \\t\\r\\n]+', '\\1' || chr(10), 'g'), chr(10)), 1) AS place
   FROM d
   WHERE regexp_matches(translate(text, '{_UPPER}' || chr(10) || chr(9) || chr(13), '{_LOWER}   '), '{_MAY}')
 ), n AS (

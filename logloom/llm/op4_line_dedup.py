@@ -183,30 +183,33 @@ def dropped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the remaining lines as its text, and ``_lines`` and ``_kept`` (counts)."""
-    gone = dropped(docs, key, text).select(F.col("doc").alias("_doc"), "places")
+    gone = dropped(docs, key, text).select(F.col("doc").alias("_doc"), F.col("places").alias("_places"))
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS // 10 else gone
     rows = docs.join(gone, F.col(key).cast("long").eqNullSafe(F.col("_doc")), "left")
     cut = F.split(F.col(text).cast("string"), "\n")
-    kept = F.filter(cut, lambda x, i: ~F.array_contains("places", i))
-    new = F.when(F.col("places").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
-    # a key that repeats with other texts may name lines a text does not have
-    return (rows.withColumn("_lines", F.coalesce(F.size(cut), F.lit(0)).cast("long"))
-            .withColumn("_kept", F.when(F.col("places").isNull(), F.col("_lines")).otherwise(F.size(kept)).cast("long"))
-            .withColumn(text, new).drop("_doc", "places"))
+    kept = F.filter(cut, lambda x, i: ~F.array_contains("_places", i))
+    new = F.when(F.col("_places").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
+    whole = F.col(text).isNull() | F.col("_places").isNull()
+    return (rows.withColumn("_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size(cut)).cast("long"))
+            .withColumn("_kept", F.when(whole, F.col("_lines")).otherwise(F.size(kept)).cast("long"))
+            .withColumn(text, new).drop("_doc", "_places"))
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
     """Registered query: doc_id, n_lines (cut at line breaks), n_kept and md5 of the remaining text of every document."""
     out = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.col("_lines")).alias("n_lines"),
-                      F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.col("_kept")).alias("n_kept"),
+    return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_kept").alias("n_kept"),
                       F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 def line_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every document, without the lines that repeat an earlier one."""
+    """Pipeline stage: the documents without the lines that repeat an earlier one.  A document goes
+    if that takes all its lines; one that had none stays."""
     names = docs.columns
-    out = dedup(docs)
+    had = F.coalesce(F.btrim(F.col("text").cast("string"), F.lit(" \n\t\r\f\u000b")) != "", F.lit(False))
+    out = dedup(docs.withColumn("_had", had))
+    left = F.btrim(F.col("text").cast("string"), F.lit(" \n\t\r\f\u000b")) != ""
+    out = out.where(~F.col("_had") | left)
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*names)

@@ -25,6 +25,7 @@ ignored (and kept where ``keep`` names them).
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import re
 from array import array
@@ -40,6 +41,7 @@ from .common import batch_of, column, slices
 from .memory import Memory
 
 SPACE = "▁"
+codecs.register_error("each_byte", lambda e: ("\ufffd", e.start + 1))  # one replacement for each byte that fits nowhere
 #: Units (in each of two generations) and compatibility answers a worker remembers.
 UNITS_KEPT = 250_000
 PAIRS_KEPT = 1_000_000
@@ -68,7 +70,8 @@ class PieceTable:
         if model.trainer_spec.model_type != 2 or not model.trainer_spec.byte_fallback:
             raise ValueError("only BPE models with byte fallback are supported")
         self.dummy = spec.add_dummy_prefix
-        self.bytes, self.pieces, skipped = {}, [], set()
+        self.bytes, self.pieces, unknown = {}, [], {}
+        self.unknown: set[int] = set()
         self.score, self.id_of = {}, {}
         for i, piece in enumerate(model.pieces):
             self.pieces.append(piece.piece)
@@ -77,8 +80,11 @@ class PieceTable:
                 self.id_of[piece.piece] = i
             elif piece.type == 6:
                 self.bytes[i] = int(piece.piece[3:5], 16)
-            elif piece.type in (2, 3):
-                skipped.add(i)
+            elif piece.type == 2:
+                unknown[i] = model.trainer_spec.unk_surface
+                self.unknown.add(i)
+            elif piece.type == 3:
+                unknown[i] = ""
             else:
                 raise ValueError(f"piece type {piece.type} is not supported")
         self.byte_id = {b: i for i, b in self.bytes.items()}
@@ -100,8 +106,8 @@ class PieceTable:
         self.high = np.zeros(len(surface), dtype=bool)
         for i, b in self.bytes.items():
             surface[i], self.high[i] = chr(b), b > 127
-        for i in skipped:
-            surface[i] = ""
+        for i, mark in unknown.items():
+            surface[i] = mark
         self.surface = np.array(surface, dtype=object)
 
     def course(self, token: str) -> tuple:
@@ -246,12 +252,15 @@ class PieceTable:
                     run.append(self.bytes[i])
                     continue
                 if run:
-                    parts.append(run.decode("utf-8", "replace"))
+                    parts.append(run.decode("utf-8", "each_byte"))
                     run = bytearray()
                 parts.append(self.surface[i])
-            parts.append(run.decode("utf-8", "replace"))
+            parts.append(run.decode("utf-8", "each_byte"))
             text = "".join(parts)
-        return text[1:] if self.dummy and text.startswith(" ") else text
+        if self.dummy and text.startswith(" "):
+            first = next(i for i in ids.tolist() if self.surface[i])
+            return text if first in self.unknown else text[1:]  # the mark for unknown ids keeps its space
+        return text
 
 
 @lru_cache(maxsize=2)
