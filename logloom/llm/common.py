@@ -30,11 +30,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, keep_shuffles: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: computed once, short
-    lineage, and it survives the loss of any executor."""
+    lineage, and it survives the loss of any executor.  The shuffle files behind
+    it are needed no more; a collection of the driver's garbage lets Spark's
+    cleaner delete them now (``keep_shuffles``: whenever it comes)."""
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    if not keep_shuffles:
+        df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -14,7 +14,7 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     Large-star and small-star steps in turn: each id's neighbours are linked to the
     smallest one instead.  An id with very many neighbours is aggregated before it
     is shuffled, and joined to a single row, which adaptive execution can split.
-    Every step is written to the shared folder; only counts and a checksum of the
+    Every pair of steps is written to the shared folder; only counts and a checksum of the
     links reach the driver.
     """
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
@@ -23,11 +23,10 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        edges = written(large, name)
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        small = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             least.select("u", F.col("m").alias("v"))).distinct()
-        edges = written(small, name)
+        edges = written(small, name, keep_shuffles=True)
         now = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if (now.n, now.x) == state:
             break

@@ -14,11 +14,10 @@ component only the first line (smallest document key, then line number) stays.
 Only DataFrame functions run, and no Python.  Equal lines are one line from
 the first aggregation on (partial, so a line in a third of all rows is one row
 for each task).  Every line is first compared with
-the one it seems most like among the smallest lines of its bands, then, in the
-bands that hold lines of different components, with another line of each; what
-these links join needs no further comparison.  Only lines of different
-components that still share a band are compared all with all, where the
-comparison of signatures is part of the join.  Links and
+the one it seems most like among the smallest lines of its bands; what these
+links join needs no further comparison.  Only lines of different components that
+still share a band are compared all with all, where the comparison of
+signatures is part of the join.  Links and
 components stay distributed tables.
 
 Defined cases: lines without a character besides white space are no lines and
@@ -37,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import table, written
+from .common import partitions, table, written
 from .components import components
 
 SHINGLE = 8
@@ -109,8 +108,8 @@ def _verified(pairs: DataFrame, known: DataFrame, docs: DataFrame, key: str, tex
     texts = written(texts.select("id", "line").dropDuplicates(["id"]), "op4-texts")
     both = pairs.select("a", "b").join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(
         texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
-    both = both.repartition("a", "b")  # texts move, their shingles don't
     size = lambda c: F.greatest(F.lit(1), F.char_length(c) - (SHINGLE - 1))
+    both = both.repartition(partitions(docs.sparkSession), "a", "b")  # texts move, their shingles don't
     both = both.select("a", "b", F.encode("la", "UTF-32").alias("ba"), F.encode("lb", "UTF-32").alias("bb"), size("la").alias("na"), size("lb").alias("nb"))
     rows = both.select("a", "b", "ba", "bb", "na", F.explode(F.sequence(F.lit(0), F.col("na") + F.col("nb") - 1)).alias("i"))
     rows = rows.select("a", "b", F.when(F.col("i") < F.col("na"), _shingle("ba", "i")).otherwise(_shingle("bb", "i - na")).alias("x"),
@@ -146,23 +145,13 @@ def line_components(docs: DataFrame, known: DataFrame, key: str = "doc_id", text
     links = written(_verified(stars, known, docs, key, text), "op4-links")
     found = written(components(links, "op4-stars"), "op4-components")
 
-    # once more, with another line of each band that is still mixed
-    rows = written(mixed(found), "op4-mixed")
-    other = rows.groupBy("band").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id", "root")).alias("o")).select("band", F.col("o.id").alias("c"), F.col("o.root").alias("r"))
-    again = rows.join(other, "band").where("root <> r").select("id", "c").distinct()
-    tested = written(likest(again).join(stars, ["a", "b"], "left_anti"), "op4-pairs")
-    links = written(links.union(_verified(tested, known, docs, key, text)), "op4-links")
-    found = written(components(links, "op4-stars"), "op4-components")
-
     # what lines of different components still share a band
     rows = written(mixed(found).join(sig, "id"), "op4-mixed")
     rest = rows.alias("x").join(rows.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.id") > F.col("y.id"))
                                 & (F.col("x.root") != F.col("y.root")) & (_agreement("x", "y") >= LEAST_AGREEMENT))
     rest = rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    for done in (stars, tested):
-        done = done.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        rest = rest.join(done, ["a", "b"], "left_anti")
-    rest = written(rest, "op4-rest")
+    done = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    rest = written(rest.join(done, ["a", "b"], "left_anti"), "op4-rest")
     more = written(links.union(_verified(rest, known, docs, key, text)), "op4-links")
     return written(components(more, "op4-stars"), "op4-components")
 
