@@ -47,7 +47,7 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str | None = None) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str | None = None, rows: int = ROWS_AT_A_TIME) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that few rows, and few bytes of column ``text``, are Python objects at once."""
     for batch in batches:
         lo, n = 0, batch.num_rows
@@ -55,11 +55,11 @@ def slices(batches: Iterator[pa.RecordBatch], text: str | None = None) -> Iterat
         if text is not None and n:
             lengths = np.nan_to_num(pc.binary_length(batch.column(batch.schema.get_field_index(text))).to_numpy(zero_copy_only=False).astype(float))
         while lo < n:
-            hi = min(n, lo + ROWS_AT_A_TIME)
+            hi = min(n, lo + rows)
             if lengths is not None:
                 total = np.cumsum(lengths[lo:hi])
                 hi = lo + max(1, int(np.searchsorted(total, BYTES_AT_A_TIME)))
-                hi = min(hi, n, lo + ROWS_AT_A_TIME)
+                hi = min(hi, n, lo + rows)
             yield batch.slice(lo, hi - lo)
             lo = hi
 

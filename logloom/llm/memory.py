@@ -18,26 +18,20 @@ class Memory:
         self.old: dict = {}
 
     def all(self, units: list[str]) -> list:
-        """What every one of ``units`` (those of one text) is encoded to."""
+        """What every one of ``units`` is encoded to."""
         found = list(map(self.young.get, units))
         new = [n for n, f in enumerate(found) if f is None]
         if new:
-            self._learn(units, new, found)
+            for n, entry in zip(new, self._learn([units[n] for n in new])):
+                found[n] = entry
         return found
 
-    def _learn(self, units: list[str], places: list[int], found: list) -> None:
+    def _learn(self, units: list[str]) -> list:
         if len(self.young) > self.size:
             self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        unknown = []
-        for unit in {units[n] for n in places}:
-            if unit in old:
-                young[unit] = old[unit]
-            else:
-                unknown.append(unit)
-        long = [u for u in unknown if len(u) > self.longest]
-        young.update(zip(unknown, self.encode(unknown)))
-        for n in places:
-            found[n] = young[units[n]]
-        for unit in long:
-            del young[unit]
+        found = list(map(self.old.get, units))
+        new = [n for n, f in enumerate(found) if f is None]
+        for n, entry in zip(new, self.encode([units[n] for n in new])):
+            found[n] = entry
+        self.young.update([(u, e) for u, e in zip(units, found) if len(u) <= self.longest])
+        return found

@@ -31,6 +31,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,12 +40,12 @@ from .common import batch_of, column, partitions, scratch_path, slices, written
 from .memory import Memory
 
 #: Encoded units a worker remembers in each of two generations.
-UNITS_KEPT = 120_000
+UNITS_KEPT = 220_000
 #: Stands for a null key in a .key file.
 NULL_KEY = np.iinfo(np.int64).min
 
 _CUT = re.compile(r"(?<=[!-~])(?= [!-~])")
-_TAILED = re.compile(r"(\n?)([A-Za-zÀ-ÖØ-öø-ƿ]*)([,.;:!?]{1,3})")
+_FIRST = "\x01"  # marks the first word of a text, which no space precedes
 
 
 class UnitEncoder:
@@ -78,10 +79,15 @@ class UnitEncoder:
         return [np.asarray(c.ids, dtype=self.dtype).tobytes() for c in coded]
 
     def joined(self, words: list[str]) -> list[bytes]:
-        """The ids of words (a space before each), or of line breaks with a word."""
-        size, out = self.dtype.itemsize, []
-        for i in range(0, len(words), 2048):
-            some = [w if w[:1] == "\n" else " " + w for w in words[i:i + 2048]]
+        """The ids of words (a space before each), of line breaks with a word, and of first words."""
+        first = [n for n, w in enumerate(words) if w[:1] == _FIRST]
+        size, out = self.dtype.itemsize, [b""] * len(words)
+        for n, ids in zip(first, self.alone([words[n][1:] for n in first])):
+            out[n] = ids
+        rest = [n for n, w in enumerate(words) if w[:1] != _FIRST]
+        for i in range(0, len(rest), 2048):
+            places = rest[i:i + 2048]
+            some = [words[n] if words[n][:1] == "\n" else " " + words[n] for n in places]
             ids = np.asarray(self.tokenizer.encode("".join(some), add_special_tokens=False).ids, dtype=self.dtype)
             ends = np.cumsum(self.width[ids])
             cuts = np.cumsum([len(w.encode()) for w in some])
@@ -89,37 +95,53 @@ class UnitEncoder:
             if (ends[at - 1] != cuts).any():
                 raise AssertionError("a token across two units")
             data, lo = ids.tobytes(), 0
-            for hi in at.tolist():
-                out.append(data[lo * size:hi * size])
+            for n, hi in zip(places, at.tolist()):
+                out[n] = data[lo * size:hi * size]
                 lo = hi
         return out
 
     def tailed(self, units: list[str]) -> list[bytes]:
         """The same; letters and the stops after them, which the pattern always parts, apart."""
-        parts = []
+        stems, tails, known = [], [], self.tails
         for unit in units:
-            m = _TAILED.fullmatch(unit)
-            parts.append((m[1] + m[2], m[3]) if m and m[2] else (unit, ""))
-        for tail in {t for _, t in parts} - self.tails.keys():
-            self.tails[tail] = self.alone([tail])[0]
-        return [w + self.tails[t] for w, (_, t) in zip(self.words.all([p[0] for p in parts]), parts)]
+            stem = unit.rstrip(",.;:!?")
+            if stem is not unit and stem.isalpha() and len(unit) - len(stem) < 4:
+                stems.append(stem)
+                tail = unit[len(stem):]
+                if tail not in known:
+                    known[tail] = self.alone([tail])[0]
+                tails.append(known[tail])
+            else:
+                stems.append(unit)
+                tails.append(b"")
+        return [w + t for w, t in zip(self.words.all(stems), tails)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
-        firsts, at, odd = [], [], []
+        plain, at, odd = [], [], []
         for i, text in enumerate(texts):
             if not text:
                 continue
             flat = text.replace("\n", " ")
             if "  " in flat or flat[0] == " " or flat[-1] == " " or "<|" in flat or not flat.isprintable():
                 odd.append(i)
-                continue
-            first, *rest = text.replace("\n", " \n").split(" ")
-            firsts.append(first)
-            at.append(i)
-            out[i] = b"".join(self.units.all(rest))  # text by text: what was looked up is still in the CPU's caches
-        for i, first in zip(at, self.alone(firsts)):
-            out[i] = first + out[i]
+            else:
+                at.append(i)
+                plain.append(_FIRST + text.replace("\n", " \n"))
+        if plain:  # Arrow finds the different units; ids are then put together by position
+            split = pc.split_pattern(pa.array(plain), " ")
+            units = split.values.dictionary_encode()
+            found = self.units.all(units.dictionary.to_pylist())
+            which = units.indices.to_numpy()
+            lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // self.dtype.itemsize
+            ids = np.frombuffer(b"".join(found), dtype=self.dtype)
+            starts = np.cumsum(lengths) - lengths
+            each = lengths[which]
+            ends = np.concatenate(([0], np.cumsum(each)))
+            ids = ids[np.repeat(starts[which] - ends[:-1], each) + np.arange(ends[-1])]
+            cuts = ends[split.offsets.to_numpy()]
+            for n, i in enumerate(at):
+                out[i] = ids[cuts[n]:cuts[n + 1]].tobytes()
         for i in odd:
             out[i] = b"".join(self.alone([texts[i]] if "<|" in texts[i] else _CUT.split(texts[i])))
         return out
@@ -144,7 +166,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, dtype: str, b
         encoder = unit_encoder(tokenizer, dtype)
         end = np.asarray([end_id], dtype=dtype).tobytes()
         edges = np.asarray(bounds, dtype=np.int64)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", rows=1024):
             keys = column(batch, "key")
             filled = keys.fill_null(int(NULL_KEY)).to_numpy(zero_copy_only=False)
             ids = encoder.encode(column(batch, "text").to_pylist())
