@@ -260,21 +260,20 @@ def linked(docs: DataFrame, classes: DataFrame, key: str = "doc_id", text: str =
     used = rows.groupBy("key").agg(F.max("looks").alias("used"), F.max(F.struct("hub", "c1", "looks")).alias("h"))
     used = used.where("used").select("key", F.col("h.c1").alias("c"), F.col("h.looks").alias("c_looks"))
     met = written(rows.select("key", "c1", "looks").join(used, "key"), "op10-met")
-    nodes = rows.groupBy("c1").agg(F.collect_list(F.when(own, F.col("key"))).alias("own"), F.collect_list("key").alias("every"),
+    short = F.shiftright("key", 32).cast("int")  # half a key; halves that are equal by chance only let a pair pass
+    nodes = rows.groupBy("c1").agg(F.collect_list(F.when(own, short)).alias("own"), F.collect_list(short).alias("every"),
                                    F.max("spare").alias("spare"))  # the keys of one class
     nodes = written(nodes.join(classes.select("c1", "n"), "c1"), "op10-nodes")
 
-    def fits(x: str, y: str) -> Column:
+    def enough(big: str, small: str) -> Column:
         """Sizes allow similarity, and the larger shares enough of its keys."""
-        big, small = (lambda c: F.when(F.col(f"{x}.n") >= F.col(f"{y}.n"), F.col(f"{x}.{c}")).otherwise(F.col(f"{y}.{c}"))), (
-            lambda c: F.when(F.col(f"{x}.n") >= F.col(f"{y}.n"), F.col(f"{y}.{c}")).otherwise(F.col(f"{x}.{c}")))
-        shared = F.size(F.array_intersect(big("own"), small("every")))
-        return (DEN * small("n") >= NUM * big("n")) & (shared > F.greatest(big("spare"), F.lit(0)))
+        shared = F.size(F.array_intersect(F.col(f"{big}.own"), F.col(f"{small}.every")))
+        return (DEN * F.col(f"{small}.n") >= NUM * F.col(f"{big}.n")) & (shared > F.greatest(F.col(f"{big}.spare"), F.lit(0)))
 
     # each class with the best-connected class of its keys that it shares most keys with
     stars = met.where("c1 <> c and (looks or c_looks)").groupBy("c1", "c").agg(F.count("*").alias("m"))
     stars = stars.groupBy("c1").agg(F.max_by("c", F.struct("m", "c")).alias("c"))
-    stars = stars.join(nodes.alias("x"), "c1").join(nodes.withColumnRenamed("c1", "c").alias("y"), "c").where(fits("x", "y"))
+    stars = stars.join(nodes.alias("x"), "c1").join(nodes.withColumnRenamed("c1", "c").alias("y"), "c").where(F.when(F.col("x.n") >= F.col("y.n"), enough("x", "y")).otherwise(enough("y", "x")))
     stars = written(stars.select(F.col("c1").alias("a"), F.col("c").alias("b")), "op10-pairs")
     links = written(_verified(stars, classes, docs, key, text), "op10-links")
     found = written(components(links, "op10-stars"), "op10-components")
@@ -282,9 +281,11 @@ def linked(docs: DataFrame, classes: DataFrame, key: str = "doc_id", text: str =
     # what lies in different components still
     labelled = met.select("key", "c1", "looks").join(found.withColumnRenamed("id", "c1"), "c1", "left").withColumn("root", F.coalesce("root", "c1"))
     several = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    mixed = written(labelled.join(several, "key", "left_semi").join(nodes, "c1"), "op10-mixed")
-    rest = mixed.where("looks").alias("x").join(mixed.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root"))
-                                               & (F.col("x.n") >= F.col("y.n")) & fits("x", "y"))
+    mixed = written(labelled.join(several, "key", "left_semi"), "op10-mixed")
+    big = mixed.where("looks").select("key", "c1", "root").join(nodes.select("c1", "n", "spare", "own"), "c1")
+    small = mixed.select("key", "c1", "root").join(nodes.select("c1", "n", "every"), "c1")
+    rest = big.alias("x").join(small.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root"))
+                               & (F.col("x.n") >= F.col("y.n")) & enough("x", "y"))
     rest = rest.select(F.greatest("x.c1", "y.c1").alias("a"), F.least("x.c1", "y.c1").alias("b")).distinct()
     rest = rest.join(stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
     rest = written(rest, "op10-rest")
