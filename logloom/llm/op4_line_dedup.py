@@ -82,19 +82,24 @@ def different_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return written(found.withColumn("id", F.monotonically_increasing_id()), "op4-lines")
 
 
+def _sketched(rows: DataFrame, points: list[int], *key: str) -> DataFrame:
+    """``key`` and m0, m1 .. of the lines ``b`` (encoded) with shingles 0 to ``last``."""
+    rows = rows.select(*key, "b", F.explode(F.sequence(F.lit(0), "last")).alias("i")).select(
+        *key, F.shiftright(_shingle("b", "i"), 32).cast("int").alias("y"))
+    return rows.groupBy(*key).agg(*[F.min(F.col("y").bitwiseXOR(F.lit(c))).alias(f"m{i}") for i, c in enumerate(points)])
+
+
 def signatures(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """id, m0 .. m15 of each different line."""
     rows = lines(docs, key, text)
     rows = rows.select(*_hashes(), F.encode("line", "UTF-32").alias("b"), F.greatest(F.lit(0), F.char_length("line") - SHINGLE).alias("last"))
-    rows = rows.select("h1", "h2", "b", F.explode(F.sequence(F.lit(0), "last")).alias("i")).select(
-        "h1", "h2", F.shiftright(_shingle("b", "i"), 32).cast("int").alias("y"))
-    found = rows.groupBy("h1", "h2").agg(*[F.min(F.col("y").bitwiseXOR(F.lit(c))).alias(f"m{i}") for i, c in enumerate(POINTS)])
+    found = _sketched(rows, POINTS, "h1", "h2")
     return written(found.join(known.select("h1", "h2", "id"), ["h1", "h2"]).drop("h1", "h2"), "op4-signatures")
 
 
-def _agreement(a: str, b: str) -> Column:
+def _agreement(a: str, b: str, values: int = VALUES) -> Column:
     total = F.lit(0)
-    for i in range(VALUES):
+    for i in range(values):
         total = total + (F.col(f"{a}.m{i}") == F.col(f"{b}.m{i}")).cast("int")
     return total
 
@@ -106,10 +111,9 @@ def _verified(pairs: DataFrame, known: DataFrame, docs: DataFrame, key: str, tex
     wanted = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
     texts = lines(docs, key, text).select(*_hashes(), _place().alias("p"), "line").join(wanted, ["h1", "h2"]).where("p = first")
     texts = written(texts.select("id", "line").dropDuplicates(["id"]), "op4-texts")
-    both = pairs.select("a", "b").join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(
-        texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
+    both = pairs.select("a", "b").join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b").repartition(partitions(docs.sparkSession), "a").join(
+        texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a")  # shingles of a pair stay where its texts are
     size = lambda c: F.greatest(F.lit(1), F.char_length(c) - (SHINGLE - 1))
-    both = both.repartition(partitions(docs.sparkSession), "a", "b")  # texts move, their shingles don't
     both = both.select("a", "b", F.encode("la", "UTF-32").alias("ba"), F.encode("lb", "UTF-32").alias("bb"), size("la").alias("na"), size("lb").alias("nb"))
     rows = both.select("a", "b", "ba", "bb", "na", F.explode(F.sequence(F.lit(0), F.col("na") + F.col("nb") - 1)).alias("i"))
     rows = rows.select("a", "b", F.when(F.col("i") < F.col("na"), _shingle("ba", "i")).otherwise(_shingle("bb", "i - na")).alias("x"),
