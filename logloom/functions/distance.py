@@ -111,7 +111,7 @@ def ratcliff_distance(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def distance(name: str, a, b) -> Column:
     """Distance by name: jaccard (default), lcs, levenshtein, cosine, ratcliff."""
-    if name in ("jaccard", "LILAC"):
+    if name == "jaccard":
         return jaccard_text_distance(a, b)
     if name == "lcs":
         return lcs_distance(a, b)

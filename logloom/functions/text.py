@@ -136,11 +136,13 @@ def match_pattern(tok) -> Column:
     """Java regex over a signature for a template's tokens.
 
     A static token must equal the message token; ``<*>`` takes zero or more
-    whole tokens.  One capture group per wildcard (G27).
+    whole tokens: nothing, or anything up to a separator (no group repeats, so
+    Java's matcher does not recurse on long lines).  One capture group per
+    wildcard (G27).
     """
     parts = F.transform(
         _c(tok),
-        lambda t: F.when(t == WILDCARD, F.lit("((?:[^" + SEP + "]*" + SEP + ")*?)"))
+        lambda t: F.when(t == WILDCARD, F.lit("((?:[\\s\\S]*?" + SEP + ")??)"))
         .otherwise(F.concat(F.lit(r"\Q"), t, F.lit(r"\E" + SEP))))
     return F.concat(F.lit("^"), F.array_join(parts, ""), F.lit("$"))
 
@@ -154,10 +156,30 @@ def placeholders_to_wildcards(col) -> Column:
     return F.regexp_replace(_c(col), r"\{(\w+)\}", WILDCARD)
 
 
+# Java repeats groups by recursion, which ends the JVM on very long runs.  The
+# three masks that repeat a group first try the run as whole words with
+# possessive repeats, which need no recursion; where that finds too few words,
+# the mask itself decides, with at most MAX_REPEAT repeats.
+MAX_REPEAT = 300
+_END, _GAP = "(?![A-Za-z0-9])", "(?: (?=[^A-Za-z0-9]|$))?+"
+_RUNS = {0: (r"(([0-9a-f]{2,}:){3,}([0-9a-f]{2,}))", "[0-9a-f]{2,}+(?::[0-9a-f]{2,}+" + _END + "){3,}+"),
+         2: (r"([0-9a-f]{6,} ?){3,}", "[0-9a-f]{6,}+(?: [0-9a-f]{6,}+" + _END + "){2,}+" + _GAP),
+         3: (r"([0-9A-F]{4} ?){4,}", "(?:[0-9A-F]{4})++(?: (?:[0-9A-F]{4})++" + _END + "){3,}+" + _GAP)}
+
+
+def safe_masks() -> list[str]:
+    """The variable masks, fit for very long lines."""
+    out = list(VARIABLE_MASKS)
+    for i, (run, whole) in _RUNS.items():
+        bounded = run.replace("{3,}", "{3,%d}" % MAX_REPEAT).replace("{4,}", "{4,%d}" % MAX_REPEAT)
+        out[i] = out[i].replace(run, f"(?:{whole}|{bounded})")
+    return out
+
+
 def mask_variables(col) -> Column:
     """The seven variable masks, in order."""
     out = _c(col)
-    for pat in VARIABLE_MASKS:
+    for pat in safe_masks():
         out = F.regexp_replace(out, pat, WILDCARD)
     return out
 

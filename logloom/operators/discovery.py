@@ -16,8 +16,7 @@ set-at-a-time job:
    rest go to the next round.
 
 With the rule proposer every signature whose template matches itself is
-settled after two rounds.  After ``max_rounds`` the remaining signatures take
-their own proposal, which is what a sequential miss does as well.  The
+settled after two rounds; the rounds go on until no signature is pending.  The
 pending table and the template table are checkpointed each round into the
 shared checkpoint folder.
 """
@@ -125,20 +124,16 @@ def _add_templates(T: DataFrame, new: DataFrame, group_col: str | None = None) -
     """Append (template, first_line) rows; the same token path replaces
     the older template.
 
-    A new id is ``max(existing id) + first_line``: unique (a line has one
-    signature), later than every existing id, and in discovery order within
-    the round, without a global window."""
+    New ids follow the largest existing id in order of first line (then token
+    path): unique whatever the line numbers are, later than every existing id,
+    and without a global window."""
+    from logloom.session import ranked
     G = [group_col] if group_col else []
     new = new.withColumn("path", keyed_signature("template", group_col))
     new = new.groupBy(*G, "path").agg(F.min_by("template", "first_line").alias("template"),
                                       F.min("first_line").alias("first_line"))
     top = T.agg(F.max("template_id").alias("m")).first()["m"]
-    base = -1 if top is None else int(top)
-    if G:   # first lines repeat across datasets: spread ids by a per-dataset stride
-        new = new.withColumn("template_id", (F.lit(base) + 1 + F.col("first_line") * 1_000_003
-                                             + F.pmod(F.xxhash64(*G), F.lit(1_000_003))).cast("long"))
-    else:
-        new = new.withColumn("template_id", (F.lit(base) + F.col("first_line")).cast("long"))
+    new = ranked(new, ["first_line", "path"], "template_id", 0 if top is None else int(top) + 1)
     kept = T.withColumn("path", keyed_signature("template", group_col)).join(new.select("path"), "path", "left_anti")
     return kept.select("template_id", "template", *G).unionByName(new.select("template_id", "template", *G))
 
@@ -147,7 +142,7 @@ WINDOWS = (0.01, 0.1, 1.0)
 
 
 def discover(lines: DataFrame, templates: DataFrame | None = None, proposer: Proposer | None = None,
-             examples: DataFrame | None = None, k: int = 3, max_rounds: int = 8,
+             examples: DataFrame | None = None, k: int = 3,
              content_col: str = "Content", order_col: str = "LineId",
              stats: list | None = None, windows=WINDOWS, sigs_out: list | None = None,
              group_col: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -178,7 +173,9 @@ def discover(lines: DataFrame, templates: DataFrame | None = None, proposer: Pro
     span = pending.agg(F.min("first_line").alias("lo"), F.max("first_line").alias("hi")).first()
     lo, hi = (span["lo"] or 0), (span["hi"] or 0)
     done: list[DataFrame] = []
-    for rnd in range(max_rounds):
+    rnd = -1
+    while True:  # a round with misses settles at least its representatives
+        rnd += 1
         share = windows[min(rnd, len(windows) - 1)]
         bound = lo + int((hi - lo + 1) * share)
         if n_templates == 0:
@@ -195,8 +192,7 @@ def discover(lines: DataFrame, templates: DataFrame | None = None, proposer: Pro
             if sigs_out is not None and n_templates > 0:
                 sigs_out.append(matcher)   # T unchanged since: the caller may reuse it
             break
-        last = rnd == max_rounds - 1
-        if not last and share < 1.0:
+        if share < 1.0:
             later = miss.filter(F.col("first_line") > bound)
             miss = miss.filter(F.col("first_line") <= bound)
         else:
@@ -207,11 +203,8 @@ def discover(lines: DataFrame, templates: DataFrame | None = None, proposer: Pro
             "sig", F.lit(None).cast("long").alias("template_id"), F.lit(None).cast("string").alias("template"),
             F.lit("general").alias("source")))
         live = live.filter(F.col("rule_template").isNotNull())
-        if last:
-            reps = live
-        else:
-            reps = live.groupBy("key").agg(F.min_by(F.struct("sig", *G, "rep_content", "rule_template", "first_line"),
-                                                    "first_line").alias("r")).select("r.*")
+        reps = live.groupBy("key").agg(F.min_by(F.struct("sig", *G, "rep_content", "rule_template", "first_line"),
+                                                "first_line").alias("r")).select("r.*")
         reps = cut_lineage(propose(reps, proposer, examples, k, group_col)
                            .withColumn("path", keyed_signature("proposal", group_col)), "proposals")
         T = cut_lineage(_add_templates(T, reps.select(F.col("proposal").alias("template"), "first_line", *G), group_col),
@@ -222,8 +215,6 @@ def discover(lines: DataFrame, templates: DataFrame | None = None, proposer: Pro
                     .select("sig", "template_id", F.col("proposal").alias("template"), F.lit("proposal").alias("source")))
         if stats is not None:
             stats.append({"round": rnd + 1, "window": share, "misses": n_miss, "proposals": reps.count()})
-        if last:
-            break
         keep = ["sig", *G, "first_line", "rep_content", "n_lines"]
         rest = live.join(reps.select("sig"), "sig", "left_anti").select(*keep)
         if later is not None:
@@ -236,7 +227,7 @@ def discover(lines: DataFrame, templates: DataFrame | None = None, proposer: Pro
 
 
 def parse(lines: DataFrame, templates: DataFrame | None = None, proposer: Proposer | None = None,
-          examples: DataFrame | None = None, k: int = 3, max_rounds: int = 8,
+          examples: DataFrame | None = None, k: int = 3,
           content_col: str = "Content", order_col: str = "LineId",
           group_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Structured log: every line with EventTemplate and EventId.
@@ -251,23 +242,18 @@ def parse(lines: DataFrame, templates: DataFrame | None = None, proposer: Propos
     Since a line's template depends only on its signature, the E1 ids (order
     of first appearance) come from the distinct-signature table and reach the
     lines through a broadcast join on the template.  When the template table
-    is too large for the map-side match, the per-signature assignment is
-    joined back instead.
+    is too large for the map-side match, the distinct signatures are ranked
+    against the same final table by a join and joined back: the result is the
+    same.
 
     Returns ``(structured, templates)``."""
-    from pyspark.sql import Window
-    from logloom.operators.matching import assign_event_ids, build_matcher
+    from logloom.operators.matching import build_matcher, event_ids
     sigs_out: list = []
     G = [group_col] if group_col else []
-    assigned, T = discover(lines, templates, proposer, examples, k, max_rounds, content_col, order_col,
+    assigned, T = discover(lines, templates, proposer, examples, k, content_col=content_col, order_col=order_col,
                            sigs_out=sigs_out, group_col=group_col)
     reused = sigs_out[1] if len(sigs_out) > 1 else None
     matcher = reused if reused is not None else build_matcher(T, group_col=group_col)
-    matched = matcher.apply(lines, content_col) if matcher is not None else None
-    if matched is None:
-        x = lines.withColumn("sig", keyed_signature(content_col, group_col))
-        out = x.join(assigned.select("sig", F.col("template").alias("EventTemplate")), "sig", "left").drop("sig")
-        return assign_event_ids(out, "EventTemplate", order_col, G), T
     # proposals are rows of the written per-round tables: counting them is a metadata-sized read
     props = assigned.filter(F.col("source") == "proposal").select("sig", F.col("template").alias("_prop"))
     props = F.broadcast(props) if props.count() <= 2_000_000 else props
@@ -276,15 +262,18 @@ def parse(lines: DataFrame, templates: DataFrame | None = None, proposer: Propos
         return (df.join(props, "sig", "left")
                 .withColumn("EventTemplate", F.when(F.col("_prop").isNotNull(), F.col("_prop")).otherwise(F.col("template")))
                 .drop("_prop", "template", "template_id"))
-    per_sig = final(matcher.apply(sigs_out[0].select("sig", *G, "first_line"), sig_col="sig"))
+    sigs = sigs_out[0].select("sig", *G, "first_line")
+    if matcher is not None:
+        out = final(matcher.apply(lines, content_col)).drop("sig")
+        per_sig = final(matcher.apply(sigs, sig_col="sig"))
+    else:  # the same ranking against the final table, as a join of the distinct signatures
+        per_sig = cut_lineage(final(best_match(sigs, T, group_col=group_col)).select("sig", *G, "first_line", "EventTemplate"), "final")
+        out = lines.withColumn("sig", keyed_signature(content_col, group_col)).join(per_sig.select("sig", "EventTemplate"), "sig", "left").drop("sig")
     firsts = per_sig.filter(F.col("EventTemplate").isNotNull()).groupBy(*G, "EventTemplate").agg(
         F.min("first_line").alias("_first"))
-    w = (Window.partitionBy(*G) if G else Window.partitionBy()).orderBy("_first", "EventTemplate")
-    ids = firsts.withColumn("EventId", F.concat(F.lit("E"), F.row_number().over(w).cast("string"))) \
-        .drop("_first")  # one row per template
-    ids = F.broadcast(ids)  # one row per template: the matcher's size check bounds it
-    out = final(matched).drop("sig").join(ids, [*G, "EventTemplate"], "left")
-    return out, T
+    ids = event_ids(firsts, "EventTemplate", G)
+    ids = F.broadcast(ids) if matcher is not None else ids  # one row per template: the matcher's size check bounds it
+    return out.join(ids, [*G, "EventTemplate"], "left"), T
 
 
 def merge_similar(templates: DataFrame, threshold: float = 0.8) -> DataFrame:

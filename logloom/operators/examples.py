@@ -58,7 +58,7 @@ def nearest_pairs(queries: DataFrame, examples: DataFrame, k: int = 3, method: s
     example position)."""
     ex = examples.select("pos", "query")
     q = queries.select(key_col, query_col)
-    if method in ("jaccard", "LILAC"):
+    if method == "jaccard":
         cand = _jaccard_candidates(q, ex, key_col, query_col)
     else:
         qk = q.select(key_col, F.explode(_block_keys(F.col(query_col), method)).alias("_u"))

@@ -21,7 +21,7 @@ smaller template id.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions.text import (SEP, WILDCARD, keyed_signature, match_pattern, n_static, n_wild,
@@ -225,20 +225,30 @@ def attach_templates(lines: DataFrame, templates: DataFrame, id_col: str = "temp
     return lines.join(templates.select(id_col, F.col("template").alias("EventTemplate")), id_col, "left")
 
 
+def event_ids(firsts: DataFrame, template_col: str, group_cols=()) -> DataFrame:
+    """E1 for a table of first appearances (groups, template, ``_first``): groups, template, EventId."""
+    from logloom.session import ranked
+    g = list(group_cols)
+    ids = ranked(firsts, [*g, "_first", template_col], "_rank")
+    if g:  # the rank inside a group: less the ranks of the groups before it
+        ids = ids.join(ids.groupBy(*g).agg((F.min("_rank") - 1).alias("_before")), g)
+    else:
+        ids = ids.withColumn("_before", F.lit(0))
+    return ids.select(*g, template_col, F.concat(F.lit("E"), (F.col("_rank") - F.col("_before")).cast("string")).alias("EventId"))
+
+
 def assign_event_ids(parsed: DataFrame, template_col: str = "EventTemplate",
                      order_col: str = "LineId", group_cols=()) -> DataFrame:
     """``E1, E2, ...`` per template in order of first appearance.
 
-    The first appearance per template is a partial aggregate written once;
-    the window runs over that table (one row per template), and the ids
-    reach the lines through a broadcast join when the table is small."""
-    from logloom.session import cut_lineage
+    The first appearance per template is a partial aggregate; the templates
+    are ranked by ranges (``ranked``), and the ids reach the lines through a
+    broadcast join when the table is small."""
     g = list(group_cols)
-    firsts = cut_lineage(parsed.filter(F.col(template_col).isNotNull())
-                         .groupBy(*g, template_col).agg(F.min(order_col).alias("_first")), "first-seen")
-    w = Window.partitionBy(*g).orderBy("_first", template_col) if g else Window.orderBy("_first", template_col)
-    ids = firsts.withColumn("EventId", F.concat(F.lit("E"), F.row_number().over(w).cast("string"))).drop("_first")
-    ids = F.broadcast(ids) if firsts.count() <= 2_000_000 else ids
+    firsts = (parsed.filter(F.col(template_col).isNotNull())
+              .groupBy(*g, template_col).agg(F.min(order_col).alias("_first")))
+    ids = event_ids(firsts, template_col, g)
+    ids = F.broadcast(ids) if ids.count() <= 2_000_000 else ids
     return parsed.join(ids, g + [template_col], "left")
 
 

@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -75,3 +76,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if base.startswith("file:"):
         base = base[len("file:"):]
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def ranked(df: DataFrame, order: list[str], name: str, start: int = 1) -> DataFrame:
+    """``df`` with the long column ``name``: start, start + 1, .. in the order of the columns ``order``.
+
+    The rows are range-partitioned and sorted in their partitions; the driver
+    gets the row count of each partition, and every row its offset plus its
+    place.  No task sees more than its range."""
+    rows = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
+    rows = cut_lineage(rows.withColumn("_mid", F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright("_mid", 33)
+    counts = sorted((r["p"], r["n"]) for r in rows.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
+    offsets, at = {}, start
+    for p, n in counts:
+        offsets[p] = at
+        at += n
+    if not offsets:
+        return rows.withColumn(name, F.lit(None).cast("long")).drop("_mid")
+    lookup = F.create_map(*[F.lit(x) for pair in offsets.items() for x in pair])
+    return rows.withColumn(name, (F.element_at(lookup, part) + F.col("_mid").bitwiseAND((1 << 33) - 1)).cast("long")).drop("_mid")

@@ -54,56 +54,47 @@ def lookup_format(dataset: str, variant: str = "2k") -> str:
     raise KeyError(dataset)
 
 
+FIELD = re.compile(r"<([^<>]+)>")
+# an opening parenthesis that captures: not escaped, not followed by a question mark
+CAPTURE = re.compile(r"(?<!\\)(?:\\\\)*\((?!\?)")
+# parts the captured headers in a replacement, and marks a line that fits
+_PART = "\x00\x1f"
+
+
 def compile_format(log_format: str) -> tuple[list[str], str, list[int]]:
     """A1: headers, one anchored Java regex, and the capture-group number of
-    every header.  Literal parts keep their own regex (they may contain
-    groups such as ``(\\[<PID>\\])?``); runs of spaces become ``\\s+``."""
-    pieces = re.split(r"(<[^<>]+>)", log_format)
-    headers: list[str] = []
-    groups: list[int] = []
-    out = []
-    n_groups = 0
-    for k, piece in enumerate(pieces):
-        if k % 2 == 0:
-            lit = re.sub(" +", r"\\s+", piece)
-            out.append(lit)
-            n_groups += _count_capturing(lit)
-        else:
-            n_groups += 1
-            headers.append(piece.strip("<").strip(">"))
-            groups.append(n_groups)
-            out.append("(.*?)")
-    return headers, "^" + "".join(out) + "$", groups
-
-
-def _count_capturing(lit: str) -> int:
-    n, i = 0, 0
-    while i < len(lit):
-        c = lit[i]
-        if c == "\\":
-            i += 2
-            continue
-        if c == "(" and not lit.startswith("(?", i):
-            n += 1
-        i += 1
-    return n
+    every header.  A header takes as little as possible; the text between
+    headers is a regex of its own (it may hold groups, as in
+    ``(\\[<PID>\\])?``) in which a run of spaces stands for any white space."""
+    fields = list(FIELD.finditer(log_format))
+    starts = [0, *(f.end() for f in fields)]
+    ends = [*(f.start() for f in fields), len(log_format)]
+    between = [re.sub(" +", lambda _: r"\s+", log_format[i:j]) for i, j in zip(starts, ends)]
+    opened = [len(CAPTURE.findall(gap)) for gap in between]
+    groups = [sum(opened[:k + 1]) + k + 1 for k in range(len(fields))]
+    # (?s): a carriage return or another Unicode line end inside a line is part of it
+    return [f[1] for f in fields], "(?s)^" + "(.*?)".join(between) + "$", groups
 
 
 def split_headers(lines: DataFrame, log_format: str, line_col: str = "value",
                   keep_unmatched: bool = False) -> DataFrame:
     """A2: apply the format to every line (after strip); keep matching lines.
 
-    Returns the input columns plus one string column per header.  With
-    ``keep_unmatched`` the boolean column ``matched`` is added instead of the
-    filter (used by the load report, A4).
+    The regex runs once for each line: a line that fits is replaced by a mark
+    and its captured headers, which are then split apart.  Returns the input
+    columns plus one string column per header.  With ``keep_unmatched`` the
+    boolean column ``matched`` is added instead of the filter (used by the
+    load report, A4).
     """
     headers, regex, groups = compile_format(log_format)
     stripped = F.regexp_replace(F.col(line_col), r"^\s+|\s+$", "")
-    df = lines.withColumn("_line", stripped)
-    cols = [F.regexp_extract("_line", regex, g).alias(h) for h, g in zip(headers, groups)]
+    taken = F.regexp_replace(stripped, regex, _PART + _PART.join(f"${g}" for g in groups))
+    df = lines.withColumn("_parts", F.split(taken, _PART))
+    fits = F.coalesce(F.col("_parts")[0] == "", F.lit(False)) & (F.size("_parts") == len(headers) + 1)
+    cols = [F.when(fits, F.get("_parts", F.lit(k + 1))).otherwise(F.lit("")).alias(h) for k, h in enumerate(headers)]
     if keep_unmatched:
-        return df.select("*", F.col("_line").rlike(regex).alias("matched"), *cols).drop("_line")
-    return df.filter(F.col("_line").rlike(regex)).select("*", *cols).drop("_line")
+        return df.select(*lines.columns, fits.alias("matched"), *cols)
+    return df.filter(fits).select(*lines.columns, *cols)
 
 
 def consecutive_ids(df: DataFrame, name: str = "LineId", order_cols=None) -> DataFrame:
@@ -152,9 +143,11 @@ def formalize_messages(lines: DataFrame, log_format: str, line_col: str = "value
     return split_headers(cleaned, log_format, line_col)
 
 
-def load_report(lines: DataFrame, log_format: str, line_col: str = "value", group_cols=()) -> DataFrame:
-    """A4: lines, matched lines and loading rate (matched / all)."""
+def load_report(lines: DataFrame, log_format: str, line_col: str = "value", group_cols=(), strict: bool = False) -> DataFrame:
+    """A4: lines, matched lines and loading rate (matched / all).  ``strict`` raises when no line fits."""
     flagged = split_headers(lines, log_format, line_col, keep_unmatched=True)
+    if strict and flagged.filter("matched").isEmpty():
+        raise ValueError("no line fits the log format")
     return flagged.groupBy(*group_cols).agg(
         F.count("*").alias("n_lines"),
         F.sum(F.col("matched").cast("long")).alias("n_matched"),

@@ -29,19 +29,18 @@ LINE_SCHEMA = "LineId long, Content string"
 def _latest_state(spark: SparkSession, state_dir: str, before: int, group_col: str | None = None) -> DataFrame:
     """Template table written by the latest committed batch before ``before``.
 
-    The batch folders are found from the file listing of the state table (no
-    job); only that folder is read."""
-    import re
-    try:
-        files = spark.read.parquet(state_dir).inputFiles()
-    except Exception:  # noqa: BLE001 - no state written yet
-        return empty_templates(spark, group_col)
-    ids = {int(m.group(1)) for f in files for m in [re.search(r"batch_id=(\d+)", f)] if m}
-    done = [b for b in ids if b < before]
+    The batch folders are listed by name and only the latest one with a commit
+    mark is read; a folder that can't be read is an error, not an empty state."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(state_dir)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+    ids = sorted((int(n.partition("=")[2]) for n in names if n.startswith("batch_id=")), reverse=True)
+    done = [b for b in ids if b < before and fs.exists(jvm.org.apache.hadoop.fs.Path(root, f"batch_id={b}/_SUCCESS"))][:1]
     if not done:
         return empty_templates(spark, group_col)
     cols = ["template_id", "template"] + ([group_col] if group_col else [])
-    return spark.read.parquet(os.path.join(state_dir, f"batch_id={max(done)}")).select(*cols)
+    return spark.read.parquet(os.path.join(state_dir, f"batch_id={done[0]}")).select(*cols)
 
 
 def parse_batch(batch: DataFrame, batch_id: int, out_dir: str, state_dir: str,
