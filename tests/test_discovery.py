@@ -159,3 +159,60 @@ def test_stream_many_datasets(spark, sf):
     batch, _ = parse(ev, group_col="dataset")
     exp = sorted((r["dataset"], r["LineId"], r["EventId"], r["EventTemplate"]) for r in batch.collect())
     assert got == exp
+
+
+def test_parse_has_one_meaning_at_any_table_size(spark, monkeypatch):
+    """The map-side match, a broadcast limit of nothing and no literal templates give the same lines."""
+    from logloom.operators import matching
+    tpl = spark.createDataFrame([(1, "job <*> on"), (2, "<*> zzz")], "template_id long, template string")
+    lines = spark.createDataFrame([(1, "job a state on"), (2, "job a state 7")], "LineId long, Content string")
+    want = _result(parse(lines, tpl)[0])
+    assert [t for _, _, t in want] == ["job a state <*>"] * 2
+    monkeypatch.setattr(matching, "MAX_LITERAL_TEMPLATES", 0)
+    assert _result(parse(lines, tpl)[0]) == want
+    monkeypatch.setattr(matching, "BROADCAST_BYTES", 0)
+    assert _result(parse(lines, tpl)[0]) == want
+
+
+def test_many_leading_wildcard_templates(spark):
+    from logloom.operators.matching import match_messages
+    tpl = spark.createDataFrame([(i, f"<*> word{i}") for i in range(1000)], "template_id long, template string")
+    lines = spark.createDataFrame([(i, f"some word{i}") for i in range(0, 1000, 50)], "LineId long, Content string")
+    got = match_messages(lines, tpl).collect()
+    assert all(r.template_id == r.LineId for r in got) and len(got) == 20
+
+
+def test_new_template_ids_never_collide(spark):
+    """Line numbers from 0, or as large as a log of 10^12 lines has, in several datasets."""
+    tpl = spark.createDataFrame([(0, "a b", "x"), (10**15, "e f", "y")], "template_id long, template string, dataset string")
+    rows = [(0, "c d", "x"), (1, "a b", "x"), (10**12, "g h", "y"), (10**12, "i j", "x"), (10**12 + 1, "k l", "y")]
+    lines = spark.createDataFrame(rows, "LineId long, Content string, dataset string")
+    for group in (None, "dataset"):
+        _, T = parse(lines.drop("dataset") if group is None else lines, tpl.drop("dataset") if group is None else tpl, group_col=group)
+        ids = [r.template_id for r in T.collect()]
+        assert len(ids) == len(set(ids)) == 6 and min(i for i in ids if i not in (0, 10**15)) == 10**15 + 1
+
+
+def test_ranked_has_no_gaps(spark):
+    from logloom.session import ranked
+    df = spark.range(1000).withColumn("k", F.xxhash64("id")).repartition(5)
+    got = [r.n for r in ranked(df, ["k"], "n", 7).orderBy("k").collect()]
+    assert got == list(range(7, 1007))
+    assert ranked(df.limit(0), ["k"], "n").count() == 0
+
+
+def test_damaged_old_state_does_not_empty_the_state(spark, tmp_path):
+    import os
+    from logloom.streaming.online import _latest_state
+    root = str(tmp_path / "state")
+    assert _latest_state(spark, root, 5).count() == 0
+    for b in (0, 1):
+        spark.createDataFrame([(b, f"t {b}")], "template_id long, template string").write.parquet(f"{root}/batch_id={b}")
+    for name in os.listdir(f"{root}/batch_id=0"):
+        if name.endswith(".parquet"):
+            with open(f"{root}/batch_id=0/{name}", "wb") as f:
+                f.write(b"damaged")
+    assert [r.template for r in _latest_state(spark, root, 2).collect()] == ["t 1"]
+    import pytest
+    with pytest.raises(Exception):
+        _latest_state(spark, root, 1).collect()
