@@ -14,8 +14,9 @@ component only the first line (smallest document key, then line number) stays.
 Only DataFrame functions run, and no Python.  Equal lines are one line from
 the first aggregation on (partial, so a line in a third of all rows is one row
 for each task).  Every line is first compared with
-the one it seems most like among the smallest lines of its bands; what these
-links join needs no further comparison.  Only lines of different components that
+the one it seems most like among the smallest lines of its bands, then
+among a few other lines of the bands that hold lines of different
+components; what these links join needs no further comparison.  Only lines of different components that
 still share a band are compared all with all, where the comparison of
 signatures is part of the join.  Links and
 components stay distributed tables.
@@ -43,6 +44,8 @@ SHINGLE = 8
 SIMILARITY = 0.8
 VALUES = 16
 LEAST_AGREEMENT = 9
+#: Rounds of comparisons with other lines of mixed bands, and such lines a band and round.
+ROUNDS, OTHERS = 1, 4
 #: Rows of a lookup (about 50 bytes each) up to which it is broadcast; beyond, it is joined by a shuffle.
 BROADCAST_ROWS = 500_000
 _random = random.Random(1)
@@ -111,8 +114,10 @@ def _verified(pairs: DataFrame, known: DataFrame, docs: DataFrame, key: str, tex
     wanted = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
     texts = lines(docs, key, text).select(*_hashes(), _place().alias("p"), "line").join(wanted, ["h1", "h2"]).where("p = first")
     texts = written(texts.select("id", "line").dropDuplicates(["id"]), "op4-texts")
-    both = pairs.select("a", "b").join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b").repartition(partitions(docs.sparkSession), "a").join(
-        texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a")  # shingles of a pair stay where its texts are
+    both = pairs.select("a", "b").join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b").join(
+        texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a")
+    # many partitions by pair: the shingles of a pair stay where its texts are, and few are in memory at once
+    both = both.repartition(4 * partitions(docs.sparkSession), "a", "b")
     size = lambda c: F.greatest(F.lit(1), F.char_length(c) - (SHINGLE - 1))
     both = both.select("a", "b", F.encode("la", "UTF-32").alias("ba"), F.encode("lb", "UTF-32").alias("bb"), size("la").alias("na"), size("lb").alias("nb"))
     rows = both.select("a", "b", "ba", "bb", "na", F.explode(F.sequence(F.lit(0), F.col("na") + F.col("nb") - 1)).alias("i"))
@@ -145,16 +150,30 @@ def line_components(docs: DataFrame, known: DataFrame, key: str = "doc_id", text
         several = labelled.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
         return labelled.join(several, "band", "left_semi")
 
-    stars = written(likest(shared.where("id <> c").select("id", "c").distinct()), "op4-pairs")
-    links = written(_verified(stars, known, docs, key, text), "op4-links")
+    # every line with the one it seems most like, first of the bands' smallest lines, then of a few others
+    # of the bands that still hold lines of different components
+    tested = written(likest(shared.where("id <> c").select("id", "c").distinct()), "op4-pairs")
+    links = written(_verified(tested, known, docs, key, text), "op4-links")
     found = written(components(links, "op4-stars"), "op4-components")
+    for n in range(ROUNDS):
+        rows = written(mixed(found), "op4-mixed")
+        drawn = rows.select("band", F.struct(F.xxhash64("id", F.lit(n)).alias("h"), "id", "root").alias("o"))
+        others = drawn.groupBy("band").agg(*[F.min(F.when(F.pmod(F.xxhash64("o.id", F.lit(n)), F.lit(OTHERS)) == k, F.col("o"))).alias(f"o{k}") for k in range(OTHERS)])
+        others = others.select("band", F.explode(F.array_compact(F.array(*[f"o{k}" for k in range(OTHERS)]))).alias("o")).select(
+            "band", F.col("o.id").alias("c"), F.col("o.root").alias("r"))
+        again = rows.join(others, "band").where("root <> r").select("id", "c").distinct()
+        again = again.join(tested.select(F.col("a").alias("id"), F.col("b").alias("c")), ["id", "c"], "left_anti")
+        more = written(likest(again), "op4-pairs")
+        links = written(links.union(_verified(more, known, docs, key, text)), "op4-links")
+        tested = tested.union(more)
+        found = written(components(links, "op4-stars"), "op4-components")
 
     # what lines of different components still share a band
     rows = written(mixed(found).join(sig, "id"), "op4-mixed")
     rest = rows.alias("x").join(rows.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.id") > F.col("y.id"))
                                 & (F.col("x.root") != F.col("y.root")) & (_agreement("x", "y") >= LEAST_AGREEMENT))
     rest = rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    done = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    done = tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     rest = written(rest.join(done, ["a", "b"], "left_anti"), "op4-rest")
     more = written(links.union(_verified(rest, known, docs, key, text)), "op4-links")
     return written(components(more, "op4-stars"), "op4-components")
