@@ -24,7 +24,7 @@ def _g(group_cols):
 
 
 def template_map(structured: DataFrame, user_strings=None, group_cols=(), order_col: str = "LineId") -> DataFrame:
-    """EventId -> (template, corrected, new EventId, ids merged into it).
+    """EventId -> (template, corrected, new EventId: the smallest id that becomes the same template).
 
     The template table is the first line of every distinct template; when one
     EventId carries several templates the later-appearing one is kept."""
@@ -34,8 +34,7 @@ def template_map(structured: DataFrame, user_strings=None, group_cols=(), order_
                                                 F.min(order_col).alias("_first")))
     per_id = firsts.groupBy(*g, "EventId").agg(F.max_by("EventTemplate", "_first").alias("EventTemplate"))
     per_id = per_id.withColumn("corrected", correct_oracle_template(F.col("EventTemplate"), user_strings))
-    merged = per_id.groupBy(*g, "corrected").agg(F.sort_array(F.collect_list("EventId")).alias("event_ids"))
-    merged = merged.withColumn("new_id", F.col("event_ids")[0])
+    merged = per_id.groupBy(*g, "corrected").agg(F.min("EventId").alias("new_id"))
     return per_id.join(merged, g + ["corrected"])
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions.text import (ASSISTANT_ACK, DEFAULT_EXAMPLE_ANSWER, DEFAULT_EXAMPLE_QUERY, INSTRUCTION,
                                     SYSTEM_PROMPT, WILDCARD, clean_template, is_too_general, keyed_signature,
-                                    match_pattern, parse_answer, propose_template, sig_tokens, words)
+                                    match_pattern, parse_answer, propose_template, sig_tokens, words, render_example_answer, render_example_query)
 from logloom.operators.matching import best_match, build_matcher
 from logloom.session import cut_lineage
 
@@ -96,16 +96,25 @@ def _run_proposer(reps: DataFrame, proposer: Proposer) -> DataFrame:
 
 
 def propose(reps: DataFrame, proposer: Proposer | None = None, examples: DataFrame | None = None,
-            k: int = 3, group_col: str | None = None) -> DataFrame:
-    """P1-P3 for representatives (sig, rep_content, rule_template) -> proposal."""
+            k: int = 3, group_col: str | None = None, selection_method: str = "jaccard") -> DataFrame:
+    """P1-P3 for representatives (sig, rep_content, rule_template) -> proposal.
+
+    ``selection_method``: how the k examples of a prompt are chosen, ``random`` (E12) or the name
+    of the distance of the nearest ones (G12-G16)."""
     if proposer is None:
         return reps.withColumn("proposal", F.col("rule_template"))
-    from logloom.operators.examples import nearest_examples
+    from logloom.operators.examples import nearest_examples, random_examples
     one_word = F.size(words("rep_content")) == 1
     ask = reps.filter(~one_word)
     if examples is not None:
-        near = nearest_examples(ask.select("sig", F.col("rep_content").alias("query_text")), examples, k=k,
-                                key_col="sig")
+        asked = ask.select("sig", F.col("rep_content").alias("query_text"))
+        if selection_method == "random":
+            near = random_examples(asked, examples, k, key_col="sig").groupBy("sig").agg(F.transform(
+                F.array_sort(F.collect_list(F.struct("draw", "query", "answer"))),  # k rows
+                lambda e: F.struct(render_example_query(e["query"]).alias("query"),
+                                   render_example_answer(e["answer"]).alias("answer"))).alias("examples"))
+        else:
+            near = nearest_examples(asked, examples, k=k, method=selection_method, key_col="sig")
         ask = ask.join(near.select("sig", "examples"), "sig", "left")
     else:
         ask = ask.withColumn("examples", F.lit(None).cast("array<struct<query:string,answer:string>>"))
@@ -145,7 +154,7 @@ def discover(lines: DataFrame, templates: DataFrame | None = None, proposer: Pro
              examples: DataFrame | None = None, k: int = 3,
              content_col: str = "Content", order_col: str = "LineId",
              stats: list | None = None, windows=WINDOWS, sigs_out: list | None = None,
-             group_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+             group_col: str | None = None, selection_method: str = "jaccard") -> tuple[DataFrame, DataFrame]:
     """Give every distinct signature a template.
 
     Rounds work through the log in growing windows of first appearance
@@ -205,7 +214,7 @@ def discover(lines: DataFrame, templates: DataFrame | None = None, proposer: Pro
         live = live.filter(F.col("rule_template").isNotNull())
         reps = live.groupBy("key").agg(F.min_by(F.struct("sig", *G, "rep_content", "rule_template", "first_line"),
                                                 "first_line").alias("r")).select("r.*")
-        reps = cut_lineage(propose(reps, proposer, examples, k, group_col)
+        reps = cut_lineage(propose(reps, proposer, examples, k, group_col, selection_method)
                            .withColumn("path", keyed_signature("proposal", group_col)), "proposals")
         T = cut_lineage(_add_templates(T, reps.select(F.col("proposal").alias("template"), "first_line", *G), group_col),
                         "templates")
@@ -229,7 +238,8 @@ def discover(lines: DataFrame, templates: DataFrame | None = None, proposer: Pro
 def parse(lines: DataFrame, templates: DataFrame | None = None, proposer: Proposer | None = None,
           examples: DataFrame | None = None, k: int = 3,
           content_col: str = "Content", order_col: str = "LineId",
-          group_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+          group_col: str | None = None, selection_method: str = "jaccard",
+          stats: list | None = None) -> tuple[DataFrame, DataFrame]:
     """Structured log: every line with EventTemplate and EventId.
 
     ``group_col`` (e.g. ``dataset``) parses many systems in one job: the
@@ -246,12 +256,13 @@ def parse(lines: DataFrame, templates: DataFrame | None = None, proposer: Propos
     against the same final table by a join and joined back: the result is the
     same.
 
-    Returns ``(structured, templates)``."""
+    ``stats`` (a list) receives the proposals of each round (D26).  Returns
+    ``(structured, templates)``."""
     from logloom.operators.matching import build_matcher, event_ids
     sigs_out: list = []
     G = [group_col] if group_col else []
     assigned, T = discover(lines, templates, proposer, examples, k, content_col=content_col, order_col=order_col,
-                           sigs_out=sigs_out, group_col=group_col)
+                           sigs_out=sigs_out, group_col=group_col, selection_method=selection_method, stats=stats)
     reused = sigs_out[1] if len(sigs_out) > 1 else None
     matcher = reused if reused is not None else build_matcher(T, group_col=group_col)
     # proposals are rows of the written per-round tables: counting them is a metadata-sized read

@@ -48,8 +48,9 @@ def align(truth: DataFrame, parsed: DataFrame, keys=("dataset", "LineId"),
 
 
 def pair_counts(aligned: DataFrame, group_cols=("dataset",)) -> DataFrame:
-    """Rows per (gt, parsed)."""
-    return aligned.groupBy(*_g(group_cols), "gt", "parsed").agg(F.count("*").alias("n"))
+    """Rows per (gt, parsed), written once: every score reads this table instead of the lines."""
+    from logloom.session import cut_lineage
+    return cut_lineage(aligned.groupBy(*_g(group_cols), "gt", "parsed").agg(F.count("*").alias("n")), "pairs")
 
 
 def value_counts(aligned: DataFrame, col: str, group_cols=("dataset",)) -> DataFrame:

@@ -673,9 +673,9 @@ def farthest_sample(spark, sf_dir):
     """E11 + C8 + G10: farthest-point samples of conversation texts."""
     from logloom.operators import sampling
     conv = table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
-    lab = conv.select((F.col("conv_id") * 1000 + F.col("turn") + 1).alias("row_id"),
+    lab = conv.select((F.col("conv_id") * 1048576 + F.col("turn") + 1).alias("row_id"),
                       F.col("text").alias("Content"), F.col("role").alias("EventTemplate"))
-    return sampling.farthest_sample(lab, shots=[8, 16, 32], share=None).select("shot", "sample_pos", "row_id")
+    return sampling.farthest_sample(lab, share=None).select("shot", "sample_pos", "row_id")
 
 
 # ---------------------------------------------------------------------------
@@ -684,7 +684,7 @@ def farthest_sample(spark, sf_dir):
 
 def _queries_examples(spark, sf_dir):
     conv = table(spark, sf_dir, "conversations", ["conv_id", "turn", "text"])
-    q = conv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.col("text").alias("query_text"))
+    q = conv.select((F.col("conv_id") * 1048576 + F.col("turn")).alias("qid"), F.col("text").alias("query_text"))
     b = table(spark, sf_dir, "benchmark", ["item_id", "text"])
     ex = b.select(F.col("item_id").alias("pos"), F.col("text").alias("query"), F.col("text").alias("answer"))
     return q, ex
@@ -700,7 +700,7 @@ def nearest_examples(spark, sf_dir):
 
 
 _SQL_QE = """
-q AS (SELECT conv_id * 1000 + turn AS qid, text AS qt FROM conversations),
+q AS (SELECT conv_id * 1048576 + turn AS qid, text AS qt FROM conversations),
 ex AS (SELECT item_id AS pos, text AS et FROM benchmark),
 qw AS (SELECT qid, w, count(*) AS c FROM (SELECT qid, unnest(regexp_split_to_array(regexp_replace(qt, '^\\s+|\\s+$', '', 'g'), '\\s+')) AS w FROM q) WHERE w <> '' GROUP BY ALL),
 ew AS (SELECT pos, w, count(*) AS c FROM (SELECT pos, unnest(regexp_split_to_array(regexp_replace(et, '^\\s+|\\s+$', '', 'g'), '\\s+')) AS w FROM ex) WHERE w <> '' GROUP BY ALL),
@@ -916,8 +916,9 @@ def stream_parse(spark, sf_dir):
     ev = rendered_events(spark, sf_dir).select("LineId", "Content")
     base = scratch_path(spark, "stream")
     src = base + "/source"
-    ev.repartitionByRange(4, "LineId").write.parquet(src)
-    q = online.start(spark, src, base + "/out", base + "/state", base + "/checkpoint")
+    files = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))  # four batches of many files at any size
+    ev.repartitionByRange(files, "LineId").write.parquet(src)
+    q = online.start(spark, src, base + "/out", base + "/state", base + "/checkpoint", files_per_trigger=-(-files // 4))
     q.awaitTermination()
     out = online.read_output(spark, base + "/out")
     return out.select("LineId", "Content", "EventId", "EventTemplate")
@@ -945,7 +946,7 @@ def read_raw_log(spark, sf_dir):
     from logloom.session import scratch_path
     path = scratch_path(spark, "rawlog")
     raw = rendered_events(spark, sf_dir).select("LineId", F.col("raw").alias("value"))
-    raw.repartitionByRange(4, "LineId").sortWithinPartitions("LineId").select("value").write.text(path)
+    raw.repartitionByRange("LineId").sortWithinPartitions("LineId").select("value").write.text(path)
     parsed = formats.read_raw_logs(spark, path, EVENTS_FORMAT)
     return parsed.select("LineId", "Date", "Time", "Level", "Component", "Content")
 
@@ -992,10 +993,9 @@ FROM best JOIN k ON k.mt = best.mt AND k.k = best.depth GROUP BY best.mt, best.d
 
 
 def merge_templates(spark, sf_dir):
-    """P5 + G11 + G25: near-duplicate click messages merged by word LCS."""
+    """P5 + G11 + G25: near-duplicate templates of the whole log merged by word LCS."""
     from logloom.operators.discovery import merge_similar
-    ev = rendered_events(spark, sf_dir).filter(F.col("event_type") == "click")
-    tpl = ev.select(F.col("LineId").alias("template_id"), F.col("Content").alias("template"))
+    _, tpl = parse(rendered_events(spark, sf_dir).select("LineId", "Content"))
     return merge_similar(tpl).select("template_id", "template", F.size("merged_from").alias("n_merged"))
 
 

@@ -13,6 +13,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logloom.functions.text import correct_oracle_template
 from logloom.operators import matching, metrics, sampling
 from logloom.operators.discovery import parse
 from logloom.sources import formats, io
@@ -20,7 +21,7 @@ from logloom.sources import formats, io
 
 def parse_files(spark: SparkSession, raw_paths, log_format: str, out_dir: str, dataset: str | None = None,
                 templates: DataFrame | None = None, proposer=None, examples_path: str | None = None,
-                k: int = 3, fmt: str = "parquet") -> tuple[str, str]:
+                k: int = 3, fmt: str = "parquet", selection_method: str = "jaccard") -> tuple[str, str]:
     """Raw log files -> ``out_dir/structured`` and ``out_dir/templates``."""
     lines = formats.read_raw_logs(spark, raw_paths, log_format)
     examples = None
@@ -28,31 +29,50 @@ def parse_files(spark: SparkSession, raw_paths, log_format: str, out_dir: str, d
         from pyspark.sql import Window
         ex = io.read_examples(spark, examples_path)
         examples = ex.withColumn("pos", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())))
-    structured, _ = parse(lines, templates, proposer, examples, k)
+    structured, _ = parse(lines, templates, proposer, examples, k, selection_method=selection_method)
     if dataset:
         structured = structured.withColumn("dataset", F.lit(dataset))
     s_path, t_path = os.path.join(out_dir, "structured"), os.path.join(out_dir, "templates")
     io.write_structured(structured, s_path, fmt)
-    io.write_structured(matching.template_table(structured), t_path, fmt)
+    io.write_structured(matching.template_table(io.read_structured(spark, s_path, fmt)), t_path, fmt)  # not parsed again
     return s_path, t_path
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def evaluate_files(spark: SparkSession, truth_path: str, parsed_path: str, summary_path: str, dataset: str,
                    truth_templates_path: str | None = None, complexity: int = 0, frequent: int = 0,
-                   relaxed: bool = False, fmt: str = "csv", parsed_fmt: str = "parquet") -> DataFrame:
+                   relaxed: bool = False, fmt: str = "csv", parsed_fmt: str = "parquet",
+                   corrected: bool = False, user_strings=None) -> DataFrame:
     """Score one parse and append its summary row (A5-A7, C2, D*, A11).
 
     ``complexity`` 1-3 or ``frequent`` (+n lowest / -n highest percent)
-    restrict the scores to a band of the truth templates file."""
+    restrict the scores to a band of the truth templates file.  ``corrected``
+    scores against the oracle-corrected truth (G7).  A system without a parse
+    gets a row of NULLs, so the summary of the others goes on."""
+    if not _exists(spark, parsed_path):
+        row = spark.createDataFrame([(dataset,)], "dataset string").select(
+            "dataset", *[F.lit(None).cast("long").alias(c) for c in ("tool_templates", "ground_templates")],
+            *[F.lit(None).cast("double").alias(c) for c in metrics.METRICS])
+        io.append_summary(row.withColumn("load_order", F.unix_micros(F.current_timestamp())), summary_path)
+        return row
     truth = io.read_structured(spark, truth_path, fmt).withColumn("dataset", F.lit(dataset))
     parsed = io.read_structured(spark, parsed_path, parsed_fmt).withColumn("dataset", F.lit(dataset))
     truth = truth.withColumn("LineId", F.col("LineId").cast("long"))
     parsed = parsed.withColumn("LineId", F.col("LineId").cast("long"))
+    if corrected:
+        truth = truth.withColumn("EventTemplate", correct_oracle_template(F.col("EventTemplate"), user_strings))
     pairs = metrics.pair_counts(metrics.align(truth, parsed))
     band = None
     if complexity or frequent:
         tt = io.read_structured(spark, truth_templates_path, fmt).withColumn("dataset", F.lit(dataset))
         tt = tt.withColumn("Occurrences", F.col("Occurrences").cast("long"))
+        if corrected:
+            tt = (tt.withColumn("EventTemplate", correct_oracle_template(F.col("EventTemplate"), user_strings))
+                  .groupBy("dataset", "EventTemplate").agg(F.sum("Occurrences").alias("Occurrences")))
         band = metrics.complexity_band(tt, complexity) if complexity else \
             metrics.frequency_band(tt, frequent, ["dataset"])
     row = metrics.evaluate(pairs, band, relaxed=relaxed)
