@@ -95,11 +95,12 @@ def random_examples(queries: DataFrame, examples: DataFrame, k: int = 3, seed: i
     """K examples drawn with replacement for each query, by hash.
 
     Draw j of query q takes the example numbered
-    ``pmod(xxhash64(seed, q, j), n)`` in position order."""
+    ``m mod n`` in position order, m being the first 15 hex digits of
+    ``md5("seed:q:j")`` (a hash that other engines have too)."""
     ex = examples.select("pos", "query", "answer")
     n = ex.count()
     ranked = ex.withColumn("_i", F.row_number().over(Window.orderBy("pos")) - 1)  # example table only
     draws = queries.select(key_col).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(k))))
-    draws = draws.withColumn("_i", F.pmod(F.xxhash64(F.lit(seed), F.col(key_col), F.col("draw")),
-                                          F.lit(max(n, 1))).cast("int"))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key_col).cast("string"), F.col("draw").cast("string")).cast("binary"))
+    draws = draws.withColumn("_i", (F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") % max(n, 1)).cast("int"))
     return draws.join(ranked, "_i").select(key_col, "draw", "pos", "query", "answer")

@@ -739,12 +739,21 @@ FROM t LEFT JOIN ci USING (qid)
 
 
 def random_examples(spark, sf_dir):
-    """Three hashed draws with replacement per turn (no oracle: hash)."""
+    """Three hashed draws with replacement per turn."""
     from logloom.operators.examples import random_examples as rnd
     q, ex = _queries_examples(spark, sf_dir)
     return rnd(q, ex, k=3).select("qid", "draw", "pos")
 
 
+SQL_RANDOM_EXAMPLES = """
+WITH q AS (SELECT conv_id * 1048576 + turn AS qid FROM conversations),
+e AS (SELECT item_id AS pos, row_number() OVER (ORDER BY item_id) - 1 AS i FROM benchmark),
+d AS (SELECT qid, unnest([1, 2, 3]) AS draw FROM q)
+SELECT d.qid, CAST(d.draw AS INTEGER) AS draw, e.pos FROM d JOIN e
+  ON ('0x' || substr(md5('0:' || d.qid || ':' || d.draw), 1, 15))::BIGINT % (SELECT count(*) FROM benchmark) = e.i
+"""
+
+
 def build_prompts(spark, sf_dir):
     """G22 + G23 + G24: chat prompts with the three nearest items as examples."""
     from logloom.operators.discovery import build_prompt
@@ -789,7 +798,7 @@ QUERIES.update({
     "farthest_sample": (farthest_sample, None),
     "nearest_examples": (nearest_examples, SQL_NEAREST_EXAMPLES),
     "example_distances": (example_distances, SQL_EXAMPLE_DISTANCES),
-    "random_examples": (random_examples, None),
+    "random_examples": (random_examples, SQL_RANDOM_EXAMPLES),
     "build_prompts": (build_prompts, SQL_BUILD_PROMPTS),
     "parse_answers": (parse_answers, SQL_PARSE_ANSWERS),
 })
