@@ -166,7 +166,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, dtype: str, b
         encoder = unit_encoder(tokenizer, dtype)
         end = np.asarray([end_id], dtype=dtype).tobytes()
         edges = np.asarray(bounds, dtype=np.int64)
-        for batch in slices(batches, "text", rows=1024):
+        for batch in slices(batches, "text", rows=512):
             keys = column(batch, "key")
             filled = keys.fill_null(int(NULL_KEY)).to_numpy(zero_copy_only=False)
             ids = encoder.encode(column(batch, "text").to_pylist())
