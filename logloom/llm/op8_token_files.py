@@ -45,20 +45,21 @@ UNITS_KEPT = 220_000
 NULL_KEY = np.iinfo(np.int64).min
 
 _CUT = re.compile(r"(?<=[!-~])(?= [!-~])")
-_FIRST = "\x01"  # marks the first word of a text, which no space precedes
+_FIRST, _STOP = "\x01", "\x02"  # mark the first word of a text, and a stop: no space precedes them
 
 
 class UnitEncoder:
     """The ids of a text by the tokenizers library, unit by unit.
 
-    A unit is a word with the space before it, or a line break with the word after
-    it.  Between two printable characters that are not spaces the byte-level
-    pattern always breaks before a single space and on both sides of a single line
-    break, so units are encoded independently and repeated units are looked up.
-    New words go to the library joined, and the ids are cut apart by the bytes
-    they stand for.  Texts with other white space are cut only where both sides
-    are plain; texts that may hold a special token's string go to the library
-    whole.
+    A unit is a word with the space before it, a line break with the word after
+    it, or the comma or full stop after a word.  Between two printable characters
+    that are not spaces the byte-level pattern always breaks before a single space
+    and on both sides of a single line break, and it parts letters and digits from
+    a stop after them, so units are encoded independently and repeated units are
+    looked up.  New words go to the library joined, and the ids are cut apart by
+    the bytes they stand for.  Texts with other white space are cut only where
+    both sides are plain; texts that may hold a special token's string go to the
+    library whole.
     """
 
     def __init__(self, path: str, dtype: str):
@@ -70,25 +71,23 @@ class UnitEncoder:
         self.width = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)  # one character a byte
         for token, i in vocabulary.items():
             self.width[i] = len(token)
-        self.words = Memory(self.joined, UNITS_KEPT)
-        self.units = Memory(self.tailed, UNITS_KEPT)
-        self.tails: dict[str, bytes] = {}
+        self.units = Memory(self.joined, UNITS_KEPT)
 
     def alone(self, units: list[str]) -> list[bytes]:
         coded = self.tokenizer.encode_batch_fast(units, add_special_tokens=False)
         return [np.asarray(c.ids, dtype=self.dtype).tobytes() for c in coded]
 
-    def joined(self, words: list[str]) -> list[bytes]:
-        """The ids of words (a space before each), of line breaks with a word, and of first words."""
-        first = [n for n, w in enumerate(words) if w[:1] == _FIRST]
-        size, out = self.dtype.itemsize, [b""] * len(words)
-        for n, ids in zip(first, self.alone([words[n][1:] for n in first])):
+    def joined(self, units: list[str]) -> list[bytes]:
+        """The ids of units."""
+        size, out = self.dtype.itemsize, [b""] * len(units)
+        marked = [n for n, u in enumerate(units) if u[:1] in (_FIRST, _STOP)]
+        for n, ids in zip(marked, self.alone([units[n][1:] for n in marked])):
             out[n] = ids
-        rest = [n for n, w in enumerate(words) if w[:1] != _FIRST]
+        rest = [n for n, u in enumerate(units) if u[:1] not in (_FIRST, _STOP)]
         for i in range(0, len(rest), 2048):
             places = rest[i:i + 2048]
-            some = [words[n] if words[n][:1] == "\n" else " " + words[n] for n in places]
-            ids = np.asarray(self.tokenizer.encode("".join(some), add_special_tokens=False).ids, dtype=self.dtype)
+            some = [units[n] if units[n][:1] == "\n" else " " + units[n] for n in places]
+            ids = np.asarray(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, dtype=self.dtype)
             ends = np.cumsum(self.width[ids])
             cuts = np.cumsum([len(w.encode()) for w in some])
             at = np.searchsorted(ends, cuts) + 1
@@ -100,22 +99,6 @@ class UnitEncoder:
                 lo = hi
         return out
 
-    def tailed(self, units: list[str]) -> list[bytes]:
-        """The same; letters and the stops after them, which the pattern always parts, apart."""
-        stems, tails, known = [], [], self.tails
-        for unit in units:
-            stem = unit.rstrip(",.;:!?")
-            if stem is not unit and stem.isalpha() and len(unit) - len(stem) < 4:
-                stems.append(stem)
-                tail = unit[len(stem):]
-                if tail not in known:
-                    known[tail] = self.alone([tail])[0]
-                tails.append(known[tail])
-            else:
-                stems.append(unit)
-                tails.append(b"")
-        return [w + t for w, t in zip(self.words.all(stems), tails)]
-
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
         plain, at, odd = [], [], []
@@ -128,24 +111,40 @@ class UnitEncoder:
             else:
                 at.append(i)
                 plain.append(_FIRST + text.replace("\n", " \n"))
-        if plain:  # Arrow finds the different units; ids are then put together by position
-            split = pc.split_pattern(pa.array(plain), " ")
-            units = split.values.dictionary_encode()
-            found = self.units.all(units.dictionary.to_pylist())
-            which = units.indices.to_numpy()
-            lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // self.dtype.itemsize
-            ids = np.frombuffer(b"".join(found), dtype=self.dtype)
-            starts = np.cumsum(lengths) - lengths
-            each = lengths[which]
-            ends = np.concatenate(([0], np.cumsum(each)))
-            ids = ids[np.repeat(starts[which] - ends[:-1], each) + np.arange(ends[-1])]
-            cuts = ends[split.offsets.to_numpy()]
-            for n, i in enumerate(at):
-                out[i] = ids[cuts[n]:cuts[n + 1]].tobytes()
+        cut = [t.replace(", ", f" {_STOP}, ").replace(". ", f" {_STOP}. ") for t in plain]
+        uncut = self._looked_up(cut, at, out)
+        self._looked_up([plain[n] for n in uncut], [at[n] for n in uncut], out)
         for i in odd:
             out[i] = b"".join(self.alone([texts[i]] if "<|" in texts[i] else _CUT.split(texts[i])))
         return out
 
+    def _looked_up(self, plain: list[str], at: list[int], out: list[bytes]) -> list[int]:
+        """Put the ids of texts (units parted by spaces) to their places in ``out``; the numbers of
+        texts whose stops can't stand alone.  Arrow finds the different units; ids are put
+        together by position."""
+        if not plain:
+            return []
+        split = pc.split_pattern(pa.array(plain), " ")
+        units = split.values.dictionary_encode()
+        which, words = units.indices.to_numpy(), units.dictionary.to_pylist()
+        offsets = split.offsets.to_numpy()
+        found = self.units.all(words)
+        stop = np.fromiter((w[:1] == _STOP for w in words), dtype=bool, count=len(words))
+        word = np.fromiter((w[-1:].isalnum() for w in words), dtype=bool, count=len(words))
+        wrong = np.flatnonzero(stop[which[1:]] & ~word[which[:-1]]) + 1
+        wrong = set((np.searchsorted(offsets, wrong, side="right") - 1).tolist())
+        lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // self.dtype.itemsize
+        ids = np.frombuffer(b"".join(found), dtype=self.dtype)
+        starts = np.cumsum(lengths) - lengths
+        each = lengths[which]
+        ends = np.concatenate(([0], np.cumsum(each)))
+        ids = ids[np.repeat(starts[which] - ends[:-1], each) + np.arange(ends[-1])]
+        cuts = ends[offsets]
+        for n, i in enumerate(at):
+            if n not in wrong:
+                out[i] = ids[cuts[n]:cuts[n + 1]].tobytes()
+        return sorted(wrong)
+
 
 @lru_cache(maxsize=2)
 def unit_encoder(path: str, dtype: str) -> UnitEncoder:
