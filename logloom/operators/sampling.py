@@ -79,17 +79,18 @@ def coarse_keys(prepared: DataFrame, vocab: DataFrame, group_col: str | None = N
     line, ties by word, returned sorted and joined with a space.
 
     The vocabulary is broadcast when its row count is under the limit; the
-    per-line top three is a sort of that line's own words only."""
+    per-line top three is a sort of that line's own words only, and the line's
+    other columns go through the same aggregate (one shuffle)."""
     G = _gl(group_col)
     vw = F.col("vw") if "vw" in prepared.columns else _vocab_filter(F.col("ws"))
-    toks = prepared.select(*G, "row_id", F.explode(F.array_distinct(vw)).alias("token"))
+    rest = [c for c in prepared.columns if c not in {*G, "row_id", "vw", "ws"}]  # carried through, not joined back
+    toks = prepared.select(*G, "row_id", *rest, F.explode_outer(F.array_distinct(vw)).alias("token"))
     n_vocab = vocab.count()
     side = F.broadcast(vocab) if n_vocab <= BROADCAST_VOCAB_ROWS else vocab
-    j = toks.join(side, G + ["token"])
-    top = j.groupBy(*G, "row_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cnt")).alias("n"),
-                                                                                      F.col("token")))), 1, 3).alias("t"))
-    keys = top.select(*G, "row_id", F.array_join(F.array_sort(F.transform("t", lambda e: e["token"])), " ").alias("coarse"))
-    return prepared.join(keys, G + ["row_id"], "left").withColumn("coarse", F.coalesce("coarse", F.lit("")))
+    j = toks.join(side, G + ["token"], "left")
+    word = F.when(F.col("token").isNotNull(), F.struct((-F.col("cnt")).alias("n"), F.col("token")))
+    top = j.groupBy(*G, "row_id", *rest).agg(F.slice(F.array_sort(F.collect_list(word)), 1, 3).alias("t"))
+    return top.select(*G, "row_id", *rest, F.array_join(F.array_sort(F.transform("t", lambda e: e["token"])), " ").alias("coarse"))
 
 
 def clusters(prepared: DataFrame, group_col: str | None = None) -> DataFrame:
@@ -155,16 +156,17 @@ def quotas(clustered: DataFrame, shots=SHOTS, seed: int = 0, order: str = "hash"
         w1 = Window.partitionBy(*G, "_b").orderBy("_o", "coarse")
         pre = salted.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= max_shot)
         w2 = Window.partitionBy(*G).orderBy("_o", "coarse")                # <= salt * max_shot rows each
-        top = pre.withColumn("c_pos", F.row_number().over(w2) - 1).filter(F.col("c_pos") < max_shot)
+        top = pre.withColumn("_r", F.row_number().over(w2)).filter(F.col("_r") <= max_shot).withColumn("c_pos", F.col("_r") - 1)
         top = top.join(F.broadcast(nc), G).drop("_b", "_r")
     top = top.withColumn("shot", F.explode(F.array(*[F.lit(x) for x in shots])))
     c = F.col("n_coarse")
     top = top.withColumn("c_quota", (F.floor(F.col("shot") / c) + (F.col("c_pos") < F.pmod(F.col("shot"), c)).cast("int"))
                          .cast("int")).filter(F.col("c_quota") > 0)
     fr = fs.join(F.broadcast(top.select(*G, "coarse").distinct()), G + ["coarse"])
-    fr = fr.withColumn("f_pos", F.row_number().over(
-        Window.partitionBy(*G, "coarse").orderBy(F.col("size").desc(), F.col("fine"))) - 1)
-    fr = fr.filter(F.col("f_pos") < max_shot)
+    # filtered as a rank, so that every task keeps the first max_shot rows of a cluster before they meet
+    fr = fr.withColumn("_r", F.row_number().over(
+        Window.partitionBy(*G, "coarse").orderBy(F.col("size").desc(), F.col("fine"))))
+    fr = fr.filter(F.col("_r") <= max_shot).withColumn("f_pos", F.col("_r") - 1).drop("_r")
     j = top.select(*G, "shot", "coarse", "c_pos", "c_quota", "n_fine").join(fr, G + ["coarse"])
     nf = F.col("n_fine")
     j = j.withColumn("quota", (F.floor(F.col("c_quota") / nf) + (F.col("f_pos") < F.pmod(F.col("c_quota"), nf)).cast("int"))
