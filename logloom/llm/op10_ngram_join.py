@@ -60,7 +60,7 @@ SPARE = 0.12
 CANDIDATE_COST = 4.0
 #: Keys (16 bytes) up to which a lookup is broadcast; beyond, it is joined by a shuffle.
 BROADCAST_ROWS = 500_000
-WORDS_KEPT = 400_000
+WORDS_KEPT = 200_000
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _S29, _S32 = np.uint64(29), np.uint64(32)

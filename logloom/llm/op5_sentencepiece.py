@@ -43,8 +43,8 @@ from .memory import Memory
 SPACE = "▁"
 codecs.register_error("each_byte", lambda e: ("\ufffd", e.start + 1))  # one replacement for each byte that fits nowhere
 #: Units (in each of two generations) and compatibility answers a worker remembers.
-UNITS_KEPT = 250_000
-PAIRS_KEPT = 1_000_000
+UNITS_KEPT = 80_000
+PAIRS_KEPT = 200_000
 #: Longer units are encoded anew each time.
 UNIT_CHARS = 48
 
