@@ -43,7 +43,7 @@ from .memory import Memory
 SPACE = "▁"
 codecs.register_error("each_byte", lambda e: ("\ufffd", e.start + 1))  # one replacement for each byte that fits nowhere
 #: Units (in each of two generations) and compatibility answers a worker remembers.
-UNITS_KEPT = 80_000
+UNITS_KEPT = 130_000
 PAIRS_KEPT = 200_000
 #: Longer units are encoded anew each time.
 UNIT_CHARS = 48
@@ -99,7 +99,7 @@ class PieceTable:
         self.runs: dict[str, list[int]] = {}
         self.courses: dict[str, tuple] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.number = [str(i) for i in range(len(self.pieces))]
+        self.number = np.array([str(i) for i in range(len(self.pieces))], dtype=object)
         self.units = Memory(self._entries, UNITS_KEPT, UNIT_CHARS)
         # what an id adds to a text; a byte below 128 is a character of its own
         surface = [p.replace(SPACE, " ") for p in self.pieces]
@@ -200,7 +200,7 @@ class PieceTable:
             ids = [i for part in parts for i in part]
         return ids
 
-    def _entry(self, unit: str) -> tuple[bytes, str]:
+    def _entry(self, unit: str) -> bytes:
         if self.words:
             ids = []
             for run in _LETTERS.findall(unit):
@@ -214,15 +214,14 @@ class PieceTable:
                 self.runs = {}
         else:
             ids = self.ids_of(unit)
-        return array("i", ids).tobytes(), " ".join([self.number[i] for i in ids])
+        return array("i", ids).tobytes()
 
-    def _entries(self, units: list[str]) -> list[tuple[bytes, str]]:
-        """The entries (ids as bytes, ids as text) of units: words that a space precedes, or line
-        breaks with what follows them."""
+    def _entries(self, units: list[str]) -> list[bytes]:
+        """The ids (as bytes) of units: words that a space precedes, or line breaks with what follows them."""
         return [self._entry(unit if unit[:1] == "\n" else SPACE + unit) for unit in units]
 
-    def entries(self, text: str) -> list[tuple[bytes, str]]:
-        """The entries of the units of ``text``, in order."""
+    def entries(self, text: str) -> list[bytes]:
+        """The ids (as bytes) of the units of ``text``, in order."""
         if not text:
             return []
         if self.cuts and self.breaks and self.dummy and text[0] != " " and "  " not in text and SPACE not in text:
@@ -237,7 +236,7 @@ class PieceTable:
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of ``text`` (no begin or end id)."""
-        return np.frombuffer(b"".join([e[0] for e in self.entries(text)]), dtype=np.int32)
+        return np.frombuffer(b"".join(self.entries(text)), dtype=np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ``ids``: pieces joined, byte runs read as UTF-8, the
@@ -302,16 +301,15 @@ def digests(docs: DataFrame, model: str, end_id: int | None = 2, text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = piece_table(model)
-        tail = [] if end_id is None else [(np.array([end_id], dtype=np.int32).tobytes(), str(end_id))]
+        tail = np.array([] if end_id is None else [end_id], dtype=np.int32)
         for batch in slices(batches, "_text"):
             n, ids_sha, text_sha, every = [], [], [], []
             for t in column(batch, "_text").to_pylist():
-                entries = table.entries(t or "") + tail
-                ids = np.frombuffer(b"".join([e[0] for e in entries]), dtype=np.int32)
+                ids = np.concatenate((table.encode(t or ""), tail))
                 n.append(len(ids))
                 if with_ids:
                     every.append(ids)
-                ids_sha.append(hashlib.sha256(" ".join([e[1] for e in entries]).encode()).hexdigest())
+                ids_sha.append(hashlib.sha256(" ".join(table.number[ids].tolist()).encode()).hexdigest())
                 text_sha.append(hashlib.sha256(table.decode(ids).encode("utf-8")).hexdigest())
             yield batch_of(out, [column(batch, key), n, ids_sha, text_sha, *([every] if with_ids else [])])
 
