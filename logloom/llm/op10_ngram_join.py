@@ -261,8 +261,10 @@ def linked(docs: DataFrame, classes: DataFrame, key: str = "doc_id", text: str =
     used = used.where("used").select("key", F.col("h.c1").alias("c"), F.col("h.looks").alias("c_looks"))
     met = written(rows.select("key", "c1", "looks").join(used, "key"), "op10-met")
     short = F.shiftright("key", 32).cast("int")  # half a key; halves that are equal by chance only let a pair pass
-    nodes = rows.groupBy("c1").agg(F.collect_list(F.when(own, short)).alias("own"), F.collect_list(short).alias("every"),
-                                   F.collect_list(F.when(F.col("looks"), short)).alias("looked"), F.max("spare").alias("spare"))  # the keys of one class
+    # the keys of one class; its own ones begin with those it looks up
+    nodes = rows.groupBy("c1").agg(
+        F.concat(F.collect_list(F.when(F.col("looks"), short)), F.collect_list(F.when(own & ~F.col("looks"), short))).alias("own"),
+        F.count_if("looks").cast("int").alias("looks_up"), F.collect_list(short).alias("every"), F.max("spare").alias("spare"))
     nodes = written(nodes.join(classes.select("c1", "n"), "c1"), "op10-nodes")
 
     def enough(big: str, small: str) -> Column:
@@ -282,12 +284,12 @@ def linked(docs: DataFrame, classes: DataFrame, key: str = "doc_id", text: str =
     labelled = met.select("key", "c1", "looks").join(found.withColumnRenamed("id", "c1"), "c1", "left").withColumn("root", F.coalesce("root", "c1"))
     several = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     mixed = written(labelled.join(several, "key", "left_semi"), "op10-mixed")
-    big = mixed.where("looks").select("key", "c1", "root").join(nodes.select("c1", "n", "spare", "own", "looked"), "c1")
+    big = mixed.where("looks").select("key", "c1", "root").join(nodes.select("c1", "n", "spare", "own", "looks_up"), "c1")
     small = mixed.select("key", "c1", "root").join(nodes.select("c1", "n", "every"), "c1")
     rest = big.alias("x").join(small.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root"))
                                & (F.col("x.n") >= F.col("y.n"))
                                # a pair meets in the least of the keys it looks up
-                               & (F.array_min(F.array_intersect("x.looked", "y.every")) == F.shiftright("x.key", 32).cast("int"))
+                               & (F.array_min(F.array_intersect(F.slice("x.own", 1, F.col("x.looks_up")), "y.every")) == F.shiftright("x.key", 32).cast("int"))
                                & enough("x", "y"))
     rest = rest.select(F.greatest("x.c1", "y.c1").alias("a"), F.least("x.c1", "y.c1").alias("b")).distinct()
     rest = rest.join(stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
