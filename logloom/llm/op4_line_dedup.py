@@ -24,7 +24,8 @@ components stay distributed tables.
 Defined cases: lines without a character besides white space are no lines and
 always stay; a line shorter than a shingle is one shingle; a null text stays
 null, an empty one empty; rows that repeat a key and a line at the same place
-count once, so both keep it; a null key comes after all others; a document
+count once, so both keep it; rows that share a key (or have none) and differ
+in text lose lines each by its own text; a null key comes after all others; a document
 that loses all lines stays with an empty text; an empty table gives no rows;
 other columns are kept by ``dedup`` as they are.
 """
@@ -56,9 +57,9 @@ BANDS = [[4 * x + y for y in range(4)] for x in range(4)] + [
     [4 * x + (_TIMES[m][x] ^ c) for x in range(4)] for m in range(4) for c in range(4)]
 
 
-def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc, place, line): the lines that count."""
-    cut = docs.select(F.col(key).cast("long").alias("doc"), F.posexplode(F.split(F.col(text).cast("string"), "\n")).alias("place", "line"))
+def lines(docs: DataFrame, key: str, text: str, *more: str) -> DataFrame:
+    """(doc, place, line), and the columns ``more``: the lines that count."""
+    cut = docs.select(F.col(key).cast("long").alias("doc"), *more, F.posexplode(F.split(F.col(text).cast("string"), "\n")).alias("place", "line"))
     return cut.where(F.btrim("line", F.lit(" \t\r\f\u000b")) != "")
 
 
@@ -73,6 +74,12 @@ def _hashes() -> tuple[Column, Column]:
     return F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2")
 
 
+def _text_hashes(text: str) -> tuple[Column, Column]:
+    """128 bits that stand for a whole text; with the key they name a row."""
+    whole = F.col(text).cast("string")
+    return F.xxhash64(whole), F.xxhash64(F.lit("second"), whole)
+
+
 def _shingle(binary: str, number: str) -> Column:
     """The hash of a shingle; four bytes a character make it a slice."""
     return F.xxhash64(F.expr(f"substring({binary}, 4 * ({number}) + 1, {4 * SHINGLE})"))
@@ -180,7 +187,7 @@ def line_components(docs: DataFrame, known: DataFrame, key: str = "doc_id", text
 
 
 def dropped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, places): for each document key that loses lines, their numbers."""
+    """(doc, t1, t2, places): for each key and text that loses lines, their numbers."""
     known = different_lines(docs, key, text)
     roots = line_components(docs, known, key, text)
     joined = known.join(roots, "id", "left")
@@ -188,23 +195,26 @@ def dropped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     doubled = joined.where("root is not null or n > 1").join(keeps, "root", "left")
     doubled = written(doubled.select("h1", "h2", F.coalesce("keep", "first").alias("keep")), "op4-doubled")
     lookup = F.broadcast(doubled) if doubled.count() <= BROADCAST_ROWS else doubled
-    rows = lines(docs, key, text).select(*_hashes(), "doc", "place", _place().alias("p"))
+    t1, t2 = _text_hashes(text)
+    named = docs.select(key, text, t1.alias("t1"), t2.alias("t2"))  # once a row, not once a line
+    rows = lines(named, key, text, "t1", "t2").select(*_hashes(), "doc", "t1", "t2", "place", _place().alias("p"))
     rows = rows.join(lookup, ["h1", "h2"]).where("p <> keep")
-    return written(rows.groupBy("doc").agg(F.collect_set("place").alias("places")), "op4-dropped")  # lines of one document
+    return written(rows.groupBy("doc", "t1", "t2").agg(F.collect_set("place").alias("places")), "op4-dropped")  # lines of one document
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the remaining lines as its text, and ``_lines`` and ``_kept`` (counts)."""
-    gone = dropped(docs, key, text).select(F.col("doc").alias("_doc"), F.col("places").alias("_places"))
+    gone = dropped(docs, key, text).select(F.col("doc").alias("_doc"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.col("places").alias("_places"))
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS // 10 else gone
-    rows = docs.join(gone, F.col(key).cast("long").eqNullSafe(F.col("_doc")), "left")
+    t1, t2 = _text_hashes(text)
+    rows = docs.join(gone, F.col(key).cast("long").eqNullSafe(F.col("_doc")) & (t1 == F.col("_t1")) & (t2 == F.col("_t2")), "left")
     cut = F.split(F.col(text).cast("string"), "\n")
     kept = F.filter(cut, lambda x, i: ~F.array_contains("_places", i))
     new = F.when(F.col("_places").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
     whole = F.col(text).isNull() | F.col("_places").isNull()
     return (rows.withColumn("_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size(cut)).cast("long"))
             .withColumn("_kept", F.when(whole, F.col("_lines")).otherwise(F.size(kept)).cast("long"))
-            .withColumn(text, new).drop("_doc", "_places"))
+            .withColumn(text, new).drop("_doc", "_t1", "_t2", "_places"))
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -266,6 +266,17 @@ def test_op4_against_all_pairs(spark, corpus):
     assert {1, 2, 3, 300} <= kept and 302 not in kept and 301 in kept
 
 
+def test_op4_rows_that_share_a_key_lose_only_their_own_lines(spark):
+    from logloom.llm.op4_line_dedup import dedup, line_dedup_stage
+    rows = [(1, "the line that many documents repeat", "en", "s"),
+            (None, "the line that many documents repeat\nwords of the first row alone", "en", "s"), (None, "only the second row says this sentence\nand goes on with other matters", "en", "s"),
+            (5, "the line that many documents repeat", "en", "s"), (5, "quite another subject in the row of equal key", "en", "s")]
+    want = sorted([rows[0][:2], (None, "words of the first row alone"), rows[2][:2], (5, ""), rows[4][:2]], key=str)
+    assert sorted(((r.doc_id, r.text) for r in dedup(frame(spark, rows)).collect()), key=str) == want
+    kept = line_dedup_stage(spark, frame(spark, rows), None).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == [x for x in want if x[1]]
+
+
 def test_op4_bands_are_a_plane():
     from logloom.llm.op4_line_dedup import BANDS
     assert len(BANDS) == 20 and all(len(set(b)) == 4 for b in BANDS)
