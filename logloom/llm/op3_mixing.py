@@ -15,8 +15,9 @@ cells, which are broadcast when their number is within ``BROADCAST_CELLS`` and
 joined by a shuffle else.
 
 Targets: for each dimension either shares by value (values without a target
-share the rest in proportion to their tokens; shares of absent values are
-spread over the others) or an exponent that flattens the natural shares.
+share the rest in proportion to their tokens, or where the shares leave no rest
+keep their natural share, and the given ones share what remains; shares of
+absent values are spread over the others) or an exponent that flattens the natural shares.
 
 Defined cases: null values are a value of their own; a null or empty text has
 no tokens and is kept with the probability of its cell (1 where the cell has
@@ -33,6 +34,8 @@ from .common import table, written
 
 #: Raking rounds, and rounds between two written tables.
 ROUNDS, ROUNDS_AT_A_TIME = 8, 4
+#: A rest of the wished shares below this is rounding.
+NO_REST = 1e-9
 #: Cells up to this number (about 100 bytes each) are broadcast to the documents.
 BROADCAST_CELLS = 100_000
 
@@ -66,7 +69,11 @@ def _targets(cells: DataFrame, dim: str, wish) -> DataFrame:
         given = F.create_map(*[F.lit(x) for pair in wish.items() for x in (str(pair[0]), float(pair[1]))]) if wish else F.create_map(F.lit(""), F.lit(0.0))
         rest = max(0.0, 1.0 - sum(wish.values()))
         wished = F.element_at(given, F.col(dim).cast("string"))
-        other = shares.where(wished.isNull()).agg(F.sum("tokens").cast("double")).first()[0] or 1.0
+        x = shares.agg(F.sum(F.when(wished.isNull(), F.col("tokens"))).cast("double").alias("other"), F.sum(F.when(wished.isNotNull(), F.col("tokens"))).cast("double").alias("listed"),
+                       F.sum(wished).alias("wished")).first()
+        other = x.other or 1.0
+        if rest < NO_REST and x.other:  # no rest: their natural share, so that none is lost
+            rest = x.wished * x.other / x.listed if x.wished else 1.0
         weight = F.coalesce(wished, F.col("tokens") * rest / other)
     shares = shares.select(dim, weight.alias("target"))
     sum_ = shares.agg(F.sum("target")).first()[0] or 1.0

@@ -450,6 +450,21 @@ def test_op3_meets_targets(spark, corpus):
     assert all(0 < r._probability <= 1 and r.score == 0.5 for r in kept) and mix(docs.limit(0), **args).count() == 0
 
 
+def test_op3_keeps_values_without_a_target(spark):
+    from logloom.llm.op3_mixing import TARGETS, _mixed, rake
+    rng = random.Random(9)
+    rows = [(i, words(rng, 30), ["en", "de", "fr", "es", "it", None][i % 6], "st"[i % 2]) for i in range(300)]
+    rows += [(300 + i, words(rng, 30), None, "none") for i in range(60)] + [(400 + i, words(rng, 30), "it", "it") for i in range(60)]
+    kept = collections.Counter((r.lang, r.source) for r in _mixed(frame(spark, rows)).collect())
+    assert set(kept) == {(lang, src) for _, _, lang, src in rows}
+    cells = [(s, l, "prose", 1000, 1) for s in "ab" for l in ("en", "de", "fr", "es", "it", None)]
+    out = rake(spark.createDataFrame(cells, "source string, lang string, topic string, tokens long, documents long"), TARGETS).collect()
+    by = {l: sum(r.weight for r in out if r.lang == l) for l in ("en", "de", "fr", "es", "it", None)}
+    assert by == pytest.approx({"en": 1 / 3, "de": 0.4 / 3, "fr": 0.4 / 3, "es": 0.2 / 3, "it": 1 / 6, None: 1 / 6})
+    only = rake(spark.createDataFrame([c for c in cells if c[1] in ("it", None)], "source string, lang string, topic string, tokens long, documents long"), TARGETS).collect()
+    assert [r.weight for r in only] == pytest.approx([0.25] * 4)
+
+
 def test_op6_against_brute_force(spark):
     from logloom.llm import op6_exact_topk as op
     rng = np.random.default_rng(1)
