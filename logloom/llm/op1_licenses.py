@@ -1,9 +1,11 @@
 """Licence scan by sentence rules.
 
-A text is cut into sentences (line breaks, and stops followed by white space),
-sentences are normalised (ASCII lower case, other characters one space), and
-each normalised sentence that matches a known licence sentence becomes its
-identifier.  A sentence that speaks of licences but is not known becomes
+A text is cut into pieces (at line breaks, and at stops followed by white space),
+pieces are normalised (ASCII lower case, other characters one space), and
+each run of pieces, without a blank line in it, that matches a known licence
+sentence becomes its identifier, so wrapped sentences and comment leaders do
+not matter.  An open end of a pattern takes the lines up to a stop, a blank
+line or the next known sentence.  Any other piece is a sentence: one that speaks of licences but is not known becomes
 ``Unknown``.  The identifiers of a document, in order, are matched against the
 licence rules in their order: a rule takes every run of adjacent identifiers
 that equals its sequence, and what it took is gone for later rules, so a whole
@@ -115,13 +117,60 @@ def identifier(sentence: Column) -> Column:
     return F.coalesce(*known, F.when(sentence.rlike(_SPEAKS), F.lit("Unknown")))
 
 
+#: Sentences that are lines of their own: they are not looked for over several pieces, and no other sentence runs over them.
+_LINES = {"Copyright", "SpdxApache2", "SpdxMit", "SpdxGpl2", "SpdxGpl3", "SpdxBsd3"}
+_LINE_STARTS = "(?:portions )?(?:c )?copyright (?:c |[0-9]{4})|[^|;.#<>!]*spdx license identifier "
+#: A space of a pattern, as it may stand in a marked text; ``!`` is put before lines that no other sentence runs over.
+_GAP = "[ |;.]"
+_START, _END = "(^|[|;.#])!?", "(?=[|;.#]|$)"
+
+
+def _over_pieces(pattern: str) -> str:
+    """A pattern of SENTENCES over a marked text: an open end goes to the end of the sentence, an address may follow a blank line."""
+    pattern = pattern.replace("( http.*)?", "\0").replace(".*", "\1").replace(" ", _GAP)
+    if pattern.endswith("\1"):
+        pattern = pattern[:-1] + "[^<>!.#]*"
+    return pattern.replace("\1", "[^<>!#]*").replace("(", "(?:").replace("(?:?:", "(?:").replace("\0", "(?:[ |.#]https?(?: [^|;.#<>!]*)?)?")
+
+
+_OVER = [(name, _over_pieces(pattern), pattern.endswith(" .*")) for name, pattern in SENTENCES if name not in _LINES]
+_HEADS = "|".join(p[:-len(_GAP + "[^<>!.#]*")] for _, p, is_open in _OVER if is_open)
+
+
+def marked(text: Column) -> Column:
+    """The normalised text on one line: ``|`` for a line break, ``#`` for blank lines, ``;`` and ``.``
+    for these (and ! and ?) with white space after them."""
+    t = F.translate(text, _UPPER + "\1\2\3", _LOWER + "   ")
+    t = F.regexp_replace(F.regexp_replace(t, "[.!?][ \\t\\r\\n]+", "\1"), ";[ \\t\\r\\n]+", "\2")
+    t = F.regexp_replace(F.replace(t, F.lit("\n"), F.lit("\3")), "[^a-z0-9\1\2\3]+", " ")
+    t = F.translate(F.regexp_replace(t, " ?([\1\2\3]) ?", "$1"), "\1\2\3", ".;|")
+    t = F.regexp_replace(t, "(^|[.;|])(?:dnl|rem)(?: |(?=[.;|]|$))", "$1")  # comment leaders that are words
+    # marks side by side are one: a stop before blank lines before a line break
+    t = F.regexp_replace(t, r"(?<![|;.])[|;]*+\.[|;.]*+", ".")
+    t = F.regexp_replace(t, r"(?<![|;.]);*+\|;*+\|[|;]*+", "#")
+    return F.trim(F.regexp_replace(F.regexp_replace(t, r"(?<![|;.]);*+\|;*+", "|"), ";;++", ";"))
+
+
 def sentences(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row for each sentence that has an identifier, with all columns of ``docs`` but the text:
-    ``_place``, ``_sentence`` (as written), ``_identifier``."""
+    ``_place``, ``_sentence`` (normalised), ``_identifier``."""
     speaks = F.translate(F.col(text).cast("string"), _UPPER + "\n\t\r", _LOWER + "   ").rlike(_MAY)
-    cut = F.split(F.regexp_replace(F.col(text).cast("string"), "([.;!?])[ \\t\\r\\n]+", "$1\n"), "\n")
-    rows = docs.where(speaks).select(*[c for c in docs.columns if c != text], F.posexplode(cut).alias("_place", "_sentence"))
-    return rows.withColumn("_identifier", identifier(normalised(F.col("_sentence")))).where(F.col("_identifier").isNotNull())
+    kept = [c for c in docs.columns if c != text]
+    rows = docs.where(speaks).select(*kept, marked(F.col(text).cast("string")).alias("_marked"))
+    whole = F.regexp_replace("_marked", f"(^|[|;.#])(?={_LINE_STARTS})", "$1!")
+    for name, pattern, is_open in _OVER:
+        if not is_open:
+            whole = F.regexp_replace(whole, f"{_START}({pattern}){_END}", f"$1<{name}=$2>")
+    whole = F.regexp_replace(whole, f"(^|[|;.#])(?=(?:{_HEADS}){_GAP})", "$1!")
+    for name, pattern, is_open in _OVER:
+        if is_open:
+            whole = F.regexp_replace(whole, f"{_START}({pattern}){_END}", f"$1<{name}=$2>")
+    # each odd part is a sentence that was found, all others are cut at the marks
+    parts = F.transform(F.split(F.replace(whole, F.lit("!"), F.lit("")), "[<>]"), lambda x, i: F.when(i % 2 == 1, F.array(x)).otherwise(F.split(x, "[|;.#]")))
+    rows = rows.select(*kept, F.posexplode(F.flatten(parts)).alias("_place", "_piece"))
+    known, sentence = F.regexp_extract("_piece", "^([^=]*)=", 1), F.trim(F.translate(F.regexp_replace("_piece", "^[^=]*=", ""), ".;|#", "    "))
+    rows = rows.select(*kept, "_place", sentence.alias("_sentence"), F.when(known != "", known).alias("_known"))
+    return rows.withColumn("_identifier", F.coalesce("_known", identifier(F.col("_sentence")))).where(F.col("_identifier").isNotNull()).drop("_known")
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

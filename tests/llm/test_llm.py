@@ -430,6 +430,116 @@ def test_op1_rules(spark, corpus):
     assert "_sentence" in sentences(frame(spark, rows)).columns and scan(frame(spark, rows).limit(0)).count() == 0
 
 
+WRAPPED = {
+    "MIT": """The MIT License (MIT)
+
+Copyright (c) 2020 A Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+""",
+    "Apache-2.0": """Copyright 2020 Some Person
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+""",
+    "BSD-3-Clause": """Copyright (c) 2020, A Person
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above
+   copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+""",
+    "GPL-2.0": """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License along
+with this program; if not, write to the Free Software Foundation, Inc.,
+51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.
+""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED.
+""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""}
+WRAPPED["BSD-2-Clause"] = "\n".join(x for x in WRAPPED["BSD-3-Clause"].split("\n") if not re.match("3. Nei|   contributors|   this software", x))
+
+
+def test_op1_wrapped_notices(spark):
+    from logloom.llm.op1_licenses import scan
+    styles = [("", ""), ("# ", "#!/bin/sh\n# a tool\n"), (" * ", "/*\n"), ("// ", ""), (";; ", ""), ("dnl ", "")]
+    cases, rows = [], []
+    for name, text in WRAPPED.items():
+        for leader, before in styles:
+            cases.append(name)
+            rows.append((len(rows), before + "\n".join((leader + x).rstrip() for x in text.strip().split("\n")) + "\nint main\n", "en", "s"))
+        cases.append(name)  # each paragraph on one line
+        rows.append((len(rows), "\n\n".join(re.sub(" *\n *(?!\\d\\.)", " ", x) for x in text.split("\n\n")), "en", "s"))
+    ends = ["Redistributions of source code must retain the above copyright notice\nCopyright 2020 X\nReleased under the MIT License.\n",
+            "The software is provided as is, without warranty of any kind at all\nIn no event shall the authors or copyright holders be liable for any claim, damages or other liability whatever\n\nthis license is unknown\nas is that licence"]
+    rows += [(1000 + i, t, "en", "s") for i, t in enumerate(ends)]
+    got = {r.doc_id: r for r in scan(frame(spark, rows)).collect()}
+    for i, name in enumerate(cases):
+        assert got[i].licenses == name and got[i].n_unmatched == (name == "MIT" and "Unknown" in got[i].identifiers), (rows[i][1], got[i])
+    assert (got[1000].identifiers, got[1000].licenses) == ("Unknown Copyright MitShort", "MIT")
+    assert got[1001].identifiers == "MitAsIs MitLiable Unknown Unknown"
+
+
 def test_op3_meets_targets(spark, corpus):
     from logloom.llm.op3_mixing import mix, probabilities, rake, topic
     rng = random.Random(6)
