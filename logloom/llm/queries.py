@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from . import op1_licenses, op3_mixing, op4_line_dedup, op6_exact_topk
+from . import op1_licenses, op3_mixing, op4_line_dedup, op6_exact_topk, op11_warc
 from .op10_ngram_join import op10_ngram_join
+from .op12_whitening import op12_whitening
+from .op13_conversation_repair import op13_conversation_repair
 from .op2_toxicity import op2_toxicity
 from .op5_sentencepiece import op5_sentencepiece
 from .op7_quality_rules import op7_quality_rules
@@ -21,10 +23,14 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_language": op9_language,
     "op10_ngram_join": op10_ngram_join,
+    "op11_warc": op11_warc.op11_warc,
+    "op12_whitening": op12_whitening,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_licenses": op1_licenses.oracle_sql(),
     "op3_mixing": op3_mixing.oracle_sql(),
     "op6_exact_topk": op6_exact_topk.ORACLE_SQL,
+    "op11_warc": op11_warc.ORACLE_SQL,
 }
