@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, column, scratch_path, slices, table, written
+from .common import batch_of, column, partitions, scratch_path, slices, table, written
 from .files import Ranges, new_file, store
 
 #: Lines of a block of the index.
@@ -283,7 +283,7 @@ def lookup(urls: DataFrame, index: DataFrame, url: str = "url") -> DataFrame:
     wanted = urls.select(F.col(url).cast("string").alias("url")).mapInArrow(keys, "surt string").distinct()
     # sorted keys, so that a task opens each directory once
     blocks = wanted.repartitionByRange("surt").sortWithinPartitions("surt").mapInArrow(find, "surt string, path string, at long, length long")
-    blocks = blocks.repartition("path", "at").sortWithinPartitions("path", "at", "surt")
+    blocks = blocks.repartition(partitions(urls.sparkSession), "path", "at").sortWithinPartitions("path", "at", "surt")
     return blocks.mapInArrow(_joined(read, 4096), "surt string, file string, offset long, length long")
 
 
@@ -316,7 +316,8 @@ def read_records(captures: DataFrame) -> DataFrame:
         ranges.close()
 
     near = captures.select("file", "offset", "length", F.floor(F.col("offset") / READ_BYTES).alias("part"))
-    ordered = near.repartition("file", "part").sortWithinPartitions("file", "offset").select("file", "offset", "length")
+    # a set number of partitions: rows are small, but each stands for a record
+    ordered = near.repartition(partitions(captures.sparkSession), "file", "part").sortWithinPartitions("file", "offset").select("file", "offset", "length")
     return ordered.mapInArrow(run, "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long")
 
 
