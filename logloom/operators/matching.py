@@ -8,8 +8,10 @@ template:
 * templates that start with static tokens join on the first
   ``min(3, leading static run)`` tokens (an equi-join, exact because those
   tokens must equal the message prefix);
-* templates that start with ``<*>`` join on their first static token, which
-  must occur somewhere in the message (tokens of the message exploded).
+* templates that start with ``<*>``, and those whose block key more than
+  ``CROWDED`` templates share, join on their anchor: of their static tokens the one
+  that the fewest messages hold (tokens of the message exploded); a message that
+  lacks another static token of the template goes before the pattern is tried.
 
 The residual test is one ``RLIKE`` of the message signature against the
 template's pattern.  The template side is broadcast only after its size has
@@ -26,8 +28,13 @@ from pyspark.sql import functions as F
 
 from logloom.functions.text import (SEP, WILDCARD, keyed_signature, match_pattern, n_static, n_wild,
                                     sig_tokens, signature)
+from logloom.session import cut_lineage
 
 BLOCK_DEPTH = 3
+# Templates under one block key up to which the key alone selects candidates.
+CROWDED = 16
+# A line feed is white space and so never part of a token.
+PARAM_MARK = "\n"
 # Template tables up to this many bytes (patterns + text) are broadcast.
 BROADCAST_BYTES = 64 * 1024 * 1024
 
@@ -63,6 +70,53 @@ def _size_checked(df: DataFrame, limit: int | None = None) -> bool:
     return row is not None and (row["b"] or 0) <= limit
 
 
+def corpus_anchors(tp: DataFrame, sigs: DataFrame) -> DataFrame:
+    """The inverted index's keys: each prepared template's ``anchor`` is its corpus-rarest static
+    token (the fewest signatures hold it; ties: the smaller token).
+
+    Only tokens of the templates are counted, map-side first; a token that no
+    signature holds is rarest of all and gives no candidate."""
+    owned = tp.select("template_id", "t_sig", F.explode(F.array_distinct(F.filter("t_tokens", lambda x: x != WILDCARD))).alias("tok"))
+    owned = cut_lineage(owned, "template-tokens")
+    seen = sigs.select(F.explode(F.array_distinct(sig_tokens("sig"))).alias("tok")).join(owned.select("tok").distinct(), "tok", "left_semi")
+    counts = seen.groupBy("tok").agg(F.count("*").alias("n"))
+    rarest = owned.join(counts, "tok", "left").groupBy("template_id", "t_sig").agg(
+        F.min_by("tok", F.struct(F.coalesce("n", F.lit(0)), "tok")).alias("anchor"))
+    return tp.drop("anchor").join(rarest, ["template_id", "t_sig"], "left")
+
+
+def all_matches(sigs: DataFrame, tp: DataFrame, carry=(), broadcast: bool | None = None) -> DataFrame:
+    """C1 for distinct signatures and prepared templates: a row (sig, template_id, template, n_static,
+    n_wild, wild_flags, pattern and the template columns ``carry``) for every match."""
+    tp = tp.select("template_id", "template", "t_sig", "t_tokens", "n_static", "n_wild", "wild_flags", "depth", "block_key", "pattern", "anchor", *carry)
+    crowd = tp.filter(F.col("depth") > 0).groupBy("depth", "block_key").agg(F.count("*").alias("crowd"))
+    tp = cut_lineage(tp.join(crowd, ["depth", "block_key"], "left"), "match-templates")
+    by_key = (F.col("depth") > 0) & (F.col("crowd") <= CROWDED)
+    keyed = tp.filter(by_key)
+    loose = tp.filter(F.coalesce(~by_key, F.lit(True)))
+    has_loose = not loose.isEmpty()
+    if has_loose:
+        loose = corpus_anchors(loose, sigs)
+    if broadcast is None:
+        broadcast = _size_checked(tp)
+    if broadcast:
+        keyed, loose = F.broadcast(keyed), F.broadcast(loose)
+
+    keys = sigs.select("sig").filter(F.col("sig") != "")
+    keys = keys.withColumn("m_tokens", sig_tokens("sig")).withColumn("m_size", F.size("m_tokens"))
+    cols = ["sig", "m_size", "template_id", "template", "n_static", "n_wild", "wild_flags", "pattern", *carry]
+    a = (keys.withColumn("m_depth", F.explode(F.sequence(F.lit(1), F.least("m_size", F.lit(BLOCK_DEPTH)))))
+         .withColumn("m_key", F.array_join(F.slice("m_tokens", 1, F.col("m_depth")), SEP)))
+    cand = a.join(keyed, (a["m_depth"] == keyed["depth"]) & (a["m_key"] == keyed["block_key"]), "inner").select(*cols)
+    if has_loose:
+        b = keys.select("sig", "m_size", "m_tokens", F.explode(F.array_distinct("m_tokens")).alias("m_tok"))
+        jb = b.join(loose, b["m_tok"] == loose["anchor"], "inner")
+        jb = jb.filter(F.size(F.array_except(F.filter("t_tokens", lambda x: x != WILDCARD), F.col("m_tokens"))) == 0)
+        cand = cand.unionByName(jb.select(*cols))
+    fits = (F.col("m_size") >= F.col("n_static")) & F.rlike(F.col("sig"), F.col("pattern"))
+    return cand.filter(fits).drop("m_size")
+
+
 def best_match(sigs: DataFrame, templates: DataFrame, prepared: bool = False,
                broadcast: bool | None = None, with_params: bool = False, group_col: str | None = None) -> DataFrame:
     """C1 + E2 on distinct signatures.
@@ -72,25 +126,7 @@ def best_match(sigs: DataFrame, templates: DataFrame, prepared: bool = False,
     and, with ``with_params``, ``params`` (G27).
     """
     tp = templates if prepared else prepare_templates(templates, group_col=group_col)
-    tp = tp.select("template_id", "template", "t_tokens", "n_static", "n_wild", "wild_flags",
-                   "depth", "block_key", "anchor", "pattern")
-    if broadcast is None:
-        broadcast = _size_checked(tp)
-    tpa = tp.filter(F.col("depth") > 0)
-    tpb = tp.filter(F.col("depth") == 0)
-    if broadcast:
-        tpa, tpb = F.broadcast(tpa), F.broadcast(tpb)
-
-    keys = sigs.select("sig").filter(F.col("sig") != "")
-    keys = keys.withColumn("m_tokens", sig_tokens("sig")).withColumn("m_size", F.size("m_tokens"))
-    a = (keys.withColumn("m_depth", F.explode(F.sequence(F.lit(1), F.least("m_size", F.lit(BLOCK_DEPTH)))))
-         .withColumn("m_key", F.array_join(F.slice("m_tokens", 1, F.col("m_depth")), SEP)))
-    ja = a.join(tpa, (a["m_depth"] == tpa["depth"]) & (a["m_key"] == tpa["block_key"]), "inner")
-    b = keys.select("sig", "m_size", F.explode(F.array_distinct("m_tokens")).alias("m_tok"))
-    jb = b.join(tpb, b["m_tok"] == tpb["anchor"], "inner")
-    cols = ["sig", "m_size", "template_id", "template", "n_static", "n_wild", "wild_flags", "pattern"]
-    cand = ja.select(*cols).unionByName(jb.select(*cols))
-    cand = cand.filter((F.col("m_size") >= F.col("n_static")) & F.rlike(F.col("sig"), F.col("pattern")))
+    cand = all_matches(sigs, tp, broadcast=broadcast)
     rank = F.struct((-F.col("n_static")).alias("a"), F.col("n_wild").alias("b"),
                     F.col("wild_flags").alias("c"), F.col("template_id").alias("d"))
     win = cand.groupBy("sig").agg(F.min_by(F.struct("template_id", "template", "pattern"), rank).alias("w"))
@@ -102,12 +138,14 @@ def best_match(sigs: DataFrame, templates: DataFrame, prepared: bool = False,
 
 
 def match_params(sig_col: str, pattern_col: str):
-    """Text eaten by each wildcard, its tokens joined without separator."""
+    """Text eaten by each wildcard, its tokens joined without separator.
+
+    The pattern runs once: the signature is replaced by its captured groups, each
+    behind a mark, and split at the marks (the mark is no token character)."""
     n = F.regexp_count(F.col(pattern_col), F.lit(r"\(\(\?:"))
-    groups = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))  # no wildcard: no params
-    return F.transform(
-        groups,
-        lambda i: F.regexp_replace(F.call_function("regexp_extract", F.col(sig_col), F.col(pattern_col), i), SEP, ""))
+    marks = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(F.lit(PARAM_MARK + "$"), i.cast("string"))), "")
+    taken = F.split(F.replace(F.regexp_replace(F.col(sig_col), F.col(pattern_col), marks), F.lit(SEP), F.lit("")), PARAM_MARK)
+    return F.when(n > 0, F.slice(taken, 2, n)).otherwise(F.array().cast("array<string>"))  # no wildcard: no params
 
 
 # Leading-wildcard templates are carried as a literal array in map-side mode.
@@ -155,11 +193,15 @@ class Matcher:
 
 def build_matcher(templates: DataFrame, prepared: bool = False, group_col: str | None = None) -> Matcher | None:
     """Prepare a template table for map-side matching, or None when it is
-    too large (bytes over the broadcast limit, or too many leading-wildcard
-    templates for the literal array)."""
+    too large (bytes over the broadcast limit, or more than
+    ``MAX_LITERAL_TEMPLATES`` templates that start with a wildcard or share a block
+    key: the inverted index of ``all_matches`` finds those with fewer tries)."""
     tp = templates if prepared else prepare_templates(templates, group_col=group_col)
     if not _size_checked(tp):
         return None
+    crowd = tp.filter(F.col("depth") > 0).groupBy("depth", "block_key").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    if (crowd or 0) > MAX_LITERAL_TEMPLATES:
+        return None
     lw_rows = tp.filter(F.col("depth") == 0).select(_cand_struct().alias("c")).limit(MAX_LITERAL_TEMPLATES + 1).collect()
     if len(lw_rows) > MAX_LITERAL_TEMPLATES:
         return None

@@ -1074,3 +1074,7 @@ FROM j WHERE quota > 0
 """
 
 QUERIES["quota_by_dataset"] = (quota_by_dataset, SQL_QUOTA_BY_DATASET)
+
+from logloom.plans.varied import QUERIES as _VARIED  # noqa: E402
+
+QUERIES.update(_VARIED)

@@ -82,3 +82,48 @@ def rendered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw text lines (``value``) of the rendered table, with the line number."""
     return rendered_events(spark, sf_dir).selectExpr("LineId", "raw AS value")
+
+
+# A second rendering of `events`, with more kinds of variables: MAC addresses, hex groups, quoted
+# commands, # chains, booleans, one-word lines, placeholders, leading variables, and literal lines
+# that a later, more general template also covers.  `rule` is the template of the clean-up rules,
+# `gt` the truth (NULL on lines that nobody labelled).
+_WHO = "CASE WHEN user_id % 97 = 0 THEN cast(user_id as string) ELSE 'w' || cast(user_id % 40 as string) END"
+_MAC = "'0a:1b:2c:3d:4e:' || cast(10 + user_id % 90 as string)"
+_KIND = "event_id % 12"
+
+
+def _cases(values: list[str]) -> str:
+    return "CASE " + " ".join(f"WHEN {_KIND} = {i} THEN {v}" for i, v in enumerate(values)) + " END"
+
+
+VARIED_COLUMNS = [
+    "'sys' || cast(event_id % 3 as string) AS dataset",
+    "event_id + 1 AS LineId",
+    _cases([f"'worker ' || {_WHO} || ' finished job ' || {_K}",
+            f"'link ' || {_MAC} || ' is up'",
+            "'dump DEAD BEEF ' || cast(1000 + user_id as string) || ' 4567 end'",
+            f"'executed cmd \"ls -l /tmp/' || {_K} || '\"'",
+            f"'pool #' || {_K} || '#' || cast(user_id as string) || '# ready'",
+            "'flag ' || CASE WHEN user_id % 2 = 0 THEN 'true' ELSE 'false' END || ' set by root'",
+            "'heartbeat'",
+            "'hello {name} from 10.1.2.' || cast(user_id % 200 as string)",
+            "'open /var/log/x' || cast(user_id % 50 as string) || '.txt failed'",
+            "cast(user_id as string) || ' users online'",
+            f"'cache size=' || {_K} || ' kB (hits=' || cast(user_id as string) || ')'",
+            f"'worker ' || {_WHO} || ' finished job final'"]) + " AS Content",
+    _cases(["'worker <*> finished job <*>'", "'link <*> is up'", "'dump <*> end'", "'executed cmd <*>'", "'pool <*> ready'",
+            "'flag <*> set by <*>'", "'heartbeat'", "'hello <*> from <*>'", "'open <*> failed'", "cast(NULL as string)",
+            "'cache size=<*> kB (hits=<*>)'", "'worker <*> finished job <*>'"]) + " AS gt",
+    _cases(["'worker ' || CASE WHEN user_id % 97 = 0 THEN '<*>' ELSE 'w' || cast(user_id % 40 as string) END || ' finished job <*>'",
+            "'link <*> is up'", "'dump <*> end'", "'executed cmd <*>'", "'pool #<*># ready'",
+            "'flag ' || CASE WHEN user_id % 2 = 0 THEN 'true' ELSE 'false' END || ' set by root'", "'heartbeat'", "'hello <*> from <*>'",
+            "'open /var/log/x' || cast(user_id % 50 as string) || '.txt failed'", "'<*> users online'", "'cache size=<*> kB (hits=<*>)'",
+            "'worker ' || CASE WHEN user_id % 97 = 0 THEN '<*>' ELSE 'w' || cast(user_id % 40 as string) END || ' finished job final'"]) + " AS rule",
+]
+VARIED_SQL = "SELECT " + ",\n  ".join(VARIED_COLUMNS) + " FROM events"
+
+
+def varied_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The varied log: dataset, LineId, Content, gt, rule."""
+    return table(spark, sf_dir, "events", ["event_id", "user_id", "props"]).selectExpr(*VARIED_COLUMNS)
