@@ -81,3 +81,23 @@ def test_nearest_equals_brute_force(spark, method):
     for qi, qt in enumerate(queries):
         exp = sorted(range(len(examples)), key=lambda p: (fn(qt, examples[p]), p))[:3]
         assert [p for _, p in sorted(got[qi])] == exp
+
+
+@pytest.mark.parametrize("rounds", [(0.6, 0.25), (0.9, 0.5, 0.3, 0.1), ()])
+def test_jaccard_join_equals_brute_force(spark, rounds):
+    import random
+    from logloom.operators.examples import jaccard_top
+    rng = random.Random(4)
+    vocab = [f"w{i}" for i in range(30)] + ["the"] * 30
+    texts = [" ".join(rng.choice(vocab) for _ in range(rng.randrange(0, 14))) for _ in range(120)]
+    queries = texts[:40] + [" ".join(t.split()[1:] + ["unseen"]) for t in texts[:40]] + ["only unseen words", "", "the " * 400]
+    examples = texts[20:] + texts[30:40]  # ties
+    q = spark.createDataFrame(list(enumerate(queries)), "qid long, query_text string").repartition(3)
+    ex = spark.createDataFrame(list(enumerate(examples)), "pos long, query string").repartition(3)
+    got = {}
+    for r in jaccard_top(q, ex, 3, "qid", "query_text", rounds).collect():
+        got.setdefault(r.qid, []).append((round(r.dist, 9), r.pos))
+    for i, t in enumerate(queries):
+        near = sorted((round(jac(t, e), 9), p) for p, e in enumerate(examples))
+        want = [x for x in near if x[0] < 1 and t.split()][:3]
+        assert sorted(got.get(i, [])) == want, t
