@@ -47,28 +47,59 @@ def jaccard_text_distance(a, b) -> Column:
     return jaccard_distance(words(a), words(b))
 
 
-def lcs_length(x, y) -> Column:
-    """Longest common subsequence length of two arrays (DP, row by row)."""
+#: Bits of a limb: sums of two limbs and a carry stay within a positive long.
+LIMB = 62
+_FULL = (1 << LIMB) - 1
+
+
+def lcs_masks(y) -> Column:
+    """For the bit-parallel LCS: map from each distinct word of an array to the LONG limbs whose set
+    bits are the word's positions."""
+    y = _c(y)
+    limbs = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(y) - 1) / LIMB).cast("int")))
+
+    def mask(w):
+        return F.transform(limbs, lambda l: F.aggregate(
+            F.slice(y, l * LIMB + 1, LIMB), F.struct(F.lit(0).cast("bigint").alias("bits"), F.lit(1).cast("bigint").alias("bit")),
+            lambda acc, v: F.struct(F.when(v == w, acc["bits"].bitwiseOR(acc["bit"])).otherwise(acc["bits"]).alias("bits"),
+                                    F.shiftleft(acc["bit"], 1).alias("bit")))["bits"])
+    return F.map_from_entries(F.transform(F.array_distinct(y), lambda w: F.struct(w, mask(w))))
+
+
+def lcs_length(x, y, masks=None) -> Column:
+    """Longest common subsequence length of two arrays, bit-parallel: one pass over the words of x
+    with a row of LONG limbs, V' = (V + (V & M)) | (V & ~M), where M are the positions of the word in y.
+    The zero bits of V are the length.  ``masks``: ``lcs_masks(y)``, if it was computed before."""
     x, y = _c(x), _c(y)
-    n = F.size(y)
-    zero_row = F.array_repeat(F.lit(0), n + 1)
-
-    def step_row(prev, xi):
-        def cell(row, j):
-            val = F.when(xi == F.element_at(y, j), F.element_at(prev, j) + 1).otherwise(
-                F.greatest(F.element_at(row, j), F.element_at(prev, j + 1)))
-            return F.concat(row, F.array(val))
-        return F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.array(F.lit(0)),
-                           lambda row, j: F.when(j <= n, cell(row, j)).otherwise(row))
-    last = F.aggregate(x, zero_row, step_row)
-    return F.element_at(last, n + 1)
-
-
-def lcs_similarity(x, y) -> Column:
-    """2 * LCS / (m + n) on token arrays."""
+    masks = lcs_masks(y) if masks is None else _c(masks)
+    limbs = F.greatest(F.lit(1), F.ceil(F.size(y) / LIMB).cast("int"))
+    full = F.lit(_FULL).cast("bigint")
+    zero = F.lit(0).cast("bigint")
+
+    def limb(acc, vm):
+        """One limb with the carry of the limb below."""
+        v, m = vm["v"], F.coalesce(vm["m"], zero)
+        total = v + v.bitwiseAND(m) + acc["carry"]
+        new = total.bitwiseAND(full).bitwiseOR(v.bitwiseAND(F.bitwise_not(m)))
+        return F.struct(F.concat(acc["row"], F.array(new)).alias("row"), F.shiftright(total, LIMB).alias("carry"))
+
+    def word(acc, w):
+        m = F.try_element_at(acc["masks"], w)
+        # a word that y lacks leaves the row as it is
+        stepped = F.aggregate(F.arrays_zip(acc["row"].alias("v"), m.alias("m")),
+                              F.struct(F.array().cast("array<bigint>").alias("row"), zero.alias("carry")), limb)["row"]
+        return F.struct(F.when(m.isNull(), acc["row"]).otherwise(stepped).alias("row"), acc["masks"].alias("masks"))
+
+    row = F.aggregate(x, F.struct(F.array_repeat(full, limbs).alias("row"), masks.alias("masks")), word)["row"]
+    ones = F.aggregate(row, F.lit(0), lambda n, v: n + F.bit_count(v))  # bits above the last word stay one
+    return limbs * LIMB - ones
+
+
+def lcs_similarity(x, y, masks=None) -> Column:
+    """2 * LCS / (m + n) on token arrays (``masks``: see ``lcs_length``)."""
     x, y = _c(x), _c(y)
     tot = F.size(x) + F.size(y)
-    return F.when(tot == 0, F.lit(0.0)).otherwise(2.0 * lcs_length(x, y) / tot)
+    return F.when(tot == 0, F.lit(0.0)).otherwise(2.0 * lcs_length(x, y, masks) / tot)
 
 
 def lcs_distance(a, b) -> Column:

@@ -294,39 +294,45 @@ def merge_similar(templates: DataFrame, threshold: float = 0.8) -> DataFrame:
     words, the same first word, and word-LCS similarity ``2*LCS/(m+n)`` above
     ``threshold`` (G11).  Candidates come from an exact prefix filter rather
     than all pairs of a block: LCS >= t implies the two word multisets share
-    at least t elements, so they share one of their first ``n - t + 1``
-    elements in any fixed order (here: word, occurrence number).  Every
+    at least t elements (an element is a word and its occurrence number), so they share one
+    of their first ``n - t + 1`` elements in any fixed order; the order is by rarity
+    over all templates, so the elements that meet are rare.  The bit masks of the LCS
+    are made once for each template.  Every
     template joins its most similar older template (ties: older id); an older
     template absorbs all that join it, position by position (words that
     differ become ``<*>``, G25), and keeps its id.
 
     Returns ``template_id, template, merged_from`` (ids absorbed)."""
-    from pyspark.sql import Window
-    from logloom.functions.distance import lcs_similarity
+    from logloom.functions.distance import lcs_masks, lcs_similarity
+    from logloom.session import ranked
     t = templates.select("template_id", "template").withColumn("w", F.split(F.col("template"), " "))
-    t = t.withColumn("nw", F.size("w")).withColumn("w0", F.col("w")[0])
+    t = cut_lineage(t.withColumn("nw", F.size("w")).withColumn("w0", F.col("w")[0]), "merge-templates")
+    words_of = t.select("template_id", "nw", "w0", F.explode("w").alias("word")).groupBy("template_id", "nw", "w0", "word").agg(F.count("*").alias("c"))
+    occ = words_of.select("template_id", "nw", "w0", F.explode(F.transform(F.sequence(F.lit(1).cast("long"), "c"),
+                          lambda i: F.concat_ws("\x1f", "word", i.cast("string")))).alias("elem"))
+    occ = cut_lineage(occ, "merge-elements")
+    ranks = ranked(occ.groupBy("elem").agg(F.count("*").alias("df")), ["df", "elem"], "r").select("elem", "r")
     need = F.floor(F.col("nw") * threshold).cast("int") + 1        # LCS must reach this
-    t = t.withColumn("plen", F.greatest(F.col("nw") - need + 1, F.lit(1)))
-    occ = t.select("template_id", "nw", "w0", "plen", F.posexplode("w").alias("i", "word"))
-    occ = occ.withColumn("k", F.row_number().over(Window.partitionBy("template_id", "word").orderBy("i")))
-    occ = occ.withColumn("elem", F.concat_ws("\x1f", "word", F.col("k").cast("string")))
-    occ = occ.withColumn("r", F.row_number().over(Window.partitionBy("template_id").orderBy("elem")))
-    pref = occ.filter(F.col("r") <= F.col("plen")).select("template_id", "nw", "w0", "elem")
+    pref = occ.join(ranks, "elem").groupBy("template_id", "nw", "w0").agg(F.array_sort(F.collect_list("r")).alias("es"))  # words of one template
+    pref = pref.select("template_id", "nw", "w0", F.explode(F.slice("es", 1, F.greatest(F.col("nw") - need + 1, F.lit(1)))).alias("r"))
+    pref = cut_lineage(pref, "merge-prefixes")
     a, b = pref.alias("a"), pref.alias("b")
     cand = (a.join(b, (F.col("a.nw") == F.col("b.nw")) & (F.col("a.w0") == F.col("b.w0"))
-                   & (F.col("a.elem") == F.col("b.elem")) & (F.col("a.template_id") < F.col("b.template_id")))
+                   & (F.col("a.r") == F.col("b.r")) & (F.col("a.template_id") < F.col("b.template_id")))
             .select(F.col("a.template_id").alias("old_id"), F.col("b.template_id").alias("new_id")).distinct())
-    tw = t.select("template_id", "w")
-    cand = (cand.join(tw.withColumnRenamed("template_id", "old_id").withColumnRenamed("w", "old_w"), "old_id")
-            .join(tw.withColumnRenamed("template_id", "new_id").withColumnRenamed("w", "new_w"), "new_id"))
-    cand = cand.withColumn("sim", lcs_similarity("old_w", "new_w")).filter(F.col("sim") > threshold)
-    best = cand.groupBy("new_id").agg(F.max_by("old_id", F.struct("sim", -F.col("old_id"))).alias("old_id"))
-    members = best.join(tw.withColumnRenamed("template_id", "new_id"), "new_id")
-    absorbed = members.groupBy("old_id").agg(F.collect_list("w").alias("ws"),
-                                             F.sort_array(F.collect_list("new_id")).alias("merged_from"))
+    tw = cut_lineage(t.select("template_id", "w", lcs_masks("w").alias("masks")), "merge-masks")
+    cand = (cand.join(tw.select(F.col("template_id").alias("old_id"), F.col("w").alias("old_w")), "old_id")
+            .join(tw.withColumnsRenamed({"template_id": "new_id", "w": "new_w"}), "new_id"))
+    cand = cand.withColumn("sim", lcs_similarity("old_w", "new_w", "masks")).filter(F.col("sim") > threshold)
+    best = cut_lineage(cand.groupBy("new_id").agg(F.max_by("old_id", F.struct("sim", -F.col("old_id"))).alias("old_id")), "merge-best")
+    members = best.join(t.select(F.col("template_id").alias("new_id"), "w"), "new_id")
+    # of the words at one place only whether they are all the same matters: no group is gathered
+    places = members.select("old_id", "new_id", F.posexplode("w").alias("i", "word")).groupBy("old_id", "i").agg(F.min("word").alias("lo"), F.max("word").alias("hi"))
+    absorbed = places.groupBy("old_id").agg(F.array_sort(F.collect_list(F.struct("i", "lo", "hi"))).alias("at"))  # a row a word
+    absorbed = absorbed.join(members.groupBy("old_id").agg(F.sort_array(F.collect_list("new_id")).alias("merged_from")), "old_id")
     kept = t.join(best.select(F.col("new_id").alias("template_id")), "template_id", "left_anti")
     out = kept.join(absorbed.withColumnRenamed("old_id", "template_id"), "template_id", "left")
-    merged = F.aggregate(F.coalesce("ws", F.array().cast("array<array<string>>")), F.col("w"),
-                         lambda acc, x: F.zip_with(acc, x, lambda p, q: F.when(p == q, p).otherwise(F.lit(WILDCARD))))
+    merged = F.when(F.col("at").isNull(), F.col("w")).otherwise(F.zip_with(
+        "w", "at", lambda p, x: F.when((x["lo"] == p) & (x["hi"] == p), p).otherwise(F.lit(WILDCARD))))
     return out.select("template_id", F.array_join(merged, " ").alias("template"),
                       F.coalesce("merged_from", F.array().cast("array<long>")).alias("merged_from"))

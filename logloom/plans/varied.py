@@ -89,3 +89,66 @@ SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, coalesce(template_id, CAS
 FROM lineitem LEFT JOIN t ON o_orderkey = l_orderkey GROUP BY ALL
 """
 QUERIES["match_many_templates"] = (match_many_templates, SQL_MATCH_MANY_TEMPLATES)
+
+
+# ---------------------------------------------------------------------------
+# Near-duplicate templates of a large template table
+# ---------------------------------------------------------------------------
+
+_PART_TEMPLATE = "p_name || ' brand ' || p_brand || ' type ' || p_type || ' size ' || cast(p_size as string) || ' ok'"
+
+
+def merge_part_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P5 + G11 + G25: a template for every kind of part, near duplicates merged by word LCS."""
+    from logloom.operators.discovery import merge_similar
+    parts = table(spark, sf_dir, "part", ["p_partkey", "p_name", "p_brand", "p_type", "p_size"])
+    tpl = parts.groupBy(F.expr(_PART_TEMPLATE).alias("template")).agg(F.min("p_partkey").alias("template_id"))
+    return merge_similar(tpl).select("template_id", "template", F.size("merged_from").alias("n_merged"))
+
+
+#: LCS lengths of the pairs (a, b, x, y) of `cand`: a row of the table of one word after the other.
+_SQL_LCS = """
+dp AS (
+  SELECT a, b, x, y, 0 AS i, list_transform(range(len(y) + 1), lambda j: 0) AS row FROM cand
+  UNION ALL
+  SELECT a, b, x, y, i + 1, list_transform(range(len(y) + 1), lambda j: CASE WHEN j = 0 THEN 0 ELSE CAST(list_max(list_transform(range(1, j + 1),
+    lambda k: greatest(row[k + 1], CASE WHEN x[i + 1] = y[k] THEN row[k] + 1 ELSE 0 END))) AS INTEGER) END)
+  FROM dp WHERE i < len(x)
+),
+lcs AS (SELECT a, b, x, y, row[len(y) + 1] AS n FROM dp WHERE i = len(x))
+"""
+
+SQL_MERGE_PART_TEMPLATES = f"""
+WITH RECURSIVE t AS (SELECT {_PART_TEMPLATE} AS template, min(p_partkey) AS id FROM part GROUP BY 1),
+w AS (SELECT id, template, string_split(template, ' ') AS ws FROM t),
+e AS (SELECT id, word, count(*) AS c FROM (SELECT id, unnest(ws) AS word FROM w) GROUP BY ALL),
+o AS (SELECT p.id AS a, q.id AS b, sum(least(p.c, q.c)) AS shared FROM e p JOIN e q ON p.word = q.word AND p.id < q.id GROUP BY ALL),
+cand AS (SELECT o.a, o.b, p.ws AS x, q.ws AS y FROM o JOIN w p ON p.id = o.a JOIN w q ON q.id = o.b
+         WHERE len(p.ws) = len(q.ws) AND p.ws[1] = q.ws[1] AND shared > 0.8 * len(p.ws)),
+{_SQL_LCS},
+near AS (SELECT b, a, x, y, row_number() OVER (PARTITION BY b ORDER BY n DESC, a) AS rn FROM lcs WHERE 2.0 * n / (len(x) + len(y)) > 0.8),
+best AS (SELECT b, a, y FROM near WHERE rn = 1),
+diff AS (SELECT a, list(y) AS ys, count(*) AS n FROM best GROUP BY a)
+SELECT w.id AS template_id,
+       array_to_string(list_transform(range(1, len(ws) + 1), lambda i: CASE WHEN len(list_filter(coalesce(ys, []), lambda z: z[i] <> ws[i])) = 0 THEN ws[i] ELSE '<*>' END), ' ') AS template,
+       CAST(coalesce(n, 0) AS INTEGER) AS n_merged
+FROM w LEFT JOIN diff ON diff.a = w.id WHERE w.id NOT IN (SELECT b FROM best)
+"""
+QUERIES["merge_part_templates"] = (merge_part_templates, SQL_MERGE_PART_TEMPLATES)
+
+
+def lcs_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G12 + G14: word-LCS and edit distance between the varied log's messages and the truth of their line."""
+    from logloom.functions.distance import lcs_distance, levenshtein_distance
+    pairs = varied_events(spark, sf_dir).where("gt is not null").select("Content", "gt").distinct()
+    return pairs.select("Content", "gt", F.round(lcs_distance("Content", "gt"), 6).alias("lcs"), F.round(levenshtein_distance("Content", "gt"), 6).alias("lev"))
+
+
+SQL_LCS_DISTANCES = f"""
+WITH RECURSIVE {V}, p AS (SELECT DISTINCT Content AS a, gt AS b FROM v WHERE gt IS NOT NULL),
+cand AS (SELECT a, b, string_split(a, ' ') AS x, string_split(b, ' ') AS y FROM p),
+{_SQL_LCS}
+SELECT a AS Content, b AS gt, round(1.0 - 2.0 * n / (len(x) + len(y)), 6) AS lcs,
+       round(levenshtein(a, b) * 1.0 / greatest(length(a), length(b)), 6) AS lev FROM lcs
+"""
+QUERIES["lcs_distances"] = (lcs_distances, SQL_LCS_DISTANCES)

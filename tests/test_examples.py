@@ -101,3 +101,12 @@ def test_jaccard_join_equals_brute_force(spark, rounds):
         near = sorted((round(jac(t, e), 9), p) for p, e in enumerate(examples))
         want = [x for x in near if x[0] < 1 and t.split()][:3]
         assert sorted(got.get(i, [])) == want, t
+
+
+def test_lcs_over_limbs(spark):
+    import random
+    rng = random.Random(1)
+    sizes = [0, 1, 5, 61, 62, 63, 124, 125, 190]
+    rows = [([rng.choice("abcdef") for _ in range(rng.choice(sizes))], [rng.choice("abcdefg") for _ in range(rng.choice(sizes))]) for _ in range(80)]
+    df = spark.createDataFrame(rows, "a array<string>, b array<string>")
+    assert [r[0] for r in df.select(D.lcs_length("a", "b")).collect()] == [lcs(a, b) for a, b in rows]
