@@ -156,23 +156,25 @@ def placeholders_to_wildcards(col) -> Column:
     return F.regexp_replace(_c(col), r"\{(\w+)\}", WILDCARD)
 
 
-# Java repeats groups by recursion, which ends the JVM on very long runs.  The
-# three masks that repeat a group first try the run as whole words with
-# possessive repeats, which need no recursion; where that finds too few words,
-# the mask itself decides, with at most MAX_REPEAT repeats.
-MAX_REPEAT = 300
+# Java repeats groups by recursion, which ends the JVM on very long runs; possessive repeats need
+# none.  The masks of colon-separated hex and of long hex words first try the run as whole words;
+# where that finds too few words, the mask itself decides: then it needs few repeats, so a bound of
+# FEW takes nothing from it.  The mask of four-digit groups is a run of words, each of whole groups
+# and ended by other text; the look ahead sees to it that the fourth group lies in such a word.
+FEW = 300
 _END, _GAP = "(?![A-Za-z0-9])", "(?: (?=[^A-Za-z0-9]|$))?+"
+_QUADS = "(?:[0-9A-F]{4})++"
 _RUNS = {0: (r"(([0-9a-f]{2,}:){3,}([0-9a-f]{2,}))", "[0-9a-f]{2,}+(?::[0-9a-f]{2,}+" + _END + "){3,}+"),
-         2: (r"([0-9a-f]{6,} ?){3,}", "[0-9a-f]{6,}+(?: [0-9a-f]{6,}+" + _END + "){2,}+" + _GAP),
-         3: (r"([0-9A-F]{4} ?){4,}", "(?:[0-9A-F]{4})++(?: (?:[0-9A-F]{4})++" + _END + "){3,}+" + _GAP)}
+         2: (r"([0-9a-f]{6,} ?){3,}", "[0-9a-f]{6,}+(?: [0-9a-f]{6,}+" + _END + "){2,}+" + _GAP)}
+_QUAD_RUN = (r"([0-9A-F]{4} ?){4,}", "(?=(?:[0-9A-F]{4} ?){3}" + _QUADS + _END + ")" + _QUADS + "(?: " + _QUADS + _END + ")*+" + _GAP)
 
 
 def safe_masks() -> list[str]:
-    """The variable masks, fit for very long lines."""
+    """The variable masks, fit for very long lines; a run of any length is masked."""
     out = list(VARIABLE_MASKS)
     for i, (run, whole) in _RUNS.items():
-        bounded = run.replace("{3,}", "{3,%d}" % MAX_REPEAT).replace("{4,}", "{4,%d}" % MAX_REPEAT)
-        out[i] = out[i].replace(run, f"(?:{whole}|{bounded})")
+        out[i] = out[i].replace(run, f"(?:{whole}|{run.replace('{3,}', '{3,%d}' % FEW)})")
+    out[3] = out[3].replace(*_QUAD_RUN)
     return out
 
 

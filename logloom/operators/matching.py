@@ -301,22 +301,37 @@ def template_table(parsed: DataFrame, template_col: str = "EventTemplate", group
             .groupBy(*g, "EventId", template_col).agg(F.count("*").alias("Occurrences")))
 
 
-def longest_first(templates: DataFrame, template_col: str = "EventTemplate") -> DataFrame:
-    """Templates by length, longest first (ties by text)."""
-    return templates.orderBy(F.length(template_col).desc(), F.col(template_col))
-
-
 def relevant_templates(sigs: DataFrame, templates: DataFrame) -> DataFrame:
     """For each signature, the templates under the longest token prefix
-    it shares with any template (at least one token)."""
+    it shares with any template (at least one token).
+
+    Every prefix of a shared prefix is shared, so the longest one is found by binary search
+    over its length: each round joins the signatures, one row each, with the
+    distinct prefixes of the templates (128-bit hashes), about log2 of the longest template
+    times.  Only then do messages and templates meet, at that one prefix."""
+    def hashes(prefix):
+        return F.xxhash64(prefix), F.xxhash64(F.lit("second"), prefix)
+
     tp = prepare_templates(templates).select("template", "t_tokens")
-    tp = tp.select("template", F.posexplode(F.sequence(F.lit(1), F.size("t_tokens"))).alias("_p", "k"), "t_tokens")
-    tp = tp.withColumn("prefix", F.array_join(F.slice("t_tokens", 1, F.col("k")), SEP)).select("template", "k", "prefix")
+    tp = tp.select("template", F.explode(F.sequence(F.lit(1), F.size("t_tokens"))).alias("k"), "t_tokens")
+    tp = tp.withColumn("_p", F.array_join(F.slice("t_tokens", 1, F.col("k")), SEP))
+    h1, h2 = hashes(F.col("_p"))
+    tp = cut_lineage(tp.select("template", "k", h1.alias("h1"), h2.alias("h2")), "template-prefixes")
+    known = cut_lineage(tp.select("k", "h1", "h2").distinct(), "prefixes")
+    longest = known.agg(F.max("k")).first()[0] or 0
     m = sigs.select("sig").withColumn("m_tokens", sig_tokens("sig")).filter(F.size("m_tokens") > 0)
-    m = m.select("sig", "m_tokens", F.explode(F.sequence(F.lit(1), F.size("m_tokens"))).alias("k"))
-    m = m.withColumn("prefix", F.array_join(F.slice("m_tokens", 1, F.col("k")), SEP)).drop("m_tokens")
-    j = m.join(tp, ["k", "prefix"])
-    deepest = j.groupBy("sig").agg(F.max("k").alias("k"))
-    return (j.join(deepest, ["sig", "k"])
-            .groupBy("sig", "k").agg(F.array_sort(F.collect_set("template")).alias("relevant"))
-            .withColumnRenamed("k", "depth"))
+    m = m.withColumn("lo", F.lit(0)).withColumn("hi", F.least(F.size("m_tokens"), F.lit(longest)))
+    for _ in range(longest.bit_length()):
+        m = m.withColumn("mid", F.ceil((F.col("lo") + F.col("hi")) / 2).cast("int"))  # lo once the search has ended
+        m = m.withColumn("_p", F.array_join(F.slice("m_tokens", 1, F.col("mid")), SEP))
+        h1, h2 = hashes(F.col("_p"))
+        m = m.withColumn("m1", h1).withColumn("m2", h2).drop("_p")
+        m = m.join(known.withColumn("shared", F.lit(True)), (F.col("mid") == F.col("k")) & (F.col("m1") == F.col("h1")) & (F.col("m2") == F.col("h2")), "left")
+        shared = F.coalesce("shared", F.lit(False)) | (F.col("mid") == F.col("lo"))
+        m = m.select("sig", "m_tokens", F.when(shared, F.col("mid")).otherwise(F.col("lo")).alias("lo"),
+                     F.when(shared, F.col("hi")).otherwise(F.col("mid") - 1).alias("hi"))
+    h1, h2 = hashes(F.array_join(F.slice("m_tokens", 1, F.col("lo")), SEP))
+    m = cut_lineage(m.filter(F.col("lo") > 0).select("sig", F.col("lo").alias("k"), h1.alias("h1"), h2.alias("h2")), "deepest")
+    under = (tp.join(m.select("k", "h1", "h2").distinct(), ["k", "h1", "h2"], "left_semi").groupBy("k", "h1", "h2")
+             .agg(F.array_sort(F.collect_set("template")).alias("relevant")))  # the result lists them
+    return m.join(under, ["k", "h1", "h2"]).select("sig", F.col("k").alias("depth"), "relevant")

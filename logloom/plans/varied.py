@@ -152,3 +152,71 @@ SELECT a AS Content, b AS gt, round(1.0 - 2.0 * n / (len(x) + len(y)), 6) AS lcs
        round(levenshtein(a, b) * 1.0 / greatest(length(a), length(b)), 6) AS lev FROM lcs
 """
 QUERIES["lcs_distances"] = (lcs_distances, SQL_LCS_DISTANCES)
+
+
+# ---------------------------------------------------------------------------
+# G5 on runs of any length
+# ---------------------------------------------------------------------------
+
+def mask_long_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order keys repeated into unbroken runs of four-digit groups, 4 to 400 of them."""
+    from logloom.functions.text import mask_variables
+    runs = table(spark, sf_dir, "orders", ["o_orderkey"]).selectExpr(
+        "o_orderkey", "'dump ' || repeat(lpad(cast(o_orderkey % 10000 as string), 4, 'A'), cast(4 + o_orderkey % 397 as int)) || ' end' AS line")
+    return runs.select("o_orderkey", mask_variables("line").alias("masked"))
+
+
+QUERIES["mask_long_runs"] = (mask_long_runs, "SELECT o_orderkey, 'dump <*> end' AS masked FROM orders")
+
+
+# ---------------------------------------------------------------------------
+# Truth and parse stored apart
+# ---------------------------------------------------------------------------
+
+def score_stored_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C2 + A6 + B3 + D2-D7: truth (some NULL) and parse (some lines missing) stored bucketed by line, aligned
+    without a shuffle, and scored by system."""
+    from logloom.functions.text import propose_template
+    from logloom.operators import metrics
+    from logloom.session import scratch_path
+    from logloom.sources.io import save_by_line
+    ev = varied_events(spark, sf_dir)
+    truth = save_by_line(ev.select("dataset", "LineId", F.col("gt").alias("EventTemplate")), scratch_path(spark, "truth"))
+    parsed = ev.where("LineId % 50 <> 7").select("dataset", "LineId", propose_template(F.col("Content")).alias("EventTemplate"))
+    pairs = metrics.pair_counts(metrics.align(truth, save_by_line(parsed, scratch_path(spark, "parse"))))
+    out = metrics.grouping_accuracy(pairs).join(metrics.parsing_accuracy(pairs), "dataset").join(metrics.template_accuracy(pairs), "dataset")
+    return out.select("dataset", "tool_templates", "ground_templates", *[F.round(c, 6).alias(c) for c in ("GA", "PGA", "RGA", "FGA", "PA", "PTA", "RTA", "FTA")])
+
+
+SQL_SCORE_STORED_APART = f"""
+WITH {V}, p AS (SELECT dataset, gt, CASE WHEN LineId % 50 = 7 THEN '' ELSE rule END AS parsed, count(*) AS n FROM v GROUP BY ALL),
+q AS (SELECT * FROM p WHERE gt IS NOT NULL),
+pp AS (SELECT dataset, parsed, sum(n) AS size_p, count(*) AS k, min(gt) AS gt1 FROM q GROUP BY ALL),
+pg AS (SELECT dataset, gt, sum(n) AS size_g, count(*) AS k, min(parsed) AS parsed FROM q GROUP BY ALL),
+g AS (SELECT pg.dataset, sum(CASE WHEN pg.k = 1 AND size_g = size_p THEN size_g ELSE 0 END) * 1.0 / sum(size_g) AS GA,
+             sum(CASE WHEN pg.k = 1 AND size_g = size_p THEN 1 ELSE 0 END) AS c, count(*) AS n_gt FROM pg JOIN pp USING (dataset, parsed) GROUP BY pg.dataset),
+t AS (SELECT dataset, count(*) AS tools, sum(CASE WHEN k = 1 AND parsed = gt1 THEN 1 ELSE 0 END) AS ok FROM pp GROUP BY dataset),
+a AS (SELECT dataset, sum(CASE WHEN parsed = gt THEN n ELSE 0 END) * 1.0 / sum(n) AS PA FROM p GROUP BY dataset),
+r AS (SELECT dataset, tools, n_gt, GA, PA, c * 1.0 / tools AS PGA, c * 1.0 / n_gt AS RGA, ok * 1.0 / tools AS PTA, ok * 1.0 / n_gt AS RTA FROM g JOIN t USING (dataset) JOIN a USING (dataset))
+SELECT dataset, tools AS tool_templates, n_gt AS ground_templates, round(GA, 6) AS GA, round(PGA, 6) AS PGA, round(RGA, 6) AS RGA,
+       round(CASE WHEN PGA + RGA > 0 THEN 2 * PGA * RGA / (PGA + RGA) ELSE 0 END, 6) AS FGA, round(PA, 6) AS PA, round(PTA, 6) AS PTA, round(RTA, 6) AS RTA,
+       round(CASE WHEN PTA + RTA > 0 THEN 2 * PTA * RTA / (PTA + RTA) ELSE 0 END, 6) AS FTA FROM r
+"""
+QUERIES["score_stored_apart"] = (score_stored_apart, SQL_SCORE_STORED_APART)
+
+
+# ---------------------------------------------------------------------------
+# B1 over many files
+# ---------------------------------------------------------------------------
+
+def read_many_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2 + B1: the varied log written as one text file for every ten lines, read back with consecutive line numbers."""
+    from logloom.session import scratch_path
+    from logloom.sources import formats
+    path = scratch_path(spark, "manyfiles")
+    ev = varied_events(spark, sf_dir).select("LineId", F.concat(F.lit("app: "), "Content").alias("value"))
+    ev.repartitionByRange(max(1, ev.count() // 10), "LineId").sortWithinPartitions("LineId").select("value").write.text(path)
+    return formats.read_raw_logs(spark, path, "<Component>: <Content>").select("LineId", "Content")
+
+
+QUERIES["read_many_files"] = (read_many_files, f"WITH {V} SELECT LineId, Content FROM v")

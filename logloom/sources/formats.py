@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------------------
@@ -97,29 +97,44 @@ def split_headers(lines: DataFrame, log_format: str, line_col: str = "value",
     return df.filter(fits).select(*lines.columns, *cols)
 
 
+#: Split offsets up to this many bytes are broadcast to the lines.
+BROADCAST_BYTES = 64 * 1024 * 1024
+
+
+def split_offsets(splits: DataFrame, keys: list[str], count_col: str = "_n") -> DataFrame:
+    """``splits`` with ``_off``: the sum of ``count_col`` over all splits before it in the order of ``keys``.
+
+    Two levels: sums inside each range of splits, and sums over the ranges (one
+    row for each shuffle partition).  Nothing is collected."""
+    from logloom.session import cut_lineage
+    ranges = splits.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id())
+    ranges = cut_lineage(ranges, "splits")
+    inside = Window.partitionBy("_range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    bases = ranges.groupBy("_range").agg(F.sum(count_col).alias("_sum"))
+    bases = bases.select("_range", F.coalesce(F.sum("_sum").over(over), F.lit(0)).alias("_base"))
+    return (ranges.withColumn("_in", F.coalesce(F.sum(count_col).over(inside), F.lit(0))).join(F.broadcast(bases), "_range")
+            .withColumn("_off", F.col("_base") + F.col("_in")).drop("_range", "_base", "_in"))
+
+
 def consecutive_ids(df: DataFrame, name: str = "LineId", order_cols=None) -> DataFrame:
-    """B1: 1..n in input order without a global window or sort.
+    """B1: 1..n in input order without a global window or sort of the lines.
 
     Input order is ``order_cols`` (e.g. file path and split start from the
     file metadata) and, inside one of those groups, the position in the
-    scan.  Only one row per group (per file split, or per partition when no
-    ``order_cols`` are given) reaches the driver: its row count and first
-    position, from which every row gets offset + position."""
-    from pyspark.sql.types import LongType, StructField, StructType
+    scan.  One row per group (per file split, or per partition when no
+    ``order_cols`` are given), its row count and first position, is written, gets its
+    offset by two-level prefix sums (``split_offsets``) and is joined back;
+    every row gets offset + position."""
+    from logloom.session import cut_lineage
     tagged = df.withColumn("_mid", F.monotonically_increasing_id())
     keys = list(order_cols) if order_cols else ["_pid"]
     if not order_cols:
         tagged = tagged.withColumn("_pid", F.shiftright("_mid", 33))
-    groups = tagged.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_mid").alias("_m0")).collect()
-    groups = sorted(groups, key=lambda r: tuple(r[k] for k in keys))
-    rows, acc = [], 0
-    for r in groups:
-        rows.append(tuple(r[k] for k in keys) + (r["_m0"], acc))
-        acc += r["_n"]
-    fields = {f.name: f for f in tagged.schema.fields}
-    schema = StructType([fields[k] for k in keys] + [StructField("_m0", LongType()), StructField("_off", LongType())])
-    off = df.sparkSession.createDataFrame(rows, schema)
-    out = tagged.join(F.broadcast(off), keys).withColumn(name, F.col("_off") + F.col("_mid") - F.col("_m0") + 1)
+    groups = tagged.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_mid").alias("_m0"))
+    off = cut_lineage(split_offsets(groups, keys).drop("_n"), "split-offsets")
+    size = off.agg(F.sum(F.lit(24) + sum((F.length(F.col(k).cast("string")) for k in keys), F.lit(0))).alias("b")).first()["b"] or 0
+    out = tagged.join(F.broadcast(off) if size <= BROADCAST_BYTES else off, keys).withColumn(name, F.col("_off") + F.col("_mid") - F.col("_m0") + 1)
     return out.drop("_mid", "_m0", "_off", *(["_pid"] if not order_cols else []))
 
 

@@ -159,3 +159,19 @@ def test_long_lines_do_not_end_the_jvm(spark):
             s = re.sub(pat, "<*>", s)
         plain.append(s)
     assert got[3:] == plain
+
+
+def test_masks_equal_the_plain_patterns_on_short_and_long_runs(spark):
+    import random
+    rng = random.Random(6)
+    parts = ["DEAD", "BEEF", "0123", "ABC", " ", " ", "  ", "x", "deadbe", "abcdef01", "0a:", "1b:", "ff", "-", ",", "12"]
+    lines = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 14))) for _ in range(3000)]
+    lines += ["run " + "DEAD" * n + end for n in (3, 4, 299, 301, 400) for end in ("", " ", " x", "x", ",")]
+    rows = spark.createDataFrame([(x,) for x in lines], "x string").select("x", T.mask_variables("x")).collect()
+    for x, got in rows:
+        want = x
+        for pat in T.VARIABLE_MASKS:  # the look-behind alternatives are the same in Python
+            want = re.sub(pat, "<*>", want)
+        assert got == want, x
+    long = spark.createDataFrame([("a " + "0123" * n + " b",) for n in (5000, 50000)], "x string").select(T.mask_variables("x")).collect()
+    assert [r[0] for r in long] == ["a <*> b"] * 2
