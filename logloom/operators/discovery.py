@@ -24,9 +24,11 @@ shared checkpoint folder.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +36,7 @@ from logloom.functions.text import (ASSISTANT_ACK, DEFAULT_EXAMPLE_ANSWER, DEFAU
                                     SYSTEM_PROMPT, WILDCARD, clean_template, is_too_general, keyed_signature,
                                     match_pattern, parse_answer, propose_template, sig_tokens, words, render_example_answer, render_example_query)
 from logloom.operators.matching import best_match, build_matcher
-from logloom.session import cut_lineage
+from logloom.session import cut_lineage, cut_observed, scratch_path
 
 TEMPLATE_SCHEMA = "template_id long, template string"
 
@@ -84,21 +86,69 @@ def build_completion_prompt(query_col, examples_col=None):
                     query_col, F.lit("`\n"))
 
 
-def _run_proposer(reps: DataFrame, proposer: Proposer) -> DataFrame:
-    """Call the proposer once per representative, in Arrow batches."""
+#: Prompts that a task asks at once, and so the most answers a lost executor can lose.
+ASKED_AT_ONCE = 16
+
+
+def _answer_files(folder: str, keys: list[str]) -> list[str | None]:
+    """The stored answers of prompts, None where there is none."""
+    fs, base = pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else "file://" + folder)
+    found = fs.get_file_info([f"{base}/{k}" for k in keys])
+    return [fs.open_input_stream(f.path).readall().decode() if f.type == pafs.FileType.File else None for f in found]
+
+
+def _store_answer(folder: str, key: str, answer: str) -> None:
+    """Store one answer under the hash of its prompt: a whole file or none."""
+    fs, base = pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else "file://" + folder)
+    fs.create_dir(base, recursive=True)
+    part = f"{base}/.{key}-{uuid.uuid4().hex}"
+    with fs.open_output_stream(part) as f:
+        f.write(answer.encode())
+    fs.move(part, f"{base}/{key}")
+
+
+def answers(asked: DataFrame, proposer: Proposer, folder: str, attempts: int = 3) -> DataFrame:
+    """(prompt, response) for the rows (prompt, rep_content, messages) of ``asked``, one for each prompt.
+
+    ``prompt`` is the hash of the messages.  Every answer is stored in the shared ``folder`` under that
+    hash as soon as it is there, a few prompts at a time, so a task that runs again, or a later job with
+    the same folder, asks only what has no answer yet.  The answers that came are written as a table for
+    each attempt; prompts whose answer failed (None) are asked again, ``attempts`` times in all, as those
+    that are not in the tables so far."""
     def fn(it):
         for pdf in it:
-            msgs = [json.loads(m) for m in pdf["messages"]]
-            out = proposer(pd.DataFrame({"content": pdf["rep_content"], "messages": msgs}))
-            yield pd.DataFrame({"sig": pdf["sig"], "response": pd.Series(list(out), dtype="object")})
-    payload = reps.select("sig", "rep_content", F.to_json("messages").alias("messages"))
-    return payload.mapInPandas(fn, "sig string, response string")
+            for lo in range(0, len(pdf), ASKED_AT_ONCE):
+                part = pdf.iloc[lo:lo + ASKED_AT_ONCE].reset_index(drop=True)
+                found = _answer_files(folder, list(part["prompt"]))
+                new = [i for i, a in enumerate(found) if a is None]
+                if new:
+                    some = part.iloc[new]
+                    out = proposer(pd.DataFrame({"content": list(some["rep_content"]), "messages": [json.loads(m) for m in some["messages"]]}))
+                    for i, answer in zip(new, list(out)):
+                        if answer is not None:
+                            found[i] = answer
+                            _store_answer(folder, part["prompt"][i], answer)
+                yield pd.DataFrame({"prompt": part["prompt"], "response": pd.Series(found, dtype="object")})
+
+    once = cut_lineage(asked.groupBy("prompt").agg(F.min_by(F.struct("rep_content", "messages"), "rep_content").alias("r")).select("prompt", "r.*"), "prompts")
+    done, pending = None, once
+    for _ in range(attempts):
+        got, seen = cut_observed(pending.mapInPandas(fn, "prompt string, response string"), "answers", failed=F.count_if(F.col("response").isNull()))
+        good = got.filter(F.col("response").isNotNull())
+        done = good if done is None else done.unionByName(good)
+        if not seen["failed"]:
+            break
+        pending = once.join(done.select("prompt"), "prompt", "left_anti")
+    return done
 
 
 def propose(reps: DataFrame, proposer: Proposer | None = None, examples: DataFrame | None = None,
-            k: int = 3, group_col: str | None = None, selection_method: str = "jaccard") -> DataFrame:
+            k: int = 3, group_col: str | None = None, selection_method: str = "jaccard", answers_dir: str | None = None) -> DataFrame:
     """P1-P3 for representatives (sig, rep_content, rule_template) -> proposal.
 
+    ``answers_dir``: the shared folder of the model's answers (see ``answers``); by default one of
+    this call's own, so that at least tasks which run again find them.
+
     ``selection_method``: how the k examples of a prompt are chosen, ``random`` (E12) or the name
     of the distance of the nearest ones (G12-G16)."""
     if proposer is None:
@@ -119,8 +169,10 @@ def propose(reps: DataFrame, proposer: Proposer | None = None, examples: DataFra
     else:
         ask = ask.withColumn("examples", F.lit(None).cast("array<struct<query:string,answer:string>>"))
     ask = ask.withColumn("messages", build_prompt(F.col("rep_content"), F.col("examples")))
-    answers = _run_proposer(ask, proposer)
-    out = reps.join(answers, "sig", "left")
+    ask = ask.select("sig", "rep_content", F.to_json("messages").alias("messages"))
+    ask = cut_lineage(ask.withColumn("prompt", F.md5("messages")), "asked")
+    answered = answers(ask, proposer, answers_dir or scratch_path(reps.sparkSession, "answer-files"))
+    out = reps.join(ask.select("sig", "prompt").join(answered, "prompt").drop("prompt"), "sig", "left")
     answer_tpl = clean_template(parse_answer(F.col("response")))
     out = out.withColumn("_cand", F.when(one_word, clean_template(F.col("rep_content"))).otherwise(answer_tpl))
     ok = (F.col("_cand").isNotNull() & ~is_too_general(F.col("_cand"))
@@ -154,7 +206,8 @@ def discover(lines: DataFrame, templates: DataFrame | None = None, proposer: Pro
              examples: DataFrame | None = None, k: int = 3,
              content_col: str = "Content", order_col: str = "LineId",
              stats: list | None = None, windows=WINDOWS, sigs_out: list | None = None,
-             group_col: str | None = None, selection_method: str = "jaccard") -> tuple[DataFrame, DataFrame]:
+             group_col: str | None = None, selection_method: str = "jaccard",
+             answers_dir: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Give every distinct signature a template.
 
     Rounds work through the log in growing windows of first appearance
@@ -167,19 +220,21 @@ def discover(lines: DataFrame, templates: DataFrame | None = None, proposer: Pro
     Returns ``(assigned, templates)`` where ``assigned`` has ``sig``,
     ``template_id``, ``template`` (NULL when the message only yields a
     too-general template) and ``templates`` is the final template table.
-    ``stats`` (a list) receives one dict per round (D26: proposals made).
+    ``stats`` (a list) receives one dict per round (D26: proposals made).  All counts are
+    observed while the round's tables are written; no job counts.
     """
     spark = lines.sparkSession
     G = [group_col] if group_col else []
     if templates is not None:
-        T = cut_lineage(templates.select("template_id", "template", *G), "templates")
-        n_templates = T.count()
+        T, seen = cut_observed(templates.select("template_id", "template", *G), "templates", n=F.count(F.lit(1)))
+        n_templates = seen["n"]
     else:
         T, n_templates = empty_templates(spark, group_col), 0
-    pending = cut_lineage(signatures(lines, content_col, order_col, group_col), "sigs")
+    pending, span = cut_observed(signatures(lines, content_col, order_col, group_col), "sigs", n=F.count(F.lit(1)),
+                                 lo=F.min("first_line"), hi=F.max("first_line"))
     if sigs_out is not None:
         sigs_out.append(pending)
-    span = pending.agg(F.min("first_line").alias("lo"), F.max("first_line").alias("hi")).first()
+    n_pending = span["n"]
     lo, hi = (span["lo"] or 0), (span["hi"] or 0)
     done: list[DataFrame] = []
     rnd = -1
@@ -188,15 +243,16 @@ def discover(lines: DataFrame, templates: DataFrame | None = None, proposer: Pro
         share = windows[min(rnd, len(windows) - 1)]
         bound = lo + int((hi - lo + 1) * share)
         if n_templates == 0:
-            miss = pending
+            miss, n_miss = pending, n_pending
         else:
             matcher = build_matcher(T, group_col=group_col)
             mm = matcher.apply(pending, sig_col="sig") if matcher is not None else None  # map-side: pending not shuffled
-            m = cut_lineage(mm if mm is not None else best_match(pending, T, group_col=group_col), "matched")
+            m, seen = cut_observed(mm if mm is not None else best_match(pending, T, group_col=group_col), "matched",
+                                   missed=F.count_if(F.col("template_id").isNull()))
+            n_miss = seen["missed"]
             done.append(m.filter(F.col("template_id").isNotNull()).select("sig", "template_id", "template",
                                                                           F.lit("match").alias("source")))
             miss = m.filter(F.col("template_id").isNull()).drop("template_id", "template")
-        n_miss = miss.count()
         if n_miss == 0:
             if sigs_out is not None and n_templates > 0:
                 sigs_out.append(matcher)   # T unchanged since: the caller may reuse it
@@ -214,21 +270,25 @@ def discover(lines: DataFrame, templates: DataFrame | None = None, proposer: Pro
         live = live.filter(F.col("rule_template").isNotNull())
         reps = live.groupBy("key").agg(F.min_by(F.struct("sig", *G, "rep_content", "rule_template", "first_line"),
                                                 "first_line").alias("r")).select("r.*")
-        reps = cut_lineage(propose(reps, proposer, examples, k, group_col, selection_method)
-                           .withColumn("path", keyed_signature("proposal", group_col)), "proposals")
-        T = cut_lineage(_add_templates(T, reps.select(F.col("proposal").alias("template"), "first_line", *G), group_col),
-                        "templates")
-        n_templates = T.count()
+        reps, proposed = cut_observed(propose(reps, proposer, examples, k, group_col, selection_method, answers_dir)
+                                      .withColumn("path", keyed_signature("proposal", group_col)), "proposals", n=F.count(F.lit(1)))
+        T, seen = cut_observed(_add_templates(T, reps.select(F.col("proposal").alias("template"), "first_line", *G), group_col),
+                               "templates", n=F.count(F.lit(1)))
+        n_templates = seen["n"]
         ids = T.withColumn("path", keyed_signature("template", group_col)).select("path", "template_id")
-        done.append(reps.join(F.broadcast(ids) if n_templates <= 1_000_000 else ids, "path", "left")
+        done.append(reps.join(ids, "path", "left")  # both are written tables: their sizes decide the join
                     .select("sig", "template_id", F.col("proposal").alias("template"), F.lit("proposal").alias("source")))
         if stats is not None:
-            stats.append({"round": rnd + 1, "window": share, "misses": n_miss, "proposals": reps.count()})
+            stats.append({"round": rnd + 1, "window": share, "misses": n_miss, "proposals": proposed["n"]})
         keep = ["sig", *G, "first_line", "rep_content", "n_lines"]
         rest = live.join(reps.select("sig"), "sig", "left_anti").select(*keep)
         if later is not None:
             rest = rest.unionByName(later.select(*keep))
-        pending = cut_lineage(rest, "pending")
+        pending, seen = cut_observed(rest, "pending", n=F.count(F.lit(1)))
+        n_pending = seen["n"]
+    if not done:  # no line at all
+        return pending.select("sig", F.lit(None).cast("long").alias("template_id"), F.lit(None).cast("string").alias("template"),
+                              F.lit("general").alias("source")), T
     assigned = done[0]
     for d in done[1:]:
         assigned = assigned.unionByName(d)
@@ -239,7 +299,8 @@ def parse(lines: DataFrame, templates: DataFrame | None = None, proposer: Propos
           examples: DataFrame | None = None, k: int = 3,
           content_col: str = "Content", order_col: str = "LineId",
           group_col: str | None = None, selection_method: str = "jaccard",
-          stats: list | None = None) -> tuple[DataFrame, DataFrame]:
+          stats: list | None = None, answers_dir: str | None = None,
+          known_ids: DataFrame | None = None, ids_out: list | None = None) -> tuple[DataFrame, DataFrame]:
     """Structured log: every line with EventTemplate and EventId.
 
     ``group_col`` (e.g. ``dataset``) parses many systems in one job: the
@@ -256,13 +317,15 @@ def parse(lines: DataFrame, templates: DataFrame | None = None, proposer: Propos
     against the same final table by a join and joined back: the result is the
     same.
 
-    ``stats`` (a list) receives the proposals of each round (D26).  Returns
-    ``(structured, templates)``."""
-    from logloom.operators.matching import build_matcher, event_ids
+    ``stats`` (a list) receives the proposals of each round (D26).  ``known_ids``
+    (EventTemplate, number) are the numbers that templates already have; new ones
+    follow the largest.  ``ids_out`` (a list) receives the table of new numbers.
+    Returns ``(structured, templates)``."""
+    from logloom.operators.matching import build_matcher, event_numbers
     sigs_out: list = []
     G = [group_col] if group_col else []
     assigned, T = discover(lines, templates, proposer, examples, k, content_col=content_col, order_col=order_col,
-                           sigs_out=sigs_out, group_col=group_col, selection_method=selection_method, stats=stats)
+                           sigs_out=sigs_out, group_col=group_col, selection_method=selection_method, stats=stats, answers_dir=answers_dir)
     reused = sigs_out[1] if len(sigs_out) > 1 else None
     matcher = reused if reused is not None else build_matcher(T, group_col=group_col)
     # proposals are rows of the written per-round tables: counting them is a metadata-sized read
@@ -282,7 +345,11 @@ def parse(lines: DataFrame, templates: DataFrame | None = None, proposer: Propos
         out = lines.withColumn("sig", keyed_signature(content_col, group_col)).join(per_sig.select("sig", "EventTemplate"), "sig", "left").drop("sig")
     firsts = per_sig.filter(F.col("EventTemplate").isNotNull()).groupBy(*G, "EventTemplate").agg(
         F.min("first_line").alias("_first"))
-    ids = event_ids(firsts, "EventTemplate", G)
+    new = event_numbers(firsts, "EventTemplate", G, known_ids)
+    if ids_out is not None:
+        ids_out.append(new)
+    ids = new if known_ids is None else new.unionByName(known_ids.select(*G, "EventTemplate", "number"))
+    ids = ids.select(*G, "EventTemplate", F.concat(F.lit("E"), F.col("number").cast("string")).alias("EventId"))
     ids = F.broadcast(ids) if matcher is not None else ids  # one row per template: the matcher's size check bounds it
     return out.join(ids, [*G, "EventTemplate"], "left"), T
 

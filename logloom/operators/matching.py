@@ -267,16 +267,30 @@ def attach_templates(lines: DataFrame, templates: DataFrame, id_col: str = "temp
     return lines.join(templates.select(id_col, F.col("template").alias("EventTemplate")), id_col, "left")
 
 
-def event_ids(firsts: DataFrame, template_col: str, group_cols=()) -> DataFrame:
-    """E1 for a table of first appearances (groups, template, ``_first``): groups, template, EventId."""
+def event_numbers(firsts: DataFrame, template_col: str, group_cols=(), known: DataFrame | None = None) -> DataFrame:
+    """E1 for a table of first appearances (groups, template, ``_first``): groups, template, number of the
+    templates that ``known`` (groups, template, number) lacks; they follow its largest number."""
     from logloom.session import ranked
     g = list(group_cols)
+    if known is not None:
+        firsts = firsts.join(known.select(*g, template_col), [*g, template_col], "left_anti")
     ids = ranked(firsts, [*g, "_first", template_col], "_rank")
     if g:  # the rank inside a group: less the ranks of the groups before it
         ids = ids.join(ids.groupBy(*g).agg((F.min("_rank") - 1).alias("_before")), g)
     else:
         ids = ids.withColumn("_before", F.lit(0))
-    return ids.select(*g, template_col, F.concat(F.lit("E"), (F.col("_rank") - F.col("_before")).cast("string")).alias("EventId"))
+    number = F.col("_rank") - F.col("_before")
+    if known is not None:
+        most = known.groupBy(*g).agg(F.max("number").alias("_most"))
+        ids = ids.join(most, g, "left") if g else ids.withColumn("_most", F.lit(most.first()["_most"]).cast("long"))
+        number = number + F.coalesce("_most", F.lit(0))
+    return cut_lineage(ids.select(*g, template_col, number.cast("long").alias("number")), "event-numbers")
+
+
+def event_ids(firsts: DataFrame, template_col: str, group_cols=()) -> DataFrame:
+    """E1 for a table of first appearances (groups, template, ``_first``): groups, template, EventId."""
+    ids = event_numbers(firsts, template_col, group_cols)
+    return ids.select(*group_cols, template_col, F.concat(F.lit("E"), F.col("number").cast("string")).alias("EventId"))
 
 
 def assign_event_ids(parsed: DataFrame, template_col: str = "EventTemplate",

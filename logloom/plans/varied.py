@@ -220,3 +220,81 @@ def read_many_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["read_many_files"] = (read_many_files, f"WITH {V} SELECT LineId, Content FROM v")
+
+
+# ---------------------------------------------------------------------------
+# A model's templates;  D26: proposals of each round
+# ---------------------------------------------------------------------------
+
+def kind_proposer(asked):
+    """A stand-in for a model that knows three kinds of lines: it answers them with a general
+    template, pool lines with one that does not match them, and the rest in prose."""
+    import pandas as pd
+    kinds = [("worker ", "Log template: `worker {name} finished job {id}`"), ("open ", "Log template: `open {path} failed`"),
+             ("flag ", "The template is:\nLog template: `flag {value} set by {user}`"), ("pool ", "Log template: `pond {id}`")]
+    questions = [m[-1]["content"].removeprefix("Log message: `") for m in asked["messages"]]
+    return pd.Series([next((a for start, a in kinds if q.startswith(start)), "I can't say") for q in questions])
+
+
+def parse_with_proposer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P1 + P3 + P6 + B9 + G21 + G24: the varied log parsed with a proposer; answers that don't match their own
+    message, and those without a template, give way to the rules; one-word lines are not asked."""
+    from logloom.operators.discovery import parse
+    structured, _ = parse(varied_events(spark, sf_dir).select("LineId", "Content"), proposer=kind_proposer)
+    return structured.select("LineId", "EventTemplate")
+
+
+SQL_PARSE_WITH_PROPOSER = f"""
+WITH {V} SELECT LineId, CASE WHEN starts_with(rule, 'worker ') THEN 'worker <*> finished job <*>' WHEN starts_with(rule, 'open ') THEN 'open <*> failed'
+  WHEN starts_with(rule, 'flag ') THEN 'flag <*> set by <*>' ELSE rule END AS EventTemplate FROM v
+"""
+QUERIES["parse_with_proposer"] = (parse_with_proposer, SQL_PARSE_WITH_PROPOSER)
+
+
+def proposals_per_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proposals of each discovery round over the varied log, observed while its tables are written."""
+    from logloom.operators.discovery import discover
+    stats: list = []
+    discover(varied_events(spark, sf_dir).select("LineId", "Content"), stats=stats)
+    return spark.createDataFrame([(s["round"], s["proposals"]) for s in stats], "round int, proposals long")
+
+
+SQL_PROPOSALS_PER_ROUND = f"""
+WITH {V}, {_SQL_COVER},
+n AS (SELECT 1 + CAST(floor(max(LineId) * 0.01) AS BIGINT) AS b1, 1 + CAST(floor(max(LineId) * 0.1) AS BIGINT) AS b2 FROM v),
+r1 AS (SELECT coalesce(list(DISTINCT own), []) AS t FROM msg, n WHERE first <= b1),
+r2 AS (SELECT coalesce(list(DISTINCT own), []) AS t FROM msg, n, r1 WHERE first <= b2 AND NOT list_has_any(cover, r1.t)),
+r3 AS (SELECT coalesce(list(DISTINCT own), []) AS t FROM msg, r1, r2 WHERE NOT list_has_any(cover, list_concat(r1.t, r2.t)))
+SELECT 1 AS round, len(t) AS proposals FROM r1 UNION ALL SELECT 2, len(t) FROM r2 UNION ALL SELECT 3, len(t) FROM r3
+"""
+QUERIES["proposals_per_round"] = (proposals_per_round, SQL_PROPOSALS_PER_ROUND)
+
+
+# ---------------------------------------------------------------------------
+# A stream that stops and goes on
+# ---------------------------------------------------------------------------
+
+def stream_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H2 + A15 + P1: the varied log as a file stream parsed with a proposer; the query ends after the first half of the
+    files, and a new one goes on from its state and answers."""
+    from logloom.session import scratch_path
+    from logloom.streaming import online
+    base = scratch_path(spark, "restart")
+    ev = varied_events(spark, sf_dir).select("LineId", "Content")
+    last = ev.agg(F.max("LineId")).first()[0] or 0
+    for i in range(4):  # two batches for each of two queries
+        part = ev.filter((F.col("LineId") > last * i // 4) & (F.col("LineId") <= last * (i + 1) // 4))
+        part.repartitionByRange(2, "LineId").write.mode("append").parquet(base + "/source")
+        if i % 2:
+            q = online.start(spark, base + "/source", base + "/out", base + "/state", base + "/checkpoint", files_per_trigger=2,
+                             proposer=kind_proposer, answers_dir=base + "/answers")
+            q.awaitTermination()
+    return online.read_output(spark, base + "/out").select("LineId", "EventId", "EventTemplate")
+
+
+SQL_STREAM_RESTART = f"""
+WITH {V}, p AS ({SQL_PARSE_WITH_PROPOSER.split(V, 1)[1]}),
+ids AS (SELECT EventTemplate, 'E' || cast(row_number() OVER (ORDER BY min(LineId), EventTemplate) AS varchar) AS EventId FROM p GROUP BY EventTemplate)
+SELECT LineId, EventId, EventTemplate FROM p JOIN ids USING (EventTemplate)
+"""
+QUERIES["stream_restart"] = (stream_restart, SQL_STREAM_RESTART)

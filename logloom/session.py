@@ -70,6 +70,15 @@ def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def cut_observed(df: DataFrame, name: str, **metrics) -> tuple[DataFrame, dict]:
+    """``cut_lineage``, and the aggregates ``metrics`` (name=column) observed while the table is
+    written, without a job of their own."""
+    from pyspark.sql import Observation
+    seen = Observation(f"{name}-{uuid.uuid4().hex[:8]}")
+    out = cut_lineage(df.observe(seen, *[c.alias(n) for n, c in metrics.items()]), name)
+    return out, seen.get
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the checkpoint folder for written intermediate tables."""
     base = checkpoint_dir(spark)

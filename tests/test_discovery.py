@@ -103,13 +103,13 @@ def test_stream_restart_resumes_without_repeats(spark, sf):
     ev = rendered_events(spark, sf).select("LineId", "Content")
     base = tempfile.mkdtemp(prefix="logloom-stream-")
     src, out, state, chk = base + "/src", base + "/out", base + "/state", base + "/chk"
-    parts = ev.repartitionByRange(4, "LineId")
-    parts.filter(F.col("LineId") <= 600).write.parquet(src + "/a")
+    for lo in (0, 300):  # a stream reads files in the order they come
+        ev.filter((F.col("LineId") > lo) & (F.col("LineId") <= lo + 300)).coalesce(1).write.mode("append").parquet(src + "/a")
     q = online.start(spark, src + "/a", out, state, chk)
     q.awaitTermination()
     n1 = spark.read.parquet(out).count()
     # new input arrives; the restarted query must only process the new file set
-    parts.filter(F.col("LineId") > 600).write.mode("append").parquet(src + "/a")
+    ev.filter(F.col("LineId") > 600).coalesce(1).write.mode("append").parquet(src + "/a")
     q = online.start(spark, src + "/a", out, state, chk)
     q.awaitTermination()
     res = online.read_output(spark, out)
@@ -151,7 +151,8 @@ def test_stream_many_datasets(spark, sf):
     ev = rendered_events(spark, sf).select("LineId", "Content")
     ev = ev.withColumn("dataset", F.concat(F.lit("part"), ((F.col("LineId") - 1) % 2).cast("string")))
     base = tempfile.mkdtemp(prefix="logloom-stream2-")
-    ev.repartitionByRange(3, "LineId").write.parquet(base + "/src")
+    for i in range(3):  # a stream reads files in the order they come
+        ev.filter((F.col("LineId") > 400 * i) & (F.col("LineId") <= 400 * (i + 1))).coalesce(1).write.mode("append").parquet(base + "/src")
     q = online.start(spark, base + "/src", base + "/out", base + "/state", base + "/chk", group_col="dataset")
     q.awaitTermination()
     got = sorted((r["dataset"], r["LineId"], r["EventId"], r["EventTemplate"])
