@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,27 @@ def written(df: DataFrame, name: str, keep_shuffles: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: The columns of ``documents``, which stages work with; all others pass by them.
+DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def guarded(stage):
+    """A pipeline stage whose working columns can't clash with those of its input: further columns
+    of the documents travel in one struct column with a name that no column has."""
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        own = [c for c in docs.columns if c in DOCUMENT_COLUMNS]
+        more = [c for c in docs.columns if c not in DOCUMENT_COLUMNS]
+        if not more:
+            return stage(spark, docs, sf_dir)
+        name = f"others_{uuid.uuid4().hex}"
+        quoted = {c: "`" + c.replace("`", "``") + "`" for c in docs.columns}
+        packed = docs.select(*own, F.struct(*[F.col(quoted[c]).alias(f"c{i}") for i, c in enumerate(more)]).alias(name))
+        out = stage(spark, packed, sf_dir)
+        return out.select(*[F.col(c) if c in own else F.col(name)[f"c{more.index(c)}"].alias(c) for c in docs.columns])
+    return run
+
+
 def held_out(key: Column) -> Column:
     """True for the fold that no label is learnt from: crc32 of the key as text mod 4 is 2."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_of, column, slices, table, written
+from .common import batch_of, column, guarded, slices, table, written
 from .components import components
 
 WORDS = 5
@@ -317,6 +317,7 @@ def op10_ngram_join(spark, sf_dir: str) -> DataFrame:
     return component_ids(table(spark, sf_dir, "documents")).withColumnRenamed("k", "doc_id")
 
 
+@guarded
 def ngram_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component the document with the smallest key.  Rows without a key
     stay; rows that repeat a key are one document and stay or go together."""

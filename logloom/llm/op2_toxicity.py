@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, column, held_out, slices, table
+from .common import batch_of, column, guarded, held_out, slices, table
 
 #: Labelled rows that serve as examples, at most.
 EXAMPLES = 8192
@@ -308,6 +308,7 @@ def op2_toxicity(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence")
 
 
+@guarded
 def toxicity_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that are not predicted toxic."""
     names = docs.columns

@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import guarded, table, written
 
 #: Raking rounds, and rounds between two written tables.
 ROUNDS, ROUNDS_AT_A_TIME = 8, 4
@@ -158,6 +158,7 @@ def op3_mixing(spark, sf_dir: str) -> DataFrame:
                       F.round("_probability", 6).alias("probability"))
 
 
+@guarded
 def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the sampled documents."""
     return _mixed(docs).select(*docs.columns)

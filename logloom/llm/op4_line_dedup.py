@@ -13,13 +13,16 @@ component only the first line (smallest document key, then line number) stays.
 
 Only DataFrame functions run, and no Python.  Equal lines are one line from
 the first aggregation on (partial, so a line in a third of all rows is one row
-for each task).  Every line is first compared with
-the one it seems most like among the smallest lines of its bands, then
-among a few other lines of the bands that hold lines of different
-components; what these links join needs no further comparison.  Only lines of different components that
-still share a band are compared all with all, where the comparison of
-signatures is part of the join.  Links and
-components stay distributed tables.
+for each task).  Every line is first compared with the one it seems most like
+among the smallest lines of its bands; verified links make components.
+Lines of bands that still hold several components are then joined exactly, by prefixes: their
+shingles are ordered by rarity, and two lines of similarity 0.8 share one of
+the first ``n - ceil(0.8 n) + 1`` and differ in size by a quarter at most.  So a group
+of lines that are alike, but not enough, meets only where rare shingles are
+shared, not all with all.  The order is by the counts of ``COUNTERS`` hash
+buckets of shingles (a table of fixed size), then the hash; any order gives
+the same result.  A pair is verified in its row, from the two texts; links and components
+stay distributed tables.
 
 Defined cases: lines without a character besides white space are no lines and
 always stay; a line shorter than a shingle is one shingle; a null text stays
@@ -36,17 +39,16 @@ import random
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from .common import partitions, table, written
+from .common import guarded, partitions, table, written
 from .components import components
 
 SHINGLE = 8
 SIMILARITY = 0.8
 VALUES = 16
 LEAST_AGREEMENT = 9
-#: Rounds of comparisons with other lines of mixed bands, and such lines a band and round.
-ROUNDS, OTHERS = 1, 4
+#: Hash buckets whose counts order the shingles by rarity.
+COUNTERS = 1 << 14
 #: Rows of a lookup (about 50 bytes each) up to which it is broadcast; beyond, it is joined by a shuffle.
 BROADCAST_ROWS = 500_000
 _random = random.Random(1)
@@ -114,25 +116,48 @@ def _agreement(a: str, b: str, values: int = VALUES) -> Column:
     return total
 
 
-def _verified(pairs: DataFrame, known: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+def _texts(wanted: DataFrame, known: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, line) of the lines ``wanted`` (id)."""
+    needed = written(known.join(wanted, "id", "left_semi").select("id", "h1", "h2", "first"), "op4-needed")
+    needed = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
+    texts = lines(docs, key, text).select(*_hashes(), _place().alias("p"), "line").join(needed, ["h1", "h2"]).where("p = first")
+    return written(texts.select("id", "line").dropDuplicates(["id"]), "op4-texts")
+
+
+def _shingles(line: str) -> Column:
+    """The set of a line's shingle hashes, in the row; ``line`` encoded with four bytes a character."""
+    last = F.greatest(F.lit(0), (F.octet_length(line) / 4).cast("int") - SHINGLE)
+    return F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substring(line, i * 4 + 1, F.lit(4 * SHINGLE)))))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole shingle sets have the wanted similarity."""
-    needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    needed = written(known.join(needed, "id", "left_semi").select("id", "h1", "h2", "first"), "op4-needed")
-    wanted = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
-    texts = lines(docs, key, text).select(*_hashes(), _place().alias("p"), "line").join(wanted, ["h1", "h2"]).where("p = first")
-    texts = written(texts.select("id", "line").dropDuplicates(["id"]), "op4-texts")
     both = pairs.select("a", "b").join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b").join(
         texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a")
-    # many partitions by pair: the shingles of a pair stay where its texts are, and few are in memory at once
-    both = both.repartition(4 * partitions(docs.sparkSession), "a", "b")
-    size = lambda c: F.greatest(F.lit(1), F.char_length(c) - (SHINGLE - 1))
-    both = both.select("a", "b", F.encode("la", "UTF-32").alias("ba"), F.encode("lb", "UTF-32").alias("bb"), size("la").alias("na"), size("lb").alias("nb"))
-    rows = both.select("a", "b", "ba", "bb", "na", F.explode(F.sequence(F.lit(0), F.col("na") + F.col("nb") - 1)).alias("i"))
-    rows = rows.select("a", "b", F.when(F.col("i") < F.col("na"), _shingle("ba", "i")).otherwise(_shingle("bb", "i - na")).alias("x"),
-                       F.when(F.col("i") < F.col("na"), 1).otherwise(2).alias("side"))
-    sets = rows.groupBy("a", "b", "x").agg(F.bit_or("side").alias("sides"))
-    found = sets.groupBy("a", "b").agg(F.count("*").alias("n"), F.sum((F.col("sides") == 3).cast("long")).alias("shared"))
-    return found.where(F.col("shared") >= SIMILARITY * F.col("n")).select("a", "b")
+    both = both.repartition(4 * partitions(pairs.sparkSession), "a", "b").select("a", "b", F.encode("la", "UTF-32").alias("la"), F.encode("lb", "UTF-32").alias("lb"))
+    both = both.select("a", "b", _shingles("la").alias("x"), _shingles("lb").alias("y"))
+    both = both.select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("shared"))
+    return both.where(F.col("shared") >= SIMILARITY * (F.col("n") + F.col("m") - F.col("shared"))).select("a", "b")
+
+
+def _prefix_pairs(labelled: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b), a > b: the pairs of lines (id, root) with different roots that may have the wanted similarity."""
+    sets = texts.join(labelled, "id").select("id", "root", F.encode("line", "UTF-32").alias("b")).select("id", "root", _shingles("b").alias("x"))
+    sets = written(sets, "op4-sets")
+    counts = sets.select(F.explode("x").alias("x")).groupBy(F.pmod("x", F.lit(COUNTERS)).cast("int").alias("c")).agg(F.count("*").alias("n")).collect()
+    loads = [0] * COUNTERS  # a fixed number of counts
+    for r in counts:
+        loads[r.c] = r.n
+    load = F.split(F.lit(" ".join(map(str, loads))), " ").cast("array<bigint>")  # folded to one constant
+    order = F.array_sort(F.transform("x", lambda x: F.struct(F.element_at(load, F.pmod(x, F.lit(COUNTERS)).cast("int") + 1).alias("n"), x.alias("x"))))
+    prefix = F.size("x") - F.ceil(SIMILARITY * F.size("x") - F.lit(1e-9)).cast("int") + 1
+    rows = sets.select("id", "root", F.size("x").alias("n"), F.explode(F.slice(order, F.lit(1), prefix)["x"]).alias("x"))
+    several = rows.groupBy("x").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("x")
+    rows = written(rows.join(several, "x", "left_semi"), "op4-prefixes")
+    u, v = rows.alias("u"), rows.alias("v")
+    near = (F.col("u.n") >= SIMILARITY * F.col("v.n") - 1e-9) & (F.col("v.n") >= SIMILARITY * F.col("u.n") - 1e-9)
+    met = u.join(v, (F.col("u.x") == F.col("v.x")) & (F.col("u.id") > F.col("v.id")) & (F.col("u.root") != F.col("v.root")) & near)
+    return met.select(F.col("u.id").alias("a"), F.col("v.id").alias("b")).distinct()
 
 
 def line_components(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -140,49 +165,25 @@ def line_components(docs: DataFrame, known: DataFrame, key: str = "doc_id", text
     ms = [f"m{i}" for i in range(VALUES)]
     sig = signatures(docs, known, key, text)
     keys = F.array(*[F.xxhash64(F.lit(n), *[f"m{i}" for i in band]) for n, band in enumerate(BANDS)])
-    band = Window.partitionBy("band")
     shared = sig.select("id", F.explode(keys).alias("band"))
-    shared = shared.withColumn("c", F.min("id").over(band)).withColumn("z", F.max("id").over(band)).where("c <> z")
-    shared = written(shared.select("band", "id", "c"), "op4-shared")
-
-    def likest(pairs: DataFrame) -> DataFrame:
-        """Each id of (id, c) with the c whose signature agrees most: (a, b)."""
-        looked = pairs.join(sig.alias("x"), "id").join(sig.select(F.col("id").alias("c"), *ms).alias("y"), "c")
-        looked = looked.select("id", "c", _agreement("x", "y").alias("n")).where(F.col("n") >= LEAST_AGREEMENT)
-        return looked.groupBy(F.col("id").alias("a")).agg(F.max_by("c", F.struct("n", -F.col("c"))).alias("b"))
-
-    def mixed(found: DataFrame) -> DataFrame:
-        """(band, id, root) of the bands that lines of different components share."""
-        labelled = shared.join(found, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
-        several = labelled.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
-        return labelled.join(several, "band", "left_semi")
-
-    # every line with the one it seems most like, first of the bands' smallest lines, then of a few others
-    # of the bands that still hold lines of different components
-    tested = written(likest(shared.where("id <> c").select("id", "c").distinct()), "op4-pairs")
-    links = written(_verified(tested, known, docs, key, text), "op4-links")
+    least = shared.groupBy("band").agg(F.min("id").alias("c"), F.max("id").alias("z")).where("c <> z").select("band", "c")
+    shared = written(shared.join(least, "band"), "op4-shared")
+
+    # every line with the one it seems most like of its bands' smallest lines
+    looked = shared.where("id <> c").select("id", "c").distinct().join(sig.alias("x"), "id").join(sig.select(F.col("id").alias("c"), *ms).alias("y"), "c")
+    looked = looked.select("id", "c", _agreement("x", "y").alias("n")).where(F.col("n") >= LEAST_AGREEMENT)
+    tested = written(looked.groupBy(F.col("id").alias("a")).agg(F.max_by("c", F.struct("n", -F.col("c"))).alias("b")), "op4-pairs")
+    texts = _texts(shared.select("id").distinct(), known, docs, key, text)
+    links = written(_verified(tested, texts), "op4-links")
     found = written(components(links, "op4-stars"), "op4-components")
-    for n in range(ROUNDS):
-        rows = written(mixed(found), "op4-mixed")
-        drawn = rows.select("band", F.struct(F.xxhash64("id", F.lit(n)).alias("h"), "id", "root").alias("o"))
-        others = drawn.groupBy("band").agg(*[F.min(F.when(F.pmod(F.xxhash64("o.id", F.lit(n)), F.lit(OTHERS)) == k, F.col("o"))).alias(f"o{k}") for k in range(OTHERS)])
-        others = others.select("band", F.explode(F.array_compact(F.array(*[f"o{k}" for k in range(OTHERS)]))).alias("o")).select(
-            "band", F.col("o.id").alias("c"), F.col("o.root").alias("r"))
-        again = rows.join(others, "band").where("root <> r").select("id", "c").distinct()
-        again = again.join(tested.select(F.col("a").alias("id"), F.col("b").alias("c")), ["id", "c"], "left_anti")
-        more = written(likest(again), "op4-pairs")
-        links = written(links.union(_verified(more, known, docs, key, text)), "op4-links")
-        tested = tested.union(more)
-        found = written(components(links, "op4-stars"), "op4-components")
-
-    # what lines of different components still share a band
-    rows = written(mixed(found).join(sig, "id"), "op4-mixed")
-    rest = rows.alias("x").join(rows.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.id") > F.col("y.id"))
-                                & (F.col("x.root") != F.col("y.root")) & (_agreement("x", "y") >= LEAST_AGREEMENT))
-    rest = rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+    # then the lines of bands that hold several components, by prefixes
+    labelled = shared.join(found, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
+    several = labelled.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
+    mixed = written(labelled.join(several, "band", "left_semi").select("id", "root").distinct(), "op4-mixed")
     done = tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    rest = written(rest.join(done, ["a", "b"], "left_anti"), "op4-rest")
-    more = written(links.union(_verified(rest, known, docs, key, text)), "op4-links")
+    rest = written(_prefix_pairs(mixed, texts).join(done, ["a", "b"], "left_anti"), "op4-rest")
+    more = written(links.union(_verified(rest, texts)), "op4-links")
     return written(components(more, "op4-stars"), "op4-components")
 
 
@@ -224,6 +225,7 @@ def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
                       F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+@guarded
 def line_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents without the lines that repeat an earlier one.  A document goes
     if that takes all its lines; one that had none stays."""
