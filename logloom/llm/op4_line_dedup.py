@@ -16,13 +16,11 @@ the first aggregation on (partial, so a line in a third of all rows is one row
 for each task).  Every line is first compared with the one it seems most like
 among the smallest lines of its bands; verified links make components.
 Lines of bands that still hold several components are then joined exactly, by prefixes: their
-shingles are ordered by rarity, and two lines of similarity 0.8 share one of
+shingles are ordered by rarity among these lines, and two lines of similarity 0.8 share one of
 the first ``n - ceil(0.8 n) + 1`` and differ in size by a quarter at most.  So a group
 of lines that are alike, but not enough, meets only where rare shingles are
-shared, not all with all.  The order is by the counts of ``COUNTERS`` hash
-buckets of shingles (a table of fixed size), then the hash; any order gives
-the same result.  A pair is verified in its row, from the two texts; links and components
-stay distributed tables.
+shared, not all with all.  A pair is verified in its row, from the two texts; links
+and components stay distributed tables.
 
 Defined cases: lines without a character besides white space are no lines and
 always stay; a line shorter than a shingle is one shingle; a null text stays
@@ -47,8 +45,6 @@ SHINGLE = 8
 SIMILARITY = 0.8
 VALUES = 16
 LEAST_AGREEMENT = 9
-#: Hash buckets whose counts order the shingles by rarity.
-COUNTERS = 1 << 14
 #: Rows of a lookup (about 50 bytes each) up to which it is broadcast; beyond, it is joined by a shuffle.
 BROADCAST_ROWS = 500_000
 _random = random.Random(1)
@@ -117,11 +113,12 @@ def _agreement(a: str, b: str, values: int = VALUES) -> Column:
 
 
 def _texts(wanted: DataFrame, known: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, line) of the lines ``wanted`` (id)."""
+    """(id, line) of the lines ``wanted`` (id), encoded with four bytes a character."""
     needed = written(known.join(wanted, "id", "left_semi").select("id", "h1", "h2", "first"), "op4-needed")
     needed = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
     texts = lines(docs, key, text).select(*_hashes(), _place().alias("p"), "line").join(needed, ["h1", "h2"]).where("p = first")
-    return written(texts.select("id", "line").dropDuplicates(["id"]), "op4-texts")
+    # encoded here once: in a later projection each shingle would encode its line anew
+    return written(texts.select("id", F.encode("line", "UTF-32").alias("line")).dropDuplicates(["id"]), "op4-texts")
 
 
 def _shingles(line: str) -> Column:
@@ -134,7 +131,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole shingle sets have the wanted similarity."""
     both = pairs.select("a", "b").join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b").join(
         texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a")
-    both = both.repartition(4 * partitions(pairs.sparkSession), "a", "b").select("a", "b", F.encode("la", "UTF-32").alias("la"), F.encode("lb", "UTF-32").alias("lb"))
+    both = both.repartition(4 * partitions(pairs.sparkSession), "a", "b")
     both = both.select("a", "b", _shingles("la").alias("x"), _shingles("lb").alias("y"))
     both = both.select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("shared"))
     return both.where(F.col("shared") >= SIMILARITY * (F.col("n") + F.col("m") - F.col("shared"))).select("a", "b")
@@ -142,18 +139,16 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _prefix_pairs(labelled: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b), a > b: the pairs of lines (id, root) with different roots that may have the wanted similarity."""
-    sets = texts.join(labelled, "id").select("id", "root", F.encode("line", "UTF-32").alias("b")).select("id", "root", _shingles("b").alias("x"))
+    sets = texts.join(labelled, "id").select("id", "root", F.explode(_shingles("line")).alias("x"))
     sets = written(sets, "op4-sets")
-    counts = sets.select(F.explode("x").alias("x")).groupBy(F.pmod("x", F.lit(COUNTERS)).cast("int").alias("c")).agg(F.count("*").alias("n")).collect()
-    loads = [0] * COUNTERS  # a fixed number of counts
-    for r in counts:
-        loads[r.c] = r.n
-    load = F.split(F.lit(" ".join(map(str, loads))), " ").cast("array<bigint>")  # folded to one constant
-    order = F.array_sort(F.transform("x", lambda x: F.struct(F.element_at(load, F.pmod(x, F.lit(COUNTERS)).cast("int") + 1).alias("n"), x.alias("x"))))
-    prefix = F.size("x") - F.ceil(SIMILARITY * F.size("x") - F.lit(1e-9)).cast("int") + 1
-    rows = sets.select("id", "root", F.size("x").alias("n"), F.explode(F.slice(order, F.lit(1), prefix)["x"]).alias("x"))
-    several = rows.groupBy("x").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("x")
-    rows = written(rows.join(several, "x", "left_semi"), "op4-prefixes")
+    shared = sets.groupBy("x").agg(F.count("*").alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("df > 1")
+    # shingles of one line only come first in the order of rarity and meet nothing: only their number counts
+    sizes = sets.groupBy("id", "root").agg(F.count("*").alias("n"))
+    common = sets.select("id", "x").join(shared, "x").groupBy("id").agg(
+        F.array_sort(F.collect_list(F.struct("df", "x", (F.col("lo") != F.col("hi")).alias("mixed")))).alias("xs"))  # of one line
+    prefix = F.size("xs") - F.ceil(SIMILARITY * F.col("n") - F.lit(1e-9)).cast("int") + 1
+    rows = sizes.join(common, "id").where(prefix > 0).select("id", "root", "n", F.explode(F.slice("xs", 1, prefix.cast("int"))).alias("s"))
+    rows = written(rows.where("s.mixed").select("id", "root", "n", F.col("s.x").alias("x")), "op4-prefixes")
     u, v = rows.alias("u"), rows.alias("v")
     near = (F.col("u.n") >= SIMILARITY * F.col("v.n") - 1e-9) & (F.col("v.n") >= SIMILARITY * F.col("u.n") - 1e-9)
     met = u.join(v, (F.col("u.x") == F.col("v.x")) & (F.col("u.id") > F.col("v.id")) & (F.col("u.root") != F.col("v.root")) & near)
@@ -182,7 +177,9 @@ def line_components(docs: DataFrame, known: DataFrame, key: str = "doc_id", text
     several = labelled.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
     mixed = written(labelled.join(several, "band", "left_semi").select("id", "root").distinct(), "op4-mixed")
     done = tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    rest = written(_prefix_pairs(mixed, texts).join(done, ["a", "b"], "left_anti"), "op4-rest")
+    rest = _prefix_pairs(mixed, texts).join(done, ["a", "b"], "left_anti")
+    rest = rest.join(sig.select(F.col("id").alias("a"), *ms).alias("x"), "a").join(sig.select(F.col("id").alias("b"), *ms).alias("y"), "b")
+    rest = written(rest.where(_agreement("x", "y") >= LEAST_AGREEMENT).select("a", "b"), "op4-rest")
     more = written(links.union(_verified(rest, texts)), "op4-links")
     return written(components(more, "op4-stars"), "op4-components")
 
