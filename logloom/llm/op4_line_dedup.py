@@ -37,6 +37,7 @@ import random
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from .common import guarded, partitions, table, written
 from .components import components
@@ -139,16 +140,19 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _prefix_pairs(labelled: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b), a > b: the pairs of lines (id, root) with different roots that may have the wanted similarity."""
-    sets = texts.join(labelled, "id").select("id", "root", F.explode(_shingles("line")).alias("x"))
+    # 32 bits of a shingle's hash: equal ones only make lines meet that are then verified
+    short = F.array_distinct(F.transform(_shingles("line"), lambda x: F.shiftright(x, 32).cast("int")))
+    sets = texts.join(labelled, "id").select("id", "root", F.explode(short).alias("x"))
     sets = written(sets, "op4-sets")
-    shared = sets.groupBy("x").agg(F.count("*").alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("df > 1")
+    shared = sets.groupBy("x").agg(F.count("*").alias("df")).where("df > 1")
     # shingles of one line only come first in the order of rarity and meet nothing: only their number counts
     sizes = sets.groupBy("id", "root").agg(F.count("*").alias("n"))
-    common = sets.select("id", "x").join(shared, "x").groupBy("id").agg(
-        F.array_sort(F.collect_list(F.struct("df", "x", (F.col("lo") != F.col("hi")).alias("mixed")))).alias("xs"))  # of one line
+    common = sets.select("id", "x").join(shared, "x").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("xs"))  # of one line
     prefix = F.size("xs") - F.ceil(SIMILARITY * F.col("n") - F.lit(1e-9)).cast("int") + 1
     rows = sizes.join(common, "id").where(prefix > 0).select("id", "root", "n", F.explode(F.slice("xs", 1, prefix.cast("int"))).alias("s"))
-    rows = written(rows.where("s.mixed").select("id", "root", "n", F.col("s.x").alias("x")), "op4-prefixes")
+    rows = written(rows.select("id", "root", "n", F.col("s.x").alias("x")), "op4-prefixes")
+    several = rows.groupBy("x").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("x")
+    rows = rows.join(several, "x", "left_semi")
     u, v = rows.alias("u"), rows.alias("v")
     near = (F.col("u.n") >= SIMILARITY * F.col("v.n") - 1e-9) & (F.col("v.n") >= SIMILARITY * F.col("u.n") - 1e-9)
     met = u.join(v, (F.col("u.x") == F.col("v.x")) & (F.col("u.id") > F.col("v.id")) & (F.col("u.root") != F.col("v.root")) & near)
@@ -161,8 +165,9 @@ def line_components(docs: DataFrame, known: DataFrame, key: str = "doc_id", text
     sig = signatures(docs, known, key, text)
     keys = F.array(*[F.xxhash64(F.lit(n), *[f"m{i}" for i in band]) for n, band in enumerate(BANDS)])
     shared = sig.select("id", F.explode(keys).alias("band"))
-    least = shared.groupBy("band").agg(F.min("id").alias("c"), F.max("id").alias("z")).where("c <> z").select("band", "c")
-    shared = written(shared.join(least, "band"), "op4-shared")
+    band = Window.partitionBy("band")  # one shuffle of the bands; a join of their least ids would take two
+    shared = shared.withColumn("c", F.min("id").over(band)).withColumn("z", F.max("id").over(band)).where("c <> z")
+    shared = written(shared.select("band", "id", "c"), "op4-shared")
 
     # every line with the one it seems most like of its bands' smallest lines
     looked = shared.where("id <> c").select("id", "c").distinct().join(sig.alias("x"), "id").join(sig.select(F.col("id").alias("c"), *ms).alias("y"), "c")
