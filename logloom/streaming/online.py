@@ -26,7 +26,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.operators.discovery import parse
-from logloom.session import cut_lineage
 
 LINE_SCHEMA = "LineId long, Content string"
 
@@ -90,7 +89,6 @@ def parse_batch(batch: DataFrame, batch_id: int, out_dir: str, state_dir: str,
     spark = batch.sparkSession
     G = [group_col] if group_col else []
     templates, numbers = load_state(spark, state_dir, batch_id, group_col)
-    templates, numbers = cut_lineage(templates, "state-templates"), cut_lineage(numbers, "state-numbers")
     new: list[DataFrame] = []
     structured, T = parse(batch, templates, proposer, examples, group_col=group_col, answers_dir=answers_dir, known_ids=numbers, ids_out=new)
     structured.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(os.path.join(out_dir, f"batch_id={batch_id}"))
