@@ -15,12 +15,17 @@ Hierarchical sampling
     quota are ranked (a top-k, not a global sort).
 
 Farthest-point sampling
-    The first pick is the line with most words (then longest) - a global
-    ``max_by``.  Each later round looks at about ``n_candidate`` random lines
-    and takes the one farthest (Jaccard on words) from everything picked so
-    far.  All rounds' candidates are drawn in one scan by hash, so the table
-    is read once; the greedy itself runs per shot on that pool, whose size is
-    bounded by ``k * n_candidate`` and does not grow with the data.
+    The first pick is the line with most words (then longest) - a
+    ``max_by`` per dataset.  Each later round looks at about ``n_candidate``
+    random lines and takes the one farthest (Jaccard on words) from everything
+    picked so far.  A line is a candidate of a round with probability
+    ``n_candidate / n``, so the gaps between its rounds are geometric: one hash
+    a line gives its first round, and only the lines whose first round comes
+    before the last one are cleaned and draw again.  The greedy runs once for
+    each dataset; a smaller shot is the beginning of a larger one.  Its pool
+    has about ``rounds * n_candidate`` lines however many the dataset has.
+
+All draws are hashes by md5 (``_hash``), which other engines have too.
 """
 
 from __future__ import annotations
@@ -28,8 +33,9 @@ from __future__ import annotations
 from collections import Counter
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from logloom.functions.text import (SAMPLER_STOPWORDS, farthest_clean, sampler_signature, sampler_words,
                                     words)
@@ -42,6 +48,12 @@ def _gl(group_col):
     return [group_col] if group_col else []
 
 
+def _hash(*parts):
+    """The first 60 bits of ``md5`` of the parts joined by colons, as a long."""
+    text = F.concat_ws(":", *[(p if isinstance(p, Column) else F.lit(p)).cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def first_share(labelled: DataFrame, share: float = 0.2, order_col: str = "row_id",
                 group_col: str | None = None) -> DataFrame:
     """B2: the first ``share`` of the rows (``row_id`` is 1-based), per dataset."""
@@ -123,7 +135,7 @@ def cluster_totals(clustered: DataFrame, group_col: str | None = None) -> DataFr
 
 
 def _coarse_order(seed: int, order: str):
-    return F.col("coarse") if order == "key" else F.xxhash64(F.lit(seed), F.col("coarse"))
+    return F.col("coarse") if order == "key" else _hash(seed, F.col("coarse"))
 
 
 TOPK_SALT = 64
@@ -133,7 +145,7 @@ def quotas(clustered: DataFrame, shots=SHOTS, seed: int = 0, order: str = "hash"
            group_col: str | None = None) -> DataFrame:
     """E6 + E5 for every shot (P9): ``shot, coarse, fine, c_pos, f_pos, quota``.
 
-    Coarse clusters are ordered by ``xxhash64(seed, coarse)`` (or by key with
+    Coarse clusters are ordered by the hash of ``seed:coarse`` (or by key with
     ``order="key"``); quota ``shot // C + (pos < shot % C)``.  Fine clusters
     by size descending, then key; quota ``cq // F + (pos < cq % F)``.  Only the
     first ``max(shots)`` coarse clusters can get a quota: a top-k (per
@@ -181,8 +193,8 @@ def draw(clustered: DataFrame, quota_table: DataFrame, seed: int = 0, group_col:
     """``quota`` members of each chosen fine cluster, with replacement.
 
     Draw j of a cluster of size n takes the member at index
-    ``pmod(xxhash64(seed, shot, cluster, j), n)`` in a fixed member order:
-    members are spread over ``ceil(n / BUCKET_ROWS)`` hash buckets, bucket
+    ``hash(seed:shot:coarse:fine:j) % n`` in a fixed member order (bucket, then
+    the hash ``h`` of ``seed:row_id``, then row_id): members are spread over ``ceil(n / BUCKET_ROWS)`` buckets by ``h``, bucket
     sizes give each bucket's first index, and only the buckets that hold a
     drawn index (at most the sum of the shots) are ranked, so no cluster is
     gathered into one task and the work is linear in the members.
@@ -194,19 +206,18 @@ def draw(clustered: DataFrame, quota_table: DataFrame, seed: int = 0, group_col:
     sizes = q.select(*K, "size").distinct()
     nb = F.greatest(F.lit(1), F.ceil(F.col("size") / BUCKET_ROWS)).cast("long")
     members = (clustered.select(*K, "row_id").join(F.broadcast(sizes), K)
-               .withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), F.col("row_id")), nb)))
+               .withColumn("h", _hash(seed, F.col("row_id"))).withColumn("bucket", F.pmod(F.col("h"), nb)))
     counts = members.groupBy(*K, "bucket").agg(F.count("*").alias("cnt"))
     w = Window.partitionBy(*K).orderBy("bucket")
     counts = counts.withColumn("start", F.sum("cnt").over(w) - F.col("cnt"))
     targets = q.withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("quota"))))
-    targets = targets.withColumn("t", F.pmod(F.xxhash64(F.lit(seed), F.col("shot"), F.col("coarse"), F.col("fine"),
-                                                        F.col("draw")), F.col("size")))
+    targets = targets.withColumn("t", F.pmod(_hash(seed, F.col("shot"), F.col("coarse"), F.col("fine"), F.col("draw")), F.col("size")))
     located = (targets.join(counts, K)
                .filter((F.col("t") >= F.col("start")) & (F.col("t") < F.col("start") + F.col("cnt")))
                .withColumn("idx", F.col("t") - F.col("start")))
     needed = located.select(*K, "bucket").distinct()
     picked = members.join(F.broadcast(needed), K + ["bucket"])
-    wm = Window.partitionBy(*K, "bucket").orderBy(F.xxhash64(F.lit(seed + 1), F.col("row_id")), F.col("row_id"))
+    wm = Window.partitionBy(*K, "bucket").orderBy("h", "row_id")
     picked = picked.withColumn("idx", F.row_number().over(wm) - 1)
     return located.join(picked.select(*K, "bucket", "idx", "row_id"), K + ["bucket", "idx"]) \
         .select(*G, "shot", "c_pos", "f_pos", "draw", "row_id")
@@ -222,6 +233,7 @@ def hierarchical_sample(labelled: DataFrame, shots=SHOTS, seed: int = 0, order:
     EventTemplate.  Returns ``shot, sample_pos, row_id, query, answer``
     (answer with ``{variables}``, G29)."""
     from logloom.functions.text import wildcards_to_placeholder
+    from logloom.session import cut_lineage
     G = _gl(group_col)
     base = first_share(labelled, share, group_col=group_col) if share else labelled
     prepared = prepare(base, content_col, group_col=group_col)
@@ -230,6 +242,7 @@ def hierarchical_sample(labelled: DataFrame, shots=SHOTS, seed: int = 0, order:
     d = draw(cl, qt, seed, group_col)
     w = Window.partitionBy(*G, "shot").orderBy("c_pos", "f_pos", "draw")
     d = d.withColumn("sample_pos", F.row_number().over(w)).filter(F.col("sample_pos") <= F.col("shot"))
+    d = cut_lineage(d, "draws")                        # at most the sum of the shots a dataset
     rows = base.select(*G, "row_id", F.col(content_col).alias("query"),
                        wildcards_to_placeholder(F.col(template_col)).alias("answer"),
                        F.col(template_col).alias("template"))
@@ -273,57 +286,91 @@ def _jaccard(a: Counter, la: int, b: Counter, lb: int) -> float:
 
 
 def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Greedy farthest-point picks for one shot on its candidate pool."""
-    shot = int(pdf["shot"].iloc[0])
-    first = pdf[pdf["round"] == 0]
-    picks = [int(first["row_id"].iloc[0])]
-    texts = {int(r): Counter(w) for r, w in zip(pdf["row_id"], pdf["words"])}
+    """Farthest-point picks on a pool of candidates (``round, row_id, orig_len, words``; round 0 is the first pick).
+
+    The distance of a line to its nearest pick only falls as picks are added, so the last known value
+    bounds it: candidates go by falling bound, each is compared with the picks it has not met until it
+    falls behind the best, and a round ends at the first bound below the best.  Ties go to the longer
+    line, then to the smaller row_id."""
+    lines = pdf.drop_duplicates("row_id").sort_values(["orig_len", "row_id"], ascending=[False, True])
+    rank = {int(r): i for i, r in enumerate(lines["row_id"])}
+    texts = {int(r): Counter(w) for r, w in zip(lines["row_id"], lines["words"])}
     lens = {r: sum(c.values()) for r, c in texts.items()}
-    chosen = {picks[0]}
-    best_d: dict[int, float] = {}
-    done_upto: dict[int, int] = {}
-    for rnd in range(1, shot):
-        cand = pdf[(pdf["round"] == rnd)]
-        cand = cand[~cand["row_id"].isin(chosen)].sort_values(["orig_len", "row_id"], ascending=[False, True])
-        if cand.empty:
-            continue
-        best, best_val = None, -1.0
-        for rid in cand["row_id"]:
-            rid = int(rid)
-            d = best_d.get(rid, 1e10)
-            for p in picks[done_upto.get(rid, 0):]:
-                d = min(d, _jaccard(texts[rid], lens[rid], texts[p], lens[p]))
-            best_d[rid], done_upto[rid] = d, len(picks)
-            if d > best_val:
-                best, best_val = rid, d
-        picks.append(best)
-        chosen.add(best)
-    return pd.DataFrame({"shot": [shot] * len(picks), "sample_pos": list(range(1, len(picks) + 1)),
-                         "row_id": picks})
+    picks = [int(pdf.loc[pdf["round"] == 0, "row_id"].iloc[0])]
+    rounds, chosen = [0], set(picks)
+    known: dict[int, tuple[float, int]] = {}          # distance to the first so many picks
+    drawn = {int(r): [int(x) for x in g] for r, g in pdf.groupby("round")["row_id"]}
+    for rnd in sorted(r for r in drawn if r > 0):
+        best, best_d = None, -1.0
+        cand = [(known.get(r, (float("inf"), 0)), rank[r], r) for r in drawn[rnd] if r not in chosen]
+        for (d, met), place, r in sorted(cand, key=lambda c: (-c[0][0], c[1])):
+            if d < best_d:
+                break
+            while met < len(picks) and (d > best_d or d == best_d and place < rank[best]):
+                d = min(d, _jaccard(texts[r], lens[r], texts[picks[met]], lens[picks[met]]))
+                met += 1
+            known[r] = (d, met)
+            if d > best_d or d == best_d and place < rank[best]:
+                best, best_d = r, d
+        if best is not None:
+            picks.append(best)
+            rounds.append(rnd)
+            chosen.add(best)
+    return pd.DataFrame({"round": rounds, "sample_pos": list(range(1, len(picks) + 1)), "row_id": picks})
+
+
+def _gap(k, n_candidate: int, seed: int):
+    """Rounds from a line's candidacy k - 1 to its candidacy k: geometric with mean ``n / n_candidate``."""
+    u = (_hash(seed, F.col("row_id"), k) + 1) / F.lit(float(16 ** 15))
+    gap = F.floor(F.ln(u) / F.ln(1 - F.lit(float(n_candidate)) / F.col("n"))) + 1
+    return F.when(F.col("n") <= n_candidate, F.lit(1)).otherwise(gap).cast("long")
+
+
+def candidate_pool(base: DataFrame, rounds: int, n_candidate: int = 128, seed: int = 0,
+                   content_col: str = "Content", group_col: str = "dataset") -> DataFrame:
+    """The lines of each dataset drawn as candidates: ``group, round, row_id, orig_len, words``; round 0 is the
+    first pick, rounds 1 to ``rounds`` follow.
+
+    Lines with fewer than two cleaned words take no part.  The statistics (one row a dataset) are written, so
+    that their size decides how they are joined."""
+    from logloom.session import cut_lineage
+    x = base.select(group_col, "row_id", F.col(content_col).alias("_c"))
+    cleaned = x.withColumn("words", words(farthest_clean("_c"))).withColumn("orig_len", F.length("_c")).drop("_c")
+    cleaned = cleaned.filter(F.size("words") > 1)
+    stats = cut_lineage(cleaned.groupBy(group_col).agg(
+        F.count("*").alias("n"),
+        F.max_by("row_id", F.struct(F.size("words"), F.col("orig_len"), -F.col("row_id"))).alias("first")), "farthest-stats")
+    drawn = x.join(stats, group_col).withColumn("at", _gap(F.lit(1), n_candidate, seed))
+    drawn = drawn.filter((F.col("at") <= rounds) | (F.col("row_id") == F.col("first")))
+    later = F.aggregate(
+        F.sequence(F.lit(2), F.lit(max(rounds, 2))),
+        F.struct(F.col("at").alias("at"), F.array("at").alias("all")),
+        lambda acc, k: F.when(acc["at"] >= rounds, acc).otherwise(F.struct(
+            (acc["at"] + _gap(k, n_candidate, seed)).alias("at"),
+            F.array_append(acc["all"], acc["at"] + _gap(k, n_candidate, seed)).alias("all"))))["all"]
+    start = F.when(F.col("row_id") == F.col("first"), F.array(F.lit(0).cast("long")))
+    drawn = drawn.withColumn("round", F.explode(F.coalesce(start, F.filter(later, lambda r: r <= rounds))))
+    return drawn.select(group_col, F.col("round").cast("int").alias("round"), "row_id", F.length("_c").alias("orig_len"),
+                        words(farthest_clean("_c")).alias("words")).filter(F.size("words") > 1)
 
 
 def farthest_sample(labelled: DataFrame, shots=SHOTS, n_candidate: int = 128, seed: int = 0,
                     share: float | None = 0.2, content_col: str = "Content",
-                    template_col: str = "EventTemplate") -> DataFrame:
-    """Farthest-point samples for every shot.
-
-    Returns ``shot, sample_pos, row_id, query, answer`` (answer keeps
-    ``<*>``)."""
-    base = first_share(labelled, share) if share else labelled
-    logs = base.select("row_id", F.col(content_col).alias("_c"))
-    logs = logs.withColumn("clean", farthest_clean("_c")).withColumn("orig_len", F.length("_c")).drop("_c")
-    logs = logs.withColumn("words", words("clean")).filter(F.size("words") > 1).drop("clean")
-    n = logs.count()
-    first = logs.agg(F.max_by("row_id", F.struct(F.size("words"), F.col("orig_len"), -F.col("row_id"))).alias("r"))
-    first_id = first.first()["r"]
-    shot_arr = F.array(*[F.lit(s) for s in shots])
-    max_shot = max(shots)
-    in_round = F.filter(F.sequence(F.lit(1), F.lit(max(max_shot - 1, 1))),
-                        lambda r: F.pmod(F.xxhash64(F.lit(seed), r, F.col("row_id")), F.lit(max(n, 1))) < n_candidate)
-    pool = logs.select("row_id", "orig_len", "words", F.explode(in_round).alias("round"))
-    pool = pool.unionByName(logs.filter(F.col("row_id") == F.lit(first_id)).withColumn("round", F.lit(0)))
-    pool = pool.withColumn("shot", F.explode(shot_arr)).filter(F.col("round") < F.col("shot"))
-    picks = pool.groupBy("shot").applyInPandas(_greedy, "shot int, sample_pos int, row_id long")
-    rows = base.select("row_id", F.col(content_col).alias("query"), F.col(template_col).alias("answer"))
-    return picks.join(rows, "row_id").select("shot", "sample_pos", "row_id", "query", "answer",
-                                             F.col("answer").alias("template"))
+                    template_col: str = "EventTemplate", group_col: str | None = None) -> DataFrame:
+    """Farthest-point samples for every shot, and for every dataset at once with ``group_col``.
+
+    ``row_id`` is unique in its dataset.  Returns ``shot, sample_pos, row_id, query, answer`` (answer keeps
+    ``<*>``).  A dataset with less than two lines left in a round gives fewer picks than the shot."""
+    from logloom.session import cut_lineage
+    G = _gl(group_col)
+    base = first_share(labelled, share, group_col=group_col) if share else labelled
+    key = group_col or "_all"
+    grouped = base if group_col else base.withColumn(key, F.lit(0))
+    pool = candidate_pool(grouped, max(shots) - 1, n_candidate, seed, content_col, key)
+    out = StructType([pool.schema[key], *StructType.fromDDL("round int, sample_pos int, row_id long").fields])
+    picks = pool.groupBy(key).applyInPandas(lambda k, pdf: _greedy(pdf).assign(**{key: k[0]})[out.names], out)
+    picks = cut_lineage(picks, "farthest-picks")       # at most max(shots) rows a dataset
+    picks = picks.withColumn("shot", F.explode(F.array(*[F.lit(s) for s in shots]))).filter(F.col("round") < F.col("shot"))
+    rows = base.select(*G, "row_id", F.col(content_col).alias("query"), F.col(template_col).alias("answer"))
+    return picks.join(rows, G + ["row_id"]).select(*G, "shot", "sample_pos", "row_id", "query", "answer",
+                                                   F.col("answer").alias("template"))

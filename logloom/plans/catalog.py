@@ -654,30 +654,6 @@ SELECT shot, coarse, fine, CAST(c_pos AS INTEGER) AS c_pos, CAST(f_pos AS INTEGE
 """
 
 
-def hierarchical_sample(spark, sf_dir):
-    """E7 + E13 + B13 + G29: hashed draws for every shot (no oracle: the
-    draws use Spark's xxhash64)."""
-    from logloom.operators import sampling
-    s = sampling.hierarchical_sample(_labelled_docs(spark, sf_dir), share=None)
-    return s.select("shot", "sample_pos", "row_id", "answer")
-
-
-def sample_coverage(spark, sf_dir):
-    """D19 + D24 + F5: templates covered per shot."""
-    from logloom.operators import sampling
-    lab = _labelled_docs(spark, sf_dir)
-    return sampling.coverage(sampling.hierarchical_sample(lab, share=None), lab, share=None)
-
-
-def farthest_sample(spark, sf_dir):
-    """E11 + C8 + G10: farthest-point samples of conversation texts."""
-    from logloom.operators import sampling
-    conv = table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
-    lab = conv.select((F.col("conv_id") * 1048576 + F.col("turn") + 1).alias("row_id"),
-                      F.col("text").alias("Content"), F.col("role").alias("EventTemplate"))
-    return sampling.farthest_sample(lab, share=None).select("shot", "sample_pos", "row_id")
-
-
 # ---------------------------------------------------------------------------
 # examples and prompts (conversation texts against benchmark items)
 # ---------------------------------------------------------------------------
@@ -793,9 +769,6 @@ QUERIES.update({
     "signature_clusters": (signature_clusters, SQL_SIGNATURE_CLUSTERS),
     "cluster_totals": (cluster_totals, SQL_CLUSTER_TOTALS),
     "quota_allocation": (quota_allocation, SQL_QUOTA_ALLOCATION),
-    "hierarchical_sample": (hierarchical_sample, None),
-    "sample_coverage": (sample_coverage, None),
-    "farthest_sample": (farthest_sample, None),
     "nearest_examples": (nearest_examples, SQL_NEAREST_EXAMPLES),
     "example_distances": (example_distances, SQL_EXAMPLE_DISTANCES),
     "random_examples": (random_examples, SQL_RANDOM_EXAMPLES),
@@ -1078,6 +1051,8 @@ FROM j WHERE quota > 0
 
 QUERIES["quota_by_dataset"] = (quota_by_dataset, SQL_QUOTA_BY_DATASET)
 
+from logloom.plans.samples import QUERIES as _SAMPLES  # noqa: E402
 from logloom.plans.varied import QUERIES as _VARIED  # noqa: E402
 
+QUERIES.update(_SAMPLES)
 QUERIES.update(_VARIED)

@@ -97,3 +97,66 @@ def test_many_datasets_in_one_job(spark, sf):
     assert got == sorted(exp)
     cov = sampling.coverage(both, lab, share=None, group_col="dataset")
     assert cov.count() == 4
+
+
+def _brute_greedy(rows):
+    words = {r[1]: r[3] for r in rows}
+    picks = [next(r[1] for r in rows if r[0] == 0)]
+    for rnd in sorted({r[0] for r in rows} - {0}):
+        cand = sorted([r for r in rows if r[0] == rnd and r[1] not in picks], key=lambda r: (-r[2], r[1]))
+        if cand:
+            picks.append(max(cand, key=lambda r: min(_jac(r[3], words[p]) for p in picks))[1])
+    return picks
+
+
+def test_lazy_greedy_equals_brute_force_on_random_pools():
+    """Bounds, ties (equal texts and lengths) and rounds without a free candidate."""
+    import random
+
+    import pandas as pd
+    for seed in range(30):
+        rnd = random.Random(seed)
+        lines = {i: (rnd.randint(5, 7), [rnd.choice("abcde") for _ in range(rnd.randint(2, 5))]) for i in range(1, 25)}
+        rows = [(0, 1, *lines[1])] + [(r, i, *lines[i]) for r in range(1, 31) for i in lines if rnd.random() < 0.2]
+        got = list(sampling._greedy(pd.DataFrame(rows, columns=["round", "row_id", "orig_len", "words"]))["row_id"])
+        assert got == _brute_greedy(rows)
+
+
+def test_candidates_are_drawn_at_their_rate(spark):
+    """Every round takes about ``n_candidate`` of the lines, all of them where there are no more."""
+    lines = spark.range(1, 4001).select(F.lit("d").alias("dataset"), F.col("id").alias("row_id"),
+                                        F.lit("line of some words").alias("Content"))
+    pool = sampling.candidate_pool(lines, rounds=40, n_candidate=100)
+    sizes = {r["round"]: r["n"] for r in pool.groupBy("round").agg(F.count("*").alias("n")).collect()}
+    assert sizes[0] == 1 and set(sizes) == set(range(41))
+    assert 60 <= min(sizes[r] for r in range(1, 41)) and max(sizes.values()) <= 140
+    assert 3800 <= sum(sizes.values()) <= 4200
+    few = sampling.candidate_pool(lines.filter("row_id <= 50"), rounds=3, n_candidate=100)
+    assert few.count() == 1 + 3 * 49
+
+
+def test_farthest_by_dataset_and_shots(spark, sf):
+    """One job for all datasets equals one job each, and a smaller shot begins a larger one."""
+    conv = spark.read.parquet(f"{sf}/conversations.parquet")
+    lab = conv.select(F.col("role").alias("dataset"), (F.col("conv_id") * 1000 + F.col("turn") + 1).alias("row_id"),
+                      F.col("text").alias("Content"), F.col("role").alias("EventTemplate"))
+    cols = ["shot", "sample_pos", "row_id"]
+    both = sampling.farthest_sample(lab, shots=[4, 9], n_candidate=16, share=None, group_col="dataset").select("dataset", *cols)
+    got = {tuple(r) for r in both.collect()}
+    for name in ("user", "assistant"):
+        one = sampling.farthest_sample(lab.filter(F.col("dataset") == name).drop("dataset"), shots=[4, 9],
+                                       n_candidate=16, share=None).select(*cols)
+        assert {t[1:] for t in got if t[0] == name} == {tuple(r) for r in one.collect()}
+    for name, shot, pos, row in got:
+        if shot == 4:
+            assert (name, 9, pos, row) in got
+
+
+def test_farthest_sample_of_nothing(spark):
+    empty = spark.createDataFrame([], "row_id long, Content string, EventTemplate string, dataset string")
+    assert sampling.farthest_sample(empty, shots=[8], share=None).count() == 0
+    odd = spark.createDataFrame([(1, None, None, "a"), (2, "one", "one", "a"), (3, "two words", "two <*>", "a"),
+                                 (4, "two words", "two <*>", None)],
+                                "row_id long, Content string, EventTemplate string, dataset string")
+    s = sampling.farthest_sample(odd, shots=[8], share=None, group_col="dataset").collect()
+    assert [(r["dataset"], r["sample_pos"], r["row_id"]) for r in s] == [("a", 1, 3)]
