@@ -5,8 +5,9 @@ Every template of a structured log is rewritten by the oracle-profile rules
 EventIds in string order (so ``E10`` sorts before ``E2``, as the reference
 does); every line then takes the new id and template through its EventId.
 Lines whose EventId is not in the template table are reported instead of
-changed.  The template table has one row per template, so the id mapping
-is small; it is broadcast after its size has been counted.
+changed.  The template table has one row per template; the id mapping is
+made once and written, and the size of its files decides whether it is
+broadcast to the lines.
 """
 
 from __future__ import annotations
@@ -15,8 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions.text import correct_oracle_template
-
-BROADCAST_ROWS = 2_000_000
+from logloom.session import cut_lineage
 
 
 def _g(group_cols):
@@ -27,9 +27,10 @@ def template_map(structured: DataFrame, user_strings=None, group_cols=(), order_
     """EventId -> (template, corrected, new EventId: the smallest id that becomes the same template).
 
     The template table is the first line of every distinct template; when one
-    EventId carries several templates the later-appearing one is kept."""
+    EventId carries several templates the later-appearing one is kept.  Lines without an EventId
+    (nobody labelled them) make no template."""
     g = _g(group_cols)
-    firsts = (structured.filter(F.col("EventTemplate").isNotNull())
+    firsts = (structured.filter(F.col("EventTemplate").isNotNull() & F.col("EventId").isNotNull())
               .groupBy(*g, "EventTemplate").agg(F.min_by("EventId", order_col).alias("EventId"),
                                                 F.min(order_col).alias("_first")))
     per_id = firsts.groupBy(*g, "EventId").agg(F.max_by("EventTemplate", "_first").alias("EventTemplate"))
@@ -43,11 +44,8 @@ def correct(structured: DataFrame, user_strings=None, group_cols=(), order_col:
     """P10: returns ``(corrected lines, corrected template table, report of
     lines without a template)``."""
     g = _g(group_cols)
-    m = template_map(structured, user_strings, g, order_col)
-    n = m.count()
-    side = m.select(*g, "EventId", "new_id", "corrected")
-    side = F.broadcast(side) if n <= BROADCAST_ROWS else side
-    j = structured.join(side, g + ["EventId"], "left")
+    m = cut_lineage(template_map(structured, user_strings, g, order_col), "template-map")
+    j = structured.join(m.select(*g, "EventId", "new_id", "corrected"), g + ["EventId"], "left")
     report = j.filter(F.col("new_id").isNull()).select(*g, order_col, "EventId", *(
         ["Content"] if "Content" in structured.columns else []))
     lines = (j.withColumn("EventId", F.coalesce("new_id", "EventId"))

@@ -1005,7 +1005,6 @@ QUERIES.update({
     "read_raw_log": (read_raw_log, SQL_PARSE_HEADER),
     "nonascii_clean": (nonascii_clean, SQL_NONASCII_CLEAN),
     "relevant_templates": (relevant_templates, SQL_RELEVANT_TEMPLATES),
-    "merge_templates": (merge_templates, None),
 })
 
 
@@ -1051,8 +1050,15 @@ FROM j WHERE quota > 0
 
 QUERIES["quota_by_dataset"] = (quota_by_dataset, SQL_QUOTA_BY_DATASET)
 
+from logloom.plans.files import QUERIES as _FILES  # noqa: E402
 from logloom.plans.samples import QUERIES as _SAMPLES  # noqa: E402
-from logloom.plans.varied import QUERIES as _VARIED  # noqa: E402
+from logloom.plans.varied import QUERIES as _VARIED, merge_sql  # noqa: E402
+
+SQL_MERGE_TEMPLATES = merge_sql(f"""{R},
+ft AS (SELECT expected AS template, min(LineId) AS f FROM r GROUP BY expected),
+t AS (SELECT template, row_number() OVER (ORDER BY f, template) - 1 AS id FROM ft)""")
 
 QUERIES.update(_SAMPLES)
 QUERIES.update(_VARIED)
+QUERIES.update(_FILES)
+QUERIES["merge_templates"] = (merge_templates, SQL_MERGE_TEMPLATES)

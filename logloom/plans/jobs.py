@@ -9,12 +9,14 @@ example files per shot.  Each is a composition of the DataFrame operators.
 from __future__ import annotations
 
 import os
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.functions.text import correct_oracle_template
 from logloom.operators import matching, metrics, sampling
+from logloom.operators.correction import correct
 from logloom.operators.discovery import parse
 from logloom.sources import formats, io
 
@@ -38,6 +40,55 @@ def parse_files(spark: SparkSession, raw_paths, log_format: str, out_dir: str, d
     return s_path, t_path
 
 
+def parse_systems(spark: SparkSession, root: str, out_dir: str, datasets, variant: str = "2k") -> tuple[str, str]:
+    """Raw logs of registered systems (A16), each under ``root`` at its registered place and in its own format,
+    parsed in one job -> ``out_dir/structured`` and ``out_dir/templates``, partitioned by dataset (A2, B1, P6, E1, A9).
+
+    Every line keeps its headers in the map ``Headers``, as the systems' formats differ.  A system without an
+    entry of this variant is an error."""
+    places = {name: (place, log_format) for name, var, place, log_format in formats.LOG_FORMATS if var == variant}
+    parts = []
+    for name in datasets:
+        place, log_format = places[name]
+        lines = formats.read_raw_logs(spark, os.path.join(root, place), log_format)
+        headers = [c for c in lines.columns if c not in ("LineId", "Content")]
+        parts.append(lines.select(F.lit(name).alias("dataset"), "LineId", "Content",
+                                  F.create_map(*[x for h in headers for x in (F.lit(h), F.col(h))]).alias("Headers")))
+    structured, _ = parse(reduce(DataFrame.unionByName, parts), group_col="dataset")
+    s_path, t_path = os.path.join(out_dir, "structured"), os.path.join(out_dir, "templates")
+    io.write_structured(structured, s_path, partition_by="dataset")
+    io.write_structured(matching.template_table(spark.read.parquet(s_path), group_cols=["dataset"]), t_path,
+                        partition_by="dataset")
+    return s_path, t_path
+
+
+def correct_systems(spark: SparkSession, truth_paths: dict[str, str], out_dir: str, user_strings=None,
+                    fmt: str = "csv") -> tuple[str, str, str]:
+    """P10 for all systems in one job: structured truth logs (dataset -> path) corrected (G7, D22, C4) and written
+    (A13) as ``structured_corrected``, ``templates_corrected`` and ``without_template`` (lines whose id is no
+    template's) under ``out_dir``, partitioned by dataset."""
+    read = [io.read_structured(spark, path, fmt).withColumn("dataset", F.lit(name)) for name, path in truth_paths.items()]
+    truth = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), read)
+    truth = truth.withColumn("LineId", F.col("LineId").cast("long"))
+    tables = correct(truth, user_strings, ["dataset"])
+    paths = tuple(os.path.join(out_dir, n) for n in ("structured_corrected", "templates_corrected", "without_template"))
+    for table, path in zip(tables, paths):
+        io.write_structured(table, path, fmt, partition_by="dataset")
+    return paths
+
+
+def classify_files(spark: SparkSession, truth_path: str, parsed_path: str, out_path: str, dataset: str,
+                   fmt: str = "csv", parsed_fmt: str = "parquet") -> DataFrame:
+    """Classes of the parsed templates of one system, written (A14) with the truth templates each of them meets;
+    returns their shares (D13, D14, C2)."""
+    def read(path, f):
+        t = io.read_structured(spark, path, f).withColumn("dataset", F.lit(dataset))
+        return t.withColumn("LineId", F.col("LineId").cast("long"))
+    pairs = metrics.pair_counts(metrics.align(read(truth_path, fmt), read(parsed_path, parsed_fmt)))
+    io.write_structured(metrics.template_classes(pairs), out_path)
+    return metrics.class_shares(spark.read.parquet(out_path), pairs)
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)

@@ -118,8 +118,10 @@ dp AS (
 lcs AS (SELECT a, b, x, y, row[len(y) + 1] AS n FROM dp WHERE i = len(x))
 """
 
-SQL_MERGE_PART_TEMPLATES = f"""
-WITH RECURSIVE t AS (SELECT {_PART_TEMPLATE} AS template, min(p_partkey) AS id FROM part GROUP BY 1),
+def merge_sql(templates: str) -> str:
+    """Merged templates of the CTEs ``templates``, the last of which is ``t(id, template)``."""
+    return f"""
+WITH RECURSIVE {templates},
 w AS (SELECT id, template, string_split(template, ' ') AS ws FROM t),
 e AS (SELECT id, word, count(*) AS c FROM (SELECT id, unnest(ws) AS word FROM w) GROUP BY ALL),
 o AS (SELECT p.id AS a, q.id AS b, sum(least(p.c, q.c)) AS shared FROM e p JOIN e q ON p.word = q.word AND p.id < q.id GROUP BY ALL),
@@ -134,6 +136,9 @@ SELECT w.id AS template_id,
        CAST(coalesce(n, 0) AS INTEGER) AS n_merged
 FROM w LEFT JOIN diff ON diff.a = w.id WHERE w.id NOT IN (SELECT b FROM best)
 """
+
+
+SQL_MERGE_PART_TEMPLATES = merge_sql(f"t AS (SELECT {_PART_TEMPLATE} AS template, min(p_partkey) AS id FROM part GROUP BY 1)")
 QUERIES["merge_part_templates"] = (merge_part_templates, SQL_MERGE_PART_TEMPLATES)
 
 
