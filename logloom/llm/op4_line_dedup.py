@@ -19,8 +19,9 @@ Lines of bands that still hold several components are then joined exactly, by pr
 shingles are ordered by rarity among these lines, and two lines of similarity 0.8 share one of
 the first ``n - ceil(0.8 n) + 1`` and differ in size by a quarter at most.  So a group
 of lines that are alike, but not enough, meets only where rare shingles are
-shared, not all with all.  A pair is verified in its row, from the two texts; links
-and components stay distributed tables.
+shared, not all with all.  Every line's shingle set is made once, with 32 bits a
+shingle; a pair whose sets are clearly above or below the wanted similarity, whatever
+shingles may have equal bits, is settled by them, and any other by whole hashes.  Links and components stay distributed tables.
 
 Defined cases: lines without a character besides white space are no lines and
 always stay; a line shorter than a shingle is one shingle; a null text stays
@@ -122,34 +123,53 @@ def _texts(wanted: DataFrame, known: DataFrame, docs: DataFrame, key: str, text:
     return written(texts.select("id", F.encode("line", "UTF-32").alias("line")).dropDuplicates(["id"]), "op4-texts")
 
 
-def _shingles(line: str) -> Column:
-    """The set of a line's shingle hashes, in the row; ``line`` encoded with four bytes a character."""
-    last = F.greatest(F.lit(0), (F.octet_length(line) / 4).cast("int") - SHINGLE)
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substring(line, i * 4 + 1, F.lit(4 * SHINGLE)))))
+def _sets(texts: DataFrame, short: bool) -> DataFrame:
+    """(id, xs): the set of each line's shingle hashes, or of 32 bits of each (``short``).
 
+    The shingles are rows until they are collected: a function over an array would copy the line
+    for each of them, the square of its length."""
+    last = F.greatest(F.lit(0), (F.octet_length("line") / 4).cast("int") - SHINGLE)
+    rows = texts.repartition(4 * partitions(texts.sparkSession), "id")  # few bytes as they are stored, but much work
+    rows = rows.select("id", "line", F.explode(F.sequence(F.lit(0), last)).alias("i"))
+    x = F.shiftright(_shingle("line", "i"), 32).cast("int") if short else _shingle("line", "i")
+    return written(rows.select("id", x.alias("x")).groupBy("id").agg(F.collect_set("x").alias("xs")), "op4-sets")  # of one line
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole shingle sets have the wanted similarity."""
-    both = pairs.select("a", "b").join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b").join(
-        texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a")
-    both = both.repartition(4 * partitions(pairs.sparkSession), "a", "b")
-    both = both.select("a", "b", _shingles("la").alias("x"), _shingles("lb").alias("y"))
-    both = both.select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("shared"))
-    return both.where(F.col("shared") >= SIMILARITY * (F.col("n") + F.col("m") - F.col("shared"))).select("a", "b")
 
+def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the sizes of their sets, ``n`` and ``m``, and of what they share."""
+    met = pairs.select("a", "b").join(sets.select(F.col("id").alias("b"), F.col("xs").alias("y")), "b").join(
+        sets.select(F.col("id").alias("a"), F.col("xs").alias("x")), "a")
+    return met.select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("shared"))
 
-def _prefix_pairs(labelled: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b), a > b: the pairs of lines (id, root) with different roots that may have the wanted similarity."""
-    # 32 bits of a shingle's hash: equal ones only make lines meet that are then verified
-    short = F.array_distinct(F.transform(_shingles("line"), lambda x: F.shiftright(x, 32).cast("int")))
-    sets = texts.join(labelled, "id").select("id", "root", F.explode(short).alias("x"))
-    sets = written(sets, "op4-sets")
-    shared = sets.groupBy("x").agg(F.count("*").alias("df")).where("df > 1")
+
+def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole shingle sets have the wanted similarity.
+
+    Two of N shingles have equal 32 bits about N * N / 2^33 times; with ``e`` = 2 + N * M / 2^28
+    such cases allowed for in each count, the short sets of most pairs are enough."""
+    met = _measured(pairs, sets)
+    e = F.lit(2) + F.col("n").cast("double") * F.col("m") / (1 << 28)
+    union = F.col("n") + F.col("m") - F.col("shared")
+    met = met.select("a", "b", (F.col("shared") - e >= SIMILARITY * (union + 3 * e)).alias("sure"), (F.col("shared") + e >= SIMILARITY * (union - e)).alias("may"))
+    met = written(met.where("may").select("a", "b", "sure"), "op4-measured")
+    unsure = met.where("not sure")
+    ids = unsure.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    exact = _measured(unsure, _sets(texts.join(ids, "id", "left_semi"), short=False))
+    exact = exact.where(F.col("shared") >= SIMILARITY * (F.col("n") + F.col("m") - F.col("shared")))
+    return met.where("sure").select("a", "b").union(exact.select("a", "b"))
+
+
+def _prefix_pairs(labelled: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b), a > b: the pairs of lines (id, root) with different roots that may have the wanted similarity.
+
+    Equal bits of different shingles only make lines meet that are then verified."""
+    mixed = written(sets.join(labelled, "id"), "op4-mixed-sets")
+    whole = mixed.select("id", "root", F.size("xs").alias("n"), F.explode("xs").alias("x"))
+    shared = whole.groupBy("x").agg(F.count("*").alias("df")).where("df > 1")
     # shingles of one line only come first in the order of rarity and meet nothing: only their number counts
-    sizes = sets.groupBy("id", "root").agg(F.count("*").alias("n"))
-    common = sets.select("id", "x").join(shared, "x").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("xs"))  # of one line
+    common = whole.join(shared, "x").groupBy("id", "root", "n").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("xs"))  # of one line
     prefix = F.size("xs") - F.ceil(SIMILARITY * F.col("n") - F.lit(1e-9)).cast("int") + 1
-    rows = sizes.join(common, "id").where(prefix > 0).select("id", "root", "n", F.explode(F.slice("xs", 1, prefix.cast("int"))).alias("s"))
+    rows = common.where(prefix > 0).select("id", "root", "n", F.explode(F.slice("xs", 1, prefix.cast("int"))).alias("s"))
     rows = written(rows.select("id", "root", "n", F.col("s.x").alias("x")), "op4-prefixes")
     several = rows.groupBy("x").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("x")
     rows = rows.join(several, "x", "left_semi")
@@ -174,7 +194,8 @@ def line_components(docs: DataFrame, known: DataFrame, key: str = "doc_id", text
     looked = looked.select("id", "c", _agreement("x", "y").alias("n")).where(F.col("n") >= LEAST_AGREEMENT)
     tested = written(looked.groupBy(F.col("id").alias("a")).agg(F.max_by("c", F.struct("n", -F.col("c"))).alias("b")), "op4-pairs")
     texts = _texts(shared.select("id").distinct(), known, docs, key, text)
-    links = written(_verified(tested, texts), "op4-links")
+    sets = _sets(texts, short=True)
+    links = written(_verified(tested, sets, texts), "op4-links")
     found = written(components(links, "op4-stars"), "op4-components")
 
     # then the lines of bands that hold several components, by prefixes
@@ -182,10 +203,10 @@ def line_components(docs: DataFrame, known: DataFrame, key: str = "doc_id", text
     several = labelled.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
     mixed = written(labelled.join(several, "band", "left_semi").select("id", "root").distinct(), "op4-mixed")
     done = tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    rest = _prefix_pairs(mixed, texts).join(done, ["a", "b"], "left_anti")
+    rest = _prefix_pairs(mixed, sets).join(done, ["a", "b"], "left_anti")
     rest = rest.join(sig.select(F.col("id").alias("a"), *ms).alias("x"), "a").join(sig.select(F.col("id").alias("b"), *ms).alias("y"), "b")
     rest = written(rest.where(_agreement("x", "y") >= LEAST_AGREEMENT).select("a", "b"), "op4-rest")
-    more = written(links.union(_verified(rest, texts)), "op4-links")
+    more = written(links.union(_verified(rest, sets, texts)), "op4-links")
     return written(components(more, "op4-stars"), "op4-components")
 
 
