@@ -163,13 +163,14 @@ def _prefix_pairs(labelled: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b), a > b: the pairs of lines (id, root) with different roots that may have the wanted similarity.
 
     Equal bits of different shingles only make lines meet that are then verified."""
-    mixed = written(sets.join(labelled, "id"), "op4-mixed-sets")
-    whole = mixed.select("id", "root", F.size("xs").alias("n"), F.explode("xs").alias("x"))
+    mixed = sets.join(labelled, "id")
+    whole = mixed.select("id", F.explode("xs").alias("x"))
     shared = whole.groupBy("x").agg(F.count("*").alias("df")).where("df > 1")
     # shingles of one line only come first in the order of rarity and meet nothing: only their number counts
-    common = whole.join(shared, "x").groupBy("id", "root", "n").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("xs"))  # of one line
+    sizes = mixed.select("id", "root", F.size("xs").alias("n"))
+    common = whole.join(shared, "x").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("xs"))  # of one line
     prefix = F.size("xs") - F.ceil(SIMILARITY * F.col("n") - F.lit(1e-9)).cast("int") + 1
-    rows = common.where(prefix > 0).select("id", "root", "n", F.explode(F.slice("xs", 1, prefix.cast("int"))).alias("s"))
+    rows = sizes.join(common, "id").where(prefix > 0).select("id", "root", "n", F.explode(F.slice("xs", 1, prefix.cast("int"))).alias("s"))
     rows = written(rows.select("id", "root", "n", F.col("s.x").alias("x")), "op4-prefixes")
     several = rows.groupBy("x").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("x")
     rows = rows.join(several, "x", "left_semi")
