@@ -1,60 +1,112 @@
 """Fuzzy line deduplication by MinHash.
 
 The lines of all documents are sketched by the character shingles they hold:
-16 signature values, value i being the shingle hash nearest to a fixed random
-point (the least of hash XOR point), so two lines agree in a value with the
-probability of their Jaccard similarity.  The 16 values are the points of the
-affine plane of order 4, and its 20 lines of four points are the bands: two
-bands share one value at most, and a pair of similarity 0.8 agrees in some
-band with probability 0.995.  Lines that share a band and at least
-``LEAST_AGREEMENT`` values are candidates; the Jaccard similarity of their
-whole shingle sets decides.  Verified links make components, and of each
+40 signature values, each the least product of the lines' shingle hashes with a
+number of its own, so two lines agree in a value with the probability of their
+Jaccard similarity.  Four values in a row make one of ten bands; a pair of
+similarity 0.8 agrees in some band with probability 0.995.  Lines that share
+a band are candidates; the Jaccard similarity of their whole shingle sets
+decides.  Verified links make components, and of each
 component only the first line (smallest document key, then line number) stays.
 
-Only DataFrame functions run, and no Python.  Equal lines are one line from
-the first aggregation on (partial, so a line in a third of all rows is one row
-for each task).  Every line is first compared with the one it seems most like
-among the smallest lines of its bands; verified links make components.
+Equal lines are one line from the first aggregation on (partial, so a line in a
+third of all rows is one row for each task).  Every line is first compared with
+the line that is smallest in most of its bands; verified links make components.
 Lines of bands that still hold several components are then joined exactly, by prefixes: their
 shingles are ordered by rarity among these lines, and two lines of similarity 0.8 share one of
 the first ``n - ceil(0.8 n) + 1`` and differ in size by a quarter at most.  So a group
 of lines that are alike, but not enough, meets only where rare shingles are
-shared, not all with all.  Every line's shingle set is made once, with 32 bits a
-shingle; a pair whose sets are clearly above or below the wanted similarity, whatever
-shingles may have equal bits, is settled by them, and any other by whole hashes.  Links and components stay distributed tables.
+shared, not all with all.  Links and components stay distributed tables.
+
+Sketches, shingle sets and similarities are computed by numpy over Arrow batches: with
+DataFrame functions alone every shingle is a row, which is several times the budget of CPU
+seconds and of disk (README).  All joins, groups and the union-find are DataFrame operations.
 
 Defined cases: lines without a character besides white space are no lines and
 always stay; a line shorter than a shingle is one shingle; a null text stays
-null, an empty one empty; rows that repeat a key and a line at the same place
-count once, so both keep it; rows that share a key (or have none) and differ
+null, an empty one empty; a very long line is sketched and compared whole; rows that repeat a key and a line at the same
+place count once, so both keep it; rows that share a key (or have none) and differ
 in text lose lines each by its own text; a null key comes after all others; a document
 that loses all lines stays with an empty text; an empty table gives no rows;
-other columns are kept by ``dedup`` as they are.
+other columns are kept by ``dedup`` as they are.  Equal 64-bit hashes of shingles are taken for equal
+shingles (54 bits within a pair).
 """
 
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from .common import guarded, partitions, table, written
+from .common import batch_of, column, guarded, slices, table, written
 from .components import components
 
 SHINGLE = 8
 SIMILARITY = 0.8
-VALUES = 16
-LEAST_AGREEMENT = 9
+BANDS = 10
+VALUES_PER_BAND = 4
 #: Rows of a lookup (about 50 bytes each) up to which it is broadcast; beyond, it is joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Pairs, and characters of their lines, that a task compares at a time (one larger pair goes alone).
+PAIRS_AT_A_TIME = 512
+CHARACTERS_AT_A_TIME = 1 << 18
 _random = random.Random(1)
-POINTS = [_random.getrandbits(32) - (1 << 31) for _ in range(VALUES)]
-#: Addition and multiplication in the field of four elements give the lines y = m x + c and x = c.
-_TIMES = [[0, 0, 0, 0], [0, 1, 2, 3], [0, 2, 3, 1], [0, 3, 1, 2]]
-BANDS = [[4 * x + y for y in range(4)] for x in range(4)] + [
-    [4 * x + (_TIMES[m][x] ^ c) for x in range(4)] for m in range(4) for c in range(4)]
+FACTORS = [np.uint32(_random.getrandbits(32) | 1) for _ in range(BANDS * VALUES_PER_BAND)]
+_MIX = np.uint64(_random.getrandbits(64) | 1)
+_POWERS = [np.uint64(pow(int(_MIX), e, 1 << 64)) for e in (1, 2, 4)]
+#: What follows every line in the array of code points; no character has this number.
+_END = 0x110000
+
+
+def shingle_hashes(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hashes of the shingles of all lines, line after line, and the number of each line."""
+    lengths = np.fromiter(map(len, found), np.int64, len(found))
+    end = "\0" * SHINGLE
+    codes = np.frombuffer((end.join(found) + end).encode("utf-32-le"), "<u4").astype(np.uint64)
+    sizes = lengths + SHINGLE
+    at = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    codes[at >= np.repeat(lengths, sizes)] = _END
+    n = np.maximum(lengths - SHINGLE, 0) + 1
+    h = codes
+    for power, step in zip(_POWERS, (1, 2, 4)):
+        h = h[:-step] * power + h[step:]
+    h = h[(at < np.repeat(n, sizes))[:len(h)]]
+    h ^= h >> np.uint64(32)
+    h *= _MIX
+    return h ^ (h >> np.uint64(29)), n
+
+
+def band_keys(found: list[str]) -> np.ndarray:
+    """One row for each band, one column for each line."""
+    h, n = shingle_hashes(found)
+    x, starts = (h >> np.uint64(32)).astype(np.uint32), np.cumsum(n) - n
+    product, keys = np.empty_like(x), np.empty((BANDS, len(n)), np.uint64)
+    for band in range(BANDS):
+        key = np.full(len(n), band + 1, np.uint64)
+        for factor in FACTORS[band * VALUES_PER_BAND:(band + 1) * VALUES_PER_BAND]:
+            np.multiply(x, factor, out=product)
+            key = (key ^ np.minimum.reduceat(product, starts)) * _MIX
+            key ^= key >> np.uint64(31)
+        keys[band] = key
+    return keys.view(np.int64)
+
+
+def shared_shingles(xs: list[str], ys: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each pair of lines the sizes of both shingle sets and of what they share."""
+    shift = np.uint64(54)
+    sides = []
+    for some in (xs, ys):
+        h, n = shingle_hashes(some)
+        pair = np.repeat(np.arange(len(some), dtype=np.uint64), n)
+        key = np.sort((pair << shift) | (h >> np.uint64(10)))
+        sides.append(key[np.concatenate(([True], key[1:] != key[:-1]))])
+    both = np.sort(np.concatenate(sides))
+    count = lambda key: np.bincount((key >> shift).astype(np.int64), minlength=len(xs))
+    return count(sides[0]), count(sides[1]), count(both[1:][both[1:] == both[:-1]])
 
 
 def lines(docs: DataFrame, key: str, text: str, *more: str) -> DataFrame:
@@ -80,83 +132,63 @@ def _text_hashes(text: str) -> tuple[Column, Column]:
     return F.xxhash64(whole), F.xxhash64(F.lit("second"), whole)
 
 
-def _shingle(binary: str, number: str) -> Column:
-    """The hash of a shingle; four bytes a character make it a slice."""
-    return F.xxhash64(F.expr(f"substring({binary}, 4 * ({number}) + 1, {4 * SHINGLE})"))
-
-
 def different_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each different line: id, h1, h2, first (place), n (occurrences)."""
-    found = lines(docs, key, text).select(*_hashes(), _place().alias("p"))
-    found = found.groupBy("h1", "h2").agg(F.min("p").alias("first"), F.count("*").alias("n"))
+    """One row for each different line: id, h1, h2, first (place), n (occurrences), b0 .. b9 (bands)."""
+    bands = [f"b{i}" for i in range(BANDS)]
+    out = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64()), ("place", pa.int32()), *((b, pa.int64()) for b in bands)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "line"):
+            keys = band_keys(column(batch, "line").to_pylist())
+            yield batch_of(out, [*(column(batch, c) for c in ("h1", "h2", "doc", "place")), *keys])
+
+    rows = lines(docs, key, text).select(*_hashes(), "doc", "place", "line")
+    rows = rows.mapInArrow(run, "h1 long, h2 long, doc long, place int, " + ", ".join(f"{b} long" for b in bands))
+    found = rows.withColumn("p", _place()).groupBy("h1", "h2").agg(F.min("p").alias("first"), F.count("*").alias("n"), *[F.first(b).alias(b) for b in bands])
     return written(found.withColumn("id", F.monotonically_increasing_id()), "op4-lines")
 
 
-def _sketched(rows: DataFrame, points: list[int], *key: str) -> DataFrame:
-    """``key`` and m0, m1 .. of the lines ``b`` (encoded) with shingles 0 to ``last``."""
-    rows = rows.select(*key, "b", F.explode(F.sequence(F.lit(0), "last")).alias("i")).select(
-        *key, F.shiftright(_shingle("b", "i"), 32).cast("int").alias("y"))
-    return rows.groupBy(*key).agg(*[F.min(F.col("y").bitwiseXOR(F.lit(c))).alias(f"m{i}") for i, c in enumerate(points)])
-
-
-def signatures(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, m0 .. m15 of each different line."""
-    rows = lines(docs, key, text)
-    rows = rows.select(*_hashes(), F.encode("line", "UTF-32").alias("b"), F.greatest(F.lit(0), F.char_length("line") - SHINGLE).alias("last"))
-    found = _sketched(rows, POINTS, "h1", "h2")
-    return written(found.join(known.select("h1", "h2", "id"), ["h1", "h2"]).drop("h1", "h2"), "op4-signatures")
-
-
-def _agreement(a: str, b: str, values: int = VALUES) -> Column:
-    total = F.lit(0)
-    for i in range(values):
-        total = total + (F.col(f"{a}.m{i}") == F.col(f"{b}.m{i}")).cast("int")
-    return total
-
-
 def _texts(wanted: DataFrame, known: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, line) of the lines ``wanted`` (id), encoded with four bytes a character."""
+    """(id, line) of the lines ``wanted`` (id)."""
     needed = written(known.join(wanted, "id", "left_semi").select("id", "h1", "h2", "first"), "op4-needed")
     needed = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
     texts = lines(docs, key, text).select(*_hashes(), _place().alias("p"), "line").join(needed, ["h1", "h2"]).where("p = first")
-    # encoded here once: in a later projection each shingle would encode its line anew
-    return written(texts.select("id", F.encode("line", "UTF-32").alias("line")).dropDuplicates(["id"]), "op4-texts")
+    return written(texts.select("id", "line").dropDuplicates(["id"]), "op4-texts")
 
 
-def _sets(texts: DataFrame, short: bool) -> DataFrame:
-    """(id, xs): the set of each line's shingle hashes, or of 32 bits of each (``short``).
+def _sets(texts: DataFrame) -> DataFrame:
+    """(id, xs): 64-bit hashes of each line's different shingles."""
+    out = pa.schema([("id", pa.int64()), ("xs", pa.list_(pa.int64()))])
 
-    The shingles are rows until they are collected: a function over an array would copy the line
-    for each of them, the square of its length."""
-    last = F.greatest(F.lit(0), (F.octet_length("line") / 4).cast("int") - SHINGLE)
-    rows = texts.repartition(4 * partitions(texts.sparkSession), "id")  # few bytes as they are stored, but much work
-    rows = rows.select("id", "line", F.explode(F.sequence(F.lit(0), last)).alias("i"))
-    x = F.shiftright(_shingle("line", "i"), 32).cast("int") if short else _shingle("line", "i")
-    return written(rows.select("id", x.alias("x")).groupBy("id").agg(F.collect_set("x").alias("xs")), "op4-sets")  # of one line
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "line"):
+            h, n = shingle_hashes(column(batch, "line").to_pylist())
+            sets = [np.unique(x) for x in np.split(h.view(np.int64), np.cumsum(n)[:-1])]
+            ends = np.cumsum([0] + [len(x) for x in sets]).astype(np.int32)
+            yield batch_of(out, [column(batch, "id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))])
 
+    return texts.mapInArrow(run, "id long, xs array<long>")
 
-def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) with the sizes of their sets, ``n`` and ``m``, and of what they share."""
-    met = pairs.select("a", "b").join(sets.select(F.col("id").alias("b"), F.col("xs").alias("y")), "b").join(
-        sets.select(F.col("id").alias("a"), F.col("xs").alias("x")), "a")
-    return met.select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("shared"))
 
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of lines whose whole shingle sets have the wanted similarity."""
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole shingle sets have the wanted similarity.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "x", PAIRS_AT_A_TIME):
+            xs, ys = column(batch, "x").to_pylist(), column(batch, "y").to_pylist()
+            at = np.cumsum([len(x) + len(y) for x, y in zip(xs, ys)]) // CHARACTERS_AT_A_TIME
+            cuts = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), len(xs)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo < hi:
+                    n, m, shared = shared_shingles(xs[lo:hi], ys[lo:hi])
+                    linked = np.flatnonzero(shared >= SIMILARITY * (n + m - shared))
+                    kept = batch.slice(lo, hi - lo).take(pa.array(linked))
+                    yield batch_of(out, [column(kept, "a"), column(kept, "b")])
 
-    Two of N shingles have equal 32 bits about N * N / 2^33 times; with ``e`` = 2 + N * M / 2^28
-    such cases allowed for in each count, the short sets of most pairs are enough."""
-    met = _measured(pairs, sets)
-    e = F.lit(2) + F.col("n").cast("double") * F.col("m") / (1 << 28)
-    union = F.col("n") + F.col("m") - F.col("shared")
-    met = met.select("a", "b", (F.col("shared") - e >= SIMILARITY * (union + 3 * e)).alias("sure"), (F.col("shared") + e >= SIMILARITY * (union - e)).alias("may"))
-    met = written(met.where("may").select("a", "b", "sure"), "op4-measured")
-    unsure = met.where("not sure")
-    ids = unsure.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    exact = _measured(unsure, _sets(texts.join(ids, "id", "left_semi"), short=False))
-    exact = exact.where(F.col("shared") >= SIMILARITY * (F.col("n") + F.col("m") - F.col("shared")))
-    return met.where("sure").select("a", "b").union(exact.select("a", "b"))
+    met = pairs.select("a", "b").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b").join(
+        texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a")
+    return met.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def _prefix_pairs(labelled: DataFrame, sets: DataFrame) -> DataFrame:
@@ -182,21 +214,16 @@ def _prefix_pairs(labelled: DataFrame, sets: DataFrame) -> DataFrame:
 
 def line_components(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, root) of the lines that are linked to another line."""
-    ms = [f"m{i}" for i in range(VALUES)]
-    sig = signatures(docs, known, key, text)
-    keys = F.array(*[F.xxhash64(F.lit(n), *[f"m{i}" for i in band]) for n, band in enumerate(BANDS)])
-    shared = sig.select("id", F.explode(keys).alias("band"))
-    band = Window.partitionBy("band")  # one shuffle of the bands; a join of their least ids would take two
-    shared = shared.withColumn("c", F.min("id").over(band)).withColumn("z", F.max("id").over(band)).where("c <> z")
-    shared = written(shared.select("band", "id", "c"), "op4-shared")
-
-    # every line with the one it seems most like of its bands' smallest lines
-    looked = shared.where("id <> c").select("id", "c").distinct().join(sig.alias("x"), "id").join(sig.select(F.col("id").alias("c"), *ms).alias("y"), "c")
-    looked = looked.select("id", "c", _agreement("x", "y").alias("n")).where(F.col("n") >= LEAST_AGREEMENT)
-    tested = written(looked.groupBy(F.col("id").alias("a")).agg(F.max_by("c", F.struct("n", -F.col("c"))).alias("b")), "op4-pairs")
+    banded = known.select("id", F.explode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("band"))
+    # no band is gathered: its least id is aggregated first, then joined to its rows
+    heads = written(banded.groupBy("band").agg(F.min("id").alias("c"), F.max("id").alias("z")).where("c <> z").select("band", "c"), "op4-heads")
+    shared = written(banded.join(heads, "band"), "op4-shared")
+
+    # every line with the one that is the smallest in most of its bands
+    tested = shared.where("id <> c").groupBy(F.col("id").alias("a")).agg(F.mode("c", True).alias("b"))  # of at most BANDS values
+    tested = written(tested, "op4-pairs")
     texts = _texts(shared.select("id").distinct(), known, docs, key, text)
-    sets = _sets(texts, short=True)
-    links = written(_verified(tested, sets, texts), "op4-links")
+    links = written(_verified(tested, texts), "op4-links")
     found = written(components(links, "op4-stars"), "op4-components")
 
     # then the lines of bands that hold several components, by prefixes
@@ -204,10 +231,9 @@ def line_components(docs: DataFrame, known: DataFrame, key: str = "doc_id", text
     several = labelled.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
     mixed = written(labelled.join(several, "band", "left_semi").select("id", "root").distinct(), "op4-mixed")
     done = tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    rest = _prefix_pairs(mixed, sets).join(done, ["a", "b"], "left_anti")
-    rest = rest.join(sig.select(F.col("id").alias("a"), *ms).alias("x"), "a").join(sig.select(F.col("id").alias("b"), *ms).alias("y"), "b")
-    rest = written(rest.where(_agreement("x", "y") >= LEAST_AGREEMENT).select("a", "b"), "op4-rest")
-    more = written(links.union(_verified(rest, sets, texts)), "op4-links")
+    sets = written(_sets(texts.join(mixed, "id", "left_semi")), "op4-sets")
+    rest = written(_prefix_pairs(mixed, sets).join(done, ["a", "b"], "left_anti"), "op4-rest")
+    more = written(links.union(_verified(rest, texts)), "op4-links")
     return written(components(more, "op4-stars"), "op4-components")
 
 

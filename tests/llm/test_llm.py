@@ -321,10 +321,23 @@ def test_stages_leave_columns_with_clashing_names(spark, stage, monkeypatch):
     assert all(r[n] == f"{n} of {r.doc_id}" for r in rows for n in names)
 
 
-def test_op4_bands_are_a_plane():
-    from logloom.llm.op4_line_dedup import BANDS
-    assert len(BANDS) == 20 and all(len(set(b)) == 4 for b in BANDS)
-    assert all(len(set(a) & set(b)) <= 1 for i, a in enumerate(BANDS) for b in BANDS[:i])
+def test_op4_shingles_as_sets():
+    """Hashes stand for the shingles of whole lines, short, empty and very long ones too, and pairs are measured exactly."""
+    from logloom.llm.op4_line_dedup import BANDS, band_keys, shared_shingles, shingle_hashes
+    rng = random.Random(13)
+    some = ["".join(rng.choice("ab \U0001f600") for _ in range(rng.choice((1, 5, 7, 8, 9, 30, 400)))) for _ in range(200)]
+    some += ["", "x\0y", "\0" * 3, "\0" * 20, "ab" * 40_000]
+    cut = lambda x: [x[i:i + 8] for i in range(max(1, len(x) - 7))]
+    h, n = shingle_hashes(some)
+    assert n.tolist() == [len(cut(x)) for x in some]
+    named = {}
+    assert all(named.setdefault(s, v) == v for s, v in zip((s for x in some for s in cut(x)), h.tolist()))
+    assert len(set(named.values())) == len(named)
+    got = [x.tolist() for x in shared_shingles(some, some[::-1])]
+    sets = [set(cut(x)) for x in some]
+    assert got == [[len(x) for x in sets], [len(x) for x in sets[::-1]], [len(x & y) for x, y in zip(sets, sets[::-1])]]
+    alone = [band_keys([x])[:, 0].tolist() for x in some]
+    assert band_keys(some).T.tolist() == alone and all(len(k) == BANDS for k in alone)
 
 
 # ---- op2, op7, op9 ----------------------------------------------------------------------------
