@@ -51,6 +51,8 @@ BANDS = 10
 VALUES_PER_BAND = 4
 #: Rows of a lookup (about 50 bytes each) up to which it is broadcast; beyond, it is joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Counters of shingles by their hash; they order shingles by rarity and are sent to every task (8 MB).
+COUNTERS = 1 << 20
 #: Pairs, and characters of their lines, that a task compares at a time (one larger pair goes alone).
 PAIRS_AT_A_TIME = 512
 CHARACTERS_AT_A_TIME = 1 << 18
@@ -156,20 +158,6 @@ def _texts(wanted: DataFrame, known: DataFrame, docs: DataFrame, key: str, text:
     return written(texts.select("id", "line").dropDuplicates(["id"]), "op4-texts")
 
 
-def _sets(texts: DataFrame) -> DataFrame:
-    """(id, xs): 64-bit hashes of each line's different shingles."""
-    out = pa.schema([("id", pa.int64()), ("xs", pa.list_(pa.int64()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "line"):
-            h, n = shingle_hashes(column(batch, "line").to_pylist())
-            sets = [np.unique(x) for x in np.split(h.view(np.int64), np.cumsum(n)[:-1])]
-            ends = np.cumsum([0] + [len(x) for x in sets]).astype(np.int32)
-            yield batch_of(out, [column(batch, "id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))])
-
-    return texts.mapInArrow(run, "id long, xs array<long>")
-
-
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of lines whose whole shingle sets have the wanted similarity."""
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -191,21 +179,55 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return met.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _prefix_pairs(labelled: DataFrame, sets: DataFrame) -> DataFrame:
+def _rarity(texts: DataFrame) -> np.ndarray:
+    """How many shingles of all ``texts`` fall in each of the ``COUNTERS``.  A task sends at most one row for each."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in slices(batches, "line"):
+            h, _ = shingle_hashes(column(batch, "line").to_pylist())
+            np.add.at(total, (h % np.uint64(COUNTERS)).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["at", "n"])
+
+    rows = texts.select("line").mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(COUNTERS, np.int64)
+    total[rows.column("at").to_numpy()] = rows.column("n").to_numpy()
+    return total
+
+
+def prefixes(found: list[str], rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rarest shingles of each line, as many as needed to meet every line of the wanted similarity: the numbers
+    of the lines, the hashes, and the size of each line's whole set."""
+    h, n = shingle_hashes(found)
+    line, count = np.repeat(np.arange(len(found)), n), rarity[(h % np.uint64(COUNTERS)).astype(np.int64)]
+    order = np.lexsort((h, count, line))
+    line, h = line[order], h[order]
+    new = np.concatenate(([True], (h[1:] != h[:-1]) | (line[1:] != line[:-1])))
+    line, h = line[new], h[new]
+    size = np.bincount(line, minlength=len(found))
+    rank = np.arange(len(line)) - np.repeat(np.cumsum(size) - size, size)
+    taken = rank < (size - np.ceil(SIMILARITY * size - 1e-9).astype(np.int64) + 1)[line]
+    return line[taken], h[taken].view(np.int64), size
+
+
+def _prefix_pairs(labelled: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b), a > b: the pairs of lines (id, root) with different roots that may have the wanted similarity.
 
-    Equal bits of different shingles only make lines meet that are then verified."""
-    mixed = sets.join(labelled, "id")
-    whole = mixed.select("id", F.explode("xs").alias("x"))
-    shared = whole.groupBy("x").agg(F.count("*").alias("df")).where("df > 1")
-    # shingles of one line only come first in the order of rarity and meet nothing: only their number counts
-    sizes = mixed.select("id", "root", F.size("xs").alias("n"))
-    common = whole.join(shared, "x").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("xs"))  # of one line
-    prefix = F.size("xs") - F.ceil(SIMILARITY * F.col("n") - F.lit(1e-9)).cast("int") + 1
-    rows = sizes.join(common, "id").where(prefix > 0).select("id", "root", "n", F.explode(F.slice("xs", 1, prefix.cast("int"))).alias("s"))
-    rows = written(rows.select("id", "root", "n", F.col("s.x").alias("x")), "op4-prefixes")
+    Any order of the shingles finds all pairs; the counters, which cover all these lines, only make it one
+    by which few lines meet."""
+    mixed = texts.join(labelled, "id")
+    shared = mixed.sparkSession.sparkContext.broadcast(_rarity(mixed))  # COUNTERS numbers
+    out = pa.schema([("id", pa.int64()), ("root", pa.int64()), ("n", pa.int32()), ("x", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "line"):
+            at, x, size = prefixes(column(batch, "line").to_pylist(), shared.value)
+            ids, roots = column(batch, "id").to_numpy()[at], column(batch, "root").to_numpy()[at]
+            yield batch_of(out, [ids, roots, size[at].astype(np.int32), x])
+
+    rows = written(mixed.select("id", "root", "line").mapInArrow(run, "id long, root long, n int, x long"), "op4-prefixes")
     several = rows.groupBy("x").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("x")
-    rows = rows.join(several, "x", "left_semi")
+    rows = rows.join(written(several, "op4-several"), "x", "left_semi")
     u, v = rows.alias("u"), rows.alias("v")
     near = (F.col("u.n") >= SIMILARITY * F.col("v.n") - 1e-9) & (F.col("v.n") >= SIMILARITY * F.col("u.n") - 1e-9)
     met = u.join(v, (F.col("u.x") == F.col("v.x")) & (F.col("u.id") > F.col("v.id")) & (F.col("u.root") != F.col("v.root")) & near)
@@ -231,8 +253,7 @@ def line_components(docs: DataFrame, known: DataFrame, key: str = "doc_id", text
     several = labelled.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
     mixed = written(labelled.join(several, "band", "left_semi").select("id", "root").distinct(), "op4-mixed")
     done = tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    sets = written(_sets(texts.join(mixed, "id", "left_semi")), "op4-sets")
-    rest = written(_prefix_pairs(mixed, sets).join(done, ["a", "b"], "left_anti"), "op4-rest")
+    rest = written(_prefix_pairs(mixed, texts).join(done, ["a", "b"], "left_anti"), "op4-rest")
     more = written(links.union(_verified(rest, texts)), "op4-links")
     return written(components(more, "op4-stars"), "op4-components")
 
