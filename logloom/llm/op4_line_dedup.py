@@ -11,10 +11,10 @@ component only the first line (smallest document key, then line number) stays.
 
 Equal lines are one line from the first aggregation on (partial, so a line in a
 third of all rows is one row for each task).  Every line is first compared with
-the line that is smallest in most of its bands; verified links make components.
+the head of most of its bands, the line that occurs most there; verified links make components.
 Lines of bands that still hold several components are then joined exactly, by prefixes: their
 shingles are ordered by rarity among these lines, and two lines of similarity 0.8 share one of
-the first ``n - ceil(0.8 n) + 1`` and differ in size by a quarter at most.  So a group
+the first ``n - ceil(0.8 n) + 1``, k of the first ``n - ceil(0.8 n) + k``, and differ in size by a quarter at most.  So a group
 of lines that are alike, but not enough, meets only where rare shingles are
 shared, not all with all.  Links and components stay distributed tables.
 
@@ -53,6 +53,8 @@ VALUES_PER_BAND = 4
 BROADCAST_ROWS = 500_000
 #: Counters of shingles by their hash; they order shingles by rarity and are sent to every task (8 MB).
 COUNTERS = 1 << 20
+#: Two lines of the wanted similarity share 1 + n // SPARE of their prefixes, which are so much longer (n: the smaller set).
+SPARE = 32
 #: Pairs, and characters of their lines, that a task compares at a time (one larger pair goes alone).
 PAIRS_AT_A_TIME = 512
 CHARACTERS_AT_A_TIME = 1 << 18
@@ -206,7 +208,7 @@ def prefixes(found: list[str], rarity: np.ndarray) -> tuple[np.ndarray, np.ndarr
     line, h = line[new], h[new]
     size = np.bincount(line, minlength=len(found))
     rank = np.arange(len(line)) - np.repeat(np.cumsum(size) - size, size)
-    taken = rank < (size - np.ceil(SIMILARITY * size - 1e-9).astype(np.int64) + 1)[line]
+    taken = rank < (size - np.ceil(SIMILARITY * size - 1e-9).astype(np.int64) + 1 + size // SPARE)[line]
     return line[taken], h[taken].view(np.int64), size
 
 
@@ -231,17 +233,22 @@ def _prefix_pairs(labelled: DataFrame, texts: DataFrame) -> DataFrame:
     u, v = rows.alias("u"), rows.alias("v")
     near = (F.col("u.n") >= SIMILARITY * F.col("v.n") - 1e-9) & (F.col("v.n") >= SIMILARITY * F.col("u.n") - 1e-9)
     met = u.join(v, (F.col("u.x") == F.col("v.x")) & (F.col("u.id") > F.col("v.id")) & (F.col("u.root") != F.col("v.root")) & near)
-    return met.select(F.col("u.id").alias("a"), F.col("v.id").alias("b")).distinct()
+    met = met.groupBy(F.col("u.id").alias("a"), F.col("v.id").alias("b")).agg(F.count("*").alias("met"), F.min(F.least("u.n", "v.n")).alias("n"))
+    return met.where(f"met >= 1 + n div {SPARE}").select("a", "b")
 
 
 def line_components(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, root) of the lines that are linked to another line."""
-    banded = known.select("id", F.explode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("band"))
-    # no band is gathered: its least id is aggregated first, then joined to its rows
-    heads = written(banded.groupBy("band").agg(F.min("id").alias("c"), F.max("id").alias("z")).where("c <> z").select("band", "c"), "op4-heads")
-    shared = written(banded.join(heads, "band"), "op4-shared")
-
-    # every line with the one that is the smallest in most of its bands
+    modulus = F.lit(str(1 << 64)).cast("decimal(20,0)")  # occurrences, then the smaller id, as one number that hash aggregation can keep
+    rank = (F.col("n").cast("decimal(17,0)") * modulus - F.col("id").cast("decimal(20,0)")).cast("decimal(38,0)")
+    banded = known.select("id", rank.alias("rank"), F.explode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("band"))
+    # no band is gathered: its head, the line that occurs most (near copies are mostly nearer to it than to
+    # each other), is aggregated first, then joined to its rows
+    heads = banded.groupBy("band").agg(F.max("rank").alias("c"), F.count("*").alias("m")).where("m > 1")
+    heads = written(heads.select("band", F.pmod(-F.col("c"), modulus).cast("long").alias("c")), "op4-heads")
+    shared = written(banded.drop("rank").join(heads, "band"), "op4-shared")
+
+    # every line with the one that is the head of most of its bands
     tested = shared.where("id <> c").groupBy(F.col("id").alias("a")).agg(F.mode("c", True).alias("b"))  # of at most BANDS values
     tested = written(tested, "op4-pairs")
     texts = _texts(shared.select("id").distinct(), known, docs, key, text)
