@@ -153,7 +153,7 @@ def match_pattern(tok) -> Column:
 
 def placeholders_to_wildcards(col) -> Column:
     """``{name}`` -> ``<*>``."""
-    return F.regexp_replace(_c(col), r"\{(\w+)\}", WILDCARD)
+    return _replaced(col, r"\{(\w+)\}", "{")
 
 
 # Java repeats groups by recursion, which ends the JVM on very long runs; possessive repeats need
@@ -178,11 +178,25 @@ def safe_masks() -> list[str]:
     return out
 
 
+def _replaced(col, pattern: str, needle: str, whole: str = WILDCARD, regex: bool = False) -> Column:
+    """``regexp_replace(col, pattern, whole)``, tried only on texts that hold ``needle``, without which the pattern
+    can't match.  The text is a lambda variable, so that it is computed once."""
+    def step(x):
+        holds = x.rlike(needle) if regex else x.contains(needle)
+        return F.when(holds, F.regexp_replace(x, pattern, whole)).otherwise(x)
+    return F.get(F.transform(F.array(_c(col)), step), F.lit(0))
+
+
+#: What a text must hold for each of the variable masks to match: (needle, whether it is a regex).
+_MASK_NEEDLES = [(":", False), (".", False), ("[0-9a-f]{6}", True), ("[0-9A-F]{4}", True), ("0x", False), ("[0-9]", True),
+                 ("executed cmd ", False)]
+
+
 def mask_variables(col) -> Column:
     """The seven variable masks, in order."""
     out = _c(col)
-    for pat in safe_masks():
-        out = F.regexp_replace(out, pat, WILDCARD)
+    for pat, (needle, regex) in zip(safe_masks(), _MASK_NEEDLES):
+        out = _replaced(out, pat, needle, regex=regex)
     return out
 
 
@@ -204,17 +218,17 @@ def correct_template(col) -> Column:
     """Parser-profile correction (DS, DG, WV, DV, CV, then separator and
     quote collapsing).  Apply exactly once: the chain is not idempotent."""
     t = _collapse_spaces(_c(col))
-    t = F.regexp_replace(t, _DG, WILDCARD)
-    t = F.regexp_replace(t, _WV, WILDCARD)
-    t = F.regexp_replace(t, _DV, WILDCARD)
-    t = F.regexp_replace(t, _CV, WILDCARD)
-    t = F.regexp_replace(t, r"(?<= )#<\*>#(?= )", WILDCARD)
-    t = F.regexp_replace(t, r"(?<= )#<\*>(?= )", WILDCARD)
+    t = _replaced(t, _DG, "[0-9]", regex=True)
+    t = _replaced(t, _WV, WILDCARD)
+    t = _replaced(t, _DV, "<*>.<*>")
+    t = _replaced(t, _CV, "<*><*>")
+    t = _replaced(t, r"(?<= )#<\*>#(?= )", "#<*>#")
+    t = _replaced(t, r"(?<= )#<\*>(?= )", "#<*>")
     for sep in [":", "#", "/", "@", r"\."]:
-        t = F.regexp_replace(t, r"<\*>(?:" + sep + r"<\*>)+", WILDCARD)
-    t = F.regexp_replace(t, r"""(?<= )"<\*>"(?= )""", WILDCARD)
-    t = F.regexp_replace(t, r"""(?<= )'<\*>'(?= )""", WILDCARD)
-    return F.regexp_replace(t, _CV, WILDCARD)
+        t = _replaced(t, r"<\*>(?:" + sep + r"<\*>)+", "<*>" + sep[-1] + "<*>")
+    t = _replaced(t, r"""(?<= )"<\*>"(?= )""", '"<*>"')
+    t = _replaced(t, r"""(?<= )'<\*>'(?= )""", "'<*>'")
+    return _replaced(t, _CV, "<*><*>")
 
 
 def correct_oracle_template(col, user_strings: list[str] | None = None) -> Column:
@@ -245,8 +259,8 @@ def clean_template(col) -> Column:
 def propose_template(col) -> Column:
     """The template a message gets without a model; NULL when the
     result is too general (B10) or has no tokens (B11)."""
-    t = clean_template(col)
-    return F.when(is_too_general(t), F.lit(None).cast("string")).otherwise(t)
+    # a lambda variable: the clean-up is computed once, not once for the test and once for the result
+    return F.get(F.transform(F.array(clean_template(col)), lambda t: F.when(is_too_general(t), F.lit(None).cast("string")).otherwise(t)), F.lit(0))
 
 
 # ---------------------------------------------------------------------------

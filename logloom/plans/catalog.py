@@ -15,7 +15,7 @@ from logloom.functions import text as T
 from logloom.operators import matching, metrics
 from logloom.operators.discovery import parse
 from logloom.sources import formats
-from logloom.sources.fixtures import EVENTS_FORMAT, RENDERED_SQL, rendered_events, table
+from logloom.sources.fixtures import EVENTS_FORMAT, RENDERED_SQL, rendered_events, spread, table
 
 R = f"r AS ({RENDERED_SQL})"
 
@@ -101,7 +101,7 @@ SELECT LineId, array_to_string(m, ' ') AS msg_tokens, len(m) AS msg_n, array_to_
 
 def clean_template(spark, sf_dir):
     """G5 (masks), G8 (full clean-up) and B10 on every message."""
-    ev = rendered_events(spark, sf_dir)
+    ev = spread(rendered_events(spark, sf_dir).select("LineId", "Content"))
     return ev.select("LineId", T.mask_variables(F.col("Content")).alias("masked"),
                      T.propose_template(F.col("Content")).alias("template"))
 

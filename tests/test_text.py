@@ -175,3 +175,37 @@ def test_masks_equal_the_plain_patterns_on_short_and_long_runs(spark):
         assert got == want, x
     long = spark.createDataFrame([("a " + "0123" * n + " b",) for n in (5000, 50000)], "x string").select(T.mask_variables("x")).collect()
     assert [r[0] for r in long] == ["a <*> b"] * 2
+
+
+def test_clean_up_is_computed_once_and_only_where_it_can_match(spark):
+    """G8 holds its patterns once; the tests before the patterns change no result."""
+    import random
+    from logloom.functions import text
+    one = spark.createDataFrame([("x",)], "s string")
+    plan = one.select(text.propose_template("s").alias("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?<=executed cmd )") == 1
+    rng = random.Random(5)
+    bits = ["0x1f", "DEAD ", "abcdef ", "12", ":", ".", "#", "/", "@", "<*>", " ", '"', "'", "executed cmd ", "{a}", "0a:1b:2c:3d", "10.0.0.1", "-3", "x"]
+    df = spark.createDataFrame([("".join(rng.choice(bits) for _ in range(rng.randint(0, 12))),) for _ in range(1500)] + [(None,)], "s string")
+
+    def plain(c):
+        t = F.regexp_replace(c, r"\{(\w+)\}", "<*>")
+        for p in text.safe_masks():
+            t = F.regexp_replace(t, p, "<*>")
+        t = text._collapse_spaces(t)
+        for p in [text._DG, text._WV, text._DV, text._CV, r"(?<= )#<\*>#(?= )", r"(?<= )#<\*>(?= )"]:
+            t = F.regexp_replace(t, p, "<*>")
+        for p in [*[r"<\*>(?:" + x + r"<\*>)+" for x in (":", "#", "/", "@", r"\.")], r"""(?<= )"<\*>"(?= )""", r"""(?<= )'<\*>'(?= )""", text._CV]:
+            t = F.regexp_replace(t, p, "<*>")
+        return t
+    bad = df.where(~text.clean_template("s").eqNullSafe(plain(F.col("s"))))
+    assert bad.count() == 0
+
+
+def test_long_runs_are_spread_over_the_tasks(spark, tmp_path):
+    from logloom.plans.varied import mask_long_runs
+    spark.range(100).selectExpr("id AS o_orderkey").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    from pyspark.sql.functions import spark_partition_id
+    out = mask_long_runs(spark, str(tmp_path))
+    assert out.where("masked = 'dump <*> end'").count() == 100
+    assert out.select(spark_partition_id().alias("p")).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
