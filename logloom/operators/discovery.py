@@ -26,6 +26,9 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
+from functools import reduce
+from itertools import combinations
+from math import comb
 
 import pandas as pd
 from pyarrow import fs as pafs
@@ -354,26 +357,51 @@ def parse(lines: DataFrame, templates: DataFrame | None = None, proposer: Propos
     return out.join(ids, [*G, "EventTemplate"], "left"), T
 
 
-def merge_similar(templates: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """P5: merge near-duplicate templates (off by default, as in the reference).
-
-    Two templates are near duplicates when they have the same number of
-    words, the same first word, and word-LCS similarity ``2*LCS/(m+n)`` above
-    ``threshold`` (G11).  Candidates come from an exact prefix filter rather
-    than all pairs of a block: LCS >= t implies the two word multisets share
-    at least t elements (an element is a word and its occurrence number), so they share one
-    of their first ``n - t + 1`` elements in any fixed order; the order is by rarity
-    over all templates, so the elements that meet are rare.  The bit masks of the LCS
-    are made once for each template.  Every
-    template joins its most similar older template (ties: older id); an older
-    template absorbs all that join it, position by position (words that
-    differ become ``<*>``, G25), and keeps its id.
-
-    Returns ``template_id, template, merged_from`` (ids absorbed)."""
+#: The most ways of leaving words out of a template for which ``merge_similar`` goes by the shortened templates.
+VARIANTS = 256
+
+
+def _most_deleted(n: int, threshold: float) -> int:
+    """The most words that a template of n words may lack of a near duplicate (-1: it has none)."""
+    return max((d for d in range(n) if (n - d) / n > threshold), default=-1)
+
+
+def _by_deletion(t: DataFrame, sizes: list[int], threshold: float) -> DataFrame:
+    """Most similar older templates ``new_id, old_id, sim`` of short templates (template_id, w, nw, w0).
+
+    Templates of n words share n - d of them in order exactly when leaving out d words of each can give the same
+    words.  So for d = 0, 1, .. each template's shortened forms (as 128-bit hashes) meet the oldest id that has them;
+    a template that finds an older one needs no larger d, and its own forms stay for the others."""
+    found, open_ = [], t
+    for d in range(max(_most_deleted(n, threshold) for n in sizes) + 1):
+        def forms(rows):
+            parts = []
+            for n in [n for n in sizes if _most_deleted(n, threshold) >= d]:
+                keeps = F.array(*[F.array(*[F.lit(i) for i in keep]).cast("array<int>") for keep in combinations(range(n), n - d)])
+                parts.append(rows.filter(F.col("nw") == n).select("template_id", "nw", "w0", "w", F.explode(keeps).alias("keep")))
+            f = reduce(DataFrame.unionByName, parts)
+            form = F.array_join(F.transform("keep", lambda i: F.get("w", i)), " ")
+            return f.select("template_id", "nw", "w0", F.xxhash64(form).alias("h1"), F.xxhash64(F.lit("second"), form).alias("h2"))
+        key = ["nw", "w0", "h1", "h2"]
+        oldest = forms(t).groupBy(*key).agg(F.min("template_id").alias("old_id"), F.max("template_id").alias("_last"))
+        oldest = oldest.filter(F.col("old_id") < F.col("_last")).drop("_last")  # forms of one template alone find nothing
+        met = forms(open_).join(oldest, key).filter(F.col("old_id") < F.col("template_id"))
+        near = cut_lineage(met.groupBy(F.col("template_id").alias("new_id"), "nw").agg(F.min("old_id").alias("old_id")), "merge-near")
+        found.append(near.select("new_id", "old_id", ((F.col("nw") - d) / F.col("nw")).alias("sim")))
+        open_ = open_.join(near.select(F.col("new_id").alias("template_id"), "nw"), ["template_id", "nw"], "left_anti")
+    schema = t.schema["template_id"].dataType.simpleString()
+    return reduce(DataFrame.unionByName, found) if found else t.sparkSession.createDataFrame([], f"new_id {schema}, old_id {schema}, sim double")
+
+
+def _by_prefix(t: DataFrame, threshold: float) -> DataFrame:
+    """Near duplicates ``new_id, old_id, sim`` of templates (template_id, w, nw, w0) by an exact prefix filter.
+
+    LCS >= t implies the two word multisets share at least t elements (an element is a word and its occurrence
+    number), so they share one of their first ``n - t + 1`` elements in any fixed order; the order is by rarity over
+    all these templates, so the elements that meet are rare.  The bit masks of the LCS are made once for each
+    template."""
     from logloom.functions.distance import lcs_masks, lcs_similarity
     from logloom.session import ranked
-    t = templates.select("template_id", "template").withColumn("w", F.split(F.col("template"), " "))
-    t = cut_lineage(t.withColumn("nw", F.size("w")).withColumn("w0", F.col("w")[0]), "merge-templates")
     words_of = t.select("template_id", "nw", "w0", F.explode("w").alias("word")).groupBy("template_id", "nw", "w0", "word").agg(F.count("*").alias("c"))
     occ = words_of.select("template_id", "nw", "w0", F.explode(F.transform(F.sequence(F.lit(1).cast("long"), "c"),
                           lambda i: F.concat_ws("\x1f", "word", i.cast("string")))).alias("elem"))
@@ -390,7 +418,30 @@ def merge_similar(templates: DataFrame, threshold: float = 0.8) -> DataFrame:
     tw = cut_lineage(t.select("template_id", "w", lcs_masks("w").alias("masks")), "merge-masks")
     cand = (cand.join(tw.select(F.col("template_id").alias("old_id"), F.col("w").alias("old_w")), "old_id")
             .join(tw.withColumnsRenamed({"template_id": "new_id", "w": "new_w"}), "new_id"))
-    cand = cand.withColumn("sim", lcs_similarity("old_w", "new_w", "masks")).filter(F.col("sim") > threshold)
+    return cand.withColumn("sim", lcs_similarity("old_w", "new_w", "masks")).filter(F.col("sim") > threshold).select("new_id", "old_id", "sim")
+
+
+def merge_similar(templates: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """P5: merge near-duplicate templates (off by default, as in the reference).
+
+    Two templates are near duplicates when they have the same number of
+    words, the same first word, and word-LCS similarity ``2*LCS/(m+n)`` above
+    ``threshold`` (G11).  No pairs of a block are made where at most ``VARIANTS`` ways
+    lead to the fewest words that a pair must share (``_by_deletion``); longer templates
+    meet in rare words (``_by_prefix``).  Every
+    template joins its most similar older template (ties: older id); an older
+    template absorbs all that join it, position by position (words that
+    differ become ``<*>``, G25), and keeps its id.
+
+    Returns ``template_id, template, merged_from`` (ids absorbed)."""
+    t = templates.select("template_id", "template").withColumn("w", F.split(F.col("template"), " "))
+    t = cut_lineage(t.withColumn("nw", F.size("w")).withColumn("w0", F.col("w")[0]), "merge-templates")
+    sizes = sorted(r["nw"] for r in t.filter(F.col("w").isNotNull()).select("nw").distinct().collect())  # word counts
+    short = [n for n in sizes if sum(comb(n, d) for d in range(_most_deleted(n, threshold) + 1)) <= VARIANTS]
+    found = [_by_deletion(t.filter(F.col("nw").isin(short)), short, threshold)] if short else []
+    if len(short) < len(sizes) or not short:
+        found.append(_by_prefix(t.filter(~F.col("nw").isin(short)), threshold))
+    cand = reduce(DataFrame.unionByName, found)
     best = cut_lineage(cand.groupBy("new_id").agg(F.max_by("old_id", F.struct("sim", -F.col("old_id"))).alias("old_id")), "merge-best")
     members = best.join(t.select(F.col("template_id").alias("new_id"), "w"), "new_id")
     # of the words at one place only whether they are all the same matters: no group is gathered

@@ -217,3 +217,29 @@ def test_damaged_old_state_does_not_empty_the_state(spark, tmp_path):
     import pytest
     with pytest.raises(Exception):
         _latest_state(spark, root, 1).collect()
+
+
+def test_merge_of_templates_that_share_their_words(spark, monkeypatch):
+    """Few words in many combinations: every word is frequent, so no pairs may be made from shared words."""
+    import random
+    from logloom.operators import discovery
+    rng = random.Random(3)
+    rows = ["a " + " ".join(rng.choice("bcde") for _ in range(n)) for n in (0, 1, 2, 5, 5, 7, 9, 11) for _ in range(25)]
+    long = ["a " + " ".join(rng.choice("bc") for _ in range(29)) for _ in range(3)]
+    long += [t[:-1] + "z" for t in long]
+    names, cut = [], discovery.cut_lineage
+    monkeypatch.setattr(discovery, "cut_lineage", lambda df, name="cut": names.append(name) or cut(df, name))
+    for some, by_prefix in ((rows, False), (rows + long, True)):
+        words = {i: t.split(" ") for i, t in enumerate(some)}
+        exp = {}
+        for b in words:
+            cands = [(_lcs(words[a], words[b]) / len(words[b]), -a) for a in words if a < b and len(words[a]) == len(words[b])]
+            cands = [c for c in cands if c[0] > 0.8]
+            if cands:
+                exp.setdefault(-max(cands)[1], []).append(b)
+        names.clear()
+        got = {r["template_id"]: list(r["merged_from"]) for r in discovery.merge_similar(
+            spark.createDataFrame(list(enumerate(some)), "template_id long, template string")).collect()}
+        assert ("merge-prefixes" in names) == by_prefix
+        gone = {b for ms in exp.values() for b in ms}
+        assert got == {a: exp.get(a, []) for a in words if a not in gone}
