@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.operators import matching
-from logloom.sources.fixtures import VARIED_SQL, table, varied_events
+from logloom.sources.fixtures import VARIED_SQL, spread, table, varied_events
 
 V = f"v AS ({VARIED_SQL})"
 TOKEN_RE = r"""[^\s!"#$%&''()+,\-/:;=?@.\[\\\]^_`{|}~]+|[=|()]"""
@@ -166,7 +166,7 @@ QUERIES["lcs_distances"] = (lcs_distances, SQL_LCS_DISTANCES)
 def mask_long_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order keys repeated into unbroken runs of four-digit groups, 4 to 400 of them."""
     from logloom.functions.text import mask_variables
-    runs = table(spark, sf_dir, "orders", ["o_orderkey"]).selectExpr(
+    runs = spread(table(spark, sf_dir, "orders", ["o_orderkey"])).selectExpr(
         "o_orderkey", "'dump ' || repeat(lpad(cast(o_orderkey % 10000 as string), 4, 'A'), cast(4 + o_orderkey % 397 as int)) || ' end' AS line")
     return runs.select("o_orderkey", mask_variables("line").alias("masked"))
 
@@ -214,13 +214,64 @@ QUERIES["score_stored_apart"] = (score_stored_apart, SQL_SCORE_STORED_APART)
 # B1 over many files
 # ---------------------------------------------------------------------------
 
+FILE_LINES = 10
+#: Lines whose files lie in one folder, written by one task.
+FOLDER_LINES = 500 * FILE_LINES
+
+
+def _write_files(path: str):
+    """A function for ``mapInPandas`` over (place, value), sorted by place in each task: every ``FILE_LINES`` places make
+    a file, whole or not there.  The result is a row a file; a task that runs again writes the same files."""
+    import uuid
+
+    import pandas as pd
+    from pyarrow import fs as pafs
+    lines, files = FILE_LINES, FOLDER_LINES // FILE_LINES
+
+    def store(fs, base, number, part):
+        folder = f"{base}/folder={number // files:012d}"
+        fs.create_dir(folder, recursive=True)
+        at = f"{folder}/.{number:014d}-{uuid.uuid4().hex}"
+        with fs.open_output_stream(at) as f:
+            f.write("".join(("" if v is None else v) + "\n" for v in part).encode())
+        fs.move(at, f"{folder}/{number:014d}.txt")
+        return number
+
+    uri = path if "://" in path or path.startswith("file:") else "file://" + path
+    fs, base = pafs.FileSystem.from_uri(uri)
+    fs.create_dir(base, recursive=True)  # a log without lines is an empty folder
+
+    def fn(it):
+        fs, base = pafs.FileSystem.from_uri(uri)
+        number, part = None, []
+        for pdf in it:
+            done = []
+            for n, value in zip((pdf["place"] // lines).tolist(), pdf["value"].tolist()):
+                if n != number and part:
+                    done.append(store(fs, base, number, part))
+                    part = []
+                number = n
+                part.append(value)
+            yield pd.DataFrame({"file": done})
+        if part:
+            yield pd.DataFrame({"file": [store(fs, base, number, part)]})
+    return fn
+
+
 def read_many_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A2 + B1: the varied log written as one text file for every ten lines, read back with consecutive line numbers."""
-    from logloom.session import scratch_path
+    """A2 + B1: the varied log written as one text file for every ten lines, read back with consecutive line numbers.
+
+    The lines get their places by ranges, and a task writes the files of whole folders of ``FOLDER_LINES`` lines;
+    folders and files have their lines' order."""
+    from logloom.session import ranked, scratch_path
     from logloom.sources import formats
     path = scratch_path(spark, "manyfiles")
     ev = varied_events(spark, sf_dir).select("LineId", F.concat(F.lit("app: "), "Content").alias("value"))
-    ev.repartitionByRange(max(1, ev.count() // 10), "LineId").sortWithinPartitions("LineId").select("value").write.text(path)
+    placed = ranked(ev, ["LineId"], "place", 0)
+    folder = F.floor(F.col("place") / FOLDER_LINES)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = placed.repartition(tasks, folder).sortWithinPartitions("place").select("place", "value")
+    placed.mapInPandas(_write_files(path), "file long").write.format("noop").mode("overwrite").save()
     return formats.read_raw_logs(spark, path, "<Component>: <Content>").select("LineId", "Content")
 
 

@@ -59,6 +59,9 @@ FIELD = re.compile(r"<([^<>]+)>")
 CAPTURE = re.compile(r"(?<!\\)(?:\\\\)*\((?!\?)")
 # parts the captured headers in a replacement, and marks a line that fits
 _PART = "\x00\x1f"
+_SPACES = " \t\n\x0b\f\r"
+# the format "<Content>": the line itself
+_WHOLE_LINE = "(?s)^(.*?)$"
 
 
 def compile_format(log_format: str) -> tuple[list[str], str, list[int]]:
@@ -87,14 +90,27 @@ def split_headers(lines: DataFrame, log_format: str, line_col: str = "value",
     load report, A4).
     """
     headers, regex, groups = compile_format(log_format)
-    stripped = F.regexp_replace(F.col(line_col), r"^\s+|\s+$", "")
-    taken = F.regexp_replace(stripped, regex, _PART + _PART.join(f"${g}" for g in groups))
-    df = lines.withColumn("_parts", F.split(taken, _PART))
-    fits = F.coalesce(F.col("_parts")[0] == "", F.lit(False)) & (F.size("_parts") == len(headers) + 1)
-    cols = [F.when(fits, F.get("_parts", F.lit(k + 1))).otherwise(F.lit("")).alias(h) for k, h in enumerate(headers)]
+    parts = _PART + _PART.join(f"${g}" for g in groups)
+
+    def taken(x):
+        # "$" stands before a last line end that is no white space, so such a line may have more to strip
+        tight = F.trim(x, F.lit(_SPACES))
+        tight = F.when(x.rlike("[\u0085\u2028\u2029]$"), F.regexp_replace(x, r"^\s+|\s+$", "")).otherwise(tight)
+        return F.split(F.concat(F.lit(_PART), tight) if regex == _WHOLE_LINE else F.regexp_replace(tight, regex, parts), _PART)
+
+    def fits(p):
+        return F.coalesce(F.get(p, F.lit(0)) == "", F.lit(False)) & (F.size(p) == len(headers) + 1)
+
+    # exploded (one row a line, none if it does not fit): the regex is not repeated in the filter and every header
+    found = F.transform(F.array(F.col(line_col)), taken)
+    if not keep_unmatched:
+        found = F.filter(found, fits)
+    df = lines.select(*lines.columns, F.explode(found).alias("_parts"))
+    cols = [F.get("_parts", F.lit(k + 1)) for k in range(len(headers))]
     if keep_unmatched:
-        return df.select(*lines.columns, fits.alias("matched"), *cols)
-    return df.filter(fits).select(*lines.columns, *cols)
+        cols = [F.when(fits(F.col("_parts")), c).otherwise(F.lit("")) for c in cols]
+    out = [c.alias(h) for c, h in zip(cols, headers)]
+    return df.select(*lines.columns, *([fits(F.col("_parts")).alias("matched")] if keep_unmatched else []), *out)
 
 
 #: Split offsets up to this many bytes are broadcast to the lines.
@@ -127,7 +143,8 @@ def consecutive_ids(df: DataFrame, name: str = "LineId", order_cols=None) -> Dat
     offset by two-level prefix sums (``split_offsets``) and is joined back;
     every row gets offset + position."""
     from logloom.session import cut_lineage
-    tagged = df.withColumn("_mid", F.monotonically_increasing_id())
+    # written once: the input is read once, and positions can't differ between the counts and the lines
+    tagged = cut_lineage(df.withColumn("_mid", F.monotonically_increasing_id()), "placed-lines")
     keys = list(order_cols) if order_cols else ["_pid"]
     if not order_cols:
         tagged = tagged.withColumn("_pid", F.shiftright("_mid", 33))
@@ -153,7 +170,7 @@ def formalize_messages(lines: DataFrame, log_format: str, line_col: str = "value
     """A3: skip blank lines, replace runs of non-ASCII characters by
     ``<N/ASCII>``, split the headers; other columns (the source line number)
     are kept, so line numbers keep their gaps."""
-    kept = lines.filter(F.regexp_replace(F.col(line_col), r"\s", "") != "")
+    kept = lines.filter(F.col(line_col).rlike(r"\S"))
     cleaned = kept.withColumn(line_col, F.regexp_replace(F.col(line_col), r"[^\x00-\x7F]+", "<N/ASCII>"))
     return split_headers(cleaned, log_format, line_col)
 

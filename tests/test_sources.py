@@ -83,3 +83,42 @@ def test_first_share_and_mean_by_shot(spark):
     assert sampling.first_share(df, 0.2).count() == 2
     st = spark.createDataFrame([("a", 8, 1.0), ("b", 8, 0.5)], "dataset string, shot int, coverage double")
     assert sampling.mean_by_shot(st).first()["coverage"] == 0.75
+
+
+def test_many_files_of_ten_lines_written_by_few_tasks(spark, tmp_path, monkeypatch):
+    """A file for every ten lines needs no task for every file; folders and files keep the lines' order."""
+    import glob
+    from logloom import session
+    from logloom.plans import varied
+    monkeypatch.setattr(varied, "FOLDER_LINES", 400)
+    monkeypatch.setattr(session, "scratch_path", lambda spark, name: str(tmp_path / name))
+    n = 2345
+    spark.range(n).selectExpr("(id * 7919) % 2345 AS event_id", "id AS user_id", "'{\"k\": 3}' AS props").write.parquet(str(tmp_path / "events.parquet"))
+    got = varied.read_many_files(spark, str(tmp_path)).collect()
+    exp = {r.LineId: r.Content for r in varied.varied_events(spark, str(tmp_path)).collect()}
+    assert len(got) == n and {r.LineId: r.Content for r in got} == exp
+    files = glob.glob(str(tmp_path / "manyfiles" / "**" / "*.txt"), recursive=True)
+    sizes = [sum(1 for _ in open(f)) for f in files]
+    assert sum(sizes) == n and max(sizes) == 10 and len(files) <= n // 10 + 6
+    assert len({f.rsplit("/", 2)[1] for f in files}) == 6
+
+
+def test_lines_are_split_once(spark):
+    """The format's regex stands once in the plan; lines that end oddly are stripped as the regexes strip them."""
+    texts = ["  [t] [x] hello  ", "[t] [x]", "", " ", None, "[t] [x] a \u0085", "[t] [x] a  \u2028", "\u0085", "[t] [x] \u00e9\x1c ", "no fit",
+             "\t\x0b\f\r[t] [x] b\r", "[t] [x] a\x00\x1fb"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, value string")
+    for fmt in (formats.lookup_format("Apache"), "<Content>"):
+        got = formats.split_headers(df, fmt)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("lazy") == 0 and plan.count("trim") <= 1
+        headers, regex, groups = formats.compile_format(fmt)
+        part = formats._PART
+        taken = F.regexp_replace(F.regexp_replace("value", r"^\s+|\s+$", ""), regex, part + part.join(f"${g}" for g in groups))
+        exp = {}
+        for r in df.select("i", F.split(taken, part).alias("p")).collect():
+            if r.p is not None and r.p[0] == "" and len(r.p) == len(headers) + 1:
+                exp[r.i] = tuple(r.p[1:])
+        assert {r.i: tuple(r[h] for h in headers) for r in got.collect()} == exp
+        every = {r.i: (r.matched, tuple(r[h] for h in headers)) for r in formats.split_headers(df, fmt, keep_unmatched=True).collect()}
+        assert every == {i: (i in exp, exp.get(i, ("",) * len(headers))) for i in range(len(texts))}
