@@ -23,6 +23,8 @@ smaller template id.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,18 +72,29 @@ def _size_checked(df: DataFrame, limit: int | None = None) -> bool:
     return row is not None and (row["b"] or 0) <= limit
 
 
-def corpus_anchors(tp: DataFrame, sigs: DataFrame) -> DataFrame:
+# Of the tokens that are no template's anchor, this many frequent ones never leave their messages' tasks.
+COMMON_TOKENS = 100_000
+# Templates whose anchor more messages hold than this meet them without a shuffle, if they are few.
+HOT_ANCHOR, HOT_TEMPLATES = 100_000, 1_000
+
+
+def token_counts(sigs: DataFrame) -> DataFrame:
+    """Signatures that hold each token (map-side first): tok, n."""
+    return sigs.select(F.explode(F.array_distinct(sig_tokens("sig"))).alias("tok")).groupBy("tok").agg(F.count("*").alias("n"))
+
+
+def corpus_anchors(tp: DataFrame, sigs: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """The inverted index's keys: each prepared template's ``anchor`` is its corpus-rarest static
     token (the fewest signatures hold it; ties: the smaller token).
 
-    Only tokens of the templates are counted, map-side first; a token that no
-    signature holds is rarest of all and gives no candidate."""
+    A token that no signature holds is rarest of all and gives no candidate.  ``counts``: ``token_counts(sigs)``, if
+    it was made before.  The column ``held`` is the number of signatures that hold the anchor."""
     owned = tp.select("template_id", "t_sig", F.explode(F.array_distinct(F.filter("t_tokens", lambda x: x != WILDCARD))).alias("tok"))
     owned = cut_lineage(owned, "template-tokens")
-    seen = sigs.select(F.explode(F.array_distinct(sig_tokens("sig"))).alias("tok")).join(owned.select("tok").distinct(), "tok", "left_semi")
-    counts = seen.groupBy("tok").agg(F.count("*").alias("n"))
-    rarest = owned.join(counts, "tok", "left").groupBy("template_id", "t_sig").agg(
-        F.min_by("tok", F.struct(F.coalesce("n", F.lit(0)), "tok")).alias("anchor"))
+    counts = token_counts(sigs) if counts is None else counts
+    rank = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "tok")
+    rarest = owned.join(counts, "tok", "left").groupBy("template_id", "t_sig").agg(F.min(rank).alias("r"))
+    rarest = rarest.select("template_id", "t_sig", F.col("r.tok").alias("anchor"), F.col("r.n").alias("held"))
     return tp.drop("anchor").join(rarest, ["template_id", "t_sig"], "left")
 
 
@@ -94,27 +107,42 @@ def all_matches(sigs: DataFrame, tp: DataFrame, carry=(), broadcast: bool | None
     by_key = (F.col("depth") > 0) & (F.col("crowd") <= CROWDED)
     keyed = tp.filter(by_key)
     loose = tp.filter(F.coalesce(~by_key, F.lit(True)))
-    has_loose = not loose.isEmpty()
-    if has_loose:
-        loose = corpus_anchors(loose, sigs)
+    depths = sorted(r["depth"] for r in keyed.select("depth").distinct().collect())
     if broadcast is None:
         broadcast = _size_checked(tp)
-    if broadcast:
-        keyed, loose = F.broadcast(keyed), F.broadcast(loose)
-
     keys = sigs.select("sig").filter(F.col("sig") != "")
-    keys = keys.withColumn("m_tokens", sig_tokens("sig")).withColumn("m_size", F.size("m_tokens"))
-    cols = ["sig", "m_size", "template_id", "template", "n_static", "n_wild", "wild_flags", "pattern", *carry]
-    a = (keys.withColumn("m_depth", F.explode(F.sequence(F.lit(1), F.least("m_size", F.lit(BLOCK_DEPTH)))))
-         .withColumn("m_key", F.array_join(F.slice("m_tokens", 1, F.col("m_depth")), SEP)))
-    cand = a.join(keyed, (a["m_depth"] == keyed["depth"]) & (a["m_key"] == keyed["block_key"]), "inner").select(*cols)
-    if has_loose:
-        b = keys.select("sig", "m_size", "m_tokens", F.explode(F.array_distinct("m_tokens")).alias("m_tok"))
-        jb = b.join(loose, b["m_tok"] == loose["anchor"], "inner")
-        jb = jb.filter(F.size(F.array_except(F.filter("t_tokens", lambda x: x != WILDCARD), F.col("m_tokens"))) == 0)
-        cand = cand.unionByName(jb.select(*cols))
+    cols = ["sig", "template_id", "template", "t_tokens", "n_static", "n_wild", "wild_flags", "pattern", *carry]
+    cand = []
+    if depths:
+        size = F.size("m_tokens")
+        a = keys.withColumn("m_tokens", sig_tokens("sig")).select("sig", F.explode(F.filter(F.array(*[
+            F.when(size >= d, F.struct(F.lit(d).alias("d"), F.array_join(F.slice("m_tokens", 1, d), SEP).alias("k"))) for d in depths]),
+            lambda e: e.isNotNull())).alias("m"))
+        a = a.select("sig", F.col("m.d").alias("m_depth"), F.col("m.k").alias("m_key"))
+        side = F.broadcast(keyed) if broadcast else keyed
+        cand.append(a.join(side, (a["m_depth"] == side["depth"]) & (a["m_key"] == side["block_key"]), "inner").select(*cols))
+    if not loose.isEmpty():
+        counts = cut_lineage(token_counts(keys), "token-counts")
+        loose = cut_lineage(corpus_anchors(loose, keys, counts), "anchored")
+        b = keys.select("sig", F.explode(F.array_distinct(sig_tokens("sig"))).alias("m_tok"))
+        hot = loose.filter(F.col("held") > HOT_ANCHOR)
+        sides = [F.broadcast(loose)]
+        if not broadcast:
+            few_hot = hot.limit(HOT_TEMPLATES + 1).count() <= HOT_TEMPLATES
+            rest = loose.filter(F.coalesce(F.col("held") <= HOT_ANCHOR, F.lit(True))) if few_hot else loose
+            common = counts.join(rest.select(F.col("anchor").alias("tok")), "tok", "left_anti").orderBy(F.col("n").desc()).limit(COMMON_TOKENS)
+            common = cut_lineage(common.select(F.col("tok").alias("m_tok")), "common-tokens")
+            sides = [rest, F.broadcast(hot)] if few_hot else [rest]
+        for i, side in enumerate(sides):
+            left = b if broadcast or i else b.join(F.broadcast(common), "m_tok", "left_anti")
+            jb = left.join(side, left["m_tok"] == side["anchor"], "inner")
+            jb = jb.filter(F.size(F.array_except(F.filter("t_tokens", lambda x: x != WILDCARD), sig_tokens("sig"))) == 0)
+            cand.append(jb.select(*cols))
+    if not cand:
+        return keys.join(tp.limit(0), F.lit(False)).select(*[c for c in cols if c != "t_tokens"])
+    cand = reduce(DataFrame.unionByName, cand).withColumn("m_size", F.size(sig_tokens("sig")))
     fits = (F.col("m_size") >= F.col("n_static")) & F.rlike(F.col("sig"), F.col("pattern"))
-    return cand.filter(fits).drop("m_size")
+    return cand.filter(fits).drop("m_size", "t_tokens")
 
 
 def best_match(sigs: DataFrame, templates: DataFrame, prepared: bool = False,
@@ -129,8 +157,9 @@ def best_match(sigs: DataFrame, templates: DataFrame, prepared: bool = False,
     cand = all_matches(sigs, tp, broadcast=broadcast)
     rank = F.struct((-F.col("n_static")).alias("a"), F.col("n_wild").alias("b"),
                     F.col("wild_flags").alias("c"), F.col("template_id").alias("d"))
-    win = cand.groupBy("sig").agg(F.min_by(F.struct("template_id", "template", "pattern"), rank).alias("w"))
-    win = win.select("sig", "w.template_id", "w.template", "w.pattern")
+    wanted = ["template_id", "template", *(["pattern"] if with_params else [])]
+    win = cand.groupBy("sig").agg(F.min_by(F.struct(*wanted), rank).alias("w"))
+    win = win.select("sig", *[f"w.{c}" for c in wanted])
     if with_params:
         win = win.withColumn("params", match_params("sig", "pattern"))
     win = win.drop("pattern")
@@ -181,8 +210,9 @@ class Matcher:
         empty = F.array().cast(f"array<{self.elem.simpleString()}>")
         cands = F.concat(*[F.coalesce(F.col(f"_c{d}"), empty) for d in range(1, BLOCK_DEPTH + 1)],
                          F.filter(self.lw, lambda c: F.array_contains(F.col("_tok"), c["anchor"])))
-        ok = F.filter(cands, lambda c: (F.size(F.col("_tok")) >= c["n_static"]) & F.rlike(F.col("sig"), c["pattern"]))
-        x = x.withColumn("_w", F.array_min(ok))
+        # best first, and no pattern is compiled after one that fits
+        x = x.withColumn("_w", F.aggregate(F.array_sort(cands), F.lit(None).cast(self.elem), lambda won, c: F.when(won.isNotNull(), won).when(
+            (F.size(F.col("_tok")) >= c["n_static"]) & F.rlike(F.col("sig"), c["pattern"]), c)))
         x = x.withColumn("template_id", F.col("_w.d")).withColumn("template", F.col("_w.template"))
         if with_params:
             x = x.withColumn("_p", F.col("_w.pattern")).withColumn(
@@ -220,7 +250,7 @@ def match_lines(df: DataFrame, templates: DataFrame, content_col: str = "Content
     lists sorted by the winner rule) and joined to the lines with three
     broadcast hash joins (prefix depth 1, 2, 3); templates that start with
     ``<*>`` ride along as a literal array, tested only when their anchor token
-    is in the message.  The winner is ``array_min`` of the candidates whose
+    is in the message.  The winner is the first of the sorted candidates whose
     pattern matches.  Returns None when the template table is too large for
     this mode (the caller then uses the distinct-signature join)."""
     m = build_matcher(templates, prepared, group_col)
@@ -252,7 +282,7 @@ def match_messages(df: DataFrame, templates: DataFrame, content_col: str = "Cont
         if out is not None:
             return out
     x = df.withColumn("sig", keyed_signature(content_col, group_col))
-    sigs = x.groupBy("sig").agg(F.count("*").alias("_n")).select("sig")
+    sigs = cut_lineage(x.groupBy("sig").agg(F.count("*").alias("_n")).select("sig"), "signatures")  # read several times
     best = best_match(sigs, templates, with_params=with_params, group_col=group_col)
     return x.join(best, "sig", "left")
 

@@ -92,3 +92,21 @@ def test_anchor_is_the_rarest_token(spark):
     tp = matching.prepare_templates(spark.createDataFrame([(1, "<*> common rare"), (2, "common common"), (3, "<*> common never")], "template_id long, template string"))
     sigs = spark.createDataFrame([(signature(m),) for m in ("x common rare", "common common", "y common", "z common")], "sig string")
     assert {r.template_id: r.anchor for r in matching.corpus_anchors(tp, sigs).collect()} == {1: "rare", 2: "common", 3: "never"}
+
+
+def test_tokens_that_are_no_anchor_are_not_joined(spark, monkeypatch):
+    """Without a broadcast, frequent tokens that anchor nothing stay in their tasks; hot anchors need no shuffle."""
+    names, cut = [], matching.cut_lineage
+    monkeypatch.setattr(matching, "cut_lineage", lambda df, name="cut": names.append((name, df.count())) or cut(df, name))
+    msgs = [f"job {i} ended on host{i % 7} in room {i % 3}" for i in range(60)]
+    sigs = spark.createDataFrame([(m,) for m in msgs], "m string").select(T.signature("m").alias("sig"))
+    rows = [(i, f"job {i} ended on <*> in <*>") for i in range(0, 40)] + [(100, "<*> ended <*>"), (101, "<*> in room 2")]
+    tpl = spark.createDataFrame(rows, "template_id long, template string")
+    exp = {r["sig"]: r["template_id"] for r in matching.best_match(sigs, tpl, broadcast=True).collect()}
+    assert set(exp.values()) >= {0, 39, 100}
+    for hot in (5, 100_000):
+        monkeypatch.setattr(matching, "HOT_ANCHOR", hot)
+        names.clear()
+        got = {r["sig"]: r["template_id"] for r in matching.best_match(sigs, tpl, broadcast=False).collect()}
+        assert got == exp
+    assert dict(names)["common-tokens"] > 0
