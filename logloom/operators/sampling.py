@@ -32,7 +32,10 @@ from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -70,9 +73,12 @@ def prepare(labelled: DataFrame, content_col: str = "Content", id_col: str = "ro
     """G9 + B4: cleaned words and signature; keep lines with > 1 cleaned word.
 
     ``ws`` holds the cleaned words (split once); ``clean`` is their text."""
-    x = labelled.select(*_gl(group_col), F.col(id_col).alias("row_id"), F.col(content_col).alias("_c"))
-    x = x.withColumn("ws", sampler_words("_c")).withColumn("fine", sampler_signature("_c")).drop("_c")
-    return x.filter(F.size("ws") > 1).withColumn("clean", F.array_join("ws", " "))
+    from logloom.session import spread
+    x = spread(labelled.select(*_gl(group_col), F.col(id_col).alias("row_id"), F.col(content_col).alias("_c")))
+    # exploded (one row a line, none without two words): the words are not split again for the filter
+    enough = F.filter(F.array(sampler_words("_c")), lambda w: F.size(w) > 1)
+    x = x.select("*", F.explode(enough).alias("ws")).withColumn("fine", sampler_signature("_c")).drop("_c")
+    return x.withColumn("clean", F.array_join("ws", " "))
 
 
 def _vocab_filter(ws):
@@ -86,23 +92,71 @@ def vocabulary(prepared: DataFrame, group_col: str | None = None) -> DataFrame:
     return prepared.select(*G, F.explode(vw).alias("token")).groupBy(*G, "token").agg(F.count("*").alias("cnt"))
 
 
+#: Words of the vocabulary that every task gets to find the most frequent words of its lines.
+FREQUENT = 50_000
+_TOP_TYPE = "array<struct<n:bigint,token:string>>"
+
+
+def _frequent_words(first: list[tuple], line: list[str]):
+    """A function for ``mapInArrow`` over lines (``line`` columns, vw, _g): the best three of the words ``first`` (group,
+    token, count, best first) in each line as ``t``, and whether they are the best of all its words (``settled``); the
+    words ``vw`` stay on lines that are not settled."""
+    k = len(first) + 1
+
+    def fn(batches):
+        known = pa.array([f"{g}\x1f{token}" for g, token, _ in first], pa.string())
+        tokens = pa.array([token for _, token, _ in first], pa.string())
+        counts = np.array([-cnt for _, _, cnt in first], dtype="int64")
+        for batch in batches:
+            vw, n = batch.column("vw"), batch.num_rows
+            lens = pc.fill_null(pc.list_value_length(vw), 0).to_numpy(zero_copy_only=False).astype("int64")
+            row = np.repeat(np.arange(n), lens)
+            words_of = pc.list_flatten(vw)
+            keys = pc.binary_join_element_wise(batch.column("_g").take(pa.array(row)).cast(pa.string()), words_of.cast(pa.string()), "\x1f")
+            place = pc.fill_null(pc.index_in(keys, value_set=known), -1).to_numpy(zero_copy_only=False).astype("int64")
+            lacks = np.bincount(row[place < 0], minlength=n) > 0
+            code = np.unique(row[place >= 0] * k + place[place >= 0])  # distinct words of a line, best first
+            of, word = code // k, code % k
+            size = np.bincount(of, minlength=n)
+            kept = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) < 3
+            offsets = np.concatenate([[0], np.cumsum(np.minimum(size, 3))]).astype("int32")
+            best = pa.StructArray.from_arrays([pa.array(counts[word[kept]]), tokens.take(pa.array(word[kept]))], ["n", "token"])
+            settled = pa.array((size >= 3) | ~lacks)
+            left = pc.if_else(settled, pa.scalar(None, vw.type), vw)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in line], left, settled, pa.ListArray.from_arrays(pa.array(offsets), best)],
+                                             names=[*line, "vw", "settled", "t"])
+    return fn
+
+
 def coarse_keys(prepared: DataFrame, vocab: DataFrame, group_col: str | None = None) -> DataFrame:
     """The three most frequent (vocabulary count) distinct words of each
     line, ties by word, returned sorted and joined with a space.
 
-    The vocabulary is broadcast when its row count is under the limit; the
-    per-line top three is a sort of that line's own words only, and the line's
-    other columns go through the same aggregate (one shuffle)."""
+    The ``FREQUENT`` first words of the vocabulary in that order go to every task, which finds
+    them in its lines: a line with three of them, or with no other words, is settled there.  The words of
+    all other lines meet their counts in a join (broadcast when the vocabulary's row count is under the
+    limit).  Only three words a line are shuffled, so that lines of one key are one line."""
+    from logloom.session import cut_lineage
     G = _gl(group_col)
     vw = F.col("vw") if "vw" in prepared.columns else _vocab_filter(F.col("ws"))
     rest = [c for c in prepared.columns if c not in {*G, "row_id", "vw", "ws"}]  # carried through, not joined back
-    toks = prepared.select(*G, "row_id", *rest, F.explode_outer(F.array_distinct(vw)).alias("token"))
-    n_vocab = vocab.count()
-    side = F.broadcast(vocab) if n_vocab <= BROADCAST_VOCAB_ROWS else vocab
-    j = toks.join(side, G + ["token"], "left")
-    word = F.when(F.col("token").isNotNull(), F.struct((-F.col("cnt")).alias("n"), F.col("token")))
-    top = j.groupBy(*G, "row_id", *rest).agg(F.slice(F.array_sort(F.collect_list(word)), 1, 3).alias("t"))
-    return top.select(*G, "row_id", *rest, F.array_join(F.array_sort(F.transform("t", lambda e: e["token"])), " ").alias("coarse"))
+    line = [*G, "row_id", *rest]
+    counted = vocab.filter(F.col(group_col).isNotNull()) if G else vocab  # null is equal to no dataset
+    name = F.col(group_col).cast("string") if G else F.lit("")
+    first = counted.orderBy(F.col("cnt").desc(), "token", *G).limit(FREQUENT).select(name.alias("g"), "token", "cnt").collect()
+    lines = prepared.select(*line, vw.alias("vw"), name.alias("_g"))
+    out = StructType([*[lines.schema[c] for c in line], *StructType.fromDDL(f"vw array<string>, settled boolean, t {_TOP_TYPE}").fields])
+    found = cut_lineage(lines.mapInArrow(_frequent_words([tuple(r) for r in first], line), out), "frequent-words")
+    tops = found.filter("settled").select(*line, "t")
+    others = found.filter("NOT settled")
+    if not others.isEmpty():
+        toks = others.select(*line, F.explode_outer(F.array_distinct("vw")).alias("token"))
+        side = F.broadcast(vocab) if vocab.count() <= BROADCAST_VOCAB_ROWS else vocab
+        word = F.when(F.col("token").isNotNull(), F.struct((-F.col("cnt")).alias("n"), F.col("token")))
+        j = toks.join(side, G + ["token"], "left")
+        tops = tops.unionByName(j.groupBy(*line).agg(F.slice(F.array_sort(F.collect_list(word)), 1, 3).alias("t")))
+    top = tops.groupBy(*line).agg(F.slice(F.array_sort(F.flatten(F.collect_list("t"))), 1, 3).alias("t"))
+    return top.select(*line, F.array_join(F.array_sort(F.transform("t", lambda e: e["token"])), " ").alias("coarse"))
 
 
 def clusters(prepared: DataFrame, group_col: str | None = None) -> DataFrame:

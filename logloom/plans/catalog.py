@@ -15,7 +15,8 @@ from logloom.functions import text as T
 from logloom.operators import matching, metrics
 from logloom.operators.discovery import parse
 from logloom.sources import formats
-from logloom.sources.fixtures import EVENTS_FORMAT, RENDERED_SQL, rendered_events, spread, table
+from logloom.session import spread
+from logloom.sources.fixtures import EVENTS_FORMAT, RENDERED_SQL, rendered_events, table
 
 R = f"r AS ({RENDERED_SQL})"
 
@@ -182,7 +183,7 @@ SQL_UNMATCHED = f"WITH {R} SELECT LineId, Content FROM r WHERE event_type = 'vie
 def match_params(spark, sf_dir):
     """The text each wildcard of the winning template takes."""
     ev = rendered_events(spark, sf_dir)
-    m = matching.match_messages(ev.select("LineId", "Content"), _match_table(ev), with_params=True)
+    m = matching.match_messages(spread(ev.select("LineId", "Content")), _match_table(ev), with_params=True)
     return m.select("LineId", F.size("params").alias("n_params"), F.array_join("params", "|").alias("params"))
 
 
@@ -939,7 +940,7 @@ def read_raw_log(spark, sf_dir):
 def nonascii_clean(spark, sf_dir):
     """A3: document lines, blank ones skipped, non-ASCII runs -> <N/ASCII>."""
     d = table(spark, sf_dir, "documents", ["doc_id", "text"])
-    lines = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "value"))
+    lines = spread(d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "value"))
     out = formats.formalize_messages(lines, "<Content>")
     return out.select("doc_id", F.col("line_no").cast("int").alias("line_no"), "Content")
 

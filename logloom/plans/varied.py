@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.operators import matching
-from logloom.sources.fixtures import VARIED_SQL, spread, table, varied_events
+from logloom.session import spread
+from logloom.sources.fixtures import VARIED_SQL, table, varied_events
 
 V = f"v AS ({VARIED_SQL})"
 TOKEN_RE = r"""[^\s!"#$%&''()+,\-/:;=?@.\[\\\]^_`{|}~]+|[=|()]"""

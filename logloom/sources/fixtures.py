@@ -70,12 +70,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, columns=None) -> DataFram
     return df.select(*columns) if columns else df
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """The rows dealt evenly over the shuffle partitions: a scan has no more busy tasks than its files have row
-    groups, however much work a row makes."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
 def rendered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rendered log table: dataset, LineId, event_type, header columns,
     Content, gt (truth template), expected (template without a model), raw."""

@@ -1,6 +1,7 @@
 """Samplers: quotas add up, draws stay in their cluster, greedy = brute force."""
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from logloom.operators import sampling
@@ -160,3 +161,29 @@ def test_farthest_sample_of_nothing(spark):
                                 "row_id long, Content string, EventTemplate string, dataset string")
     s = sampling.farthest_sample(odd, shots=[8], share=None, group_col="dataset").collect()
     assert [(r["dataset"], r["sample_pos"], r["row_id"]) for r in s] == [("a", 1, 3)]
+
+
+@pytest.mark.parametrize("frequent", [0, 3, 50_000])
+@pytest.mark.parametrize("group", [None, "dataset"])
+def test_coarse_keys_equal_brute_force(spark, monkeypatch, frequent, group):
+    """Whatever share of the vocabulary the tasks get; equal rows are one line; a line's words are not shuffled."""
+    import random
+    from collections import Counter
+    monkeypatch.setattr(sampling, "FREQUENT", frequent)
+    rng = random.Random(7)
+    words = ["w" + c for c in "abcdefghijkl"]
+    rows = [(rng.choice(["x", "y", None]), i, "f", [rng.choice(words) for _ in range(rng.choice([0, 1, 2, 6]))]) for i in range(60)]
+    rows += rows[:5] + [("x", 3, "g", ["wz"]), ("x", None, "f", ["wa", "wb"]), ("x", None, "f", ["wc"])]
+    df = spark.createDataFrame(rows, "dataset string, row_id long, fine string, vw array<string>")
+    if not group:
+        df = df.drop("dataset")
+    got = sampling.coarse_keys(df, sampling.vocabulary(df, group), group)
+    cnt = Counter((g if group else "", w) for g, _, _, ws in rows for w in ws)
+    lines = {}
+    for g, i, f, ws in rows:
+        n = (lambda w: float("-inf")) if group and g is None else (lambda w: -cnt[g if group else "", w])
+        lines.setdefault((g if group else None, i, f), []).extend((n(w), w) for w in set(ws))
+    exp = {k: " ".join(sorted(w for _, w in sorted(t)[:3])) for k, t in lines.items()}
+    assert {(r["dataset"] if group else None, r["row_id"], r["fine"]): r["coarse"] for r in got.collect()} == exp
+    if frequent == 50_000 and not group:
+        assert "explode" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
