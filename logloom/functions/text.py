@@ -305,9 +305,10 @@ def sampler_signature(col) -> Column:
 
 
 def sampler_words(col) -> Column:
-    """G9 words: specials -> space, split on white space, drop words with a digit."""
-    s = F.regexp_replace(_c(col), r"""[:()=,"{}@\[\]|;]|\.?!""", " ")
-    return F.filter(_words(s), lambda w: ~w.rlike(r"\d"))
+    """G9 words: cut at specials and white space (one pass over the text), drop words with a digit."""
+    s = F.replace(_c(col), F.lit(".!"), F.lit(" "))
+    found = F.array_remove(F.split(s, r"""[\s:()=,"{}@\[\]|;!]+"""), "")
+    return F.filter(found, lambda w: ~w.rlike("[0-9]"))
 
 
 def sampler_clean(col) -> Column:

@@ -44,7 +44,8 @@ from logloom.functions.text import (SAMPLER_STOPWORDS, farthest_clean, sampler_s
                                     words)
 
 SHOTS = [8, 16, 32, 64, 128]
-BROADCAST_VOCAB_ROWS = 2_000_000
+#: Words of lines that are looked up, up to which they are broadcast.
+BROADCAST_VOCAB_ROWS = 500_000
 
 
 def _gl(group_col):
@@ -73,8 +74,8 @@ def prepare(labelled: DataFrame, content_col: str = "Content", id_col: str = "ro
     """G9 + B4: cleaned words and signature; keep lines with > 1 cleaned word.
 
     ``ws`` holds the cleaned words (split once); ``clean`` is their text."""
-    from logloom.session import spread
-    x = spread(labelled.select(*_gl(group_col), F.col(id_col).alias("row_id"), F.col(content_col).alias("_c")))
+    from logloom.session import spread_if_idle
+    x = spread_if_idle(labelled.select(*_gl(group_col), F.col(id_col).alias("row_id"), F.col(content_col).alias("_c")))
     # exploded (one row a line, none without two words): the words are not split again for the filter
     enough = F.filter(F.array(sampler_words("_c")), lambda w: F.size(w) > 1)
     x = x.select("*", F.explode(enough).alias("ws")).withColumn("fine", sampler_signature("_c")).drop("_c")
@@ -97,14 +98,14 @@ FREQUENT = 50_000
 _TOP_TYPE = "array<struct<n:bigint,token:string>>"
 
 
-def _frequent_words(first: list[tuple], line: list[str]):
+def _frequent_words(first: list[tuple], line: list[str], grouped: bool):
     """A function for ``mapInArrow`` over lines (``line`` columns, vw, _g): the best three of the words ``first`` (group,
     token, count, best first) in each line as ``t``, and whether they are the best of all its words (``settled``); the
-    words ``vw`` stay on lines that are not settled."""
+    words ``vw`` stay on lines that are not settled.  ``grouped``: the group counts as a part of the word."""
     k = len(first) + 1
 
     def fn(batches):
-        known = pa.array([f"{g}\x1f{token}" for g, token, _ in first], pa.string())
+        known = pa.array([f"{g}\x1f{token}" if grouped else token for g, token, _ in first], pa.string())
         tokens = pa.array([token for _, token, _ in first], pa.string())
         counts = np.array([-cnt for _, _, cnt in first], dtype="int64")
         for batch in batches:
@@ -112,7 +113,9 @@ def _frequent_words(first: list[tuple], line: list[str]):
             lens = pc.fill_null(pc.list_value_length(vw), 0).to_numpy(zero_copy_only=False).astype("int64")
             row = np.repeat(np.arange(n), lens)
             words_of = pc.list_flatten(vw)
-            keys = pc.binary_join_element_wise(batch.column("_g").take(pa.array(row)).cast(pa.string()), words_of.cast(pa.string()), "\x1f")
+            keys = words_of.cast(pa.string())
+            if grouped:
+                keys = pc.binary_join_element_wise(batch.column("_g").take(pa.array(row)).cast(pa.string()), keys, "\x1f")
             place = pc.fill_null(pc.index_in(keys, value_set=known), -1).to_numpy(zero_copy_only=False).astype("int64")
             lacks = np.bincount(row[place < 0], minlength=n) > 0
             code = np.unique(row[place >= 0] * k + place[place >= 0])  # distinct words of a line, best first
@@ -134,8 +137,8 @@ def coarse_keys(prepared: DataFrame, vocab: DataFrame, group_col: str | None = N
 
     The ``FREQUENT`` first words of the vocabulary in that order go to every task, which finds
     them in its lines: a line with three of them, or with no other words, is settled there.  The words of
-    all other lines meet their counts in a join (broadcast when the vocabulary's row count is under the
-    limit).  Only three words a line are shuffled, so that lines of one key are one line."""
+    all other lines meet their counts in a join; the vocabulary is cut to them first, unless they are
+    more than ``BROADCAST_VOCAB_ROWS``.  Only three words a line are shuffled, so that lines of one key are one line."""
     from logloom.session import cut_lineage
     G = _gl(group_col)
     vw = F.col("vw") if "vw" in prepared.columns else _vocab_filter(F.col("ws"))
@@ -146,12 +149,16 @@ def coarse_keys(prepared: DataFrame, vocab: DataFrame, group_col: str | None = N
     first = counted.orderBy(F.col("cnt").desc(), "token", *G).limit(FREQUENT).select(name.alias("g"), "token", "cnt").collect()
     lines = prepared.select(*line, vw.alias("vw"), name.alias("_g"))
     out = StructType([*[lines.schema[c] for c in line], *StructType.fromDDL(f"vw array<string>, settled boolean, t {_TOP_TYPE}").fields])
-    found = cut_lineage(lines.mapInArrow(_frequent_words([tuple(r) for r in first], line), out), "frequent-words")
+    found = cut_lineage(lines.mapInArrow(_frequent_words([tuple(r) for r in first], line, bool(G)), out), "frequent-words")
     tops = found.filter("settled").select(*line, "t")
     others = found.filter("NOT settled")
     if not others.isEmpty():
         toks = others.select(*line, F.explode_outer(F.array_distinct("vw")).alias("token"))
-        side = F.broadcast(vocab) if vocab.count() <= BROADCAST_VOCAB_ROWS else vocab
+        side = vocab
+        needed = toks.select(*G, "token").where("token IS NOT NULL").distinct().limit(BROADCAST_VOCAB_ROWS + 1)
+        needed = cut_lineage(needed, "needed-words")
+        if needed.count() <= BROADCAST_VOCAB_ROWS:  # the few words of these lines go to the vocabulary, not it to them
+            side = vocab.join(F.broadcast(needed), G + ["token"], "left_semi")
         word = F.when(F.col("token").isNotNull(), F.struct((-F.col("cnt")).alias("n"), F.col("token")))
         j = toks.join(side, G + ["token"], "left")
         tops = tops.unionByName(j.groupBy(*line).agg(F.slice(F.array_sort(F.collect_list(word)), 1, 3).alias("t")))

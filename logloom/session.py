@@ -66,7 +66,7 @@ def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
     read it back: one computation, short lineage, and the data survives the
     loss of any executor."""
     path = scratch_path(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
@@ -93,6 +93,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def spread_if_idle(df: DataFrame) -> DataFrame:
+    """``df``, spread only if its partitions that have rows would leave more than a third of the cores idle.
+
+    Dealing whole texts over the tasks moves all of them; a scan of enough files or row groups is even as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    busy = df.select(F.spark_partition_id().alias("p")).distinct().count()
+    waves = -(-busy // cores)
+    return df if 3 * busy >= 2 * waves * cores and busy else spread(df)
+
+
 def ranked(df: DataFrame, order: list[str], name: str, start: int = 1) -> DataFrame:
     """``df`` with the long column ``name``: start, start + 1, .. in the order of the columns ``order``.
 

@@ -187,3 +187,34 @@ def test_coarse_keys_equal_brute_force(spark, monkeypatch, frequent, group):
     assert {(r["dataset"] if group else None, r["row_id"], r["fine"]): r["coarse"] for r in got.collect()} == exp
     if frequent == 50_000 and not group:
         assert "explode" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_are_moved_only_when_cores_are_idle(spark):
+    cores = spark.sparkContext.defaultParallelism
+    rows = spark.range(0, cores * 5, 1, cores).select(F.col("id").alias("row_id"), F.lit("some words of it").alias("Content"))
+    assert "Exchange" not in _plan(sampling.prepare(rows))            # every core has its rows
+    assert "Exchange" in _plan(sampling.prepare(rows.coalesce(1))) or cores == 1
+
+
+@pytest.mark.parametrize("limit", [0, 500_000])
+def test_rare_words_meet_their_counts_in_any_plan(spark, monkeypatch, limit):
+    monkeypatch.setattr(sampling, "FREQUENT", 1)
+    monkeypatch.setattr(sampling, "BROADCAST_VOCAB_ROWS", limit)
+    rows = [(1, ["aaa", "bbb", "ccc", "ddd"]), (2, ["aaa", "ddd"]), (3, ["eee"]), (4, []), (5, ["ddd", "ccc", "ccc"])]
+    df = spark.createDataFrame([(i, "", w) for i, w in rows], "row_id long, fine string, vw array<string>")
+    got = {r["row_id"]: r["coarse"] for r in sampling.coarse_keys(df, sampling.vocabulary(df)).collect()}
+    counts = Counter(w for _, ws in rows for w in ws)
+    assert got == {i: " ".join(sorted(sorted(set(ws), key=lambda w: (-counts[w], w))[:3])) for i, ws in rows}
+
+
+def test_words_are_cut_at_specials(spark):
+    from logloom.functions.text import sampler_words
+    texts = ["..!a.!b!!c", ".! x9 y", "a.b! \t(c)=d|e;f@g", "", " ", None, "!.", "a..!!.b"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    import re
+    want = [None if t is None else [w for w in re.split(r"\s+", re.sub(r"""[:()=,"{}@\[\]|;]|\.?!""", " ", t)) if w and not re.search("[0-9]", w)] for t in texts]
+    assert [r[0] for r in df.select(sampler_words("t")).collect()] == want
