@@ -38,11 +38,11 @@ of different shingles are taken for equal.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from math import ceil, exp
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,10 +60,12 @@ SPARE = 0.12
 CANDIDATE_COST = 4.0
 #: Keys (16 bytes) up to which a lookup is broadcast; beyond, it is joined by a shuffle.
 BROADCAST_ROWS = 500_000
-WORDS_KEPT = 200_000
+#: Bytes of a word from which it is hashed by itself.
+LONG_WORD = 512
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _S29, _S32 = np.uint64(29), np.uint64(32)
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -72,33 +74,52 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S32)
 
 
-@lru_cache(maxsize=1)
-def _word_hashes() -> dict[bytes, int]:
-    """Word hashes that a worker process remembers."""
-    return {}
-
-
-def shingles(text: str | None) -> np.ndarray:
-    """The sorted different shingle hashes of a text."""
-    words = text.encode("utf-8").lower().split() if text else []  # bytes: A-Z and ASCII white space only
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    known = _word_hashes()
-    if len(known) > WORDS_KEPT:
-        known.clear()
-    found = list(map(known.get, words))
-    for i in [i for i, h in enumerate(found) if h is None]:
-        found[i] = known[words[i]] = xxhash.xxh64_intdigest(words[i])
-    w = np.array(found, dtype=np.uint64)
-    if len(w) < WORDS:
-        h = np.array([len(w)], dtype=np.uint64)
-        for i in range(len(w)):
-            h = h + w[i:i + 1] * _ODD[i]
-        return _mix(h)
-    h = w[:len(w) - WORDS + 1] * _ODD[0]
-    for i in range(1, WORDS):
-        h = h + w[i:len(w) - WORDS + 1 + i] * _ODD[i]
-    return np.unique(_mix(h))
+def _word_hashes(words: pa.Array) -> np.ndarray:
+    """A hash of every word, eight bytes at a time, all words at once; very long words go alone."""
+    wide = pa.types.is_large_string(words.type)
+    bounds = np.frombuffer(words.buffers()[1], np.int64 if wide else np.int32)[words.offset:words.offset + len(words) + 1].astype(np.int64)
+    at, left = bounds[:-1], np.diff(bounds)
+    data = np.concatenate((np.frombuffer(words.buffers()[2] or b"", np.uint8), np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))  # the eight bytes from every place on
+    h = left.astype(np.uint64) * _ODD[2]
+    long = np.flatnonzero(left > LONG_WORD)
+    for n in long.tolist():
+        h[n] = xxhash.xxh64_intdigest(data[at[n]:at[n] + left[n]])
+    rest = np.flatnonzero((left > 0) & (left <= LONG_WORD))
+    at, left = at[rest], left[rest]
+    while len(rest):
+        some = eight[at] & _FIRST_BYTES[np.minimum(left, 8)]
+        h[rest] = _mix((h[rest] ^ some) + _ODD[0])
+        more = left > 8
+        rest, at, left = rest[more], at[more] + 8, left[more] - 8
+    return h
+
+
+def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
+    """The sorted different shingle hashes of each text.  Words are cut by Arrow and hashed all at once."""
+    # A-Z and ASCII white space only; trimmed first: Arrow lowers slices of some string types wrongly
+    texts = pc.ascii_lower(pc.ascii_trim_whitespace(pc.fill_null(texts, "")))
+    split = pc.ascii_split_whitespace(texts)
+    w = _word_hashes(split.values)
+    bounds = split.offsets.to_numpy()
+    full = len(w) - WORDS + 1
+    every = _mix(sum(w[i:full + i] * _ODD[i] for i in range(WORDS))) if full > 0 else w[:0]
+    out = []
+    for lo, hi, filled in zip(bounds[:-1].tolist(), bounds[1:].tolist(), pc.not_equal(texts, "").to_pylist()):
+        if not filled:
+            out.append(np.empty(0, dtype=np.uint64))
+        elif hi - lo < WORDS:
+            h = np.array([hi - lo], dtype=np.uint64)
+            for i in range(hi - lo):
+                h = h + w[lo + i:lo + i + 1] * _ODD[i]
+            out.append(_mix(h))
+        else:
+            found = np.sort(every[lo:hi - WORDS + 1])
+            new = np.empty(len(found), dtype=bool)
+            new[0] = True
+            np.not_equal(found[1:], found[:-1], out=new[1:])
+            out.append(found[new])
+    return out
 
 
 def class_of(found: np.ndarray) -> tuple[int, int]:
@@ -162,7 +183,7 @@ def sizes(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "t"):
-            sets = [shingles(t) for t in column(batch, "t").to_pylist()]
+            sets = shingle_sets(column(batch, "t"))
             names = [class_of(s) for s in sets]
             yield batch_of(out, [column(batch, "k"), [len(s) for s in sets], [a for a, _ in names], [b for _, b in names]])
 
@@ -178,8 +199,7 @@ def index(docs: DataFrame, plans: dict[int, tuple[int, bool]], key: str, text: s
         seen: set[tuple[int, int]] = set()  # the classes of this task: copies are indexed once
         for batch in slices(batches, "t"):
             keys, names, spares = [], [], []
-            for t in column(batch, "t").to_pylist():
-                found = shingles(t)
+            for found in shingle_sets(column(batch, "t")):
                 n = len(found)
                 if n < 4 or (name := class_of(found)) in seen:
                     continue
@@ -215,7 +235,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, t
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "t"):
-            found = [shingles(t) for t in column(batch, "t").to_pylist()]
+            found = shingle_sets(column(batch, "t"))
             yield batch_of(out, [[class_of(s)[0] for s in found], [s.tobytes() for s in found]])
 
     texts = _rows(docs, key, text).where("k is not null").join(wanted, "k", "left_semi").select("t")
