@@ -3,6 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
+
+import pyarrow as pa
+
+_kept: list = []
+
+
+def kept_by_worker(make: Callable) -> Callable:
+    """``make``, whose last two results a worker process keeps for its later tasks, until ``forget``."""
+    cached = lru_cache(maxsize=2)(make)
+    _kept.append(cached)
+    return cached
+
+
+def forget() -> None:
+    """Drop what this worker process keeps for tasks of other operators: Spark uses a process for one after the other."""
+    for cached in _kept:
+        cached.cache_clear()
+    pa.default_memory_pool().release_unused()
 
 
 class Memory:

@@ -32,10 +32,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch_of, column, guarded, held_out, slices, table
+from .memory import forget
 
 #: Labelled rows that serve as examples, at most.
 EXAMPLES = 8192
@@ -120,7 +122,7 @@ class Index:
     def answer(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """The nearest examples of a text and their cosines; equal vectors are answered once."""
         at, w = self.vector(text)
-        name = at.tobytes() + w.tobytes()
+        name = xxhash.xxh3_128_digest(at.tobytes() + w.tobytes())
         found = self.answers.get(name)
         if found is None:
             if len(self.answers) >= ANSWERS_KEPT:
@@ -204,6 +206,7 @@ def _vocabulary(examples: DataFrame, n: int, positive: int) -> list[str]:
     out = pa.schema([("y", pa.int32()), ("term", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in slices(batches, "t"):
             pairs = [(y, w) for y, t in zip(column(batch, "y").to_pylist(), column(batch, "t").to_pylist()) for w in terms(t)]
             yield batch_of(out, [[p[0] for p in pairs], [p[1] for p in pairs]])
@@ -224,6 +227,7 @@ def _frequencies(docs: DataFrame, vocabulary: list[str], text: str) -> tuple[np.
     v = len(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         index = Index(vocabulary, np.ones(v), [], [], [])
         total = np.zeros(v + 1, dtype=np.int64)
         for batch in slices(batches, "t"):
@@ -285,10 +289,11 @@ def score(docs: DataFrame, index: Index | None, key: str = "doc_id", text: str =
     shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by EXAMPLES and VOCABULARY
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         m = shared.value
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, read):
             scores, evidence = [], []
-            for t in column(batch, "_text").to_pylist():
+            for t in column(batch, read).to_pylist():
                 rows, cosines = m.answer(t) if m is not None else ((), ())
                 scores.append(m.score(rows, cosines) if m is not None else 0.0)
                 evidence.append([f"{m.keys[r]}:{m.labels[r]}:{c:.4f}" for r, c in zip(rows[:3], cosines[:3])])
@@ -297,7 +302,9 @@ def score(docs: DataFrame, index: Index | None, key: str = "doc_id", text: str =
                  pa.array([int(s >= THRESHOLD) for s in scores], pa.int32()), pa.array(evidence, pa.list_(pa.string()))],
                 names=[*names, "score", "predicted", "evidence"])
 
-    rows = docs.select(*names, F.col(text).cast("string").alias("_text"))
+    # a text that is kept is sent once
+    read = text if text in names and docs.schema[text].dataType == T.StringType() else "_text"
+    rows = docs.select(*names, *([] if read == text else [F.col(text).cast("string").alias("_text")]))
     return rows.mapInArrow(run, T.StructType([*fields, *extra]))
 
 

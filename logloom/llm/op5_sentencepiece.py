@@ -30,7 +30,6 @@ import hashlib
 import re
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch_of, column, slices
-from .memory import Memory
+from .memory import Memory, kept_by_worker
 
 SPACE = "▁"
 codecs.register_error("each_byte", lambda e: ("\ufffd", e.start + 1))  # one replacement for each byte that fits nowhere
@@ -262,7 +261,7 @@ class PieceTable:
         return text
 
 
-@lru_cache(maxsize=2)
+@kept_by_worker
 def piece_table(path: str) -> PieceTable:
     """One table for each worker process, so that later tasks find its memories filled."""
     return PieceTable(path)
