@@ -26,7 +26,6 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -37,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batch_of, column, partitions, scratch_path, slices, written
-from .memory import Memory
+from .memory import Memory, kept_by_worker
 
 #: Encoded units a worker remembers in each of two generations.
 UNITS_KEPT = 220_000
@@ -126,12 +125,16 @@ class UnitEncoder:
             return []
         split = pc.split_pattern(pa.array(plain), " ")
         units = split.values.dictionary_encode()
-        which, words = units.indices.to_numpy(), units.dictionary.to_pylist()
+        which, words = units.indices.to_numpy(), units.dictionary.to_numpy(zero_copy_only=False).tolist()
         offsets = split.offsets.to_numpy()
         found = self.units.all(words)
-        stop = np.fromiter((w[:1] == _STOP for w in words), dtype=bool, count=len(words))
-        word = np.fromiter((w[-1:].isalnum() for w in words), dtype=bool, count=len(words))
-        wrong = np.flatnonzero(stop[which[1:]] & ~word[which[:-1]]) + 1
+        stop = pc.starts_with(units.dictionary, _STOP).to_numpy(zero_copy_only=False)
+        at_stop = np.flatnonzero(stop[which[1:]])
+        before = which[at_stop]  # what stands before each stop
+        word = np.zeros(len(words), dtype=bool)
+        for n in np.unique(before).tolist():
+            word[n] = words[n][-1:].isalnum()
+        wrong = at_stop[~word[before]] + 1
         wrong = set((np.searchsorted(offsets, wrong, side="right") - 1).tolist())
         lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // self.dtype.itemsize
         ids = np.frombuffer(b"".join(found), dtype=self.dtype)
@@ -146,7 +149,7 @@ class UnitEncoder:
         return sorted(wrong)
 
 
-@lru_cache(maxsize=2)
+@kept_by_worker
 def unit_encoder(path: str, dtype: str) -> UnitEncoder:
     """One encoder for each worker process, so that later tasks find its memory filled."""
     return UnitEncoder(path, dtype)
@@ -165,7 +168,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, dtype: str, b
         encoder = unit_encoder(tokenizer, dtype)
         end = np.asarray([end_id], dtype=dtype).tobytes()
         edges = np.asarray(bounds, dtype=np.int64)
-        for batch in slices(batches, "text", rows=512):
+        for batch in slices(batches, "text", rows=2048):
             keys = column(batch, "key")
             filled = keys.fill_null(int(NULL_KEY)).to_numpy(zero_copy_only=False)
             ids = encoder.encode(column(batch, "text").to_pylist())
