@@ -39,7 +39,7 @@ from .common import batch_of, column, partitions, scratch_path, slices, written
 from .memory import Memory, kept_by_worker
 
 #: Encoded units a worker remembers in each of two generations.
-UNITS_KEPT = 220_000
+UNITS_KEPT = 400_000
 #: Stands for a null key in a .key file.
 NULL_KEY = np.iinfo(np.int64).min
 
