@@ -42,10 +42,10 @@ from .memory import Memory, kept_by_worker
 SPACE = "▁"
 codecs.register_error("each_byte", lambda e: ("\ufffd", e.start + 1))  # one replacement for each byte that fits nowhere
 #: Units (in each of two generations) and compatibility answers a worker remembers.
-UNITS_KEPT = 130_000
+UNITS_KEPT = 400_000
 PAIRS_KEPT = 200_000
-#: Longer units are encoded anew each time.
-UNIT_CHARS = 48
+#: Longer units are encoded anew each time (the memories stay bounded in bytes).
+UNIT_CHARS = 24
 
 #: Letters, roughly: ASCII letters and what lies beyond Latin-1's signs, without the blocks of symbols.
 _L = "A-Za-zÀ-ÖØ-öø-\u1fff\u2c00-\u2fff\u3040-\U0010ffff"
@@ -95,7 +95,7 @@ class PieceTable:
         self.cuts = not any(SPACE in p.lstrip(SPACE) for p in self.score)
         self.breaks = not any("\n" in p for p in self.score)
         self.words = self.cuts and not any(_MIXED.search(p) for p in self.score)
-        self.runs: dict[str, list[int]] = {}
+        self.runs: dict[str, bytes] = {}
         self.courses: dict[str, tuple] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.number = np.array([str(i) for i in range(len(self.pieces))], dtype=object)
@@ -174,12 +174,10 @@ class PieceTable:
             if size == end:
                 fits = self.course(piece)[2]
             else:
-                before = last[end - size]
-                key = (before, piece)
-                if key in pairs:
-                    fits = pairs[key]
-                else:
-                    fits = pairs[key] = self.compatible(before, piece)
+                key = (last[end - size], piece)
+                fits = pairs.get(key)
+                if fits is None:
+                    fits = pairs[key] = self.compatible(*key)
             if fits:
                 last[end] = piece
                 done = end
@@ -199,21 +197,20 @@ class PieceTable:
             ids = [i for part in parts for i in part]
         return ids
 
-    def _entry(self, unit: str) -> bytes:
-        if self.words:
-            ids = []
-            for run in _LETTERS.findall(unit):
-                known = self.runs.get(run)
-                if known is None:
-                    known = self.ids_of(run)
-                    if len(run) <= UNIT_CHARS:
-                        self.runs[run] = known
-                ids += known
+    def _run(self, run: str) -> bytes:
+        """The ids of a run that is not remembered."""
+        found = array("i", self.ids_of(run)).tobytes()
+        if len(run) <= UNIT_CHARS:
             if len(self.runs) > UNITS_KEPT:
                 self.runs = {}
-        else:
-            ids = self.ids_of(unit)
-        return array("i", ids).tobytes()
+            self.runs[run] = found
+        return found
+
+    def _entry(self, unit: str) -> bytes:
+        if not self.words:
+            return array("i", self.ids_of(unit)).tobytes()
+        found = [self.runs.get(run) or self._run(run) for run in _LETTERS.findall(unit)]
+        return found[0] if len(found) == 1 else b"".join(found)
 
     def _entries(self, units: list[str]) -> list[bytes]:
         """The ids (as bytes) of units: words that a space precedes, or line breaks with what follows them."""

@@ -22,3 +22,23 @@ def test_toxicity_sends_a_kept_text_once(spark):
     assert "_text" not in found._jdf.queryExecution().analyzed().toString()
     assert sorted((r.doc_id, r.text, r.score) for r in found.collect() if r.text is not None) == [(1, "bad words", 0.0), (3, "", 0.0)]
     assert score(rows, None).columns == ["doc_id", "score", "predicted", "evidence"]
+
+
+def test_op5_encodes_no_run_anew_within_a_task_s_words(monkeypatch):
+    """150,000 different words, met again, are looked up; what overflows keeps the newest run."""
+    import public_tokenizers
+    from logloom.llm import op5_sentencepiece as op
+    table = op.PieceTable(public_tokenizers.path("piece_bpe_32k.model"))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [letters[i % 26] + letters[i // 26 % 26] + letters[i // 676 % 26] + letters[i // 17576] for i in range(150_000)]
+    text = " ".join(words)
+    first = table.encode(text)
+    asked = []
+    monkeypatch.setattr(op.PieceTable, "ids_of", lambda self, unit, f=op.PieceTable.ids_of: asked.append(unit) or f(self, unit))
+    assert table.encode(text).tolist() == first.tolist() and table.encode(text.replace(" ", ", ")).size > first.size
+    assert asked == [","]
+    monkeypatch.setattr(op, "UNITS_KEPT", 1)
+    for _ in range(2):
+        table.units.young, table.units.old = {}, {}
+        table.encode("zzzzz")
+    assert asked == [",", op.SPACE + "zzzzz"]
