@@ -12,11 +12,10 @@ component only the first line (smallest document key, then line number) stays.
 Equal lines are one line from the first aggregation on (partial, so a line in a
 third of all rows is one row for each task).  Every line is first compared with
 the head of most of its bands, the line that occurs most there; verified links make components.
-Lines of bands that still hold several components are then joined exactly, by prefixes: their
-shingles are ordered by rarity among these lines, and two lines of similarity 0.8 share one of
-the first ``n - ceil(0.8 n) + 1``, k of the first ``n - ceil(0.8 n) + k``, and differ in size by a quarter at most.  So a group
-of lines that are alike, but not enough, meets only where rare shingles are
-shared, not all with all.  Links and components stay distributed tables.
+Lines whose bands have a head in common, and different components, are then compared pair by pair by their bitmaps, in which every
+shingle of a set turns one bit: two lines of similarity 0.8 differ in a ninth of the sum of their
+sizes at most, and their bitmaps in no more bits.  So of a group of lines that are alike, but not
+enough, few pairs leave the join, and only their texts are compared.  Links and components stay distributed tables.
 
 Sketches, shingle sets and similarities are computed by numpy over Arrow batches: with
 DataFrame functions alone every shingle is a row, which is several times the budget of CPU
@@ -51,10 +50,12 @@ BANDS = 10
 VALUES_PER_BAND = 4
 #: Rows of a lookup (about 50 bytes each) up to which it is broadcast; beyond, it is joined by a shuffle.
 BROADCAST_ROWS = 500_000
-#: Counters of shingles by their hash; they order shingles by rarity and are sent to every task (8 MB).
+#: Counters of shingles by their hash, which order shingles by rarity (``prefixes``).
 COUNTERS = 1 << 20
 #: Two lines of the wanted similarity share 1 + n // SPARE of their prefixes, which are so much longer (n: the smaller set).
 SPARE = 32
+#: 64-bit words of the bitmap of a line's shingles.
+WORDS = 32
 #: Pairs, and characters of their lines, that a task compares at a time (one larger pair goes alone).
 PAIRS_AT_A_TIME = 512
 CHARACTERS_AT_A_TIME = 1 << 18
@@ -113,6 +114,34 @@ def shared_shingles(xs: list[str], ys: list[str]) -> tuple[np.ndarray, np.ndarra
     return count(sides[0]), count(sides[1]), count(both[1:][both[1:] == both[:-1]])
 
 
+def bitmaps(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For each line the size of its shingle set, and its bitmap (a row of words) in which every shingle of the set turns one bit."""
+    h, n = shingle_hashes(found)
+    line = np.repeat(np.arange(len(found)), n)
+    order = np.lexsort((h, line))
+    line, h = line[order], h[order]
+    new = np.concatenate(([True], (h[1:] != h[:-1]) | (line[1:] != line[:-1])))
+    line, h = line[new], h[new]
+    bit = line * (64 * WORDS) + (h >> np.uint64(20)).astype(np.int64) % (64 * WORDS)
+    turned = np.bincount(bit, minlength=len(found) * 64 * WORDS) & 1
+    return np.bincount(line, minlength=len(found)), np.packbits(turned.astype(np.uint8)).view(np.int64).reshape(len(found), WORDS)
+
+
+def prefixes(found: list[str], rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rarest shingles of each line, as many as needed to meet every line of the wanted similarity: the numbers
+    of the lines, the hashes, and the size of each line's whole set."""
+    h, n = shingle_hashes(found)
+    line, count = np.repeat(np.arange(len(found)), n), rarity[(h % np.uint64(COUNTERS)).astype(np.int64)]
+    order = np.lexsort((h, count, line))
+    line, h = line[order], h[order]
+    new = np.concatenate(([True], (h[1:] != h[:-1]) | (line[1:] != line[:-1])))
+    line, h = line[new], h[new]
+    size = np.bincount(line, minlength=len(found))
+    rank = np.arange(len(line)) - np.repeat(np.cumsum(size) - size, size)
+    taken = rank < (size - np.ceil(SIMILARITY * size - 1e-9).astype(np.int64) + 1 + size // SPARE)[line]
+    return line[taken], h[taken].view(np.int64), size
+
+
 def lines(docs: DataFrame, key: str, text: str, *more: str) -> DataFrame:
     """(doc, place, line), and the columns ``more``: the lines that count."""
     cut = docs.select(F.col(key).cast("long").alias("doc"), *more, F.posexplode(F.split(F.col(text).cast("string"), "\n")).alias("place", "line"))
@@ -181,60 +210,33 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return met.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _rarity(texts: DataFrame) -> np.ndarray:
-    """How many shingles of all ``texts`` fall in each of the ``COUNTERS``.  A task sends at most one row for each."""
+def _marked(texts: DataFrame) -> DataFrame:
+    """(id, n, w0, w1 ..): the sizes of the shingle sets and the words of the bitmaps of the lines."""
+    words = [f"w{i}" for i in range(WORDS)]
+    out = pa.schema([("id", pa.int64()), ("n", pa.int64()), *((w, pa.int64()) for w in words)])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
         for batch in slices(batches, "line"):
-            h, _ = shingle_hashes(column(batch, "line").to_pylist())
-            np.add.at(total, (h % np.uint64(COUNTERS)).astype(np.int64), 1)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["at", "n"])
-
-    rows = texts.select("line").mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    total = np.zeros(COUNTERS, np.int64)
-    total[rows.column("at").to_numpy()] = rows.column("n").to_numpy()
-    return total
-
-
-def prefixes(found: list[str], rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The rarest shingles of each line, as many as needed to meet every line of the wanted similarity: the numbers
-    of the lines, the hashes, and the size of each line's whole set."""
-    h, n = shingle_hashes(found)
-    line, count = np.repeat(np.arange(len(found)), n), rarity[(h % np.uint64(COUNTERS)).astype(np.int64)]
-    order = np.lexsort((h, count, line))
-    line, h = line[order], h[order]
-    new = np.concatenate(([True], (h[1:] != h[:-1]) | (line[1:] != line[:-1])))
-    line, h = line[new], h[new]
-    size = np.bincount(line, minlength=len(found))
-    rank = np.arange(len(line)) - np.repeat(np.cumsum(size) - size, size)
-    taken = rank < (size - np.ceil(SIMILARITY * size - 1e-9).astype(np.int64) + 1 + size // SPARE)[line]
-    return line[taken], h[taken].view(np.int64), size
-
+            n, bits = bitmaps(column(batch, "line").to_pylist())
+            yield batch_of(out, [column(batch, "id"), n, *np.ascontiguousarray(bits.T)])
 
-def _prefix_pairs(labelled: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b), a > b: the pairs of lines (id, root) with different roots that may have the wanted similarity.
+    return texts.select("id", "line").mapInArrow(run, "id long, n long, " + ", ".join(f"{w} long" for w in words))
 
-    Any order of the shingles finds all pairs; the counters, which cover all these lines, only make it one
-    by which few lines meet."""
-    mixed = texts.join(labelled, "id")
-    shared = mixed.sparkSession.sparkContext.broadcast(_rarity(mixed))  # COUNTERS numbers
-    out = pa.schema([("id", pa.int64()), ("root", pa.int64()), ("n", pa.int32()), ("x", pa.int64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "line"):
-            at, x, size = prefixes(column(batch, "line").to_pylist(), shared.value)
-            ids, roots = column(batch, "id").to_numpy()[at], column(batch, "root").to_numpy()[at]
-            yield batch_of(out, [ids, roots, size[at].astype(np.int32), x])
+def _near_pairs(mixed: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b), a > b: the pairs of lines with different roots that share one of the heads c of
+    ``mixed`` (c, id, root) and may have the wanted similarity.
 
-    rows = written(mixed.select("id", "root", "line").mapInArrow(run, "id long, root long, n int, x long"), "op4-prefixes")
-    several = rows.groupBy("x").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("x")
-    rows = rows.join(written(several, "op4-several"), "x", "left_semi")
+    Bitmaps differ in as many bits as the sets in shingles at most, and sets of similarity s in (1 - s) / (1 + s) of the
+    sum of their sizes at most, so no link is lost."""
+    marked = written(_marked(texts.join(mixed.select("id").distinct(), "id", "left_semi")), "op4-marked")
+    rows = mixed.join(marked, "id")
     u, v = rows.alias("u"), rows.alias("v")
-    near = (F.col("u.n") >= SIMILARITY * F.col("v.n") - 1e-9) & (F.col("v.n") >= SIMILARITY * F.col("u.n") - 1e-9)
-    met = u.join(v, (F.col("u.x") == F.col("v.x")) & (F.col("u.id") > F.col("v.id")) & (F.col("u.root") != F.col("v.root")) & near)
-    met = met.groupBy(F.col("u.id").alias("a"), F.col("v.id").alias("b")).agg(F.count("*").alias("met"), F.min(F.least("u.n", "v.n")).alias("n"))
-    return met.where(f"met >= 1 + n div {SPARE}").select("a", "b")
+    sizes = (F.col("u.n") >= SIMILARITY * F.col("v.n") - 1e-6) & (F.col("v.n") >= SIMILARITY * F.col("u.n") - 1e-6)
+    differ = sum((F.bit_count(F.col(f"u.w{i}").bitwiseXOR(F.col(f"v.w{i}"))) for i in range(1, WORDS)), F.bit_count(F.col("u.w0").bitwiseXOR(F.col("v.w0"))))
+    near = differ <= (F.col("u.n") + F.col("v.n")) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-6
+    met = u.join(v, (F.col("u.c") == F.col("v.c")) & (F.col("u.id") > F.col("v.id")) & (F.col("u.root") != F.col("v.root")) & sizes & near)
+    return met.select(F.col("u.id").alias("a"), F.col("v.id").alias("b")).distinct()
 
 
 def line_components(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -255,13 +257,14 @@ def line_components(docs: DataFrame, known: DataFrame, key: str = "doc_id", text
     links = written(_verified(tested, texts), "op4-links")
     found = written(components(links, "op4-stars"), "op4-components")
 
-    # then the lines of bands that hold several components, by prefixes
-    labelled = shared.join(found, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
-    several = labelled.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
-    mixed = written(labelled.join(several, "band", "left_semi").select("id", "root").distinct(), "op4-mixed")
-    done = tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    rest = written(_prefix_pairs(mixed, texts).join(done, ["a", "b"], "left_anti"), "op4-rest")
-    more = written(links.union(_verified(rest, texts)), "op4-links")
+    # then all pairs of lines whose bands have a head in common (so all that share a band), by bitmaps
+    # (heads of one component are one, as near copies of near copies may be alike too)
+    heads = found.select(F.col("id").alias("c"), F.col("root").alias("top"))
+    named = shared.join(heads, "c", "left").select(F.coalesce("top", "c").alias("c"), "id").distinct()
+    labelled = named.join(found, "id", "left").select("c", "id", F.coalesce("root", "id").alias("root"))
+    several = labelled.groupBy("c").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("c")
+    mixed = written(labelled.join(several, "c", "left_semi"), "op4-mixed")
+    more = written(links.union(_verified(written(_near_pairs(mixed, texts), "op4-rest"), texts)), "op4-links")
     return written(components(more, "op4-stars"), "op4-components")
 
 

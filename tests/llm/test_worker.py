@@ -42,3 +42,26 @@ def test_op5_encodes_no_run_anew_within_a_task_s_words(monkeypatch):
         table.units.young, table.units.old = {}, {}
         table.encode("zzzzz")
     assert asked == [",", op.SPACE + "zzzzz"]
+
+
+def test_op4_bitmaps_lose_no_link_and_few_pairs_leave_the_join(spark, monkeypatch):
+    """300 lines that are alike, but not enough: their pairs end in the join; bits differ in as many places as sets at most."""
+    import random
+
+    import numpy as np
+    from logloom.llm import op4_line_dedup as op
+    rng = random.Random(21)
+    base = "the same long beginning of every line in this group, then some more words of it and %s at an end that they share %s."
+    text = lambda: base % tuple("".join(rng.choice("abcdefghij") for _ in range(9)) for _ in range(2))
+    found = [text() for _ in range(300)]
+    found += [x[:-3] + "zz." for x in found[:20]]
+    n, bits = op.bitmaps([*found, "ab" * 30_000, "x"])
+    sets = [{x[i:i + 8] for i in range(max(1, len(x) - 7))} for x in [*found, "ab" * 30_000, "x"]]
+    assert n.tolist() == [len(s) for s in sets] and bits.shape == (len(n), op.WORDS)
+    for i, j in ((rng.randrange(len(n)), rng.randrange(len(n))) for _ in range(300)):
+        assert np.bitwise_count((bits[i] ^ bits[j]).view(np.uint64)).sum() <= len(sets[i] ^ sets[j])
+    made = []
+    monkeypatch.setattr(op, "written", lambda df, name, *a, f=op.written: made.append((name, f(df, name, *a))) or made[-1][1])
+    docs = spark.createDataFrame(list(enumerate(found)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in op.dedup(docs).collect() if r.text == "") == list(range(300, 320))
+    assert 20 <= {name: df.count() for name, df in made}["op4-rest"] + 20 < 2_000  # of 51,040 pairs
