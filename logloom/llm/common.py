@@ -43,6 +43,14 @@ def written(df: DataFrame, name: str, keep_shuffles: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def collected(spark: SparkSession) -> int:
+    """Let the executors' JVMs collect their garbage, so that heap they hold but don't use goes back to the system
+    before Python workers need it.  Returns the number of tasks that asked for it (twice as many as run at once,
+    so that each executor gets some)."""
+    n = 2 * spark.sparkContext.defaultParallelism
+    return spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')").alias("asked")).where("asked is not null").count()
+
+
 #: The columns of ``documents``, which stages work with; all others pass by them.
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -21,7 +23,17 @@ def forget() -> None:
     """Drop what this worker process keeps for tasks of other operators: Spark uses a process for one after the other."""
     for cached in _kept:
         cached.cache_clear()
+    trim()
+
+
+def trim() -> None:
+    """Give the memory that this worker process has freed, but still holds, back to the system."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only glibc has it
+        pass
 
 
 class Memory:

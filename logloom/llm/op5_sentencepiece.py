@@ -37,12 +37,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch_of, column, slices
-from .memory import Memory, kept_by_worker
+from .memory import Memory, forget, kept_by_worker
 
 SPACE = "▁"
 codecs.register_error("each_byte", lambda e: ("\ufffd", e.start + 1))  # one replacement for each byte that fits nowhere
 #: Units (in each of two generations) and compatibility answers a worker remembers.
 UNITS_KEPT = 400_000
+#: The same in the pipeline, whose executors also hold what the stages before have left.
+PIPELINE_UNITS_KEPT = 200_000
 PAIRS_KEPT = 200_000
 #: Longer units are encoded anew each time (the memories stay bounded in bytes).
 UNIT_CHARS = 24
@@ -57,7 +59,7 @@ _RUNS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 class PieceTable:
     """Encoder and decoder for one BPE model file with byte fallback."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = UNITS_KEPT):
         import ahocorasick
         from sentencepiece import sentencepiece_model_pb2
         model = sentencepiece_model_pb2.ModelProto()
@@ -99,7 +101,8 @@ class PieceTable:
         self.courses: dict[str, tuple] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.number = np.array([str(i) for i in range(len(self.pieces))], dtype=object)
-        self.units = Memory(self._entries, UNITS_KEPT, UNIT_CHARS)
+        self.kept = kept
+        self.units = Memory(self._entries, kept, UNIT_CHARS)
         # what an id adds to a text; a byte below 128 is a character of its own
         surface = [p.replace(SPACE, " ") for p in self.pieces]
         self.high = np.zeros(len(surface), dtype=bool)
@@ -201,7 +204,7 @@ class PieceTable:
         """The ids of a run that is not remembered."""
         found = array("i", self.ids_of(run)).tobytes()
         if len(run) <= UNIT_CHARS:
-            if len(self.runs) > UNITS_KEPT:
+            if len(self.runs) > self.kept:
                 self.runs = {}
             self.runs[run] = found
         return found
@@ -259,9 +262,11 @@ class PieceTable:
 
 
 @kept_by_worker
-def piece_table(path: str) -> PieceTable:
-    """One table for each worker process, so that later tasks find its memories filled."""
-    return PieceTable(path)
+def piece_table(path: str, kept: int = UNITS_KEPT) -> PieceTable:
+    """One table for each worker process, so that later tasks find its memories filled; what other operators
+    left in the process goes first."""
+    forget()
+    return PieceTable(path, kept)
 
 
 def encode_documents(docs: DataFrame, model: str, end_id: int | None = 2, text: str = "text",
@@ -289,14 +294,15 @@ def encode_documents(docs: DataFrame, model: str, end_id: int | None = 2, text:
 
 
 def digests(docs: DataFrame, model: str, end_id: int | None = 2, text: str = "text", key: str = "doc_id",
-            with_ids: bool = False) -> DataFrame:
+            with_ids: bool = False, kept: int = UNITS_KEPT) -> DataFrame:
     """key, n_tokens, ids_sha256, decoded_sha256 (and ids, an array): the digests of
-    ``encode_documents``, made in the same task so that decoded texts don't leave Python."""
+    ``encode_documents``, made in the same task so that decoded texts don't leave Python.
+    ``kept``: units that a worker remembers in each generation (a choice of memory, never of results)."""
     out = pa.schema([(key, pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()),
                      *([("ids", pa.list_(pa.int32()))] if with_ids else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = piece_table(model)
+        table = piece_table(model, kept)
         tail = np.array([] if end_id is None else [end_id], dtype=np.int32)
         for batch in slices(batches, "_text"):
             n, ids_sha, text_sha, every = [], [], [], []
@@ -325,4 +331,7 @@ def op5_sentencepiece(spark, sf_dir: str) -> DataFrame:
 def sentencepiece_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: doc_id, n_tokens, the digests and the ids of every document."""
     import public_tokenizers
-    return digests(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=True)
+
+    from .common import collected
+    collected(spark)
+    return digests(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=True, kept=PIPELINE_UNITS_KEPT)
