@@ -243,12 +243,13 @@ def line_components(docs: DataFrame, known: DataFrame, key: str = "doc_id", text
     """(id, root) of the lines that are linked to another line."""
     modulus = F.lit(str(1 << 64)).cast("decimal(20,0)")  # occurrences, then the smaller id, as one number that hash aggregation can keep
     rank = (F.col("n").cast("decimal(17,0)") * modulus - F.col("id").cast("decimal(20,0)")).cast("decimal(38,0)")
-    banded = known.select("id", rank.alias("rank"), F.explode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("band"))
-    # no band is gathered: its head, the line that occurs most (near copies are mostly nearer to it than to
-    # each other), is aggregated first, then joined to its rows
-    heads = banded.groupBy("band").agg(F.max("rank").alias("c"), F.count("*").alias("m")).where("m > 1")
-    heads = written(heads.select("band", F.pmod(-F.col("c"), modulus).cast("long").alias("c")), "op4-heads")
-    shared = written(banded.drop("rank").join(heads, "band"), "op4-shared")
+    banded = known.select("id", "n", F.explode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("band"))
+    # nearly all bands are met once, so only their numbers are counted; no band is gathered: its head, the line
+    # that occurs most (near copies are mostly nearer to it than to each other), is aggregated first, then joined to its rows
+    repeated = written(banded.groupBy("band").agg(F.count("*").alias("m")).where("m > 1").select("band"), "op4-bands")
+    met = written(banded.join(repeated, "band"), "op4-met")
+    heads = met.groupBy("band").agg(F.max(rank).alias("c")).select("band", F.pmod(-F.col("c"), modulus).cast("long").alias("c"))
+    shared = written(met.drop("n").join(heads, "band"), "op4-shared")
 
     # every line with the one that is the head of most of its bands
     tested = shared.where("id <> c").groupBy(F.col("id").alias("a")).agg(F.mode("c", True).alias("b"))  # of at most BANDS values
@@ -287,7 +288,6 @@ def dropped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the remaining lines as its text, and ``_lines`` and ``_kept`` (counts)."""
     gone = dropped(docs, key, text).select(F.col("doc").alias("_doc"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.col("places").alias("_places"))
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS // 10 else gone
     t1, t2 = _text_hashes(text)
     rows = docs.join(gone, F.col(key).cast("long").eqNullSafe(F.col("_doc")) & (t1 == F.col("_t1")) & (t2 == F.col("_t2")), "left")
     cut = F.split(F.col(text).cast("string"), "\n")
