@@ -65,3 +65,50 @@ def test_op4_bitmaps_lose_no_link_and_few_pairs_leave_the_join(spark, monkeypatc
     docs = spark.createDataFrame(list(enumerate(found)), "doc_id long, text string")
     assert sorted(r.doc_id for r in op.dedup(docs).collect() if r.text == "") == list(range(300, 320))
     assert 20 <= {name: df.count() for name, df in made}["op4-rest"] + 20 < 2_000  # of 51,040 pairs
+
+
+def test_op5_drops_what_other_operators_left_and_bounds_its_memory():
+    import public_tokenizers
+    from logloom.llm.memory import kept_by_worker
+    from logloom.llm.op5_sentencepiece import piece_table
+    made = []
+
+    @kept_by_worker
+    def index(name):
+        made.append(name)
+        return [name]
+
+    index("a")
+    table = piece_table(public_tokenizers.path("piece_bpe_32k.model"), 10)
+    index("a")
+    assert made == ["a", "a"]
+    words = [f"{x}{y}" for x in "abcdefghij" for y in "klmnopqrst"]
+    for word in words:
+        assert table.encode(word).tolist() == table.ids_of("▁" + word)
+    assert max(len(table.runs), len(table.units.young), len(table.units.old)) <= 12
+
+
+def test_sentencepiece_stage_lets_executors_collect_first(spark, monkeypatch):
+    from logloom.llm import common
+    from logloom.llm.op5_sentencepiece import sentencepiece_stage
+    asked = []
+    monkeypatch.setattr(common, "collected", lambda s, f=common.collected: asked.append(f(s)))
+    rows = sentencepiece_stage(spark, spark.createDataFrame([(1, "some words"), (2, None)], "doc_id long, text string"), None).collect()
+    assert asked == [2 * spark.sparkContext.defaultParallelism] and {r.doc_id: r.n_tokens == len(r.ids) for r in rows} == {1: True, 2: True}
+
+
+def test_op4_counts_bands_alone_and_leaves_the_last_join_to_spark(spark, monkeypatch):
+    """Of a band that is met once only its number is shuffled; no count of rows decides that texts stay where they are."""
+    from logloom.llm import op4_line_dedup as op
+    made = {}
+    monkeypatch.setattr(op, "written", lambda df, name, *a, f=op.written: made.setdefault(name, df) is None or f(df, name, *a))
+    docs = spark.createDataFrame([(i, f"a line that nearly all of these documents repeat, but for {i // 2}\nline {i} of its own") for i in range(20)], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = op.dedup(docs)
+        assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+        assert out.count() == 20
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert made["op4-bands"].columns == ["band"] and "max(" not in made["op4-bands"]._jdf.queryExecution().optimizedPlan().toString()
