@@ -87,10 +87,14 @@ def signature(col) -> Column:
     Tokens that contain ``<*>`` become ``<*>``; a ``<*>`` directly after a
     ``<*>`` is dropped.  Empty input gives ``''``.
     """
-    marked = F.regexp_replace(_c(col), TOKEN_CHAR + r"*<\*>" + TOKEN_CHAR + r"*", WILDCARD)
-    joined = F.concat(F.array_join(F.regexp_extract_all(marked, F.lit(TOKEN), 0), SEP), F.lit(SEP))
-    no_empty = F.regexp_replace(joined, "^" + SEP + "$", "")
-    return F.regexp_replace(no_empty, "(?:" + _WILD_RE + SEP + "){2,}", WILDCARD + SEP)
+    c = _c(col)
+
+    def joined(x):
+        return F.array_join(F.concat(F.regexp_extract_all(x, F.lit(TOKEN), 0), F.array(F.lit(""))), SEP)
+
+    marked = F.regexp_replace(c, TOKEN_CHAR + r"*<\*>" + TOKEN_CHAR + r"*", WILDCARD)
+    runs = F.regexp_replace(joined(marked), "(?:" + _WILD_RE + SEP + "){2,}", WILDCARD + SEP)
+    return F.when(F.contains(c, F.lit(WILDCARD)), runs).otherwise(joined(c))  # most messages hold no wildcard
 
 
 def group_token(col) -> Column:

@@ -13,8 +13,8 @@ template:
   that the fewest messages hold (tokens of the message exploded); a message that
   lacks another static token of the template goes before the pattern is tried.
 
-The residual test is one ``RLIKE`` of the message signature against the
-template's pattern.  The template side is broadcast only after its size has
+The residual test compares the message signature with the text around the template's
+wildcards; with more than two of them it is one ``RLIKE`` against the template's pattern.  The template side is broadcast only after its size has
 been measured; above the limit the same plan runs as a shuffled join and AQE
 splits hot blocks.  The winner per message is the most static tokens, then
 fewest wildcards, then static-before-wildcard position order, then the
@@ -28,7 +28,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.functions.text import (SEP, WILDCARD, keyed_signature, match_pattern, n_static, n_wild,
+from logloom.functions.text import (SEP, WILDCARD, group_token, keyed_signature, match_pattern, n_static, n_wild,
                                     sig_tokens, signature)
 from logloom.session import cut_lineage
 
@@ -48,10 +48,11 @@ def prepare_templates(templates: DataFrame, id_col: str = "template_id",
     Empty templates and the bare ``<*>`` are dropped (B11).  With
     ``group_col`` the dataset is the leading token of every template."""
     extra = [group_col] if group_col else []
-    t = templates.select(F.col(id_col).alias("template_id"), F.col(template_col).alias("template"), *extra)
-    t = t.withColumn("_base", signature("template"))
-    t = t.filter((F.col("_base") != "") & (F.col("_base") != WILDCARD + SEP))
-    t = t.withColumn("t_sig", keyed_signature("template", group_col) if group_col else F.col("_base")).drop("_base")
+    # exploded (one row a template, none if it is dropped): a filter would repeat the signature's regexes
+    kept = F.filter(F.array(signature(template_col)), lambda s: (s != "") & (s != WILDCARD + SEP))
+    t = templates.select(F.col(id_col).alias("template_id"), F.col(template_col).alias("template"), *extra, F.explode(kept).alias("t_sig"))
+    if group_col:
+        t = t.withColumn("t_sig", F.concat(group_token(group_col), F.lit(SEP), F.col("t_sig")))
     t = t.withColumn("t_tokens", sig_tokens("t_sig"))
     first_wild = F.array_position("t_tokens", WILDCARD)
     lead = F.when(first_wild == 0, F.size("t_tokens")).otherwise(first_wild - 1)
@@ -61,10 +62,32 @@ def prepare_templates(templates: DataFrame, id_col: str = "template_id",
          .withColumn("depth", F.least(lead, F.lit(BLOCK_DEPTH)).cast("int"))
          .withColumn("block_key", F.array_join(F.slice("t_tokens", 1, F.col("depth")), SEP))
          .withColumn("anchor", F.try_element_at(F.filter("t_tokens", lambda x: x != WILDCARD), F.lit(1)))
-         .withColumn("pattern", match_pattern("t_tokens")))
+         .withColumn("pattern", match_pattern("t_tokens"))
+         .withColumn("parts", F.split("t_sig", r"<\*>" + SEP, -1)))
     return t
 
 
+def stored_templates(templates: DataFrame, group_col: str | None = None) -> DataFrame:
+    """``prepare_templates``, computed once and written: the blocked join reads it several times."""
+    return cut_lineage(prepare_templates(templates, group_col=group_col), "match-templates")
+
+
+def _fits():
+    """The pattern's test of a signature against a prepared template's ``parts`` (the text before, between and after its wildcards).
+
+    A part ends with a separator or is empty, so up to two wildcards need no regex: the signature starts
+    with the first part, ends with the last one at a token's start, and the middle one stands between them at a
+    token's start.  With more wildcards the pattern decides, if the message holds every static token."""
+    sig, sep, first, last = F.col("sig"), F.lit(SEP), F.get("parts", F.lit(0)), F.get("parts", F.col("n_wild"))
+    between = F.length(sig) - F.length(first) - F.length(last)
+    middle = F.substring(sig, F.length(first) + 1, between)
+    rest = (F.size(F.array_except("t_tokens", F.concat(sig_tokens(sig), F.array(F.lit(WILDCARD))))) == 0) & F.rlike(sig, F.col("pattern"))
+    inner = (F.when(F.col("n_wild") == 1, F.lit(True)).when(F.col("n_wild") == 2, F.contains(F.concat(sep, middle), F.concat(sep, F.get("parts", F.lit(1)))))
+             .otherwise(rest))
+    wild = (between >= 0) & F.endswith(F.concat(sep, sig), F.concat(sep, last)) & inner
+    return F.startswith(sig, first) & F.when(F.col("n_wild") == 0, sig == first).otherwise(wild)
+
+
 def _size_checked(df: DataFrame, limit: int | None = None) -> bool:
     limit = BROADCAST_BYTES if limit is None else limit
     row = df.agg(F.count("*").alias("n"),
@@ -83,35 +106,44 @@ def token_counts(sigs: DataFrame) -> DataFrame:
     return sigs.select(F.explode(F.array_distinct(sig_tokens("sig"))).alias("tok")).groupBy("tok").agg(F.count("*").alias("n"))
 
 
-def corpus_anchors(tp: DataFrame, sigs: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+def frequent_tokens(counts: DataFrame) -> DataFrame:
+    """The ``COMMON_TOKENS`` tokens that the most signatures hold: tok, n."""
+    return cut_lineage(counts.orderBy(F.col("n").desc()).limit(COMMON_TOKENS), "frequent-tokens")
+
+
+def corpus_anchors(tp: DataFrame, sigs: DataFrame, counts: DataFrame | None = None, frequent: DataFrame | None = None) -> DataFrame:
     """The inverted index's keys: each prepared template's ``anchor`` is its corpus-rarest static
     token (the fewest signatures hold it; ties: the smaller token).
 
-    A token that no signature holds is rarest of all and gives no candidate.  ``counts``: ``token_counts(sigs)``, if
-    it was made before.  The column ``held`` is the number of signatures that hold the anchor."""
-    owned = tp.select("template_id", "t_sig", F.explode(F.array_distinct(F.filter("t_tokens", lambda x: x != WILDCARD))).alias("tok"))
-    owned = cut_lineage(owned, "template-tokens")
-    counts = token_counts(sigs) if counts is None else counts
+    A token that no signature holds is rarest of all and gives no candidate.  ``counts`` and ``frequent``: ``token_counts(sigs)``
+    and its ``frequent_tokens``, if they were made before.  Frequent tokens get their counts in the template's task, where all
+    of a template make one row; only the others are shuffled.  The column ``held`` is the number of signatures that hold the anchor."""
+    counts = cut_lineage(token_counts(sigs), "token-counts") if counts is None else counts
+    frequent = frequent_tokens(counts) if frequent is None else frequent
+    owned = tp.select("template_id", "t_sig", F.explode(F.array_distinct(F.array_remove("t_tokens", WILDCARD))).alias("tok"))
+    near = owned.join(F.broadcast(frequent), "tok")
+    far = owned.join(F.broadcast(frequent.select("tok")), "tok", "left_anti").join(counts, "tok", "left")
     rank = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "tok")
-    rarest = owned.join(counts, "tok", "left").groupBy("template_id", "t_sig").agg(F.min(rank).alias("r"))
+    rarest = near.unionByName(far).groupBy("template_id", "t_sig").agg(F.min(rank).alias("r"))
     rarest = rarest.select("template_id", "t_sig", F.col("r.tok").alias("anchor"), F.col("r.n").alias("held"))
     return tp.drop("anchor").join(rarest, ["template_id", "t_sig"], "left")
 
 
 def all_matches(sigs: DataFrame, tp: DataFrame, carry=(), broadcast: bool | None = None) -> DataFrame:
-    """C1 for distinct signatures and prepared templates: a row (sig, template_id, template, n_static,
+    """C1 for distinct signatures and prepared templates (stored, if they are many): a row (sig, template_id, template, n_static,
     n_wild, wild_flags, pattern and the template columns ``carry``) for every match."""
-    tp = tp.select("template_id", "template", "t_sig", "t_tokens", "n_static", "n_wild", "wild_flags", "depth", "block_key", "pattern", "anchor", *carry)
-    crowd = tp.filter(F.col("depth") > 0).groupBy("depth", "block_key").agg(F.count("*").alias("crowd"))
-    tp = cut_lineage(tp.join(crowd, ["depth", "block_key"], "left"), "match-templates")
-    by_key = (F.col("depth") > 0) & (F.col("crowd") <= CROWDED)
-    keyed = tp.filter(by_key)
-    loose = tp.filter(F.coalesce(~by_key, F.lit(True)))
+    tp = tp.select("template_id", "template", "t_sig", "t_tokens", "n_static", "n_wild", "wild_flags", "depth", "block_key", "pattern", "parts", "anchor", *carry)
+    led = tp.filter(F.col("depth") > 0)
+    block = ["depth", "block_key"]
+    crowded = led.groupBy(*block).agg(F.count("*").alias("crowd")).filter(F.col("crowd") > CROWDED).select(*block)
+    crowded = cut_lineage(crowded, "crowded-keys")
+    keyed = led.join(crowded, block, "left_anti")
+    loose = tp.filter(F.col("depth") == 0).unionByName(led.join(crowded, block, "left_semi").select(*tp.columns))
     depths = sorted(r["depth"] for r in keyed.select("depth").distinct().collect())
     if broadcast is None:
         broadcast = _size_checked(tp)
     keys = sigs.select("sig").filter(F.col("sig") != "")
-    cols = ["sig", "template_id", "template", "t_tokens", "n_static", "n_wild", "wild_flags", "pattern", *carry]
+    cols = ["sig", "template_id", "template", "n_static", "n_wild", "wild_flags", "pattern", *carry]
     cand = []
     if depths:
         size = F.size("m_tokens")
@@ -120,29 +152,45 @@ def all_matches(sigs: DataFrame, tp: DataFrame, carry=(), broadcast: bool | None
             lambda e: e.isNotNull())).alias("m"))
         a = a.select("sig", F.col("m.d").alias("m_depth"), F.col("m.k").alias("m_key"))
         side = F.broadcast(keyed) if broadcast else keyed
-        cand.append(a.join(side, (a["m_depth"] == side["depth"]) & (a["m_key"] == side["block_key"]), "inner").select(*cols))
+        cand.append(a.join(side, (a["m_depth"] == side["depth"]) & (a["m_key"] == side["block_key"]), "inner").filter(_fits()).select(*cols))
     if not loose.isEmpty():
         counts = cut_lineage(token_counts(keys), "token-counts")
-        loose = cut_lineage(corpus_anchors(loose, keys, counts), "anchored")
+        frequent = frequent_tokens(counts)
+        loose = cut_lineage(corpus_anchors(loose, keys, counts, frequent), "anchored")
         b = keys.select("sig", F.explode(F.array_distinct(sig_tokens("sig"))).alias("m_tok"))
         hot = loose.filter(F.col("held") > HOT_ANCHOR)
         sides = [F.broadcast(loose)]
         if not broadcast:
             few_hot = hot.limit(HOT_TEMPLATES + 1).count() <= HOT_TEMPLATES
             rest = loose.filter(F.coalesce(F.col("held") <= HOT_ANCHOR, F.lit(True))) if few_hot else loose
-            common = counts.join(rest.select(F.col("anchor").alias("tok")), "tok", "left_anti").orderBy(F.col("n").desc()).limit(COMMON_TOKENS)
+            least = frequent.agg(F.min("n")).first()[0] or 0  # an anchor that is frequent is held as often
+            common = frequent.join(rest.filter(F.col("held") >= least).select(F.col("anchor").alias("tok")), "tok", "left_anti")
             common = cut_lineage(common.select(F.col("tok").alias("m_tok")), "common-tokens")
             sides = [rest, F.broadcast(hot)] if few_hot else [rest]
         for i, side in enumerate(sides):
             left = b if broadcast or i else b.join(F.broadcast(common), "m_tok", "left_anti")
-            jb = left.join(side, left["m_tok"] == side["anchor"], "inner")
-            jb = jb.filter(F.size(F.array_except(F.filter("t_tokens", lambda x: x != WILDCARD), sig_tokens("sig"))) == 0)
-            cand.append(jb.select(*cols))
+            cand.append(left.join(side, left["m_tok"] == side["anchor"], "inner").filter(_fits()).select(*cols))
     if not cand:
-        return keys.join(tp.limit(0), F.lit(False)).select(*[c for c in cols if c != "t_tokens"])
-    cand = reduce(DataFrame.unionByName, cand).withColumn("m_size", F.size(sig_tokens("sig")))
-    fits = (F.col("m_size") >= F.col("n_static")) & F.rlike(F.col("sig"), F.col("pattern"))
-    return cand.filter(fits).drop("m_size", "t_tokens")
+        return keys.join(tp.limit(0), F.lit(False)).select(*cols)
+    return reduce(DataFrame.unionByName, cand)
+
+
+def _winners(sigs: DataFrame, tp: DataFrame, broadcast: bool | None, with_params: bool) -> DataFrame:
+    """E2 for distinct signatures that match: ``_h`` (the signature's hash; rows are sorted by it, as many signatures begin
+    alike), sig, template_id, template and, with ``with_params``, params."""
+    cand = all_matches(sigs, tp, broadcast=broadcast).withColumn("_h", F.xxhash64("sig"))
+    rank = F.struct((-F.col("n_static")).alias("a"), F.col("n_wild").alias("b"),
+                    F.col("wild_flags").alias("c"), F.col("template_id").alias("d"))
+    wanted = ["template_id", "template", *(["pattern"] if with_params else [])]
+    win = cand.groupBy("_h", "sig").agg(F.min_by(F.struct(*wanted), rank).alias("w"))
+    win = win.select("_h", "sig", *[f"w.{c}" for c in wanted])
+    if with_params:
+        win = win.withColumn("params", match_params("sig", "pattern"))
+    return win.drop("pattern")
+
+
+def _with_winners(rows: DataFrame, win: DataFrame) -> DataFrame:
+    return rows.withColumn("_h", F.xxhash64("sig")).join(win, ["_h", "sig"], "left").drop("_h")
 
 
 def best_match(sigs: DataFrame, templates: DataFrame, prepared: bool = False,
@@ -153,17 +201,8 @@ def best_match(sigs: DataFrame, templates: DataFrame, prepared: bool = False,
     ``sigs`` plus ``template_id``, ``template`` (NULL when nothing matches)
     and, with ``with_params``, ``params`` (G27).
     """
-    tp = templates if prepared else prepare_templates(templates, group_col=group_col)
-    cand = all_matches(sigs, tp, broadcast=broadcast)
-    rank = F.struct((-F.col("n_static")).alias("a"), F.col("n_wild").alias("b"),
-                    F.col("wild_flags").alias("c"), F.col("template_id").alias("d"))
-    wanted = ["template_id", "template", *(["pattern"] if with_params else [])]
-    win = cand.groupBy("sig").agg(F.min_by(F.struct(*wanted), rank).alias("w"))
-    win = win.select("sig", *[f"w.{c}" for c in wanted])
-    if with_params:
-        win = win.withColumn("params", match_params("sig", "pattern"))
-    win = win.drop("pattern")
-    return sigs.join(win, "sig", "left")
+    tp = templates if prepared else stored_templates(templates, group_col)
+    return _with_winners(sigs, _winners(sigs, tp, broadcast, with_params))
 
 
 def match_params(sig_col: str, pattern_col: str):
@@ -277,14 +316,14 @@ def match_messages(df: DataFrame, templates: DataFrame, content_col: str = "Cont
     (map-side partial aggregate) -> blocked join -> join back to the lines,
     left to AQE (broadcast when the matched table is small at run time,
     else a shuffled join with skew splitting)."""
+    tp = stored_templates(templates, group_col)
     if mode in ("auto", "map"):
-        out = match_lines(df, templates, content_col, with_params, group_col=group_col)
+        out = match_lines(df, tp, content_col, with_params, prepared=True, group_col=group_col)
         if out is not None:
             return out
     x = df.withColumn("sig", keyed_signature(content_col, group_col))
     sigs = cut_lineage(x.groupBy("sig").agg(F.count("*").alias("_n")).select("sig"), "signatures")  # read several times
-    best = best_match(sigs, templates, with_params=with_params, group_col=group_col)
-    return x.join(best, "sig", "left")
+    return _with_winners(x, _winners(sigs, tp, None, with_params))
 
 
 def unmatched(matched: DataFrame) -> DataFrame:

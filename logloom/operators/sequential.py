@@ -94,7 +94,7 @@ def parse_sequential(lines: DataFrame, templates: DataFrame | None = None, conte
     sigs = signatures(lines, content_col, order_col, group_col).withColumn("rule", propose_template(F.col("rep_content")))
     sigs = cut_lineage(sigs.withColumn("path", keyed_signature("rule", group_col)).select(*G, "sig", "first_line", "rule", "path"), "seq-signatures")
     possible = cut_lineage(possible_templates(sigs, group_col, templates), "seq-templates")
-    prepared = prepare_templates(possible, id_col="pid", group_col=group_col)
+    prepared = cut_lineage(prepare_templates(possible, id_col="pid", group_col=group_col), "match-templates")
     found = all_matches(sigs.select("sig"), prepared).groupBy("sig").agg(F.array_sort(F.collect_set("template_id")).alias("matches"))
     none = F.array().cast("array<bigint>")
     sets = (sigs.join(found, "sig", "left").join(possible.select("path", "pid"), "path", "left")

@@ -129,3 +129,43 @@ def test_distinct_mode_params_equal_map_mode(spark):
     b = {r["LineId"]: (r["template_id"], None if r["params"] is None else list(r["params"]))
          for r in matching.match_messages(msgs, tpl, with_params=True, mode="distinct").collect()}
     assert a == b
+
+
+def test_large_template_tables_are_prepared_once(spark):
+    """The join over distinct signatures reads the prepared templates several times; their texts are read once."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(it):
+        for pdf in it:
+            read.add(len(pdf))
+            yield pdf
+
+    msgs = spark.createDataFrame([(i, m) for i, m in enumerate(MESSAGES)], "LineId long, Content string")
+    tpl = spark.createDataFrame(TEMPLATES, "template_id long, template string").mapInPandas(counted, "template_id long, template string")
+    got = {r["LineId"]: r["template_id"] for r in matching.match_messages(msgs, tpl, mode="distinct").collect()}
+    assert got == {i: brute_best(m) for i, m in enumerate(MESSAGES)}
+    assert read.value == len(TEMPLATES)
+
+
+def test_parts_decide_as_the_pattern_does(spark):
+    """Every signature of a few tokens against every template of a few: the text around the wildcards and the regex agree."""
+    import itertools
+    texts = [" ".join(w) for n in range(1, 6) for w in itertools.product(["a", "aa", "<*>"], repeat=n)]
+    tp = matching.prepare_templates(spark.createDataFrame(list(enumerate(texts)), "template_id long, template string"))
+    words = ["a", "aa", "b"]
+    msgs = spark.createDataFrame([(" ".join(w),) for n in range(6) for w in itertools.product(words, repeat=n)], "m string")
+    both = msgs.select(T.signature("m").alias("sig")).distinct().crossJoin(F.broadcast(tp.dropDuplicates(["t_sig"])))
+    row = both.select(matching._fits().alias("f"), F.rlike("sig", "pattern").alias("r")).agg(
+        F.count_if(F.col("f") != F.col("r")).alias("wrong"), F.count_if("f").alias("fit"), F.count("f").alias("n"), F.count("*").alias("all")).first()
+    assert row.wrong == 0 and row.fit > 1000 and row.n == row["all"]
+
+
+def test_signature_equals_its_regexes(spark):
+    """Signatures of texts with and without wildcards, empty ones, separators inside and runs of wildcards."""
+    texts = ["", None, " ", "a", "a b=c(d)", "<*>", "<*> <*> x<*>y z", "a\x1fb \x1f", "\x1f", "= <*>=<*>", "<*", "!<*>!", "café  x", "x\n<*>\n<*> y"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    marked = F.regexp_replace("t", T.TOKEN_CHAR + r"*<\*>" + T.TOKEN_CHAR + r"*", T.WILDCARD)
+    joined = F.concat(F.array_join(F.regexp_extract_all(marked, F.lit(T.TOKEN), 0), T.SEP), F.lit(T.SEP))
+    old = F.regexp_replace(F.regexp_replace(joined, "^" + T.SEP + "$", ""), "(?:<\\*>" + T.SEP + "){2,}", T.WILDCARD + T.SEP)
+    for r in df.select("t", T.signature("t").alias("new"), old.alias("old")).collect():
+        assert r.new == r.old, r.t
