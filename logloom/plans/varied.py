@@ -221,41 +221,44 @@ FOLDER_LINES = 500 * FILE_LINES
 
 
 def _write_files(path: str):
-    """A function for ``mapInPandas`` over (place, value), sorted by place in each task: every ``FILE_LINES`` places make
+    """A function for ``mapInArrow`` over (place, value), sorted by place in each task: every ``FILE_LINES`` places make
     a file, whole or not there.  The result is a row a file; a task that runs again writes the same files."""
     import uuid
 
-    import pandas as pd
+    import pyarrow as pa
     from pyarrow import fs as pafs
     lines, files = FILE_LINES, FOLDER_LINES // FILE_LINES
 
-    def store(fs, base, number, part):
-        folder = f"{base}/folder={number // files:012d}"
-        fs.create_dir(folder, recursive=True)
-        at = f"{folder}/.{number:014d}-{uuid.uuid4().hex}"
-        with fs.open_output_stream(at) as f:
-            f.write("".join(("" if v is None else v) + "\n" for v in part).encode())
-        fs.move(at, f"{folder}/{number:014d}.txt")
-        return number
-
     uri = path if "://" in path or path.startswith("file:") else "file://" + path
     fs, base = pafs.FileSystem.from_uri(uri)
     fs.create_dir(base, recursive=True)  # a log without lines is an empty folder
 
     def fn(it):
         fs, base = pafs.FileSystem.from_uri(uri)
+        task, folder = uuid.uuid4().hex, None
+
+        def store(number, part):
+            nonlocal folder
+            if folder != (folder := f"{base}/folder={number // files:012d}"):
+                fs.create_dir(folder, recursive=True)
+            at = f"{folder}/.{number:014d}-{task}"
+            with fs.open_output_stream(at) as f:
+                f.write("".join(("" if v is None else v) + "\n" for v in part).encode())
+            fs.move(at, f"{folder}/{number:014d}.txt")
+            return number
+
         number, part = None, []
-        for pdf in it:
+        for batch in it:
             done = []
-            for n, value in zip((pdf["place"] // lines).tolist(), pdf["value"].tolist()):
-                if n != number and part:
-                    done.append(store(fs, base, number, part))
+            for place, value in zip(batch.column("place").to_pylist(), batch.column("value").to_pylist()):
+                if place // lines != number and part:
+                    done.append(store(number, part))
                     part = []
-                number = n
+                number = place // lines
                 part.append(value)
-            yield pd.DataFrame({"file": done})
+            yield pa.record_batch({"file": pa.array(done, pa.int64())})
         if part:
-            yield pd.DataFrame({"file": [store(fs, base, number, part)]})
+            yield pa.record_batch({"file": pa.array([store(number, part)], pa.int64())})
     return fn
 
 
@@ -263,7 +266,7 @@ def read_many_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A2 + B1: the varied log written as one text file for every ten lines, read back with consecutive line numbers.
 
     The lines get their places by ranges, and a task writes the files of whole folders of ``FOLDER_LINES`` lines;
-    folders and files have their lines' order."""
+    folders and files have their lines' order.  They are read by tasks that get whole runs of files."""
     from logloom.session import ranked, scratch_path
     from logloom.sources import formats
     path = scratch_path(spark, "manyfiles")
@@ -272,8 +275,8 @@ def read_many_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = F.floor(F.col("place") / FOLDER_LINES)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = placed.repartition(tasks, folder).sortWithinPartitions("place").select("place", "value")
-    placed.mapInPandas(_write_files(path), "file long").write.format("noop").mode("overwrite").save()
-    return formats.read_raw_logs(spark, path, "<Component>: <Content>").select("LineId", "Content")
+    placed.mapInArrow(_write_files(path), "file long").write.format("noop").mode("overwrite").save()
+    return formats.read_raw_logs(spark, path, "<Component>: <Content>", small_files=True).select("LineId", "Content")
 
 
 QUERIES["read_many_files"] = (read_many_files, f"WITH {V} SELECT LineId, Content FROM v")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -155,15 +157,142 @@ def consecutive_ids(df: DataFrame, name: str = "LineId", order_cols=None) -> Dat
     return out.drop("_mid", "_m0", "_off", *(["_pid"] if not order_cols else []))
 
 
-def read_raw_logs(spark: SparkSession, paths, log_format: str, with_line_ids: bool = True) -> DataFrame:
+#: Files up to which one row of the list of small files names them; the files of a row are read by one task.
+RUN_FILES = 500
+#: Bytes of a file that are read at a time, and lines of a batch.
+READ_BYTES, READ_LINES = 4 << 20, 10_000
+#: Names that Spark decompresses and Arrow does not.
+_OTHER_CODECS = (".deflate", ".snappy", ".lz4")
+
+
+def _files_and_folders():
+    """A function for ``mapInArrow`` over (path): the path's folders (path) and, as lists of names, its files (base, names), both in
+    the order of their paths; a list ends where a folder comes between its files.  Files that Spark hides are left out."""
+    import pyarrow as pa
+    from pyarrow import fs as pafs
+    limit = RUN_FILES
+    schema = pa.schema([("path", pa.string()), ("base", pa.string()), ("names", pa.list_(pa.string()))])
+
+    def hidden(name):
+        return name.startswith(".") or name.endswith("._COPYING_") or name.startswith("_") and "=" not in name
+
+    def listed(uri):
+        fs, base = pafs.FileSystem.from_uri(uri)
+        top = fs.get_file_info(base)
+        if top.type == pafs.FileType.NotFound:
+            raise FileNotFoundError(uri)
+        if top.type == pafs.FileType.File:
+            yield None, uri[:-len(top.base_name)].rstrip("/"), [top.base_name]
+            return
+        found = [(x.base_name, x.type == pafs.FileType.Directory) for x in fs.get_file_info(pafs.FileSelector(base))]
+        names, uri = [], uri.rstrip("/")
+        for name, folder in sorted((x for x in found if not hidden(x[0])), key=lambda x: (x[0] + "/" * x[1]).encode()):
+            if names and (folder or len(names) == limit):
+                yield None, uri, names
+                names = []
+            if folder:
+                yield f"{uri}/{name}", None, None
+            else:
+                names.append(name)
+        if names:
+            yield None, uri, names
+
+    def fn(it):
+        for batch in it:
+            for uri in batch.column("path").to_pylist():
+                rows = []
+                for row in listed(uri):
+                    rows.append(row)
+                    if len(rows) == 100:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                        rows = []
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+    return fn, "path string, base string, names array<string>"
+
+
+def _lines_of_files():
+    """A function for ``mapInArrow`` over (base, names): the lines (value) of the files, in order, and the path of the first of the files
+    (_run).  Lines end as in ``spark.read.text``, bytes stay as they are, a byte order mark goes."""
+    import pyarrow as pa
+    from pyarrow import fs as pafs
+    size, most, others = READ_BYTES, READ_LINES, _OTHER_CODECS
+    schema = pa.schema([("value", pa.string()), ("_run", pa.string())])
+
+    def blocks(fs, path):
+        """The file's lines, a list for each block."""
+        if path.endswith(others):
+            raise ValueError(f"small files are read as they are, or from gz, bz2 and zst: {path}")
+        with fs.open_input_stream(path) as f:
+            data = f.read(size)
+            data, rest = data.removeprefix(b"\xef\xbb\xbf"), []
+            while len(data) and (more := f.read(size)):  # up to the last line feed; what follows begins the next block
+                cut = data.rfind(b"\n") + 1
+                rest.append(data[:cut] if cut else data)
+                if cut:
+                    yield b"".join(rest).splitlines()
+                    rest = [data[cut:]]
+                data = more
+            yield b"".join([*rest, data]).splitlines()
+
+    def made(lines, run):
+        value = pa.array(lines, pa.binary()).view(pa.string())
+        return pa.RecordBatch.from_arrays([value, pa.array([run] * len(lines), pa.string())], schema=schema)
+
+    def fn(it):
+        for batch in it:
+            for uri, names in zip(batch.column("base").to_pylist(), batch.column("names").to_pylist()):
+                fs, base = pafs.FileSystem.from_uri(uri)
+                run, lines, held = f"{uri}/{names[0]}", [], 0
+                for name in names:
+                    for block in blocks(fs, f"{base}/{name}"):
+                        lines += block
+                        held += sum(map(len, block))
+                        if len(lines) >= most or held >= size:
+                            yield made(lines, run)
+                            lines, held = [], 0
+                if lines:
+                    yield made(lines, run)
+    return fn, "value string, _run string"
+
+
+def small_file_lines(spark: SparkSession, paths) -> DataFrame:
+    """The lines (value) of all files below the folders (or files) ``paths``, and ``_run``: files that follow each other in a folder make
+    runs of up to ``RUN_FILES``, named by the path of the first.  Runs in the order of ``_run``, and lines in a run as they are read,
+    have the order of the files' paths.
+
+    For millions of small files: Spark's file sources hold every file in the driver and open few in a task, each with a
+    reader of its own.  Here folders are listed level by level and runs are read by tasks dealt evenly; the driver gets counts only."""
+    from logloom.session import cut_lineage, spread
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    uris = [p if "://" in p or p.startswith("file:") else os.path.abspath(p) for p in paths]
+    level, found = spark.createDataFrame([(u,) for u in uris], "path string"), []
+    while True:
+        fn, schema = _files_and_folders()
+        rows = cut_lineage(spread(level).mapInArrow(fn, schema), f"files-level-{len(found)}")
+        found.append(rows.filter("names is not null").select("base", "names"))
+        level = rows.filter("path is not null").select("path")
+        if level.isEmpty():
+            break
+    fn, schema = _lines_of_files()
+    return spread(reduce(DataFrame.unionByName, found)).mapInArrow(fn, schema)
+
+
+def read_raw_logs(spark: SparkSession, paths, log_format: str, with_line_ids: bool = True, small_files: bool = False) -> DataFrame:
     """A2 + B1: ``spark.read.text`` -> header columns -> consecutive LineId in
-    (file path, split start, position) order."""
-    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("_file"),
-                                          F.col("_metadata.file_block_start").alias("_block"))
+    (file path, split start, position) order.
+
+    With ``small_files`` the files are listed and read by tasks that get many of them (``small_file_lines``; ``paths`` are folders or
+    files on a file system that Arrow reads)."""
+    if small_files:
+        lines, order = small_file_lines(spark, paths), ["_run"]
+    else:
+        lines, order = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("_file"),
+                                                     F.col("_metadata.file_block_start").alias("_block")), ["_file", "_block"]
     parsed = split_headers(lines, log_format).drop("value")
     if not with_line_ids:
-        return parsed.drop("_file", "_block")
-    return consecutive_ids(parsed, order_cols=["_file", "_block"]).drop("_file", "_block")
+        return parsed.drop(*order)
+    return consecutive_ids(parsed, order_cols=order).drop(*order)
 
 
 def formalize_messages(lines: DataFrame, log_format: str, line_col: str = "value") -> DataFrame:

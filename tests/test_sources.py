@@ -122,3 +122,51 @@ def test_lines_are_split_once(spark):
         assert {r.i: tuple(r[h] for h in headers) for r in got.collect()} == exp
         every = {r.i: (r.matched, tuple(r[h] for h in headers)) for r in formats.split_headers(df, fmt, keep_unmatched=True).collect()}
         assert every == {i: (i in exp, exp.get(i, ("",) * len(headers))) for i in range(len(texts))}
+
+
+def test_many_files_need_few_tasks(spark, tmp_path, monkeypatch):
+    """However little Spark puts into a task of its file sources, hundreds of small files are read by few tasks."""
+    from logloom import session
+    from logloom.plans import varied
+    monkeypatch.setattr(session, "scratch_path", lambda spark, name: str(tmp_path / name))
+    spark.range(2000).selectExpr("id AS event_id", "id AS user_id", "'{\"k\": 3}' AS props").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    sc, conf, most = spark.sparkContext, "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set(conf, "4m")  # the cost of opening a file
+    sc.setJobGroup("many-files", "")
+    try:
+        assert varied.read_many_files(spark, str(tmp_path)).count() == 2000
+    finally:
+        spark.conf.set(conf, most)
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    seen = sc.statusTracker()
+    stages = [seen.getStageInfo(i) for job in seen.getJobIdsForGroup("many-files") for i in seen.getJobInfo(job).stageIds]
+    assert 0 < max(x.numTasks for x in stages if x) <= 50
+
+
+def test_small_files_hold_the_lines_of_the_text_source(spark, tmp_path, monkeypatch):
+    """Line ends, marks, hidden and packed files, folders between files, lists of two files and blocks of five bytes."""
+    import gzip
+    import os
+    texts = {"b.txt": b"one\ntwo\r\nthree\rfour", "b/x.txt": b"\n\n \n", "b-c/y.txt": b"\xef\xbb\xbfmark\n\xef\xbb\xbfno mark\n", "c.txt": b"", "a b/z%20.txt": b"sp\n",
+             "c1.txt": b"caf\xc3\xa9 \xff bytes\r\r\n", "c2.txt": b"a\x00b\x1fc\xe2\x80\xa8d\x0ce\n", "c3.txt": b"long " * 20 + b"\r" + b"x" * 30 + b"\nend\r",
+             "d/e/f/deep.txt": b"deep\n", ".hidden": b"no\n", "_SUCCESS": b"no\n", "d/_tmp/n.txt": b"no\n", "k=1/.crc": b"no\n", "_k=1/p.txt": b"yes\n", "g.txt.gz": gzip.compress(b"packed\nlines\n")}
+    root = tmp_path / "logs"
+    for name, data in texts.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(data)
+    hidden = {".hidden", "_SUCCESS", "d/_tmp/n.txt", "k=1/.crc"}
+    packed = {"g.txt.gz": b"packed\nlines\n"}
+    exp = [line for name in sorted(set(texts) - hidden, key=lambda n: os.path.join(str(root), n).encode())
+           for line in packed.get(name, texts[name]).removeprefix(b"\xef\xbb\xbf").splitlines()]
+    paths = [str(root / n) for n in os.listdir(root) if n not in hidden]
+    text = sorted(bytes(r.b) for p in paths for r in spark.read.option("recursiveFileLookup", True).text(p.replace("%", "%25")).selectExpr("cast(value AS binary) AS b").collect())
+    for run, size, lines in ((500, 4 << 20, 10_000), (2, 5, 3)):
+        monkeypatch.setattr(formats, "RUN_FILES", run)
+        monkeypatch.setattr(formats, "READ_BYTES", size)
+        monkeypatch.setattr(formats, "READ_LINES", lines)
+        got = formats.consecutive_ids(formats.small_file_lines(spark, str(root)), order_cols=["_run"])
+        rows = got.selectExpr("LineId", "cast(value AS binary) AS b").orderBy("LineId").collect()
+        assert [r.LineId for r in rows] == list(range(1, len(exp) + 1))
+        assert [bytes(r.b) for r in rows] == exp and sorted(exp) == text
+    ids = formats.read_raw_logs(spark, [str(root / "b.txt"), str(root / "b")], "<W>", small_files=True)
+    assert [(r.LineId, r.W) for r in ids.orderBy("LineId").collect()] == [(1, "one"), (2, "two"), (3, "three"), (4, "four"), (5, ""), (6, ""), (7, "")]
