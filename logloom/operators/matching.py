@@ -129,6 +129,28 @@ def corpus_anchors(tp: DataFrame, sigs: DataFrame, counts: DataFrame | None = No
     return tp.drop("anchor").join(rarest, ["template_id", "t_sig"], "left")
 
 
+# Bits for each anchor in the map of their hashes, the most 64-bit words of the map (32 MiB, broadcast), and words a row.
+ANCHOR_BITS, ANCHOR_WORDS, ROW_WORDS = 16, 1 << 22, 1 << 10
+
+
+def held_by_anchors(tokens: DataFrame, anchors: DataFrame) -> DataFrame:
+    """The rows of ``tokens`` (m_tok) whose token may be one of ``anchors`` (anchor): all that are, and the few others whose hash
+    falls on an anchor's bit.  The tokens are not shuffled for it."""
+    words, n = ROW_WORDS, anchors.count()
+    while words < ANCHOR_WORDS and words * 64 < n * ANCHOR_BITS:
+        words *= 2
+    bit = lambda c: F.xxhash64(c).bitwiseAND(words * 64 - 1)
+    place = lambda c: bit(c).bitwiseAND(63).cast("int")
+    ones = anchors.select(F.shiftright(bit("anchor"), 6).alias("id"), F.call_function("shiftleft", F.lit(1).cast("long"), place("anchor")).alias("bits"))
+    ones = ones.groupBy("id").agg(F.bit_or("bits").alias("bits"))
+    every = tokens.sparkSession.range(words).join(ones, "id", "left").select("id", F.coalesce("bits", F.lit(0)).alias("bits"))
+    rows = every.groupBy(F.floor(F.col("id") / ROW_WORDS).alias("_row")).agg(F.array_sort(F.collect_list(F.struct("id", "bits")))["bits"].alias("_bits"))
+    rows = cut_lineage(rows, "anchor-bits")
+    word = F.shiftright(bit("m_tok"), 6)
+    taken = F.call_function("shiftright", F.get("_bits", word.bitwiseAND(ROW_WORDS - 1).cast("int")), place("m_tok")).bitwiseAND(1) == 1
+    return tokens.join(F.broadcast(rows), (F.col("_row") == F.floor(word / ROW_WORDS)) & taken).select(*tokens.columns)
+
+
 def all_matches(sigs: DataFrame, tp: DataFrame, carry=(), broadcast: bool | None = None) -> DataFrame:
     """C1 for distinct signatures and prepared templates (stored, if they are many): a row (sig, template_id, template, n_static,
     n_wild, wild_flags, pattern and the template columns ``carry``) for every match."""
@@ -168,7 +190,7 @@ def all_matches(sigs: DataFrame, tp: DataFrame, carry=(), broadcast: bool | None
             common = cut_lineage(common.select(F.col("tok").alias("m_tok")), "common-tokens")
             sides = [rest, F.broadcast(hot)] if few_hot else [rest]
         for i, side in enumerate(sides):
-            left = b if broadcast or i else b.join(F.broadcast(common), "m_tok", "left_anti")
+            left = b if broadcast or i else held_by_anchors(b.join(F.broadcast(common), "m_tok", "left_anti"), rest.select("anchor"))
             cand.append(left.join(side, left["m_tok"] == side["anchor"], "inner").filter(_fits()).select(*cols))
     if not cand:
         return keys.join(tp.limit(0), F.lit(False)).select(*cols)

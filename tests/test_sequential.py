@@ -110,3 +110,14 @@ def test_tokens_that_are_no_anchor_are_not_joined(spark, monkeypatch):
         got = {r["sig"]: r["template_id"] for r in matching.best_match(sigs, tpl, broadcast=False).collect()}
         assert got == exp
     assert dict(names)["common-tokens"] > 0
+
+
+def test_tokens_held_by_anchors(spark, monkeypatch):
+    """Every token that is an anchor stays, few others do, at any size of the map of hashes."""
+    tokens = spark.range(20_000).selectExpr("concat('t', id) AS m_tok", "id")
+    anchors = spark.range(0, 20_000, 10).selectExpr("concat('t', id) AS anchor").unionByName(spark.createDataFrame([(None,)], "anchor string"))
+    for most, others in ((1 << 22, 1800), (1024, 1800), (64, 18_000)):
+        monkeypatch.setattr(matching, "ANCHOR_WORDS", most)
+        monkeypatch.setattr(matching, "ROW_WORDS", min(most, 256))
+        kept = {r.id for r in matching.held_by_anchors(tokens, anchors).collect()}
+        assert kept >= set(range(0, 20_000, 10)) and len(kept) <= 2000 + others
