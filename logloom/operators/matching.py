@@ -63,7 +63,7 @@ def prepare_templates(templates: DataFrame, id_col: str = "template_id",
          .withColumn("block_key", F.array_join(F.slice("t_tokens", 1, F.col("depth")), SEP))
          .withColumn("anchor", F.try_element_at(F.filter("t_tokens", lambda x: x != WILDCARD), F.lit(1)))
          .withColumn("pattern", match_pattern("t_tokens"))
-         .withColumn("parts", F.split("t_sig", r"<\*>" + SEP, -1)))
+         .withColumn("parts", F.split(F.array_join(F.concat("t_tokens", F.array(F.lit(""))), SEP), r"<\*>" + SEP, -1)))
     return t
 
 
@@ -198,21 +198,21 @@ def all_matches(sigs: DataFrame, tp: DataFrame, carry=(), broadcast: bool | None
 
 
 def _winners(sigs: DataFrame, tp: DataFrame, broadcast: bool | None, with_params: bool) -> DataFrame:
-    """E2 for distinct signatures that match: ``_h`` (the signature's hash; rows are sorted by it, as many signatures begin
+    """E2 for distinct signatures that match: ``_sig_hash`` (the signature's hash; rows are sorted by it, as many signatures begin
     alike), sig, template_id, template and, with ``with_params``, params."""
-    cand = all_matches(sigs, tp, broadcast=broadcast).withColumn("_h", F.xxhash64("sig"))
+    cand = all_matches(sigs, tp, broadcast=broadcast).withColumn("_sig_hash", F.xxhash64("sig"))
     rank = F.struct((-F.col("n_static")).alias("a"), F.col("n_wild").alias("b"),
                     F.col("wild_flags").alias("c"), F.col("template_id").alias("d"))
     wanted = ["template_id", "template", *(["pattern"] if with_params else [])]
-    win = cand.groupBy("_h", "sig").agg(F.min_by(F.struct(*wanted), rank).alias("w"))
-    win = win.select("_h", "sig", *[f"w.{c}" for c in wanted])
+    win = cand.groupBy("_sig_hash", "sig").agg(F.min_by(F.struct(*wanted), rank).alias("w"))
+    win = win.select("_sig_hash", "sig", *[f"w.{c}" for c in wanted])
     if with_params:
         win = win.withColumn("params", match_params("sig", "pattern"))
     return win.drop("pattern")
 
 
 def _with_winners(rows: DataFrame, win: DataFrame) -> DataFrame:
-    return rows.withColumn("_h", F.xxhash64("sig")).join(win, ["_h", "sig"], "left").drop("_h")
+    return rows.withColumn("_sig_hash", F.xxhash64("sig")).join(win, ["_sig_hash", "sig"], "left").drop("_sig_hash")
 
 
 def best_match(sigs: DataFrame, templates: DataFrame, prepared: bool = False,

@@ -150,10 +150,11 @@ def test_large_template_tables_are_prepared_once(spark):
 def test_parts_decide_as_the_pattern_does(spark):
     """Every signature of a few tokens against every template of a few: the text around the wildcards and the regex agree."""
     import itertools
-    texts = [" ".join(w) for n in range(1, 6) for w in itertools.product(["a", "aa", "<*>"], repeat=n)]
+    texts = [" ".join(w) for n in range(1, 6) for w in itertools.product(["a", "aa", "<*>"], repeat=n)] + ["a \x1f a", "a\x1fa", "<*> \x1f a", "a \x1f <*>"]
     tp = matching.prepare_templates(spark.createDataFrame(list(enumerate(texts)), "template_id long, template string"))
     words = ["a", "aa", "b"]
-    msgs = spark.createDataFrame([(" ".join(w),) for n in range(6) for w in itertools.product(words, repeat=n)], "m string")
+    odd = [(f"a{sep}a", ) for sep in (" \x1f ", "\x1f", " \x1f\x1f")]
+    msgs = spark.createDataFrame([(" ".join(w),) for n in range(6) for w in itertools.product(words, repeat=n)] + odd, "m string")
     both = msgs.select(T.signature("m").alias("sig")).distinct().crossJoin(F.broadcast(tp.dropDuplicates(["t_sig"])))
     row = both.select(matching._fits().alias("f"), F.rlike("sig", "pattern").alias("r")).agg(
         F.count_if(F.col("f") != F.col("r")).alias("wrong"), F.count_if("f").alias("fit"), F.count("f").alias("n"), F.count("*").alias("all")).first()
